@@ -35,7 +35,7 @@ def bucket_of(codes: np.ndarray, buckets: int) -> np.ndarray:
 def shared_codes(docs: DataFrame, anchors: Callable, within: bool, per_partition: int = 4) -> DataFrame:
     """Rows (__id, codes) of the anchor codes of a document that occur elsewhere too.
 
-    docs: columns __id, __text, no null ids. anchors(data, offsets) gives hashes and their rows.
+    docs: columns __id, __text; rows with a null id are passed over. anchors(data, offsets) gives hashes and their rows.
     within: whether a second place in the same document counts as elsewhere.
     """
     buckets = per_partition * shuffle_partitions(docs.sparkSession)
@@ -43,6 +43,7 @@ def shared_codes(docs: DataFrame, anchors: Callable, within: bool, per_partition
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         spread = 0
         for batch in batches:
+            batch = batch.filter(batch.column(0).is_valid())
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             data, offsets = text_view(batch.column(1))
             for i, j in chunks(offsets):

@@ -158,6 +158,17 @@ def ngram_hashes(words: np.ndarray, n: int) -> np.ndarray:
     return mix(h)
 
 
+def slide(values: np.ndarray, width: int, best) -> np.ndarray:
+    """best of values[i .. i+width-1] for each i that has them all."""
+    out, have = values, 1
+    while 2 * have <= width:
+        out = best(out[:-have], out[have:])
+        have *= 2
+    if have < width:
+        out = best(out[: len(out) - (width - have)], out[width - have :])
+    return out
+
+
 def planes(values: np.ndarray, width: int) -> bytes:
     """The low width bytes of integers, byte plane by byte plane: equal high bytes compress away."""
     return np.ascontiguousarray(values.astype("<u8", copy=False).view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes()

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillspark.llm import passages
+from quillspark.llm import passages, substrings
 
 WORDS_SQL = r"list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), x -> x <> '')"
 
@@ -15,11 +15,11 @@ WITH d AS (SELECT doc_id, {WORDS_SQL} AS w FROM documents),
 p AS (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM d),
 k AS (SELECT doc_id, i, array_to_string(w[i:i + 12], ' ') AS win FROM p),
 f AS (SELECT win, min(doc_id) AS least FROM k GROUP BY win),
-g AS (SELECT DISTINCT doc_id, unnest(range(i, i + 13)) AS at FROM k JOIN f USING (win) WHERE least < doc_id),
-l AS (SELECT doc_id, list(at) AS gone FROM g GROUP BY doc_id),
+g AS (SELECT DISTINCT doc_id, unnest(range(i, i + 13)) AS pos FROM k JOIN f USING (win) WHERE least < doc_id),
+l AS (SELECT doc_id, list(pos) AS gone FROM g GROUP BY doc_id),
 r AS (SELECT doc_id, w, coalesce(gone, []::BIGINT[]) AS gone FROM d LEFT JOIN l USING (doc_id)),
 u AS (SELECT doc_id, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS i FROM d),
-kept AS (SELECT u.doc_id, string_agg(x, ' ' ORDER BY i) AS t FROM u ANTI JOIN g ON u.doc_id = g.doc_id AND u.i = g.at GROUP BY u.doc_id)
+kept AS (SELECT u.doc_id, string_agg(x, ' ' ORDER BY i) AS t FROM u ANTI JOIN g ON u.doc_id = g.doc_id AND u.i = g.pos GROUP BY u.doc_id)
 SELECT r.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(gone) AS BIGINT) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
 FROM r LEFT JOIN kept ON r.doc_id = kept.doc_id
 """
@@ -28,6 +28,7 @@ FROM r LEFT JOIN kept ON r.doc_id = kept.doc_id
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op4_substring_dedup": passages.op4,
+        "op10_suffix_dedup": substrings.op10,
     }
 
 
