@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillspark.llm import passages, substrings
+from quillspark.llm import packing, passages, substrings
 
 WORDS_SQL = r"list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), x -> x <> '')"
 
@@ -27,6 +27,7 @@ FROM r LEFT JOIN kept ON r.doc_id = kept.doc_id
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_best_fit_packing": packing.op1,
         "op4_substring_dedup": passages.op4,
         "op10_suffix_dedup": substrings.op10,
     }
