@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillspark.llm import packing, passages, substrings
+from quillspark.llm import packing, passages, simhash, substrings
 
 WORDS_SQL = r"list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), x -> x <> '')"
 
@@ -29,6 +29,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_best_fit_packing": packing.op1,
         "op4_substring_dedup": passages.op4,
+        "op6_simhash_dedup": simhash.op6,
         "op10_suffix_dedup": substrings.op10,
     }
 
