@@ -36,6 +36,7 @@ from quillspark.llm._util import (
     rows,
     runs_of,
     shuffle_partitions,
+    slide,
     text_view,
     unplanes,
     word_hashes,
@@ -99,7 +100,6 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, period: int = PERIOD
     Several rows of one id and repeated places are possible."""
     if window - period + 1 < 1 or period not in COVERS:
         raise ValueError(f"no cover of period {period} for windows of {window} words")
-    docs = docs.where("__id is not null")
     buckets = 4 * shuffle_partitions(docs.sparkSession)
 
     def anchors(data: np.ndarray, offsets: np.ndarray):
@@ -110,7 +110,8 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, period: int = PERIOD
     def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         spread = 0
         for batch in batches:
-            ids, lists = batch.column(0).to_numpy(), batch.column(2)
+            batch = batch.filter(batch.column(2).is_valid())
+            ids, lists = batch.column(0).to_numpy(zero_copy_only=False), batch.column(2)
             data, offsets = text_view(batch.column(1))
             for i, j in chunks(offsets):
                 want, want_row = codes_by_row(lists, range(i, j))
@@ -118,7 +119,8 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, period: int = PERIOD
                     continue
                 text, offs = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
                 starts, ends, row, first = _cut(text, offs)
-                seeds, at = cover_seeds(word_hashes(text, starts, ends), row, first, window, period)
+                words = word_hashes(text, starts, ends)
+                seeds, at = cover_seeds(words, row, first, window, period)
                 hit = at[marked(code_of(seeds), row[at], want, want_row)]
                 if not len(hit):
                     continue
@@ -132,8 +134,10 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, period: int = PERIOD
                     continue
                 keys = window_keys(text, starts, ends, begin, window)
                 owner, place = ids[i:j][row[begin]], begin - first[row[begin]]
+                # Neighbouring windows mostly share their least 4-word hash, and so their bucket.
+                least4 = slide(ngram_hashes(words, min(4, window)), max(1, window - 3), np.minimum)[begin]
                 order = np.lexsort((keys[:, 1], keys[:, 0]))
-                high, low, own, place = keys[order, 0], keys[order, 1], owner[order], place[order]
+                high, low, own, place, least4 = keys[order, 0], keys[order, 1], owner[order], place[order], least4[order]
                 new = np.concatenate(([True], (high[1:] != high[:-1]) | (low[1:] != low[:-1])))
                 start = np.flatnonzero(new)
                 least = np.repeat(np.minimum.reduceat(own, start), np.diff(np.append(start, len(own))))
@@ -141,8 +145,8 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, period: int = PERIOD
                 if late.any():
                     spread += 1
                     yield batch_of(_WINDOWS, bucket=[spread % buckets], settled=[True], docs=[planes(own[late], 8)], at=[planes(place[late], 4)], hashes=[b""])
-                high, low, own, place = high[~late], low[~late], own[~late], place[~late]
-                order, present, cut = by_bucket(((high >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32))
+                high, low, own, place, least4 = high[~late], low[~late], own[~late], place[~late], least4[~late]
+                order, present, cut = by_bucket(((least4 >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32))
                 order = np.concatenate([part[np.lexsort((place[part], own[part]))] for part in np.split(order, cut[1:-1])])
                 high, low, own, place = high[order], low[order], own[order], place[order]
                 spans = list(zip(cut[:-1], cut[1:], strict=True))
@@ -176,7 +180,8 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, period: int = PERIOD
         return pa.Table.from_batches([batch_of(_PLACES, __id=own[start], places=[place[a:b].tobytes() for a, b in zip(start, end, strict=True)])], schema=_PLACES)
 
     codes = shared_codes(docs, anchors, within=False)
-    near = docs.join(codes, "__id").select("__id", "__text", "__codes")
+    # Left joins on both ends read the texts through one reused exchange; rows without codes are passed over in extend.
+    near = docs.join(codes, "__id", "left").select("__id", "__text", "__codes")
     spread = near.mapInArrow(extend, "bucket int, settled boolean, docs binary, at binary, hashes binary")
     return spread.groupBy("bucket").applyInArrow(judge, "__id long, places binary")
 
