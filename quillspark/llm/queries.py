@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillspark.llm import packing, passages, simhash, substrings
+from quillspark.llm import packing, passages, quality, simhash, substrings
 
-WORDS_SQL = r"list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), x -> x <> '')"
+WORDS_SQL = r"list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
 
 OP4_SQL = f"""
 WITH d AS (SELECT doc_id, {WORDS_SQL} AS w FROM documents),
@@ -30,6 +30,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_best_fit_packing": packing.op1,
         "op4_substring_dedup": passages.op4,
         "op6_simhash_dedup": simhash.op6,
+        "op9_quality_rules": quality.op9,
         "op10_suffix_dedup": substrings.op10,
     }
 
@@ -37,4 +38,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op4_substring_dedup": OP4_SQL,
+        "op9_quality_rules": quality.oracle(),
     }
