@@ -20,6 +20,7 @@ import functools
 import os
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -30,18 +31,34 @@ from quillspark.llm._util import checkpointed, chunks, rows, text_view
 
 CAPACITY = 4096
 END_ID = 1
-CACHE_WORDS = 600_000
+CACHE_WORDS = 800_000
 
 _PIECES = pa.schema(
     [("id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("ids", pa.list_(pa.int32()))]
 )
 
 
+class _Numbered(dict):
+    """Words by number; a new word gets the next number and is noted in `new`."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.new: list[bytes] = []
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = number = len(self)
+        self.new.append(word)
+        return number
+
+
 class WordTokens:
     """Token ids of texts, word by word, with a bounded cache of words seen.
 
     The tokenizer drops white space and never joins what it separates, so the ids of a text are
-    those of its words in order. A word of letters with closing punctuation is cut once more.
+    those of its words in order. It lowers case, so texts are lowered first (A-Z only, and not where
+    they may hold one of its special tokens). New words are encoded many to a call: a word of letters
+    is one unit of the tokenizer, closing punctuation a second one, and the last token of each unit
+    is known by its word-end mark. All other words are encoded one by one.
     """
 
     PUNCTUATION = ".,;:!?"
@@ -58,75 +75,55 @@ class WordTokens:
         self._clear()
 
     def _clear(self) -> None:
-        self.known: dict[bytes, int] = {}
-        self.cores: dict[str, list[int]] = {}
-        self.starts, self.sizes = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int32)
+        self.known = _Numbered()
+        self.starts, self.sizes = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
         self.flat, self.used = np.zeros(1 << 18, np.int32), 0
 
     def _encode(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn_cores(self, cores: list[str]) -> None:
-        blocks = [cores[i : i + 200] for i in range(0, len(cores), 200)]
-        for block, ids in zip(blocks, self._encode([" ".join(b) for b in blocks]), strict=True):
-            array = np.array(ids, np.int64)
-            cut = np.flatnonzero(self.closes[array]) + 1 if len(ids) else array
-            if len(cut) == len(block) and cut[-1] == len(ids):
-                begin = 0
-                for core, end in zip(block, cut.tolist(), strict=True):
-                    self.cores[core] = ids[begin:end]
-                    begin = end
-            else:
-                self.cores.update(zip(block, self._encode(block), strict=True))
-
-    def _learn(self, words: list[bytes]) -> None:
-        if len(self.known) + len(words) > self.limit and self.known:
-            self._clear()
-        cut, rest, new = [], [], set()
-        for word in words:
-            text = word.decode()
-            core = text.rstrip(self.PUNCTUATION)
-            if core.isalpha():
-                tail, core = text[len(core) :], core.lower() if core.isascii() else core
-                cut.append((word, core, tail))
-                new.update(x for x in (core, tail) if x and x not in self.cores)
-            else:
-                rest.append((word, text))
-        plain = sorted(x for x in new if x.isalpha())
-        self._learn_cores(plain)
-        other = [x for x in new if not x.isalpha()]
-        self.cores.update(zip(other, self._encode(other), strict=True))
-        learned = [(w, self.cores[c] + self.cores[t] if t else self.cores[c]) for w, c, t in cut]
-        learned += list(zip([w for w, _ in rest], self._encode([t for _, t in rest]), strict=True))
-        if len(self.cores) > self.limit:
-            self.cores.clear()
-        first, total = len(self.known), sum(len(i) for _, i in learned)
-        while first + len(learned) > len(self.starts):
+    def _store(self, numbers: np.ndarray, ids: np.ndarray, sizes: np.ndarray) -> None:
+        while int(numbers.max()) >= len(self.starts):
             self.starts, self.sizes = (np.concatenate([x, np.zeros_like(x)]) for x in (self.starts, self.sizes))
-        while self.used + total > len(self.flat):
+        while self.used + len(ids) > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-        sizes = np.fromiter((len(i) for _, i in learned), np.int32, len(learned))
-        self.sizes[first : first + len(learned)] = sizes
-        self.starts[first : first + len(learned)] = self.used + np.cumsum(sizes) - sizes
-        self.flat[self.used : self.used + total] = np.fromiter((x for _, i in learned for x in i), np.int32, total)
-        self.used += total
-        for k, (word, _) in enumerate(learned):
-            self.known[word] = first + k
+        self.starts[numbers], self.sizes[numbers] = self.used + np.cumsum(sizes) - sizes, sizes
+        self.flat[self.used : self.used + len(ids)] = ids
+        self.used += len(ids)
+
+    def _learn(self, words: list[bytes]) -> None:
+        texts = b" ".join(words).decode().split(" ")
+        cores = [t.rstrip(self.PUNCTUATION) for t in texts]
+        units = np.fromiter((1 + (len(c) < len(t)) if c.isalpha() else 0 for c, t in zip(cores, texts, strict=True)), np.int64, len(texts))
+        first, alone = len(self.known) - len(words), np.flatnonzero(units == 0).tolist()
+        plain = np.flatnonzero(units)
+        blocks = [plain[i : i + 200] for i in range(0, len(plain), 200)]
+        found = self._encode([" ".join(c if u == 1 else f"{c} {t[len(c):]}" for c, t, u in zip(*([x[k] for k in b.tolist()] for x in (cores, texts, units)), strict=True)) for b in blocks])
+        for block, ids in zip(blocks, found, strict=True):
+            array = np.array(ids, np.int64)
+            ends = np.flatnonzero(self.closes[array]) + 1
+            upto = np.cumsum(units[block])
+            if len(ends) == upto[-1] and ends[-1] == len(array):
+                ends = ends[upto - 1]
+                self._store(first + block, array, np.diff(ends, prepend=0))
+            else:  # a letter that the tokenizer takes apart
+                alone += block.tolist()
+        if alone:
+            found = self._encode([texts[k] for k in alone])
+            sizes = np.fromiter(map(len, found), np.int64, len(found))
+            self._store(first + np.array(alone), np.fromiter(chain.from_iterable(found), np.int64, int(sizes.sum())), sizes)
 
     def ids(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts end to end, and the bounds of each text."""
-        split = [t.split() for t in texts]
-        words = set().union(*split)
-        missing = [w for w in words if w not in self.known]
-        if missing:
-            self._learn(missing)
-            if any(w not in self.known for w in words):  # the cache was cleared on the way
-                self._clear()
-                self._learn(list(words))
+        if len(self.known) > self.limit:
+            self._clear()
+        split = [(t if b"<|" in t else t.lower()).split() for t in texts]
         counts = np.fromiter(map(len, split), np.int64, len(split))
-        n = int(counts.sum())
-        at = np.fromiter((i for s in split for i in map(self.known.__getitem__, s)), np.int64, n)
-        sizes = self.sizes[at].astype(np.int64)
+        at = np.fromiter(map(self.known.__getitem__, chain.from_iterable(split)), np.int64, int(counts.sum()))
+        if self.known.new:
+            new, self.known.new = self.known.new, []
+            self._learn(new)
+        sizes = self.sizes[at]
         to = np.concatenate(([0], np.cumsum(sizes)))
         source = np.repeat(self.starts[at] - to[:-1], sizes) + np.arange(int(to[-1]))
         return self.flat[source], to[np.concatenate(([0], np.cumsum(counts)))]
