@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillspark.llm import decontaminate, language, packing, passages, quality, simhash, substrings
+from quillspark.llm import decontaminate, language, packing, passages, privacy, quality, sharding, simhash, substrings, urls
 
 WORDS_SQL = r"list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
 
@@ -28,10 +28,13 @@ FROM r LEFT JOIN kept ON r.doc_id = kept.doc_id
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_best_fit_packing": packing.op1,
+        "op2_pii": privacy.op2,
         "op3_language_id": language.op3,
         "op4_substring_dedup": passages.op4,
+        "op5_sharding": sharding.op5,
         "op6_simhash_dedup": simhash.op6,
         "op7_decontamination": decontaminate.op7,
+        "op8_url_filter": urls.op8,
         "op9_quality_rules": quality.op9,
         "op10_suffix_dedup": substrings.op10,
     }
@@ -41,5 +44,6 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op4_substring_dedup": OP4_SQL,
         "op7_decontamination": decontaminate.SQL,
+        "op8_url_filter": urls.SQL,
         "op9_quality_rules": quality.oracle(),
     }
