@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm._util import batch_of, by_bucket, chunks, joined, planes, runs_of, shuffle_partitions, text_view
+from quillspark.llm._util import batch_of, by_bucket, chunks, joined, mix, planes, runs_of, shuffle_partitions, text_view, unplanes
 
 CODE_BITS = 48
 _SHIFT = np.uint64(64 - CODE_BITS)
@@ -29,7 +29,8 @@ def code_of(hashes: np.ndarray) -> np.ndarray:
 
 
 def bucket_of(codes: np.ndarray, buckets: int) -> np.ndarray:
-    return ((codes >> np.uint64(24)) * np.uint64(buckets)) >> np.uint64(CODE_BITS - 24)
+    """Buckets of codes, even where all codes are minima and so small."""
+    return ((mix(codes) >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
 
 
 def shared_codes(docs: DataFrame, anchors: Callable, within: bool, per_partition: int = 4) -> DataFrame:
@@ -104,8 +105,6 @@ def codes_by_row(lists: pa.ListArray, rows: range) -> tuple[np.ndarray, np.ndarr
             row.append(np.full(len(c) // 6, k, np.int64))
     if not code:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    from quillspark.llm._util import unplanes
-
     return np.concatenate([unplanes(c, 6) for c in code]), np.concatenate(row)
 
 

@@ -6,7 +6,6 @@ object per word, and keeps its temporaries near CHUNK_BYTES whatever the size of
 
 from __future__ import annotations
 
-import functools
 import uuid
 from collections.abc import Iterator
 
@@ -101,18 +100,22 @@ def cut_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
     return starts, ends, np.searchsorted(offsets, starts, side="right") - 1
 
 
-@functools.lru_cache(maxsize=2)
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    up, down = np.full(n, U64(_BASE)), np.full(n, U64(_INVERSE))
-    up[0] = down[0] = U64(1)
-    return np.multiply.accumulate(up), np.multiply.accumulate(down)
+_POWERS: list[np.ndarray] = [np.zeros(0, np.uint64)] * 2
+_KEEP_POWERS = 3 << 20
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers 0..n-1 of the rolling base and of its inverse modulo 2**64."""
-    size = max(1 << 16, 1 << (max(n, 1) - 1).bit_length())
-    up, down = _powers(size)
-    return up[:n], down[:n]
+    """Powers 0..n-1 of the rolling base and of its inverse modulo 2**64; short tables are kept."""
+    if n > len(_POWERS[0]):
+        size = max(n, min(_KEEP_POWERS, 2 * len(_POWERS[0])), 1 << 16)
+        tables = [np.full(size, U64(b)) for b in (_BASE, _INVERSE)]
+        for table in tables:
+            table[0] = U64(1)
+            np.multiply.accumulate(table, out=table)
+        if size > _KEEP_POWERS:
+            return tables[0][:n], tables[1][:n]
+        _POWERS[:] = tables
+    return _POWERS[0][:n], _POWERS[1][:n]
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -128,12 +131,13 @@ def mix(h: np.ndarray) -> np.ndarray:
 def prefix_sums(data: np.ndarray) -> np.ndarray:
     up, _ = powers(len(data))
     out = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_BYTE_VALUES[data] * up, out=out[1:])
+    np.multiply(_BYTE_VALUES[data], up, out=out[1:])
+    np.cumsum(out[1:], out=out[1:])
     return out
 
 
-def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, slab: int = 4 << 20) -> np.ndarray:
-    """A 64-bit hash of the bytes of each word, in slabs of about 4 MB of text."""
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, slab: int = 1 << 16) -> np.ndarray:
+    """A 64-bit hash of the bytes of each range, in slabs of text that stay in cache; ends must ascend."""
     out = np.empty(len(starts), np.uint64)
     i = 0
     while i < len(starts):

@@ -20,7 +20,7 @@ from typing import IO
 
 import numpy as np
 
-from quillspark.llm._util import mix, powers, prefix_sums
+from quillspark.llm._util import word_hashes
 
 SEPARATOR = 0xFF  # never part of UTF-8
 
@@ -220,42 +220,53 @@ def sort_suffixes(text: np.ndarray, limit: int = 100, memory: int = 8 << 20) ->
     index = np.empty(n, np.int32)
     index[first] = np.arange(m, dtype=np.int32)
     size = np.diff(np.append(first, n)).astype(np.int64)
-    sums = prefix_sums(text)
-    _, down = powers(n)
-    stop = np.minimum(first + size + 1, n)
-    names = mix((sums[stop] - sums[first]) * down[first] + size.astype(np.uint64))
+    names = word_hashes(text, first, np.minimum(first + size + 1, n))
     names[-1] ^= np.uint64(1)
-    del sums
-    by_name = names[index[rough]]
-    rank = np.empty(m, np.int64)
-    rank[index[rough]] = np.cumsum(np.concatenate(([False], by_name[1:] != by_name[:-1])))
+    order = index[rough]
+    by_name = names[order]
+    start = np.concatenate(([True], by_name[1:] != by_name[:-1]))
 
-    # Double until names cover `limit` bytes or tell all suffixes apart.
-    ranks, order = [rank.astype(np.int32)], index[rough]
-    reach = 1
-    while int(rank.max()) + 1 < m and 2 * reach <= limit:  # a substring has two bytes at least
-        key = rank * (m + 1)
-        key[: m - reach] += rank[reach:] + 1
-        order = np.argsort(key, kind="stable")
-        in_order = key[order]
-        rank[order] = np.cumsum(np.concatenate(([False], in_order[1:] != in_order[:-1])))
+    # Double until names cover `limit` bytes or tell all suffixes apart. A rank is the place of the
+    # first suffix of its group, so that only suffixes that are still tied are sorted again.
+    rank = np.empty(m, np.int64)
+    rank[order] = np.maximum.accumulate(np.where(start, np.arange(m), 0))
+    ranks, reach = [rank.astype(np.int32)], 1
+    tied = np.flatnonzero(~start | ~np.append(start[1:], True))
+    while len(tied) and 2 * reach <= limit:  # a substring has two bytes at least
+        item = order[tied]
+        key = rank[item] * (m + 1)
+        after = item + reach
+        key += np.where(after < m, rank[np.minimum(after, m - 1)] + 1, 0)
+        sort = np.argsort(key, kind="stable")
+        item, key = item[sort], key[sort]
+        order[tied] = item
+        start = np.concatenate(([True], key[1:] != key[:-1]))
+        rank[item] = tied[np.maximum.accumulate(np.where(start, np.arange(len(tied)), 0))]
         ranks.append(rank.astype(np.int32))
+        tied = tied[~start | ~np.append(start[1:], True)]
         reach *= 2
-    if len(ranks) == 1:
-        order = np.argsort(rank, kind="stable")
     starts_at = np.append(first, n).astype(np.int64)
     common = np.zeros(m, np.int64)
-    a, b = order[:-1].astype(np.int64), order[1:].astype(np.int64)
-    for k in range(len(ranks) - 1, -1, -1):
-        fit = np.flatnonzero((a < m) & (b < m))
-        fit = fit[ranks[k][a[fit]] == ranks[k][b[fit]]]
-        a[fit] += 1 << k
-        b[fit] += 1 << k
-        np.minimum(a, m, out=a)
-        np.minimum(b, m, out=b)
-    covered = np.minimum(starts_at[a] - starts_at[order[:-1]], starts_at[b] - starts_at[order[1:]])
+    covered = np.zeros(max(0, m - 1), np.int64)
+    equal = np.flatnonzero(ranks[0][order[:-1]] == ranks[0][order[1:]])
+    if len(equal):
+        one, two = order[equal].astype(np.int64), order[equal + 1].astype(np.int64)
+        a, b = one.copy(), two.copy()
+        for k in range(len(ranks) - 1, -1, -1):
+            fit = np.flatnonzero((a < m) & (b < m))
+            fit = fit[ranks[k][a[fit]] == ranks[k][b[fit]]]
+            a[fit] = np.minimum(a[fit] + (1 << k), m)
+            b[fit] = np.minimum(b[fit] + (1 << k), m)
+        covered[equal] = np.minimum(starts_at[a] - starts_at[one], starts_at[b] - starts_at[two])
     x, y = starts_at[order[:-1]] + covered, starts_at[order[1:]] + covered
-    live = np.flatnonzero((covered < limit) & (x < n) & (y < n))
+    # Pairs that part in their first eight bytes, most of them, by one comparison of big-endian words.
+    padded = np.concatenate([text, np.zeros(8, np.uint8)])
+    heads = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(padded, 8)[first]).view(">u8").reshape(-1)[order].astype(np.uint64)
+    apart = heads[1:] ^ heads[:-1]
+    early = (covered == 0) & (apart != 0) & (np.maximum(x, y) + 8 <= n)
+    for k in range(1, 8):
+        covered += early & (apart < np.uint64(1 << (64 - 8 * k)))
+    live = np.flatnonzero(~early & (covered < limit) & (x < n) & (y < n))
     while len(live):
         live = live[text[x[live]] == text[y[live]]]
         covered[live] += 1

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm._candidates import code_of, codes_by_row, marked, shared_codes
+from quillspark.llm._candidates import bucket_of, code_of, codes_by_row, marked, shared_codes
 from quillspark.llm._util import (
     batch_of,
     by_bucket,
@@ -146,7 +146,7 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, period: int = PERIOD
                     spread += 1
                     yield batch_of(_WINDOWS, bucket=[spread % buckets], settled=[True], docs=[planes(own[late], 8)], at=[planes(place[late], 4)], hashes=[b""])
                 high, low, own, place, least4 = high[~late], low[~late], own[~late], place[~late], least4[~late]
-                order, present, cut = by_bucket(((least4 >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32))
+                order, present, cut = by_bucket(bucket_of(least4, buckets))
                 order = np.concatenate([part[np.lexsort((place[part], own[part]))] for part in np.split(order, cut[1:-1])])
                 high, low, own, place = high[order], low[order], own[order], place[order]
                 spans = list(zip(cut[:-1], cut[1:], strict=True))

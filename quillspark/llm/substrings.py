@@ -45,8 +45,8 @@ from quillspark.llm._util import (
 from quillspark.llm.induced import SEPARATOR, sort_suffixes
 
 LENGTH = 100
-GRAIN = 40
-_SLAB = 1 << 20
+GRAIN = 32
+_SLAB = 1 << 16  # its temporaries stay in cache
 
 _PIECES = pa.schema(
     [("bucket", pa.int32()), ("settled", pa.bool_()), ("docs", pa.binary()), ("at", pa.binary()), ("sizes", pa.binary()), ("keys", pa.binary()), ("text", pa.binary())]
@@ -122,9 +122,12 @@ def _pieces(data: np.ndarray, offsets: np.ndarray, length: int, grain: int, want
         start, stop = start[keep], stop[keep]
         code = code_of(least[start])
         row = np.searchsorted(offsets, start + a, side="right") - 1
-        hit = marked(code, row, want, want_row)
-        out.append((code[hit], row[hit], start[hit] + a, (stop - start)[hit]))
-    return [np.concatenate(x) for x in zip(*out, strict=True)] if out else [np.zeros(0, np.int64)] * 4
+        out.append((code, row, start + a, stop - start))
+    if not out:
+        return [np.zeros(0, np.int64)] * 4
+    found = [np.concatenate(x) for x in zip(*out, strict=True)]
+    hit = marked(found[0], found[1], want, want_row)
+    return [x[hit] for x in found]
 
 
 def _earliest(key: np.ndarray, doc: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
