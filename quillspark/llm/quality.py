@@ -131,8 +131,7 @@ def quality_rules(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     base = df.select(F.col(f"`{id_col}`").alias("__id"), F.col(f"`{text_col}`").cast("string").alias("__text"))
-    seen = base.select(
-        F.col("__id"),
+    counted_once = F.struct(
         F.length(text).alias("chars"),
         let(word_array(text), counts).alias("c"),
         F.regexp_count(text, F.lit(r"[#*$%&|<>]")).cast("long").alias("n_symbols"),
@@ -141,6 +140,8 @@ def quality_rules(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         F.regexp_count(text, F.lit(r"[.,;:!?'\"()\-]")).alias("punctuation"),
         let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
     )
+    # A generator of one row: no filter or projection above it can inline the counts a second time.
+    seen = base.select("__id", F.inline(F.array(counted_once)))
     flat = seen.select("*", "c.*").drop("c")
     chars, n = F.greatest("chars", F.lit(1)).cast("double"), F.greatest("n_words", F.lit(1)).cast("double")
     space = F.col("chars") - F.col("word_chars")
@@ -171,6 +172,12 @@ def quality_rules(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return judged.withColumn("kept", ~F.col("base_failed") & (F.coalesce("divergence", F.lit(0.0)) <= limit))
 
 
+def keep_good(df: DataFrame, text_col: str = "text", limit: float = LIMIT) -> DataFrame:
+    """The rows of df, all columns, that the rules keep. No shuffle."""
+    packed = df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("__id"), F.col(f"`{text_col}`").alias("__text"))
+    return quality_rules(packed, "__id", "__text", limit).where("kept").select("__id.*")
+
+
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = quality_rules(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
