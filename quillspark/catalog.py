@@ -5,15 +5,543 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quillspark.functions import columns as C
+from quillspark.functions import spans as S
+from quillspark.functions.constants import SALIENCE_WEIGHTS
+from quillspark.functions.rtf import rtf_of_text, spans_of_text
+from quillspark.operators import archive, evaluate, export, retrieve, stats, tree, units
+from quillspark.operators.lexical import bm25, build_index, corpus_size, top_per_query
+from quillspark.plans import standin as T
+from quillspark.plans.regimes import REGIMES, resolve
+from quillspark.plans.sql import CORPUS, RUNS, TIER_SQL, TREE, UNITS, regime_sql
+
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        _QUERIES[name] = f
+        if sql is not None:
+            _SQL[name] = sql
+        return f
+
+    return add
+
+
+def good(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return T.units(spark, sf_dir).where(units.retrievable())
+
+
+GOOD = "SELECT * FROM units WHERE NOT is_trivial AND NOT is_separator AND NOT is_duplicate AND length(trim(text)) > 12"
+WITH_GOOD = f"{UNITS}, good AS ({GOOD})"
+
+
+# Units
+
+
+@query("units", f"{UNITS} SELECT unit_id, note_uid, page_id, line_index, text, color, is_bold, effective_weight, is_separator, is_trivial, is_duplicate, source_type FROM units")
+def _units(spark, d):
+    return T.units(spark, d).select("unit_id", "note_uid", "page_id", "line_index", "text", "color", "is_bold", "effective_weight", "is_separator", "is_trivial", "is_duplicate", "source_type")
+
+
+@query("unit_offsets", f"{UNITS} SELECT note_uid, line_index, off AS char_start, off + length(raw) AS char_end FROM lines WHERE strip <> ''")
+def _unit_offsets(spark, d):
+    return units.content_units(T.notes(spark, d)).select("note_uid", F.col("line_index").cast("long"), "char_start", "char_end")
+
+
+@query("unit_normalised", f"{UNITS} SELECT unit_id, text_normalized FROM units")
+def _unit_normalised(spark, d):
+    return T.units(spark, d).select("unit_id", "text_normalized")
+
+
+@query("caption_units", f"{UNITS} SELECT note_uid, text, color, effective_weight FROM units WHERE source_type = 'treenode'")
+def _caption_units(spark, d):
+    return T.units(spark, d).where("source_type = 'treenode'").select("note_uid", "text", "color", "effective_weight")
+
+
+@query("retrievable_units", f"{WITH_GOOD} SELECT unit_id, page_id FROM good WHERE page_id IN (1, 2, 3)")
+def _retrievable(spark, d):
+    return T.units(spark, d).where(units.retrievable((1, 2, 3))).select("unit_id", "page_id")
+
+
+@query("duplicate_units", f"{UNITS} SELECT page_id, count(*) AS duplicates FROM units WHERE is_duplicate GROUP BY page_id")
+def _duplicates(spark, d):
+    return T.units(spark, d).where("is_duplicate").groupBy("page_id").agg(F.count("*").alias("duplicates"))
+
+
+@query("virtual_colours", f"{WITH_GOOD} SELECT unit_id, coalesce(color, 'none') AS color FROM good WHERE color = 'u' OR (color IS NULL AND is_bold)")
+def _virtual(spark, d):
+    return good(spark, d).where(units.colour_filter(("u", "nb"))).select("unit_id", F.coalesce("color", F.lit("none")).alias("color"))
+
+
+@query("labels_skipped", f"{WITH_GOOD} SELECT unit_id, text FROM good WHERE length(text) < 15 AND NOT regexp_matches(text, '[.!?\"]')")
+def _labels(spark, d):
+    return good(spark, d).where(units.is_label(F.col("text"))).select("unit_id", "text")
+
+
+@query("embeddable_units", f"{WITH_GOOD} SELECT count(*) AS n FROM units WHERE effective_weight >= 1 AND NOT is_trivial AND NOT is_separator AND NOT is_duplicate")
+def _embeddable(spark, d):
+    return stats.embeddable(T.units(spark, d)).agg(F.count("*").alias("n"))
+
+
+@query("embedding_texts", f"{WITH_GOOD} SELECT unit_id, '[' || coalesce(nullif(tree_path, ''), caption, '') || '] ' || text AS embed_text FROM good")
+def _embedding_texts(spark, d):
+    return good(spark, d).select("unit_id", retrieve.embedding_text(F.col("text"), F.col("tree_path"), F.col("caption"), True).alias("embed_text"))
+
+
+@query("section_colours")
+def _sections(spark, d):
+    return units.content_units(T.notes(spark, d)).select("note_uid", "line_index", "section_color", "break_context")
+
+
+# Aggregates
+
+
+@query(
+    "note_stats",
+    f"{UNITS} SELECT note_uid, count(*) AS total_units, count(color) AS highlighted_units, count(*) FILTER (source_type = 'treenode') AS caption_units, "
+    "round(avg(effective_weight), 6) AS avg_weight, max(effective_weight) AS max_weight, count(DISTINCT coalesce(color, 'none')) AS colours FROM units GROUP BY note_uid",
+)
+def _note_stats(spark, d):
+    out = stats.note_stats(T.units(spark, d))
+    return out.select("note_uid", "total_units", "highlighted_units", "caption_units", F.round("avg_weight", 6).alias("avg_weight"), "max_weight", F.size("weight_distribution").cast("long").alias("colours"))
+
+
+def note_figures(spark: SparkSession, d: str) -> DataFrame:
+    """Span statistics and salience per note."""
+    n = T.notes(spark, d).select("note_uid", "page_id", F.lit(1).alias("depth"), S.span_stats(F.col("spans")).alias("s")).select("note_uid", "page_id", "depth", "s.*")
+    share = C.salience({c: F.col(f"chars_{c}") for c in T.CODES}, F.col("chars_total"), SALIENCE_WEIGHTS)
+    return n.withColumn("salience", share)
+
+
+FIGURES = f"""{UNITS}, f AS (SELECT n.note_uid, any_value(n.page_id) AS page_id, coalesce(sum(length(strip)), 0)::BIGINT AS chars_total,
+coalesce(sum(CASE WHEN l.color IS NOT NULL THEN length(strip) END), 0)::BIGINT AS chars_highlighted,
+{', '.join(f"coalesce(sum(CASE WHEN l.color = '{c}' THEN length(strip) END), 0)::BIGINT AS chars_{c}" for c in T.CODES)}
+FROM notes n LEFT JOIN lines l USING (note_uid) GROUP BY n.note_uid),
+s AS (SELECT *, CASE WHEN chars_total > 0 THEN least(({' + '.join(f'{w} * chars_{c}' for c, w in SALIENCE_WEIGHTS.items())}) / (5.0 * chars_total)::DOUBLE * 100, 100) ELSE 0 END AS salience FROM f)"""
+
+
+@query("note_salience", f"{FIGURES} SELECT note_uid, chars_total, chars_highlighted, chars_u, chars_g2, round(salience, 6) AS salience FROM s")
+def _salience(spark, d):
+    return note_figures(spark, d).select("note_uid", *(F.col(c).cast("long").alias(c) for c in ("chars_total", "chars_highlighted", "chars_u", "chars_g2")), F.round("salience", 6).alias("salience"))
+
+
+@query(
+    "page_stats",
+    f"{FIGURES} SELECT p.page_id, count(note_uid) AS note_count, coalesce(sum(chars_total), 0)::BIGINT AS total_chars, coalesce(sum(chars_highlighted), 0)::BIGINT AS highlighted_chars, "
+    "round(coalesce(avg(salience), 0), 6) AS avg_salience, round(CASE WHEN sum(chars_total) > 0 THEN sum(chars_highlighted) / sum(chars_total)::DOUBLE ELSE 0 END, 6) AS highlight_ratio FROM (SELECT unnest(range(25))::INT AS page_id) p LEFT JOIN s USING (page_id) GROUP BY p.page_id",
+)
+def _page_stats(spark, d):
+    out = stats.page_stats(T.pages(spark, d), note_figures(spark, d))
+    return out.select("page_id", "note_count", "total_chars", "highlighted_chars", F.round("avg_salience", 6).alias("avg_salience"), F.round("highlight_ratio", 6).alias("highlight_ratio"))
+
+
+@query("dominant_colour", f"{FIGURES} SELECT note_uid, CASE WHEN greatest(chars_p, chars_b, chars_g, chars_y, chars_o, chars_u) = 0 THEN NULL {' '.join(f'WHEN chars_{c} = greatest(chars_p, chars_b, chars_g, chars_y, chars_o, chars_u) THEN {chr(39)}{c}{chr(39)}' for c in 'pbgyou')} END AS dominant FROM s")
+def _dominant(spark, d):
+    return stats.dominant_colour(note_figures(spark, d)).select("note_uid", "dominant")
+
+
+@query(
+    "unit_summary",
+    f"{UNITS} SELECT count(*) AS total, count(color) AS highlighted, count(*) FILTER (is_bold) AS bold, count(*) FILTER (is_separator) AS separators, count(*) FILTER (is_trivial) AS trivial, "
+    "count(*) FILTER (is_duplicate) AS duplicates, round(avg(effective_weight), 6) AS avg_weight, round(avg(CASE WHEN color IS NOT NULL THEN effective_weight END), 6) AS avg_highlight_weight FROM units",
+)
+def _unit_summary(spark, d):
+    return stats.unit_summary(T.units(spark, d)).withColumns({c: F.round(c, 6) for c in ("avg_weight", "avg_highlight_weight")})
+
+
+@query("units_by_colour", f"{UNITS} SELECT color, count(*) AS units, round(avg(effective_weight), 6) AS avg_weight, round(avg(length(text)), 4) AS avg_chars FROM units GROUP BY color")
+def _by_colour(spark, d):
+    return stats.units_by_colour(T.units(spark, d)).select("color", "units", F.round("avg_weight", 6).alias("avg_weight"), F.round("avg_chars", 4).alias("avg_chars"))
+
+
+@query("units_by_page", f"{UNITS} SELECT page_id, count(*) AS units, count(color) AS highlighted, 'page ' || page_id AS page_caption FROM units GROUP BY page_id")
+def _by_page(spark, d):
+    return stats.units_by_page(T.units(spark, d), T.pages(spark, d))
+
+
+@query("index_summary", f"{WITH_GOOD} SELECT coalesce(color, 'unmarked') AS color, count(*) AS units FROM good GROUP BY 1")
+def _index_summary(spark, d):
+    return stats.index_summary(good(spark, d))
+
+
+@query("corpus_stats", f"{WITH_GOOD} SELECT count(*) AS fragments, count(*) FILTER (effective_weight >= 1) AS highlighted, count(DISTINCT note_uid) AS notes, round(avg(length(text)), 1) AS avg_chars FROM good")
+def _corpus_stats(spark, d):
+    return stats.corpus_stats(good(spark, d))
+
+
+@query(
+    "colour_stats",
+    f"{WITH_GOOD}, c(code, name, weight) AS (VALUES ('u','Purple',5.0::DOUBLE),('p','Pink',4.0),('b','Blue',3.0),('g','Green',2.0),('g2','Green',2.0),('y','Yellow',1.0),('o','Orange',0.5),('nb','bold (uncoloured)',0.0),('n','uncoloured',0.0)), "
+    "a AS (SELECT color AS code, text FROM good WHERE color IS NOT NULL UNION ALL SELECT 'n', text FROM good WHERE color IS NULL UNION ALL SELECT 'nb', text FROM good WHERE color IS NULL AND is_bold) "
+    "SELECT code, name, weight, count(text) AS units, coalesce(sum(length(text)), 0)::BIGINT AS chars FROM c LEFT JOIN a USING (code) GROUP BY ALL",
+)
+def _colour_stats(spark, d):
+    return stats.colour_stats(good(spark, d))
+
+
+@query(
+    "old_colour_stats",
+    f"{UNITS}, t(color, tag) AS (VALUES ('u','PUR'),('p','PNK'),('b','BLU'),('g','GRN'),('g2','DGR'),('y','YLW'),('o','ORA')) SELECT coalesce(tag, 'TOTAL') AS tag, count(*) AS units, sum(length(text))::BIGINT AS chars FROM units JOIN t USING (color) GROUP BY ROLLUP (tag)",
+)
+def _old_stats(spark, d):
+    return stats.old_colour_stats(T.units(spark, d))
+
+
+@query(
+    "length_histogram",
+    f"{WITH_GOOD}, b(low) AS (VALUES (0),(20),(50),(100),(200),(400),(800),(1600)), g AS (SELECT CASE WHEN length(text) >= 1600 THEN 1600 WHEN length(text) >= 800 THEN 800 WHEN length(text) >= 400 THEN 400 WHEN length(text) >= 200 THEN 200 "
+    "WHEN length(text) >= 100 THEN 100 WHEN length(text) >= 50 THEN 50 WHEN length(text) >= 20 THEN 20 ELSE 0 END AS low FROM good) SELECT b.low, count(g.low) AS units FROM b LEFT JOIN g USING (low) GROUP BY b.low",
+)
+def _histogram(spark, d):
+    return stats.length_histogram(good(spark, d))
+
+
+@query(
+    "length_percentiles",
+    f"{WITH_GOOD}, o AS (SELECT list(length(text) ORDER BY length(text)) AS v FROM good) SELECT v[least(len(v) - 1, floor(len(v) * 0.25))::INT + 1] AS p25, v[least(len(v) - 1, floor(len(v) * 0.5))::INT + 1] AS p50, v[least(len(v) - 1, floor(len(v) * 0.75))::INT + 1] AS p75, v[least(len(v) - 1, floor(len(v) * 0.9))::INT + 1] AS p90 FROM o",
+)
+def _percentiles(spark, d):
+    out = stats.index_percentiles(good(spark, d))
+    return out.select(*(F.col(c).cast("long").alias(c) for c in out.columns))
+
+
+@query("page_note_counts", f"{UNITS} SELECT p.page_id, 'page ' || p.page_id AS page_caption, count(note_uid) AS notes FROM (SELECT unnest(range(25))::INT AS page_id) p LEFT JOIN notes USING (page_id) GROUP BY p.page_id")
+def _page_notes(spark, d):
+    return stats.page_note_counts(T.pages(spark, d), T.notes(spark, d))
+
+
+@query("best_lines", f"{WITH_GOOD} SELECT unit_id, effective_weight, length(text) AS chars FROM good ORDER BY effective_weight DESC, length(text) DESC, unit_id LIMIT 10")
+def _best(spark, d):
+    return stats.best_lines(good(spark, d)).select("unit_id", "effective_weight", F.length("text").cast("long").alias("chars"))
+
+
+@query("build_counters", f"{WITH_GOOD} SELECT 'notes' AS \"table\", count(*) AS rows FROM notes UNION ALL SELECT 'units', count(*) FROM units UNION ALL SELECT 'indexed', count(*) FROM good")
+def _counters(spark, d):
+    return stats.build_counters(spark, notes=T.notes(spark, d), units=T.units(spark, d), indexed=good(spark, d))
+
+
+# Trees
+
+
+@query("tree_hierarchy", f"{TREE} SELECT page_id, id, depth, path, caption_path FROM tree")
+def _hierarchy(spark, d):
+    return tree.with_paths(tree.hierarchy(T.nodes(spark, d))).select("page_id", "id", "depth", "path", "caption_path")
+
+
+@query("tree_rollup", f"{TREE}, u AS (SELECT chars, unnest(ids) AS id FROM tree) SELECT id, count(*) AS subtree_nodes, sum(chars)::BIGINT AS subtree_chars FROM u GROUP BY id")
+def _rollup(spark, d):
+    return tree.rollup(tree.hierarchy(T.nodes(spark, d)), ["chars"]).select("id", "subtree_nodes", "subtree_chars")
+
+
+@query("tree_subtree", f"{TREE} SELECT id FROM tree WHERE list_has_any(ids, [2, 105])")
+def _subtree(spark, d):
+    chosen = spark.createDataFrame([(1, 2), (1, 105)], "page_id int, id long")
+    return tree.subtree(tree.hierarchy(T.nodes(spark, d)), chosen).select("id")
+
+
+@query("tree_breadcrumbs", f"{TREE} SELECT id, crumbs FROM tree")
+def _crumbs(spark, d):
+    return tree.breadcrumbs(tree.hierarchy(T.nodes(spark, d))).select("id", "crumbs")
+
+
+@query("tree_children", f"{TREE} SELECT id, caption FROM nodes WHERE parent_id = 3")
+def _children(spark, d):
+    return tree.children(T.nodes(spark, d), 1, 3).select("id", "caption")
+
+
+@query("tree_sibling_order", f"{TREE} SELECT id, row_number() OVER (PARTITION BY parent_id ORDER BY id) - 1 AS sort_index FROM nodes")
+def _siblings(spark, d):
+    return tree.reindexed(T.nodes(spark, d)).select("id", F.col("sort_index").cast("long").alias("sort_index"))
+
+
+@query(
+    "tree_tiles",
+    f"{TREE}, r AS (SELECT *, row_number() OVER (PARTITION BY parent_id ORDER BY chars DESC, id) AS n FROM nodes) SELECT parent_id, CASE WHEN n <= 27 THEN id::VARCHAR ELSE 'other' END AS tile, sum(chars)::BIGINT AS size, count(*) AS nodes FROM r GROUP BY ALL",
+)
+def _tiles(spark, d):
+    return tree.top_tiles(T.nodes(spark, d), "chars").select("parent_id", "tile", "size", "nodes")
+
+
+@query("tree_branch_key", f"{TREE} SELECT id, array_to_string(string_split(caption_path, ' > ')[1:2], ' > ') AS branch FROM tree")
+def _branch(spark, d):
+    t = tree.with_paths(tree.hierarchy(T.nodes(spark, d)))
+    return t.select("id", tree.branch_key(F.col("caption_path"), 2).alias("branch"))
+
+
+@query("tree_child_counts", f"{TREE} SELECT parent_id, count(*) AS children FROM nodes GROUP BY parent_id")
+def _nested(spark, d):
+    nested = tree.nested_children(tree.hierarchy(T.nodes(spark, d)))
+    return nested.select("parent_id", F.size("children").cast("long").alias("children"))
+
+
+# Retrieval
+
+
+def hits(spark: SparkSession, d: str, key: str) -> DataFrame:
+    regime = resolve(key)
+    turned = regime.embed == "context"
+    return retrieve.retrieve(T.corpus(spark, d), regime, T.questions(spark, d), T.query_vectors(spark, d, turned=turned))
+
+
+def _rounded(df: DataFrame) -> DataFrame:
+    return df.select("query_id", F.col("rank").cast("long").alias("rank"), "unit_id", F.round("score", 6).alias("score"), "source")
+
+
+for _key in REGIMES:
+
+    def _regime(spark, d, key=_key):
+        return _rounded(hits(spark, d, key))
+
+    query(f"regime_{_key}", regime_sql(REGIMES[_key]))(_regime)
+
+
+@query("bm25_scores", f"{CORPUS}, r AS (SELECT query_id, unit_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, unit_id) AS rank FROM bm25) SELECT query_id, unit_id, rank, round(score, 6) AS score FROM r WHERE rank <= 50")
+def _bm25(spark, d):
+    c = T.corpus(spark, d)
+    top = top_per_query(bm25(build_index(c), corpus_size(c), T.questions(spark, d)), 50)
+    return top.select("query_id", "unit_id", F.col("rank").cast("long").alias("rank"), F.round("score", 6).alias("score"))
+
+
+@query("postings", f"{CORPUS} SELECT term, count(DISTINCT unit_id) AS units, count(*) AS places FROM words GROUP BY term")
+def _postings(spark, d):
+    return build_index(T.corpus(spark, d)).groupBy("term").agg(F.count("*").alias("units"), F.sum(F.size("places")).alias("places"))
+
+
+@query(
+    "fragment_metrics",
+    f"SELECT * FROM ({regime_sql(REGIMES['R6_full_metadata'], 'SELECT h.query_id, count(*) AS n_fragments, count(*) FILTER (h.source = ' + chr(39) + 'expanded' + chr(39) + ') AS n_expanded, max(c.effective_weight) AS max_weight, count(DISTINCT c.note_uid) AS n_notes, sum(length(c.text))::BIGINT AS context_chars FROM result h JOIN corpus c USING (unit_id) GROUP BY h.query_id')})",
+)
+def _metrics(spark, d):
+    out = retrieve.metrics(hits(spark, d, "R6_full_metadata"), T.corpus(spark, d))
+    return out.select("query_id", "n_fragments", "n_expanded", "max_weight", "n_notes", "context_chars")
+
+
+@query("prompt_context")
+def _context(spark, d):
+    regime = resolve("R6_full_metadata")
+    c = T.corpus(spark, d)
+    fitted = retrieve.fit(hits(spark, d, regime.key), c, regime, window_tokens=4096, fixed_chars=2000)
+    return retrieve.context(fitted)
+
+
+@query("regime_overrides", regime_sql(resolve("R2_weight_boost", {"top_k": 5, "min_weight": 2.0})))
+def _overrides(spark, d):
+    regime = resolve("R2_weight_boost", {"top_k": 5, "min_weight": 2.0, "retriever": "none"})
+    return _rounded(retrieve.retrieve(T.corpus(spark, d), regime, T.questions(spark, d), T.query_vectors(spark, d)))
+
+
+# Export
+
+
+def _tier(spark, d, budget, recent=False):
+    chosen, _ = export.tiered(T.units(spark, d), ("u", "p", "b", "g", "g2", "nb"), budget, recent_first=recent)
+    return chosen.select("unit_id", "tier")
+
+
+@query("export_unlimited", f"{TIER_SQL} SELECT unit_id, tier FROM tiers")
+def _export_all(spark, d):
+    return _tier(spark, d, 0)
+
+
+@query(
+    "export_first_tier",
+    f"{TIER_SQL}, s AS (SELECT note_uid, 80 + sum(length(text) + 14) AS size FROM tiers WHERE tier = 0 GROUP BY note_uid), r AS (SELECT note_uid, size, sum(size) OVER (ORDER BY note_uid) AS run FROM s) SELECT note_uid, size::BIGINT AS size FROM r WHERE run = size OR run <= 20000",
+)
+def _export_prefix(spark, d):
+    mine = export.select_units(T.units(spark, d), ("u", "p"))
+    return export.within_budget(export.note_sizes(mine), 20_000).select("note_uid", "size")
+
+
+@query("export_budgeted")
+def _export_budget(spark, d):
+    return _tier(spark, d, 30_000)
+
+
+@query("export_recent")
+def _export_recent(spark, d):
+    return _tier(spark, d, 30_000, recent=True)
+
+
+@query("export_outline")
+def _outline(spark, d):
+    chosen, _ = export.tiered(T.units(spark, d), ("u", "p", "b"), 50_000)
+    return export.outline(chosen).select(F.col("place.note_uid").alias("note_uid"), "block")
+
+
+@query("export_newest_blocks")
+def _newest(spark, d):
+    chosen, _ = export.tiered(T.units(spark, d), ("u", "p", "b"), 50_000, recent_first=True)
+    return export.newest_first(chosen).select(F.col("place.note_uid").alias("note_uid"), "block")
+
+
+@query(
+    "export_old_sample",
+    f"{UNITS}, g AS (SELECT note_uid, max(effective_weight) AS w FROM units WHERE color = 'g' AND NOT is_trivial AND NOT is_separator AND length(text) >= 15 AND NOT (source_type = 'treenode' AND length(text) < 50 AND NOT regexp_matches(text, '[.\"]')) GROUP BY note_uid) "
+    "SELECT note_uid FROM g ORDER BY w DESC, note_uid LIMIT (SELECT greatest(1, (count(*) * 20 / 100)::INT) FROM (SELECT note_uid FROM g))".replace("(count(*) * 20 / 100)::INT", "floor(count(*) * 20 / 100.0)::INT"),
+)
+def _old_sample(spark, d):
+    mine = export.old_units(T.units(spark, d), ("g",))
+    return export.sample_heaviest_notes(mine, 20).select("note_uid").distinct()
+
+
+@query("curated_notes", f"SELECT DISTINCT note_uid FROM ({regime_sql(REGIMES['R0_baseline_fts'], 'SELECT c.note_uid FROM result h JOIN corpus c USING (unit_id)')}) UNION SELECT note_uid FROM ({regime_sql(REGIMES['R6_full_metadata'], 'SELECT c.note_uid FROM result h JOIN corpus c USING (unit_id)')})")
+def _curated(spark, d):
+    return export.curated_notes(hits(spark, d, "R0_baseline_fts"), hits(spark, d, "R6_full_metadata"))
+
+
+# Evaluation
+
+
+@query(
+    "jaccard_overlap",
+    f"{RUNS}, s AS (SELECT DISTINCT user_id, event_type, event_id % 50 AS u FROM events), n AS (SELECT user_id, event_type, count(*) AS n FROM s GROUP BY ALL), t AS (SELECT DISTINCT event_type AS b FROM s), "
+    "p AS (SELECT n.user_id, n.event_type AS a, t.b, n.n AS na, coalesce(m.n, 0) AS nb FROM n CROSS JOIN t LEFT JOIN n m ON m.user_id = n.user_id AND m.event_type = t.b), "
+    "c AS (SELECT x.user_id, x.event_type AS a, y.event_type AS b, count(*) AS both FROM s x JOIN s y ON x.user_id = y.user_id AND x.u = y.u GROUP BY ALL) "
+    "SELECT p.a AS regime_a, p.b AS regime_b, round(avg(coalesce(c.both, 0) / (na + nb - coalesce(c.both, 0))::DOUBLE), 3) AS jaccard FROM p LEFT JOIN c ON p.user_id = c.user_id AND p.a = c.a AND p.b = c.b GROUP BY ALL".replace(" both", " shared").replace("c.both", "c.shared"),
+)
+def _jaccard(spark, d):
+    runs = T.table(spark, d, "events").select(F.col("user_id").alias("question_id"), F.col("event_type").alias("regime"), (F.col("event_id") % 50).alias("unit_id"))
+    return evaluate.overlap(runs)
+
+
+@query(
+    "paired_tests",
+    f"{RUNS}, d AS (SELECT a.regime, a.score - b.score AS d FROM scores a JOIN scores b ON a.question_id = b.question_id AND b.regime = (SELECT min(regime) FROM scores)), "
+    "g AS (SELECT regime, count(*) AS n, avg(d) AS m, stddev_samp(d) AS sd FROM d GROUP BY regime) SELECT regime, n, round(m, 6) AS mean_diff, round(CASE WHEN sd = 0 THEN 0 ELSE m / (sd / sqrt(n)) END, 4) AS t, n - 1 AS df FROM g",
+)
+def _paired(spark, d):
+    scores = T.scores(spark, d)
+    first = scores.agg(F.min("regime")).first()[0]
+    out = evaluate.paired_tests(scores, first)
+    return out.select("regime", "n", F.round("mean_diff", 6).alias("mean_diff"), F.round("t", 4).alias("t"), "df")
+
+
+@query("bootstrap_interval")
+def _bootstrap(spark, d):
+    return evaluate.bootstrap_interval(T.scores(spark, d).where(F.col("regime") == "click").limit(1000), rounds=500)
+
+
+@query("group_pivot", f"{RUNS} SELECT left(question_id, 1) AS grp, round(avg(CASE WHEN regime = 'click' THEN score END), 6) AS click, round(avg(CASE WHEN regime = 'purchase' THEN score END), 6) AS purchase FROM scores GROUP BY 1")
+def _pivot(spark, d):
+    out = evaluate.group_pivot(T.scores(spark, d), ["click", "purchase"])
+    return out.select("grp", F.round("click", 6).alias("click"), F.round("purchase", 6).alias("purchase"))
+
+
+@query(
+    "regime_summary",
+    f"{RUNS} SELECT regime, count(*) AS runs, count(overall) AS rated, round(avg(overall), 6) AS avg_overall, round(avg(correctness), 6) AS avg_correctness, round(avg(CASE WHEN blind THEN overall END), 6) AS avg_blind FROM runs LEFT JOIN ratings USING (run_id) GROUP BY regime",
+)
+def _regime_summary(spark, d):
+    out = evaluate.regime_summary(T.runs(spark, d), T.ratings(spark, d))
+    return out.select("regime", "runs", "rated", *(F.round(c, 6).alias(c) for c in ("avg_overall", "avg_correctness", "avg_blind")))
+
+
+@query("blind_split", f"{RUNS} SELECT regime, count(*) FILTER (blind) AS blind, count(*) FILTER (NOT blind) AS open FROM ratings JOIN runs USING (run_id) WHERE correctness IS NOT NULL GROUP BY regime")
+def _blind(spark, d):
+    return evaluate.blind_split(T.ratings(spark, d), T.runs(spark, d))
+
+
+@query("next_unrated", f"{RUNS} SELECT min(question_id) AS question_id FROM runs ANTI JOIN ratings USING (run_id)")
+def _next(spark, d):
+    return evaluate.next_unrated(T.runs(spark, d), T.ratings(spark, d))
+
+
+@query("work_list", f"{RUNS} SELECT q AS question_id, regime FROM (SELECT unnest(range(50))::VARCHAR AS q) CROSS JOIN (SELECT DISTINCT regime FROM runs) r WHERE NOT EXISTS (SELECT 1 FROM runs x WHERE x.question_id = q AND x.regime = r.regime)")
+def _work(spark, d):
+    runs = T.runs(spark, d)
+    asked = spark.range(50).select(F.col("id").cast("string").alias("question_id"))
+    return evaluate.work_list(asked, runs.select("regime").distinct(), runs)
+
+
+@query("volume_bands", f"{RUNS}, m AS (SELECT regime, question_id, count(*) AS n_fragments FROM runs GROUP BY ALL) SELECT CASE WHEN n_fragments <= 15 THEN 'few' WHEN n_fragments >= 100 THEN 'many' ELSE 'medium' END AS band, count(*) AS n FROM m GROUP BY 1")
+def _bands(spark, d):
+    m = T.runs(spark, d).groupBy("regime", "question_id").agg(F.count("*").alias("n_fragments"))
+    return evaluate.volume_bands(m).groupBy("band").agg(F.count("*").alias("n"))
+
+
+@query("retrieval_means", f"{RUNS}, m AS (SELECT regime, question_id, count(*) AS n_fragments FROM runs GROUP BY ALL) SELECT regime, round(avg(n_fragments), 6) AS mean_n_fragments FROM m GROUP BY regime")
+def _means(spark, d):
+    m = T.runs(spark, d).groupBy("regime", "question_id").agg(F.count("*").alias("n_fragments"))
+    return evaluate.retrieval_means(m).select("regime", F.round("mean_n_fragments", 6).alias("mean_n_fragments"))
+
+
+@query("question_counts", f"{RUNS} SELECT left(question_id, 1) AS grp, count(DISTINCT question_id) AS questions FROM runs GROUP BY 1")
+def _question_counts(spark, d):
+    return evaluate.question_counts(T.runs(spark, d).withColumn("grp", F.substring("question_id", 1, 1)))
+
+
+# Archive checks and text functions
+
+
+@query(
+    "integrity",
+    f"{TREE} SELECT 'orphan_notes' AS problem, count(*) AS rows FROM documents WHERE doc_id NOT IN (SELECT id FROM nodes) UNION ALL SELECT 'orphan_contents', 0 UNION ALL SELECT 'orphan_nodes', count(*) FROM nodes WHERE id NOT IN (SELECT doc_id FROM documents) "
+    "UNION ALL SELECT 'broken_parents', count(*) FROM nodes WHERE parent_id <> -1 AND parent_id NOT IN (SELECT id FROM nodes) UNION ALL SELECT 'wrong_child_counts', count(*) FROM nodes WHERE id IN (SELECT parent_id FROM nodes)",
+)
+def _integrity(spark, d):
+    docs = T.table(spark, d, "documents")
+    nodes = T.nodes(spark, d).withColumn("note_uid", F.col("id")).withColumn("child_count", F.lit(0))
+    return archive.integrity(docs.select(F.col("doc_id").alias("uid")), docs.select(F.col("doc_id").alias("id")), nodes)
+
+
+@query("text_figures", r"SELECT doc_id, CAST(len(list_filter(string_split_regex(text, '\s+'), lambda w: w <> '')) AS BIGINT) AS words, CAST(length(text) - length(replace(text, chr(10), '')) + 1 AS BIGINT) AS lines, CAST(len(regexp_extract_all(text, '={3,}|x{3,}|\n{4,}')) AS BIGINT) AS breaks FROM documents")
+def _text_figures(spark, d):
+    t = F.col("text")
+    return T.table(spark, d, "documents").select("doc_id", C.word_count(t).cast("long").alias("words"), C.line_count(t).cast("long").alias("lines"), S.count_breaks(t).cast("long").alias("breaks"))
+
+
+@query("delphi_dates", "SELECT o_orderkey, CASE WHEN o_orderkey % 40000 > 0 THEN TIMESTAMP '1899-12-30' + INTERVAL (o_orderkey % 40000) DAY + INTERVAL 6 HOUR END AS ts, greatest(date_diff('day', o_orderdate, TIMESTAMP '1998-08-02'), 0) AS age FROM orders")
+def _delphi(spark, d):
+    days = F.when(F.col("o_orderkey") % 40000 > 0, (F.col("o_orderkey") % 40000).cast("double") + 0.25)
+    as_of = F.lit("1998-08-02 00:00:00").cast("timestamp_ntz")
+    return T.table(spark, d, "orders").select("o_orderkey", C.from_delphi(days).alias("ts"), C.age_days(F.col("o_orderdate"), as_of).alias("age"))
+
+
+@query("caption_search", "SELECT page_id, url FROM pages WHERE url ILIKE '%Example.NET/en%'")
+def _caption_search(spark, d):
+    p = T.table(spark, d, "pages").select(F.col("page_id").alias("uid"), F.col("url").alias("caption"))
+    return archive.caption_like(p, "Example.NET/en", limit=1_000_000).select(F.col("uid").alias("page_id"), F.col("caption").alias("url"))
+
+
+@query("highlighted_spans")
+def _highlighted(spark, d):
+    return archive.highlighted_spans(T.notes(spark, d).withColumnRenamed("note_uid", "uid"))
+
+
+@query("internal_format")
+def _internal(spark, d):
+    return T.notes(spark, d).select("note_uid", S.internal_format(F.col("spans")).alias("internal"))
+
+
+@query("render_line")
+def _render(spark, d):
+    return T.notes(spark, d).select("note_uid", S.render(F.col("spans"), ("u", "p", "b"), "line").alias("body"))
+
+
+@query("decode_rtf")
+def _decode(spark, d):
+    """Plain texts written as rich text and read back."""
+    docs = T.table(spark, d, "documents")
+    back = docs.select("doc_id", "text", spans_of_text(rtf_of_text("text")).alias("spans"))
+    return back.select("doc_id", (S.plain_text(F.col("spans")) == F.col("text")).alias("same"))
+
+
+_SQL["decode_rtf"] = "SELECT doc_id, TRUE AS same FROM documents"
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """Weighted dense retrieval (R2) for three query vectors."""
+    return _rounded(hits(spark, sf_dir, "R2_weight_boost"))
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
