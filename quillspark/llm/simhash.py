@@ -165,7 +165,7 @@ def _sorted_words(table: pa.Table, names: list[str]) -> np.ndarray:
 
 def fingerprint_links(prints: DataFrame, names: list[str], radius: int) -> DataFrame:
     """Links between distinct fingerprints within radius, as (names..., names with suffix _to): a
-    forest per group where pairs need no further check.
+    forest for each group of tiles, with the same components as all its links.
 
     prints: distinct rows of the columns in names, checkpointed."""
     n = prints.count()
@@ -214,19 +214,19 @@ def fingerprint_links(prints: DataFrame, names: list[str], radius: int) -> DataF
     )
 
     def meet(table: pa.Table) -> pa.Table:
-        pair, owner = int(table.column("pair")[0].as_py()), table.column("set")
-        low, high = divmod(pair, sets)
+        low, high = divmod(int(table.column("pair")[0].as_py()), sets)
+        owner = table.column("set")
         a = _sorted_words(table.filter(pa.compute.equal(owner, low)), names)
-        found = []
+        b = a[:0] if low == high else _sorted_words(table.filter(pa.compute.equal(owner, high)), names)
+        both, forest = np.concatenate([a, b]), Forest(len(a) + len(b))
         if low == high:
-            found = [(a[x], a[y]) for x, y in tile_links(a, radius)]
-        else:
-            b = _sorted_words(table.filter(pa.compute.equal(owner, high)), names)
-            if len(a) and len(b):
-                found = [(a[x], b[y]) for x, y in tile_links(a, radius, b)]
-        if not found:
-            return as_table(np.zeros((0, len(names)), np.uint64), np.zeros((0, len(names)), np.uint64))
-        return as_table(*(np.concatenate(s) for s in zip(*found, strict=True)))
+            for x, y in tile_links(a, radius):
+                forest.link(x, y)
+        elif len(a) and len(b):
+            for x, y in tile_links(a, radius, b):
+                forest.link(x, y + len(a))
+        x, y = forest.pairs()
+        return as_table(both[x], both[y])
 
     return pairs.groupBy("pair").applyInArrow(meet, ddl)
 
