@@ -11,7 +11,7 @@ from quillspark.functions import columns as C
 from quillspark.functions import spans as S
 from quillspark.functions.constants import SALIENCE_WEIGHTS
 from quillspark.functions.rtf import rtf_of_text, spans_of_text
-from quillspark.operators import archive, evaluate, export, retrieve, stats, tree, units
+from quillspark.operators import archive, evaluate, export, retrieve, service, stats, tree, units
 from quillspark.operators.lexical import bm25, build_index, corpus_size, top_per_query
 from quillspark.plans import standin as T
 from quillspark.plans.regimes import REGIMES, resolve
@@ -389,6 +389,31 @@ def _old_sample(spark, d):
     return export.sample_heaviest_notes(mine, 20).select("note_uid").distinct()
 
 
+@query("export_old_rich")
+def _old_rich(spark, d):
+    return export.preset(T.units(spark, d), "rich").select("unit_id", "tier")
+
+
+@query("export_compact")
+def _compact(spark, d):
+    return export.compact(export.preset(T.units(spark, d), "compact"))
+
+
+@query(
+    "embedded_units",
+    f"{CORPUS} SELECT unit_id, length(text)::DOUBLE AS size, (length(text) - length(replace(text, 'e', '')))::DOUBLE AS es FROM corpus",
+)
+def _embedded(spark, d):
+    units_ = T.corpus(spark, d).withColumn("caption", F.lit(None).cast("string"))
+    out = service.embedded(units_, lambda texts: [[len(t), t.count("e")] for t in texts], 2, context=False)
+    return out.select("unit_id", F.get("vector", F.lit(0)).cast("double").alias("size"), F.get("vector", F.lit(1)).cast("double").alias("es"))
+
+
+@query("copied_context")
+def _copied(spark, d):
+    return service.copied_context(hits(spark, d, "R6_full_metadata"), T.corpus(spark, d))
+
+
 @query("curated_notes", f"SELECT DISTINCT note_uid FROM ({regime_sql(REGIMES['R0_baseline_fts'], 'SELECT c.note_uid FROM result h JOIN corpus c USING (unit_id)')}) UNION SELECT note_uid FROM ({regime_sql(REGIMES['R6_full_metadata'], 'SELECT c.note_uid FROM result h JOIN corpus c USING (unit_id)')})")
 def _curated(spark, d):
     return export.curated_notes(hits(spark, d, "R0_baseline_fts"), hits(spark, d, "R6_full_metadata"))

@@ -30,7 +30,15 @@ NEAR_COLOUR = 10000  # squared RGB distance below which the nearest colour count
 TIERS = (
     (("u", "p"), "purple+pink"), (("b",), "blue"), (("g", "g2"), "green"), (("y",), "yellow"), (("o",), "orange"), (("nb",), "bold (uncoloured)"), (("n",), "uncoloured"),
 )
-BUDGET_PRESETS = {"compact": 24_000, "standard": 110_000, "rich": 470_000, "full": 3_700_000, "max": 0}
+# Budgets in characters offered for exports (0: none), and the older exporter's presets.
+EXPORT_BUDGETS = (24_000, 110_000, 470_000, 3_700_000, 0)
+PRESETS = {
+    "compact": {"codes": ("u", "p"), "budget": 0, "green_percent": 100},
+    "standard": {"codes": ("u", "p", "b"), "budget": 180_000, "green_percent": 100},
+    "rich": {"codes": ("u", "p", "b", "g"), "budget": 400_000, "green_percent": 50},
+    "full": {"codes": ("u", "p", "b", "g"), "budget": 600_000, "green_percent": 100, "split": 180_000},
+    "max": {"codes": ("u", "p", "b", "g"), "budget": 0, "green_percent": 100},
+}
 
 # Two-sided 5 % points of Student's t by degrees of freedom; 1.96 beyond the last.
 T_POINTS = {1: 12.71, 2: 4.30, 3: 3.18, 4: 2.78, 5: 2.57, 6: 2.45, 7: 2.36, 8: 2.31, 9: 2.26, 10: 2.23, 12: 2.18, 15: 2.13, 20: 2.09, 25: 2.06, 30: 2.04, 40: 2.02, 60: 2.00}

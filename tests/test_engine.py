@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from quillspark.functions import columns as C
 from quillspark.functions import spans as S
 from quillspark.functions.rtf import colour_table, inflate, nearest_code, rtf_spans, spans_of_blob, to_rtf
-from quillspark.operators import archive, evaluate, export, lexical, retrieve, stats, tree, units
+from quillspark.operators import archive, evaluate, export, lexical, retrieve, service, stats, tree, units
 from quillspark.plans.regimes import REGIMES, estimated_tokens, resolve, top_k_for_context
 from quillspark.sources import results, storage
 
@@ -383,3 +383,46 @@ def test_small_columns(spark):
     out = df.select(C.normalise(F.col("t")).alias("n"), C.word_count(F.col("t")).alias("w"), C.line_count(F.col("t")).alias("l"), C.tag(F.col("c"), F.lit(True)).alias("g")).collect()
     assert [tuple(r) for r in out] == [("a b", 2, 1, "[PNK*]"), ("", 0, 0, "")]
     assert stats.build_counters(spark, x=df).first().rows == 2
+
+
+def small_archive(spark):
+    rows = [(k, k // 3, f"alpha text number {k} of the corpus", "u" if k % 4 == 0 else None, k % 2 == 0, 5.5 if k % 4 == 0 else 0.0, None, "a > b", [1.0, float(k % 5), 0.0]) for k in range(30)]
+    corpus = spark.createDataFrame(rows, "unit_id long, note_uid long, text string, color string, is_bold boolean, effective_weight double, section_color string, tree_path string, vector_plain array<float>")
+    corpus = corpus.select("*", F.col("vector_plain").alias("vector_context"), F.lit("cap").alias("caption"), F.col("unit_id").cast("int").alias("line_index"), F.lit("2024-01-01 00:00:00").cast("timestamp_ntz").alias("date_created"), F.lit(1).alias("page_id"), F.lit("content").alias("source_type"), *(F.lit(False).alias(c) for c in ("is_trivial", "is_separator", "is_duplicate")))
+    return service.Archive(corpus, embed=lambda texts: [[1.0, 2.0, 0.5] for _ in texts])
+
+
+def test_service(spark, tmp_path):
+    a = small_archive(spark)
+    seen = []
+    out = a.answer("alpha corpus", "R6_full_metadata", lambda m: seen.append(m) or "said", window_tokens=4000)
+    assert out["answer"] == "said" and out["n_fragments"] > 0 and "[1] [PUR" in seen[0][1]["content"] and "[PUR] weight 5" in seen[0][0]["content"]
+    assert a.answer("zz", "R0_baseline_fts", lambda m: "no")["answer"] == service.NOTHING
+    with pytest.raises(ValueError):
+        service.Archive(a.corpus).search("alpha", "R1_baseline_vector")
+    same = {(r.regime_a, r.regime_b): r.jaccard for r in a.compare_regimes("alpha", ("R2_weight_boost", "R5_prompt_meta")).collect()}
+    assert set(same.values()) == {1.0}
+    runs, errors = a.run_grid({"q1": "alpha", "q2": "corpus"}, ("R0_baseline_fts", "missing"))
+    assert runs.select("question_id", "regime").distinct().count() == 2 and len(errors) == 2
+    assert a.curate("alpha", codes=("u",), budget=5000)["unit_count"] > 0
+    notes = spark.createDataFrame([(0,)], "note_uid long")
+    assert a.summarise(notes, ("u",), lambda m: "sum")["summary"] == "sum"
+    assert a.summarise(spark.createDataFrame([(999,)], "note_uid long"), ("u",), lambda m: "sum")["unit_count"] == 0
+    path = str(tmp_path / "vectors")
+    assert service.embed_missing(a.corpus, path, lambda t: [[1.0, 2.0]] * len(t), 2, True, sample=4).count() == 4
+    assert service.embed_missing(a.corpus, path, lambda t: [[1.0, 2.0]] * len(t), 2, True).count() == 26
+    context = service.copied_context(a.search("alpha", "R7_long_context"), a.corpus).first().context
+    assert context.startswith("[U*] (a > b)\nalpha text")
+
+
+def test_old_export_texts(spark):
+    u = export_units(spark).withColumn("tier", F.lit(0))
+    blocks = {r.note_uid: (r.branch, r.block) for r in export.compact(u).collect()}
+    assert blocks[1] == ("x", "\n  [1] y\n  # A\n    [PUR*] purple line that is long enough\n    [?*] bold line without any colour")
+    assert blocks[3] == ("x", "\n  [3] z\n  # plain line without any colour")
+    text = export.compact_text(export.compact(u), "# head")
+    assert text.startswith("# head\n\n== x ==\n\n  [1] y")
+    long = "# head\n" + "".join(f"\n== b{k} ==" + "x" * 150 for k in range(4))
+    chunks = export.split_at_branches(long, 400)
+    assert len(chunks) > 1 and all(c.startswith("# head") for c in chunks) and sum(c.count("== b") for c in chunks) == 4
+    assert export.preset(export_units(spark), "compact").count() == 1
