@@ -28,18 +28,17 @@ def code_of(k: Column) -> Column:
 
 def notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    lines = F.split(F.coalesce("text", F.lit("")), "\n", -1)
-    n = F.size(lines)
+    lines = F.split(F.coalesce("text", F.lit("")), r"(?<=\n)", -1)  # each line keeps its newline
 
     def span(t: Column, i: Column) -> Column:
         color = code_of((F.col("doc_id") * 7 + i * 3) % 16)
         bold = (F.col("doc_id") + i) % 5 == 0
-        return F.struct(F.when(i < n - 1, F.concat(t, F.lit("\n"))).otherwise(t).alias("text"), color.alias("highlight"), bold.alias("bold"), F.lit(False).alias("italic"))
+        return F.struct(t.alias("text"), color.alias("highlight"), bold.alias("bold"), F.lit(False).alias("italic"))
 
     return docs.select(
         F.col("doc_id").alias("note_uid"),
         F.expr("cast(substr(source, 4) as int)").alias("page_id"),
-        F.substring(F.get(lines, F.lit(0)), 1, 60).alias("caption"),
+        F.substring(F.substring_index(F.coalesce("text", F.lit("")), "\n", 1), 1, 60).alias("caption"),
         code_of((F.col("doc_id") * 5) % 16).alias("node_color"),
         F.concat_ws(" > ", "source", "lang").alias("tree_path"),
         F.timestamp_add("DAY", F.col("doc_id") % 1000, F.lit("2020-01-01 00:00:00").cast("timestamp_ntz")).alias("date_created"),
