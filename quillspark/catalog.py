@@ -15,7 +15,7 @@ from quillspark.operators import archive, evaluate, export, retrieve, service, s
 from quillspark.operators.lexical import bm25, build_index, corpus_size, top_per_query
 from quillspark.plans import standin as T
 from quillspark.plans.regimes import REGIMES, resolve
-from quillspark.plans.sql import CORPUS, RUNS, TIER_SQL, TREE, UNITS, regime_sql
+from quillspark.plans.sql import COPIED, CORPUS, PROMPT, RUNS, TIER_SQL, TREE, UNITS, regime_sql
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -321,7 +321,7 @@ def _metrics(spark, d):
     return out.select("query_id", "n_fragments", "n_expanded", "max_weight", "n_notes", "context_chars")
 
 
-@query("prompt_context")
+@query("prompt_context", regime_sql(REGIMES["R6_full_metadata"], PROMPT))
 def _context(spark, d):
     regime = resolve("R6_full_metadata")
     c = T.corpus(spark, d)
@@ -409,7 +409,7 @@ def _embedded(spark, d):
     return out.select("unit_id", F.get("vector", F.lit(0)).cast("double").alias("size"), F.get("vector", F.lit(1)).cast("double").alias("es"))
 
 
-@query("copied_context")
+@query("copied_context", regime_sql(REGIMES["R6_full_metadata"], COPIED))
 def _copied(spark, d):
     return service.copied_context(hits(spark, d, "R6_full_metadata"), T.corpus(spark, d))
 
@@ -533,12 +533,22 @@ def _caption_search(spark, d):
     return archive.caption_like(p, "Example.NET/en", limit=1_000_000).select(F.col("uid").alias("page_id"), F.col("caption").alias("url"))
 
 
-@query("highlighted_spans")
+@query("highlighted_spans", f"{UNITS} SELECT note_uid AS uid, line_index AS place, color, is_bold AS bold, strip AS text FROM lines WHERE color IN ('g', 'b', 'p', 'u') AND length(strip) >= 3 AND note_uid IN (SELECT note_uid FROM notes ORDER BY note_uid LIMIT 500)")
 def _highlighted(spark, d):
-    return archive.highlighted_spans(T.notes(spark, d).withColumnRenamed("note_uid", "uid"))
+    found = archive.highlighted_spans(T.notes(spark, d).withColumnRenamed("note_uid", "uid"))
+    return found.select("uid", F.col("place").cast("long").alias("place"), "color", "bold", "text")
 
 
-@query("internal_format")
+_ENCODED = "raw || CASE WHEN line_index < max(line_index) OVER (PARTITION BY note_uid) THEN chr(10) ELSE '' END"
+for _pattern, _token in (("={10,}", "[BR3]"), ("={3,9}", "[BR2]"), ("x{3,}", "[BR2]")):
+    _ENCODED = f"regexp_replace({_ENCODED}, '{_pattern}', chr(10) || '{_token}' || chr(10), 'g')"
+INTERNAL = f"""{UNITS}, e AS (SELECT *, {_ENCODED} AS enc FROM lines),
+t AS (SELECT note_uid, line_index, CASE WHEN regexp_full_match(enc, '[\\s\\x{{00A0}}]*') THEN CASE WHEN color IS NOT NULL AND is_bold THEN '[' || color || ']' || enc || '[/' || color || ']' ELSE enc END
+ ELSE coalesce('[' || color || ']', '') || CASE WHEN is_bold THEN '[B]' ELSE '' END || enc || CASE WHEN is_bold THEN '[/B]' ELSE '' END || coalesce('[/' || color || ']', '') END AS shown FROM e)
+SELECT note_uid, string_agg(shown, '' ORDER BY line_index) AS internal FROM t GROUP BY note_uid"""
+
+
+@query("internal_format", INTERNAL)
 def _internal(spark, d):
     return T.notes(spark, d).select("note_uid", S.internal_format(F.col("spans")).alias("internal"))
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from quillspark.functions.columns import _ACCENTED, _PLAIN
-from quillspark.functions.constants import RANK_WEIGHTS
+from quillspark.functions.constants import RANK_WEIGHTS, TAGS
 from quillspark.plans.regimes import Regime
 
 CODE = "['u','p','b','g','g2','y','o'][({k}) % 16 + 1]"
@@ -33,6 +33,13 @@ RUNS = """WITH scores AS (SELECT user_id::VARCHAR AS question_id, event_type AS
 runs AS (SELECT event_id AS run_id, user_id::VARCHAR AS question_id, event_type AS regime FROM events),
 ratings AS (SELECT event_id AS run_id, round(value, 2) AS overall, CASE WHEN event_id % 4 <> 0 THEN event_id % 101 END AS correctness, event_id % 2 = 0 AS blind FROM events WHERE event_id % 3 <> 0)"""
 
+COPIED = """SELECT h.query_id, string_agg(CASE WHEN c.color IS NULL THEN c.text ELSE '[' || upper(c.color) || CASE WHEN c.is_bold THEN '*' ELSE '' END || '] (' || c.tree_path || ')' || chr(10) || c.text END,
+ chr(10) || chr(10) ORDER BY h.rank) AS context FROM result h JOIN corpus c USING (unit_id) GROUP BY h.query_id"""
+_TAG = "CASE c.color " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in TAGS.items()) + " END"
+PROMPT = f"""SELECT query_id, string_agg(shown, chr(10) || chr(10) ORDER BY rank) AS context FROM (SELECT *, sum(length(shown) + 2) OVER (PARTITION BY query_id ORDER BY rank) - 2 + 2000 AS chars FROM
+ (SELECT h.query_id, h.rank, '[' || h.rank || ']' || coalesce(' [' || {_TAG} || CASE WHEN c.is_bold THEN '*' ELSE '' END || ']', '') || ' (' || c.tree_path || ')' || chr(10) || c.text AS shown FROM result h JOIN corpus c USING (unit_id)))
+ WHERE chars / 4 <= 2296 GROUP BY query_id"""
+
 _LABEL = "length(text) < 15 AND NOT regexp_matches(text, '[.!?\"]')"
 TIER_SQL = f"""{UNITS}, good AS (SELECT * FROM units WHERE NOT is_trivial AND NOT is_separator AND NOT is_duplicate AND length(trim(text)) > 12 AND length(text) >= 15 AND NOT ({_LABEL})),
 tiers AS (SELECT *, CASE WHEN color IN ('u', 'p') THEN 0 WHEN color = 'b' THEN 1 WHEN color IN ('g', 'g2') THEN 2 WHEN color IS NULL AND is_bold THEN 5 END AS tier FROM good WHERE color IN ('u', 'p', 'b', 'g', 'g2') OR (color IS NULL AND is_bold))"""
@@ -40,7 +47,7 @@ tiers AS (SELECT *, CASE WHEN color IN ('u', 'p') THEN 0 WHEN color = 'b' THEN 1
 _TOKENS = rf"list_filter(string_split_regex(translate(lower({{x}}), '{_ACCENTED}', '{_PLAIN}'), '[^\p{{{{L}}}}\p{{{{N}}}}]+'), lambda w: w <> '')"
 CORPUS = rf"""WITH corpus AS (SELECT vec_id AS unit_id, vec_id // 10 AS note_uid, left(text, 400) AS text, {CODE.format(k='vec_id * 7')} AS color, vec_id % 5 = 0 AS is_bold,
  {WEIGHT.format(c=CODE.format(k='vec_id * 7'))} + CASE WHEN {CODE.format(k='vec_id * 7')} IS NOT NULL AND vec_id % 5 = 0 THEN 0.5 ELSE 0 END AS effective_weight,
- {WEIGHT.format(c=CODE.format(k='label % 7'))} AS section_weight, embedding::DOUBLE[] AS vector FROM embeddings JOIN documents ON vec_id = doc_id),
+ {WEIGHT.format(c=CODE.format(k='label % 7'))} AS section_weight, embedding::DOUBLE[] AS vector, source || ' > ' || lang AS tree_path FROM embeddings JOIN documents ON vec_id = doc_id),
 words AS (SELECT unit_id, unnest({_TOKENS.format(x='text')}) AS term FROM corpus),
 lengths AS (SELECT unit_id, len({_TOKENS.format(x='text')}) AS length FROM corpus),
 size AS (SELECT count(*) AS n, avg(length) AS average FROM lengths),
