@@ -31,7 +31,8 @@ from quillspark.llm._util import checkpointed, chunks, rows, text_view
 
 CAPACITY = 4096
 END_ID = 1
-CACHE_WORDS = 800_000
+CACHE_WORDS = 300_000
+CHUNK_BYTES = 1 << 20
 
 _PIECES = pa.schema(
     [("id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("ids", pa.list_(pa.int32()))]
@@ -98,9 +99,9 @@ class WordTokens:
         first, alone = len(self.known) - len(words), np.flatnonzero(units == 0).tolist()
         plain = np.flatnonzero(units)
         blocks = [plain[i : i + 200] for i in range(0, len(plain), 200)]
-        found = self._encode([" ".join(c if u == 1 else f"{c} {t[len(c):]}" for c, t, u in zip(*([x[k] for k in b.tolist()] for x in (cores, texts, units)), strict=True)) for b in blocks])
-        for block, ids in zip(blocks, found, strict=True):
-            array = np.array(ids, np.int64)
+        for block in blocks:
+            lined = (cores[k] if units[k] == 1 else f"{cores[k]} {texts[k][len(cores[k]) :]}" for k in block.tolist())
+            array = np.array(self.tokenizer.encode(" ".join(lined), add_special_tokens=False).ids, np.int64)
             ends = np.flatnonzero(self.closes[array]) + 1
             upto = np.cumsum(units[block])
             if len(ends) == upto[-1] and ends[-1] == len(array):
@@ -150,7 +151,7 @@ def token_pieces(df: DataFrame, id_col: str, text_col: str, tokenizer: str, capa
         for batch in batches:
             data, offsets = text_view(batch.column(1))
             keys = batch.column(0)
-            for i, j in chunks(offsets):
+            for i, j in chunks(offsets, CHUNK_BYTES):
                 raw = data[offsets[i] : offsets[j]].tobytes()
                 offs = (offsets[i : j + 1] - offsets[i]).tolist()
                 flat, bounds = tokens.ids([raw[a:b] for a, b in zip(offs[:-1], offs[1:], strict=True)])
