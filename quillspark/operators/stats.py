@@ -86,14 +86,13 @@ def corpus_stats(units: DataFrame) -> DataFrame:
 def colour_stats(units: DataFrame) -> DataFrame:
     """Units and characters of each colour, and of nb and n; colours without rows stay, with zeros."""
     spark = units.sparkSession
-    size = F.length("text")
-    real = units.where(F.col("color").isNotNull()).groupBy(F.col("color").alias("code")).agg(F.count("*").alias("units"), F.sum(size).alias("chars"))
-    none = units.where(F.col("color").isNull())
-    bold = none.where("is_bold").agg(F.lit("nb").alias("code"), F.count("*").alias("units"), F.sum(size).alias("chars"))
-    any_ = none.agg(F.lit("n").alias("code"), F.count("*").alias("units"), F.sum(size).alias("chars"))
+    sums = units.groupBy("color", "is_bold").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("c"))
+    virtual = F.when(F.col("is_bold"), F.array(F.lit("n"), F.lit("nb"))).otherwise(F.array(F.lit("n")))
+    codes_of = F.when(F.col("color").isNotNull(), F.array("color")).otherwise(virtual)
+    counted = sums.select(F.explode(codes_of).alias("code"), "n", "c").groupBy("code").agg(F.sum("n").alias("units"), F.sum("c").alias("chars"))
     names = [(c, COLOUR_NAMES[c], RANK_WEIGHTS[c]) for c in COLOUR_CODES] + [("nb", "bold (uncoloured)", 0.0), ("n", "uncoloured", 0.0)]
     codes = spark.createDataFrame(names, "code string, name string, weight double")
-    return codes.join(real.unionByName(bold).unionByName(any_), "code", "left").fillna(0, ["units", "chars"])
+    return codes.join(counted, "code", "left").fillna(0, ["units", "chars"])
 
 
 def old_colour_stats(units: DataFrame) -> DataFrame:
