@@ -59,7 +59,7 @@ EDGE = [
     (4, "alpha beta gamma " * 30, "x", None, 1),
     (5, "word", "y", "t", 4),
     (6, "long " * 60_000 + "x" * 70_000, "y", "t", 1),
-    (7, "a@b.c +1 (234) 567-8901 1.2.3.4 4111 1111 1111 1111", "x", "t", 1),
+    (7, "a@b.c tel +1 (234) 567-8901; 1.2.3.4, card 4111 1111 1111 1111", "x", "t", 1),
     (8, "=" * 5000, "y", "t", 1),
     (9, "ünï\u00a0cödé \U0001f600 tail", "y", "t", 1),
 ]
