@@ -18,28 +18,34 @@ from quillspark.llm.quality import keep_good
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 9: documents that the quality rules reject go."""
+    """Operator 9: documents that the quality rules reject go. Null, empty and short texts (under 50
+    words) are rejected; null ids and other nulls, repeated rows and extra columns do not matter."""
     return keep_good(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 6: one document of each SimHash group stays, the one with the least id."""
+    """Operator 6: one document of each SimHash group stays, the one with the least id. Null and empty
+    texts are equal; other texts without a word have no near duplicates. Of repeated rows one stays. A row with a null id stays only if no row of its
+    group has an id. Extra columns come along."""
     return drop_near_duplicates(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 7: documents that contain a benchmark item go."""
+    """Operator 7: documents that contain a benchmark item go. Null and empty texts and items never
+    match; repeated rows and rows with null ids are each judged."""
     return drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def privacy(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 2: personal data and the terms that disclose it are masked; n_chars follows."""
+    """Operator 2: personal data and the terms that disclose it are masked; n_chars follows. Every row
+    stays; a null text stays null, with a null n_chars."""
     clean = sanitise(docs)
     return clean.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 1: all that is left, tokenised and packed into sequences."""
+    """Operator 1: all that is left, tokenised and packed into sequences. A null or empty text is its
+    closing id alone; null ids and repeated rows are packed like any row."""
     return pack_documents(docs)
 
 
