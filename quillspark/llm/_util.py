@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 CHUNK_BYTES = 2 << 20
 CHUNK_ROWS = 60_000
+BATCH_BYTES = 8 << 20
 U64 = np.uint64
 
 # ASCII white space is U+0020 and U+0009 to U+000D.
@@ -56,6 +57,11 @@ def scratch_table(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Hand texts to Python in Arrow batches of at most BATCH_BYTES (a longer text stands alone)."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 def text_view(col: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of a string column and its row offsets; null is the empty text."""
     if isinstance(col, pa.ChunkedArray):
@@ -213,4 +219,5 @@ def batch_of(schema: pa.Schema, **columns) -> pa.RecordBatch:
 
 def rows(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Just the two columns that an operator reads, under names nothing else can clash with."""
+    bounded_batches(df.sparkSession)
     return df.select(F.col(f"`{id_col}`").cast("long").alias("__id"), F.col(f"`{text_col}`").cast("string").alias("__text"))

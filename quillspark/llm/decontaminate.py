@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm._util import chunks, cut_words, ngram_hashes, rows, text_view, word_hashes
+from quillspark.llm._util import bounded_batches, chunks, cut_words, ngram_hashes, rows, text_view, word_hashes
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -142,6 +142,7 @@ def find_contamination(
 
 def drop_contaminated(df: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", size: int = SHINGLE, threshold: float = THRESHOLD, slice_bytes: int = SLICE_BYTES) -> DataFrame:
     """The rows of df, all columns, that contain no benchmark item. Narrow: nothing is shuffled."""
+    bounded_batches(df.sparkSession)
     at = df.columns.index(text_col)
     for sketches in benchmark_slices(benchmark, item_col, item_text_col, size, threshold, slice_bytes):
 

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quillspark.llm._util import chunks, text_view
+from quillspark.llm._util import bounded_batches, chunks, text_view
 
 ORDERS = (2, 3)
 BUCKETS = 8192
@@ -136,6 +136,7 @@ def held_out(id_column: str) -> F.Column:
 
 def learn(df: DataFrame, id_col: str, text_col: str, lang_col: str, per_language: int = PER_LANGUAGE, max_languages: int = MAX_LANGUAGES) -> Model:
     """Fit on a bounded sample of the labelled rows that are not held out."""
+    bounded_batches(df.sparkSession)
     known = df.select(F.col(f"`{id_col}`").alias("__id"), F.col(f"`{text_col}`").alias("__text"), F.col(f"`{lang_col}`").cast("string").alias("__lang"))
     known = known.where("__id is not null and __lang is not null and __text is not null").where(~held_out("__id"))
     counts = known.groupBy("__lang").count().orderBy(F.desc("count"), "__lang").limit(max_languages).collect()
@@ -164,6 +165,7 @@ def learn(df: DataFrame, id_col: str, text_col: str, lang_col: str, per_language
 
 def identify(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id_col, held_out, lang_pred, score, ambiguous) for each row; reads only id and text."""
+    bounded_batches(df.sparkSession)
     schema = pa.schema([("id", pa.int64()), ("lang_pred", pa.string()), ("score", pa.float64()), ("ambiguous", pa.bool_())])
     docs = df.select(F.col(f"`{id_col}`").cast("long").alias("__id"), F.col(f"`{text_col}`").cast("string").alias("__text"))
 

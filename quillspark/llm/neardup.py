@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm._util import checkpointed, chunks, mix, shuffle_partitions, text_view
+from quillspark.llm._util import bounded_batches, checkpointed, chunks, mix, shuffle_partitions, text_view
 from quillspark.llm.components import connected_components
 from quillspark.llm.simhash import Forest, fingerprint, fingerprint_links, shingle_hashes, tile_links
 
@@ -41,6 +41,7 @@ def text_key(text_col: str) -> Column:
 def near_duplicate_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, similarity: float = SIMILARITY, radius: int = RADIUS, seeds: tuple[int, ...] = SEEDS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(key, id, group): one row per distinct text (by digest) with the least id of the text and the
     least text digest of its near-duplicate group. Texts without a word are groups of their own."""
+    bounded_batches(df.sparkSession)
     schema = pa.schema([("id", pa.int64()), ("key", pa.string()), ("n", pa.int64()), *((f"f{k}", pa.int64()) for k in range(len(seeds)))])
     names = [f"f{k}" for k in range(len(seeds))]
     docs = df.select(F.col(f"`{id_col}`").cast("long").alias("id"), text_key(text_col).alias("key"), F.col(f"`{text_col}`").cast("string").alias("text"))

@@ -205,19 +205,25 @@ def fingerprint_links(prints: DataFrame, names: list[str], radius: int) -> DataF
 
         return keyed.groupBy("part").applyInArrow(compare, ddl)
 
-    # All tiles meet all tiles: each set of rows is sent once to every pair of sets it is part of.
-    sets = max(1, min(64, -(-n // 16384)))
+    # All tiles meet all tiles. Sets of fingerprints travel as packed rows, one to every pair of sets it is
+    # part of; the number of tasks is given, as these small shuffles are much work each.
+    sets = max(1, min(64, max(-(-n // 16384), min(12, -(-n // 1024)))))
     mine = F.pmod(F.xxhash64(*names), F.lit(sets)).cast("int")
-    dealt = prints.select(*names, mine.alias("set"))
-    pairs = dealt.select(
-        *names, "set", F.explode(F.transform(F.sequence(F.lit(0), F.lit(sets - 1)), lambda o: F.least(o, F.col("set")) * sets + F.greatest(o, F.col("set")))).alias("pair")
-    )
+    blob = pa.schema([("set", pa.int32()), ("words", pa.binary())])
+
+    def pack(table: pa.Table) -> pa.Table:
+        words = np.ascontiguousarray(_sorted_words(table, names))
+        return pa.Table.from_arrays([table.column("set").combine_chunks().slice(0, 1).cast(pa.int32()), pa.array([words.tobytes()], pa.binary())], schema=blob)
+
+    packed = prints.select(*names, mine.alias("set")).groupBy("set").applyInArrow(pack, "set int, words binary")
+    pairs = packed.select("set", "words", F.explode(F.transform(F.sequence(F.lit(0), F.lit(sets - 1)), lambda o: F.least(o, F.col("set")) * sets + F.greatest(o, F.col("set")))).alias("pair"))
+    tasks = min(sets * (sets + 1) // 2, 4 * shuffle_partitions(prints.sparkSession))
 
     def meet(table: pa.Table) -> pa.Table:
         low, high = divmod(int(table.column("pair")[0].as_py()), sets)
-        owner = table.column("set")
-        a = _sorted_words(table.filter(pa.compute.equal(owner, low)), names)
-        b = a[:0] if low == high else _sorted_words(table.filter(pa.compute.equal(owner, high)), names)
+        held = {s: np.frombuffer(w, np.uint64).reshape(-1, len(names)) for s, w in zip(table.column("set").to_pylist(), table.column("words").to_pylist(), strict=True)}
+        none = np.zeros((0, len(names)), np.uint64)
+        a, b = held.get(low, none), none if low == high else held.get(high, none)
         both, forest = np.concatenate([a, b]), Forest(len(a) + len(b))
         if low == high:
             for x, y in tile_links(a, radius):
@@ -228,7 +234,7 @@ def fingerprint_links(prints: DataFrame, names: list[str], radius: int) -> DataF
         x, y = forest.pairs()
         return as_table(both[x], both[y])
 
-    return pairs.groupBy("pair").applyInArrow(meet, ddl)
+    return pairs.repartition(tasks, "pair").groupBy("pair").applyInArrow(meet, ddl)
 
 
 def simhash_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, radius: int = RADIUS, seed: int = SEED) -> DataFrame:
