@@ -31,7 +31,7 @@ from quillspark.llm._util import checkpointed, chunks, rows, text_view
 
 CAPACITY = 4096
 END_ID = 1
-CACHE_WORDS = 300_000
+CACHE_WORDS = 400_000
 CHUNK_BYTES = 1 << 20
 
 _PIECES = pa.schema(
@@ -92,6 +92,15 @@ class WordTokens:
         self.flat[self.used : self.used + len(ids)] = ids
         self.used += len(ids)
 
+    def _place(self, first: int, block: np.ndarray, units: np.ndarray, ids: np.ndarray, alone: list[int]) -> None:
+        """Store the ids of a block of words, cut where their units end."""
+        ends, upto = np.flatnonzero(self.closes[ids]) + 1, np.cumsum(units[block])
+        if len(ends) == upto[-1] and ends[-1] == len(ids):
+            ends = ends[upto - 1]
+            self._store(first + block, ids, np.diff(ends, prepend=0))
+        else:  # a letter that the tokenizer takes apart
+            alone += block.tolist()
+
     def _learn(self, words: list[bytes]) -> None:
         texts = b" ".join(words).decode().split(" ")
         cores = [t.rstrip(self.PUNCTUATION) for t in texts]
@@ -99,16 +108,11 @@ class WordTokens:
         first, alone = len(self.known) - len(words), np.flatnonzero(units == 0).tolist()
         plain = np.flatnonzero(units)
         blocks = [plain[i : i + 200] for i in range(0, len(plain), 200)]
-        for block in blocks:
-            lined = (cores[k] if units[k] == 1 else f"{cores[k]} {texts[k][len(cores[k]) :]}" for k in block.tolist())
-            array = np.array(self.tokenizer.encode(" ".join(lined), add_special_tokens=False).ids, np.int64)
-            ends = np.flatnonzero(self.closes[array]) + 1
-            upto = np.cumsum(units[block])
-            if len(ends) == upto[-1] and ends[-1] == len(array):
-                ends = ends[upto - 1]
-                self._store(first + block, array, np.diff(ends, prepend=0))
-            else:  # a letter that the tokenizer takes apart
-                alone += block.tolist()
+        for at in range(0, len(blocks), 16):
+            group = blocks[at : at + 16]
+            lined = [" ".join(cores[k] if units[k] == 1 else f"{cores[k]} {texts[k][len(cores[k]) :]}" for k in block.tolist()) for block in group]
+            for block, ids in zip(group, self._encode(lined), strict=True):
+                self._place(first, block, units, np.array(ids, np.int64), alone)
         if alone:
             found = self._encode([texts[k] for k in alone])
             sizes = np.fromiter(map(len, found), np.int64, len(found))
