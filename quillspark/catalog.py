@@ -282,10 +282,35 @@ def _nested(spark, d):
 # Retrieval
 
 
-def hits(spark: SparkSession, d: str, key: str) -> DataFrame:
+#: The registered SQL of these queries (plans/sql.py) reads this many characters of a text; each has a
+#: twin named whole_... without the cut.
+CHARS = 400
+
+
+def whole_sql(sql: str) -> str:
+    """The twin's SQL: a retrieval query's SQL over whole texts."""
+    return sql.replace("left(text, 400) AS text", "text")
+
+
+def retrieval(name: str, sql: str) -> Callable[[Callable[[SparkSession, str, bool], DataFrame]], Callable]:
+    """Registers f(spark, d, whole) as `name`, as its SQL has it, and as whole_`name`."""
+
+    def add(f):
+        query(name, sql)(lambda spark, d: f(spark, d, False))
+        query(f"whole_{name}", whole_sql(sql))(lambda spark, d: f(spark, d, True))
+        return f
+
+    return add
+
+
+def units_of(spark: SparkSession, d: str, whole: bool) -> DataFrame:
+    return T.corpus(spark, d, None if whole else CHARS)
+
+
+def hits(spark: SparkSession, d: str, key: str, whole: bool = True) -> DataFrame:
     regime = resolve(key)
     turned = regime.embed == "context"
-    return retrieve.retrieve(T.corpus(spark, d), regime, T.questions(spark, d), T.query_vectors(spark, d, turned=turned))
+    return retrieve.retrieve(units_of(spark, d, whole), regime, T.questions(spark, d), T.query_vectors(spark, d, turned=turned))
 
 
 def _rounded(df: DataFrame) -> DataFrame:
@@ -294,45 +319,45 @@ def _rounded(df: DataFrame) -> DataFrame:
 
 for _key in REGIMES:
 
-    def _regime(spark, d, key=_key):
-        return _rounded(hits(spark, d, key))
+    def _regime(spark, d, whole, key=_key):
+        return _rounded(hits(spark, d, key, whole))
 
-    query(f"regime_{_key}", regime_sql(REGIMES[_key]))(_regime)
+    retrieval(f"regime_{_key}", regime_sql(REGIMES[_key]))(_regime)
 
 
-@query("bm25_scores", f"{CORPUS}, r AS (SELECT query_id, unit_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, unit_id) AS rank FROM bm25) SELECT query_id, unit_id, rank, round(score, 6) AS score FROM r WHERE rank <= 50")
-def _bm25(spark, d):
-    c = T.corpus(spark, d)
+@retrieval("bm25_scores", f"{CORPUS}, r AS (SELECT query_id, unit_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, unit_id) AS rank FROM bm25) SELECT query_id, unit_id, rank, round(score, 6) AS score FROM r WHERE rank <= 50")
+def _bm25(spark, d, whole):
+    c = units_of(spark, d, whole)
     top = top_per_query(bm25(build_index(c), corpus_size(c), T.questions(spark, d)), 50)
     return top.select("query_id", "unit_id", F.col("rank").cast("long").alias("rank"), F.round("score", 6).alias("score"))
 
 
-@query("postings", f"{CORPUS} SELECT term, count(DISTINCT unit_id) AS units, count(*) AS places FROM words GROUP BY term")
-def _postings(spark, d):
-    return build_index(T.corpus(spark, d)).groupBy("term").agg(F.count("*").alias("units"), F.sum(F.size("places")).alias("places"))
+@retrieval("postings", f"{CORPUS} SELECT term, count(DISTINCT unit_id) AS units, count(*) AS places FROM words GROUP BY term")
+def _postings(spark, d, whole):
+    return build_index(units_of(spark, d, whole)).groupBy("term").agg(F.count("*").alias("units"), F.sum(F.size("places")).alias("places"))
 
 
-@query(
+@retrieval(
     "fragment_metrics",
     f"SELECT * FROM ({regime_sql(REGIMES['R6_full_metadata'], 'SELECT h.query_id, count(*) AS n_fragments, count(*) FILTER (h.source = ' + chr(39) + 'expanded' + chr(39) + ') AS n_expanded, max(c.effective_weight) AS max_weight, count(DISTINCT c.note_uid) AS n_notes, sum(length(c.text))::BIGINT AS context_chars FROM result h JOIN corpus c USING (unit_id) GROUP BY h.query_id')})",
 )
-def _metrics(spark, d):
-    out = retrieve.metrics(hits(spark, d, "R6_full_metadata"), T.corpus(spark, d))
+def _metrics(spark, d, whole):
+    out = retrieve.metrics(hits(spark, d, "R6_full_metadata", whole), units_of(spark, d, whole))
     return out.select("query_id", "n_fragments", "n_expanded", "max_weight", "n_notes", "context_chars")
 
 
-@query("prompt_context", regime_sql(REGIMES["R6_full_metadata"], PROMPT))
-def _context(spark, d):
+@retrieval("prompt_context", regime_sql(REGIMES["R6_full_metadata"], PROMPT))
+def _context(spark, d, whole):
     regime = resolve("R6_full_metadata")
-    c = T.corpus(spark, d)
-    fitted = retrieve.fit(hits(spark, d, regime.key), c, regime, window_tokens=4096, fixed_chars=2000)
+    c = units_of(spark, d, whole)
+    fitted = retrieve.fit(hits(spark, d, regime.key, whole), c, regime, window_tokens=4096, fixed_chars=2000)
     return retrieve.context(fitted)
 
 
-@query("regime_overrides", regime_sql(resolve("R2_weight_boost", {"top_k": 5, "min_weight": 2.0})))
-def _overrides(spark, d):
+@retrieval("regime_overrides", regime_sql(resolve("R2_weight_boost", {"top_k": 5, "min_weight": 2.0})))
+def _overrides(spark, d, whole):
     regime = resolve("R2_weight_boost", {"top_k": 5, "min_weight": 2.0, "retriever": "none"})
-    return _rounded(retrieve.retrieve(T.corpus(spark, d), regime, T.questions(spark, d), T.query_vectors(spark, d)))
+    return _rounded(retrieve.retrieve(units_of(spark, d, whole), regime, T.questions(spark, d), T.query_vectors(spark, d)))
 
 
 # Export
@@ -399,24 +424,24 @@ def _compact(spark, d):
     return export.compact(export.preset(T.units(spark, d), "compact"))
 
 
-@query(
+@retrieval(
     "embedded_units",
     f"{CORPUS} SELECT unit_id, length(text)::DOUBLE AS size, (length(text) - length(replace(text, 'e', '')))::DOUBLE AS es FROM corpus",
 )
-def _embedded(spark, d):
-    units_ = T.corpus(spark, d).withColumn("caption", F.lit(None).cast("string"))
+def _embedded(spark, d, whole):
+    units_ = units_of(spark, d, whole).withColumn("caption", F.lit(None).cast("string"))
     out = service.embedded(units_, lambda texts: [[len(t), t.count("e")] for t in texts], 2, context=False)
     return out.select("unit_id", F.get("vector", F.lit(0)).cast("double").alias("size"), F.get("vector", F.lit(1)).cast("double").alias("es"))
 
 
-@query("copied_context", regime_sql(REGIMES["R6_full_metadata"], COPIED))
-def _copied(spark, d):
-    return service.copied_context(hits(spark, d, "R6_full_metadata"), T.corpus(spark, d))
+@retrieval("copied_context", regime_sql(REGIMES["R6_full_metadata"], COPIED))
+def _copied(spark, d, whole):
+    return service.copied_context(hits(spark, d, "R6_full_metadata", whole), units_of(spark, d, whole))
 
 
-@query("curated_notes", f"SELECT DISTINCT note_uid FROM ({regime_sql(REGIMES['R0_baseline_fts'], 'SELECT c.note_uid FROM result h JOIN corpus c USING (unit_id)')}) UNION SELECT note_uid FROM ({regime_sql(REGIMES['R6_full_metadata'], 'SELECT c.note_uid FROM result h JOIN corpus c USING (unit_id)')})")
-def _curated(spark, d):
-    return export.curated_notes(hits(spark, d, "R0_baseline_fts"), hits(spark, d, "R6_full_metadata"))
+@retrieval("curated_notes", f"SELECT DISTINCT note_uid FROM ({regime_sql(REGIMES['R0_baseline_fts'], 'SELECT c.note_uid FROM result h JOIN corpus c USING (unit_id)')}) UNION SELECT note_uid FROM ({regime_sql(REGIMES['R6_full_metadata'], 'SELECT c.note_uid FROM result h JOIN corpus c USING (unit_id)')})")
+def _curated(spark, d, whole):
+    return export.curated_notes(hits(spark, d, "R0_baseline_fts", whole), hits(spark, d, "R6_full_metadata", whole))
 
 
 # Evaluation

@@ -71,15 +71,16 @@ def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Embeddings with texts; ten units a note. The context vector is the plain one turned round."""
+def corpus(spark: SparkSession, sf_dir: str, chars: int | None = None) -> DataFrame:
+    """Embeddings with whole texts (or their first `chars` characters); ten units a note. The context
+    vector is the plain one turned round."""
     vectors, docs = table(spark, sf_dir, "embeddings"), table(spark, sf_dir, "documents")
     joined = vectors.join(docs, vectors["vec_id"] == docs["doc_id"])
     color, bold = code_of((F.col("vec_id") * 7) % 16), F.col("vec_id") % 5 == 0
     return joined.select(
         F.col("vec_id").alias("unit_id"),
         F.expr("vec_id div 10").alias("note_uid"),
-        F.substring("text", 1, 400).alias("text"),
+        (F.col("text") if chars is None else F.substring("text", 1, chars)).alias("text"),
         color.alias("color"),
         bold.alias("is_bold"),
         effective_weight(color, bold).alias("effective_weight"),
