@@ -14,7 +14,7 @@ from quillspark.functions.rtf import rtf_of_text, spans_of_text
 from quillspark.operators import archive, evaluate, export, retrieve, service, stats, tree, units
 from quillspark.operators.lexical import bm25, build_index, corpus_size, top_per_query
 from quillspark.plans import standin as T
-from quillspark.plans.regimes import REGIMES, resolve
+from quillspark.plans.regimes import REGIMES, Regime, resolve
 from quillspark.plans.sql import COPIED, CORPUS, PROMPT, RUNS, TIER_SQL, TREE, UNITS, regime_sql
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -282,14 +282,18 @@ def _nested(spark, d):
 # Retrieval
 
 
-#: The registered SQL of these queries (plans/sql.py) reads this many characters of a text; each has a
-#: twin named whole_... without the cut.
+#: The registered SQL of these queries (plans/sql.py) reads this many characters of a text and asks three
+#: questions; each has a twin named whole_... without the cuts.
 CHARS = 400
 
 
 def whole_sql(sql: str) -> str:
-    """The twin's SQL: a retrieval query's SQL over whole texts."""
-    return sql.replace("left(text, 400) AS text", "text")
+    """The twin's SQL: a retrieval query's SQL over whole texts and all questions."""
+    chosen = "vec_id IN (SELECT item_id FROM benchmark)" if "arms AS" in sql else "vec_id % 100 = 0"
+    vectors = f"corpus c, (SELECT vec_id AS unit_id, embedding::DOUBLE[] AS vector FROM embeddings WHERE {chosen}) q WHERE TRUE"
+    for cut, whole in (("left(text, 400) AS text", "text"), ("left(text, 60)", "text"), (" FROM benchmark WHERE item_id < 3", " FROM benchmark"), (", benchmark WHERE item_id < 3", ", benchmark"), ("corpus c, corpus q WHERE q.unit_id < 3", vectors)):
+        sql = sql.replace(cut, whole)
+    return sql
 
 
 def retrieval(name: str, sql: str) -> Callable[[Callable[[SparkSession, str, bool], DataFrame]], Callable]:
@@ -308,9 +312,22 @@ def units_of(spark: SparkSession, d: str, whole: bool) -> DataFrame:
 
 
 def hits(spark: SparkSession, d: str, key: str, whole: bool = True) -> DataFrame:
-    regime = resolve(key)
+    return asked(spark, d, resolve(key), whole)
+
+
+def questions_of(spark: SparkSession, d: str, whole: bool) -> DataFrame:
+    return T.questions(spark, d) if whole else T.first_questions(spark, d)
+
+
+def asked(spark: SparkSession, d: str, regime: Regime, whole: bool) -> DataFrame:
     turned = regime.embed == "context"
-    return retrieve.retrieve(units_of(spark, d, whole), regime, T.questions(spark, d), T.query_vectors(spark, d, turned=turned))
+    if not whole:
+        vectors = T.first_vectors(spark, d, turned=turned)
+    elif regime.retriever == "pooled":
+        vectors = T.question_vectors(spark, d, turned)
+    else:
+        vectors = T.query_vectors(spark, d, turned)
+    return retrieve.retrieve(units_of(spark, d, whole), regime, questions_of(spark, d, whole), vectors)
 
 
 def _rounded(df: DataFrame) -> DataFrame:
@@ -328,7 +345,7 @@ for _key in REGIMES:
 @retrieval("bm25_scores", f"{CORPUS}, r AS (SELECT query_id, unit_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, unit_id) AS rank FROM bm25) SELECT query_id, unit_id, rank, round(score, 6) AS score FROM r WHERE rank <= 50")
 def _bm25(spark, d, whole):
     c = units_of(spark, d, whole)
-    top = top_per_query(bm25(build_index(c), corpus_size(c), T.questions(spark, d)), 50)
+    top = top_per_query(bm25(build_index(c), corpus_size(c), questions_of(spark, d, whole)), 50)
     return top.select("query_id", "unit_id", F.col("rank").cast("long").alias("rank"), F.round("score", 6).alias("score"))
 
 
@@ -357,7 +374,7 @@ def _context(spark, d, whole):
 @retrieval("regime_overrides", regime_sql(resolve("R2_weight_boost", {"top_k": 5, "min_weight": 2.0})))
 def _overrides(spark, d, whole):
     regime = resolve("R2_weight_boost", {"top_k": 5, "min_weight": 2.0, "retriever": "none"})
-    return _rounded(retrieve.retrieve(units_of(spark, d, whole), regime, T.questions(spark, d), T.query_vectors(spark, d)))
+    return _rounded(asked(spark, d, regime, whole))
 
 
 # Export
@@ -595,7 +612,7 @@ _SQL["decode_rtf"] = "SELECT doc_id, TRUE AS same FROM documents"
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Weighted dense retrieval (R2) for three query vectors."""
+    """Weighted dense retrieval (R2) for every query vector."""
     return _rounded(hits(spark, sf_dir, "R2_weight_boost"))
 
 

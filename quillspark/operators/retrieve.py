@@ -6,8 +6,10 @@ section_color, tree_path and the vector columns. Every result carries query_id a
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,6 +18,9 @@ from quillspark.operators.lexical import bm25, build_index, corpus_size, top_per
 from quillspark.plans.regimes import Regime
 
 EXPANDED_SHARE = 0.5
+#: Fixed value: how many query vectors a batch of units is scored with at once.
+QUERY_BLOCK = 256
+Vectors = Sequence[tuple[int, Sequence[float]]] | DataFrame
 COLUMNS = ("query_id", "rank", "unit_id", "note_uid", "score", "cosine", "source")
 
 
@@ -41,14 +46,59 @@ def cosines(corpus: DataFrame, vector: str, queries: Sequence[tuple[int, Sequenc
     return with_norm.withColumn("__scores", scored).select(*corpus.columns, F.inline("__scores"))
 
 
-def dense(corpus: DataFrame, regime: Regime, queries: Sequence[tuple[int, Sequence[float]]], vector: str, k: int | None = None) -> DataFrame:
+def nearest(units: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """(query_id, unit_id, note_uid, cosine, score): for each query at least its k best units, score being
+    cosine x factor. units: (unit_id, note_uid, factor, vector); queries: (query_id, vector).
+
+    The queries' matrix goes to every task (half a kilobyte a query of 64 places); each batch of units is
+    multiplied with a block of it and only the batch's k best of each query leave the task. Both figures
+    are rounded to twelve places, so that equal vectors score equally in any block."""
+    rows = queries.where(F.col("vector").isNotNull()).orderBy("query_id").collect()
+    ids = np.array([r["query_id"] for r in rows], dtype=np.int64)
+    matrix = np.array([r["vector"] for r in rows], dtype=np.float64).reshape(len(rows), -1)
+    length = np.sqrt((matrix * matrix).sum(axis=1))
+    if len(rows) and not length.all():
+        raise ValueError(f"zero query vectors: {ids[length == 0].tolist()}")
+    matrix /= length[:, None]
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows or not len(ids):
+                continue
+            batch = batch.sort_by("unit_id")
+            unit, note, factor = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("unit_id", "note_uid", "factor"))
+            rows = batch.column("vector").flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(unit), -1)
+            norms = np.sqrt((rows * rows).sum(axis=1))
+            rows /= np.where(norms > 0, norms, 1.0)[:, None]
+            for at in range(0, len(ids), QUERY_BLOCK):
+                cosine = np.round(matrix[at : at + QUERY_BLOCK] @ rows.T, 12)
+                scores = np.round(cosine * factor, 12)
+                for q, mine in enumerate(scores):
+                    least = np.partition(mine, -k)[-k] if len(mine) > k else -np.inf
+                    found = np.flatnonzero(mine >= least)
+                    found = found[np.argsort(-mine[found], kind="stable")][:k]  # ties by unit id
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.full(len(found), ids[at + q])), pa.array(unit[found]), pa.array(note[found]), pa.array(cosine[q][found]), pa.array(mine[found])],
+                        names=["query_id", "unit_id", "note_uid", "cosine", "score"],
+                    )
+
+    plain = units.where(F.col("vector").isNotNull()).select(F.col("unit_id").cast("long"), F.col("note_uid").cast("long"), F.col("factor").cast("double"), "vector")
+    return plain.mapInArrow(score, "query_id long, unit_id long, note_uid long, cosine double, score double")
+
+
+def dense(corpus: DataFrame, regime: Regime, queries: Vectors, vector: str, k: int | None = None) -> DataFrame:
     """cosine x (1 + alpha w) x (1 + beta s), with w and s the unit's and its section's share of the
-    top weight; the weight floor holds before the cut."""
+    top weight; the weight floor holds before the cut. queries: a few (id, vector), or a table of them."""
+    k = regime.top_k if k is None else k
     base = corpus if regime.min_weight is None else corpus.where(F.col("effective_weight") >= regime.min_weight)
-    scored = cosines(base.select("unit_id", "note_uid", "effective_weight", "section_color", vector), vector, queries)
     own, section = share_of_top(F.col("effective_weight")), share_of_top(colour_weight(F.col("section_color")))
+    if isinstance(queries, DataFrame):
+        factor = (1 + regime.alpha * own) * (1 + regime.beta * section)
+        top = top_per_query(nearest(base.select("unit_id", "note_uid", factor.alias("factor"), F.col(vector).alias("vector")), queries, k), k)
+        return top.withColumn("source", F.lit("retrieved")).select(*COLUMNS)
+    scored = cosines(base.select("unit_id", "note_uid", "effective_weight", "section_color", vector), vector, queries)
     score = F.col("cosine") * (1 + regime.alpha * own) * (1 + regime.beta * section)
-    top = top_per_query(scored.select("query_id", "unit_id", "note_uid", "cosine", score.alias("score")), regime.top_k if k is None else k)
+    top = top_per_query(scored.select("query_id", "unit_id", "note_uid", "cosine", score.alias("score")), k)
     return top.withColumn("source", F.lit("retrieved")).select(*COLUMNS)
 
 
@@ -65,16 +115,16 @@ def lexical(corpus: DataFrame, regime: Regime, queries: DataFrame, index: DataFr
     return top.select("query_id", "rank", "unit_id", "note_uid", "score", F.lit(None).cast("double").alias("cosine"), F.lit("retrieved").alias("source"))
 
 
-def by_weight(corpus: DataFrame, regime: Regime, query_ids: Sequence[int]) -> DataFrame:
+def by_weight(corpus: DataFrame, regime: Regime, queries: DataFrame) -> DataFrame:
     """No retrieval: the heaviest units at or above the floor, the same for each query."""
     base = corpus if regime.min_weight is None else corpus.where(F.col("effective_weight") >= regime.min_weight)
     top = base.orderBy(F.desc("effective_weight"), "unit_id").limit(regime.top_k)
-    spread = top.select("*", F.explode(F.array(*(F.lit(q).cast("long") for q in query_ids))).alias("query_id"))
+    spread = queries.select(F.col("query_id").cast("long")).crossJoin(F.broadcast(top))  # at most top_k rows
     ranked = top_per_query(spread.withColumn("score", F.col("effective_weight")), regime.top_k)
     return ranked.select("query_id", "rank", "unit_id", "note_uid", "score", F.lit(None).cast("double").alias("cosine"), F.lit("retrieved").alias("source"))
 
 
-def pooled(corpus: DataFrame, regime: Regime, queries: DataFrame, vectors: Sequence[tuple[int, Sequence[float]]], vector: str) -> DataFrame:
+def pooled(corpus: DataFrame, regime: Regime, queries: DataFrame, vectors: Vectors, vector: str) -> DataFrame:
     """Half keyword, half dense; a unit found by both keeps its keyword place, scores are not mixed."""
     half = max(1, regime.top_k // 2)
     both = lexical(corpus, regime, queries, k=half).withColumn("__arm", F.lit(0)).unionByName(dense(corpus, regime, vectors, vector, k=regime.top_k - half).withColumn("__arm", F.lit(1)))
@@ -110,7 +160,7 @@ def expand(hits: DataFrame, corpus: DataFrame, n: int) -> DataFrame:
     return hits.select(*COLUMNS).unionByName(added)
 
 
-def retrieve(corpus: DataFrame, regime: Regime, queries: DataFrame, vectors: Sequence[tuple[int, Sequence[float]]] = ()) -> DataFrame:
+def retrieve(corpus: DataFrame, regime: Regime, queries: DataFrame, vectors: Vectors = ()) -> DataFrame:
     """Ranked fragments of each query (query_id, query) under a regime. vectors: embedded queries;
     the corpus has the columns vector_plain and vector_context."""
     vector = f"vector_{regime.embed}"
@@ -119,7 +169,7 @@ def retrieve(corpus: DataFrame, regime: Regime, queries: DataFrame, vectors: Seq
     elif regime.retriever == "vector":
         hits = dense(corpus, regime, vectors, vector)
     elif regime.retriever == "none":
-        hits = by_weight(corpus, regime, [r[0] for r in queries.select("query_id").collect()])  # the asker's own queries
+        hits = by_weight(corpus, regime, queries)
     elif regime.retriever == "pooled":
         hits = pooled(corpus, regime, queries, vectors, vector)
     else:

@@ -91,13 +91,33 @@ def corpus(spark: SparkSession, sf_dir: str, chars: int | None = None) -> DataFr
     )
 
 
-def questions(spark: SparkSession, sf_dir: str, n: int = 3) -> DataFrame:
+def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every item of the benchmark, its whole text, as a question."""
+    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+
+
+def first_questions(spark: SparkSession, sf_dir: str, n: int = 3) -> DataFrame:
     """The first items of the benchmark as queries (their first 60 characters)."""
     return table(spark, sf_dir, "benchmark").where(F.col("item_id") < n).select(F.col("item_id").alias("query_id"), F.substring("text", 1, 60).alias("query"))
 
 
-def query_vectors(spark: SparkSession, sf_dir: str, n: int = 3, turned: bool = False) -> list[tuple[int, list[float]]]:
-    """Vectors 0..n-1 as embedded questions: n rows of a stated query set."""
+def _asked(vectors: DataFrame, turned: bool) -> DataFrame:
+    return vectors.select(F.col("vec_id").alias("query_id"), (F.reverse("embedding") if turned else F.col("embedding")).alias("vector"))
+
+
+def query_vectors(spark: SparkSession, sf_dir: str, turned: bool = False) -> DataFrame:
+    """The stated query set: every vector whose id is divisible by 100, as embedded questions."""
+    return _asked(table(spark, sf_dir, "embeddings").where(F.col("vec_id") % 100 == 0), turned)
+
+
+def question_vectors(spark: SparkSession, sf_dir: str, turned: bool = False) -> DataFrame:
+    """For each question the vector of its id, for retrieval by words and vectors together."""
+    vectors, items = table(spark, sf_dir, "embeddings"), table(spark, sf_dir, "benchmark")
+    return _asked(vectors.join(items, vectors["vec_id"] == items["item_id"], "left_semi"), turned)
+
+
+def first_vectors(spark: SparkSession, sf_dir: str, n: int = 3, turned: bool = False) -> list[tuple[int, list[float]]]:
+    """Vectors 0..n-1 as embedded questions."""
     rows = table(spark, sf_dir, "embeddings").where(F.col("vec_id") < n).orderBy("vec_id").collect()
     return [(r["vec_id"], list(r["embedding"])[:: -1 if turned else 1]) for r in rows]
 
