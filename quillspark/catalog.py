@@ -490,7 +490,7 @@ def _paired(spark, d):
 
 @query("bootstrap_interval")
 def _bootstrap(spark, d):
-    return evaluate.bootstrap_interval(T.scores(spark, d).where(F.col("regime") == "click").limit(1000), rounds=500)
+    return evaluate.bootstrap_interval(T.scores(spark, d).where(F.col("regime") == "click"))
 
 
 @query("group_pivot", f"{RUNS} SELECT left(question_id, 1) AS grp, round(avg(CASE WHEN regime = 'click' THEN score END), 6) AS click, round(avg(CASE WHEN regime = 'purchase' THEN score END), 6) AS purchase FROM scores GROUP BY 1")
