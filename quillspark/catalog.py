@@ -525,6 +525,13 @@ def _work(spark, d):
     return evaluate.work_list(asked, runs.select("regime").distinct(), runs)
 
 
+@query("whole_work_list", f"{RUNS}, q AS (SELECT DISTINCT question_id FROM runs), r AS (SELECT DISTINCT regime FROM runs) SELECT question_id, regime FROM q CROSS JOIN r ANTI JOIN runs USING (question_id, regime)")
+def _whole_work(spark, d):
+    """The gaps of every question of the runs; work_list, as its SQL has it, lists those of questions 0 to 49."""
+    runs = T.runs(spark, d)
+    return evaluate.work_list(runs.select("question_id").distinct(), runs.select("regime").distinct(), runs)
+
+
 @query("volume_bands", f"{RUNS}, m AS (SELECT regime, question_id, count(*) AS n_fragments FROM runs GROUP BY ALL) SELECT CASE WHEN n_fragments <= 15 THEN 'few' WHEN n_fragments >= 100 THEN 'many' ELSE 'medium' END AS band, count(*) AS n FROM m GROUP BY 1")
 def _bands(spark, d):
     m = T.runs(spark, d).groupBy("regime", "question_id").agg(F.count("*").alias("n_fragments"))
