@@ -579,7 +579,7 @@ def _delphi(spark, d):
 @query("caption_search", "SELECT page_id, url FROM pages WHERE url ILIKE '%Example.NET/en%'")
 def _caption_search(spark, d):
     p = T.table(spark, d, "pages").select(F.col("page_id").alias("uid"), F.col("url").alias("caption"))
-    return archive.caption_like(p, "Example.NET/en", limit=1_000_000).select(F.col("uid").alias("page_id"), F.col("caption").alias("url"))
+    return archive.caption_like(p, "Example.NET/en", limit=None).select(F.col("uid").alias("page_id"), F.col("caption").alias("url"))
 
 
 @query("highlighted_spans", f"{UNITS} SELECT note_uid AS uid, line_index AS place, color, is_bold AS bold, strip AS text FROM lines WHERE color IN ('g', 'b', 'p', 'u') AND length(strip) >= 3 AND note_uid IN (SELECT note_uid FROM notes ORDER BY note_uid LIMIT 500)")

@@ -23,8 +23,10 @@ def notes_by_semantic_colour(notes: DataFrame, code: str, limit: int = 100) -> D
     return notes.where(semantic_colour(F.col("bg_color")) == code).orderBy(F.desc("date_created"), "uid").limit(limit)
 
 
-def caption_like(notes: DataFrame, query: str, limit: int = 50) -> DataFrame:
-    return notes.where(F.col("caption").ilike(f"%{query}%")).orderBy("uid").limit(limit)
+def caption_like(notes: DataFrame, query: str, limit: int | None = 50) -> DataFrame:
+    """Notes whose caption holds the query: the first `limit` by uid, or with None all of them, unordered."""
+    found = notes.where(F.col("caption").ilike(f"%{query}%"))
+    return found if limit is None else found.orderBy("uid").limit(limit)
 
 
 def standout_nodes(nodes: DataFrame, notes: DataFrame, contents: DataFrame, page_id: int, limit: int = 200) -> DataFrame:
