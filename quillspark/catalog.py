@@ -588,6 +588,13 @@ def _highlighted(spark, d):
     return found.select("uid", F.col("place").cast("long").alias("place"), "color", "bold", "text")
 
 
+@query("whole_highlighted_spans", f"{UNITS} SELECT note_uid AS uid, line_index AS place, color, is_bold AS bold, strip AS text FROM lines WHERE color IN ('g', 'b', 'p', 'u') AND length(strip) >= 3")
+def _all_highlighted(spark, d):
+    """From every note; highlighted_spans, as its SQL has it, reads the first 500."""
+    found = archive.highlighted_spans(T.notes(spark, d).withColumnRenamed("note_uid", "uid"), limit=None)
+    return found.select("uid", F.col("place").cast("long").alias("place"), "color", "bold", "text")
+
+
 _ENCODED = "raw || CASE WHEN line_index < max(line_index) OVER (PARTITION BY note_uid) THEN chr(10) ELSE '' END"
 for _pattern, _token in (("={10,}", "[BR3]"), ("={3,9}", "[BR2]"), ("x{3,}", "[BR2]")):
     _ENCODED = f"regexp_replace({_ENCODED}, '{_pattern}', chr(10) || '{_token}' || chr(10), 'g')"

@@ -37,10 +37,10 @@ def standout_nodes(nodes: DataFrame, notes: DataFrame, contents: DataFrame, page
     return out.select("id", "parent_id", "uid", "caption", "bg_color", semantic_colour(F.col("bg_color")).alias("bg_semantic"), F.coalesce("packed_size", F.lit(0)).alias("size"))
 
 
-def highlighted_spans(notes: DataFrame, codes: tuple[str, ...] = ("g", "b", "p", "u"), least_salience: float = 0.0, limit: int = 500) -> DataFrame:
-    """Highlighted spans of three characters or more from the first `limit` notes (by uid), by
-    salience, colour weight, boldness."""
-    first = notes.orderBy("uid").limit(limit)
+def highlighted_spans(notes: DataFrame, codes: tuple[str, ...] = ("g", "b", "p", "u"), least_salience: float = 0.0, limit: int | None = 500) -> DataFrame:
+    """Highlighted spans of three characters or more from the first `limit` notes (by uid; None: from
+    all), by salience, colour weight, boldness."""
+    first = notes if limit is None else notes.orderBy("uid").limit(limit)
     share = salience(colour_chars(F.col("spans")), char_count(F.col("spans")), LIVE_SALIENCE_WEIGHTS)
     rows = first.withColumn("salience", F.bround(share, 1)).where(F.col("salience") >= least_salience)
     spans = rows.select("uid", "caption", "salience", F.posexplode("spans").alias("place", "span")).where(F.col("span.highlight").isin(*codes) & (F.length(strip(F.col("span.text"))) >= 3))
