@@ -68,6 +68,12 @@ def _retrievable(spark, d):
     return T.units(spark, d).where(units.retrievable((1, 2, 3))).select("unit_id", "page_id")
 
 
+@query("whole_retrievable_units", f"{WITH_GOOD} SELECT unit_id, page_id FROM good")
+def _all_retrievable(spark, d):
+    """Of every page; retrievable_units, as its SQL has it, of three."""
+    return T.units(spark, d).where(units.retrievable()).select("unit_id", "page_id")
+
+
 @query("duplicate_units", f"{UNITS} SELECT page_id, count(*) AS duplicates FROM units WHERE is_duplicate GROUP BY page_id")
 def _duplicates(spark, d):
     return T.units(spark, d).where("is_duplicate").groupBy("page_id").agg(F.count("*").alias("duplicates"))

@@ -22,6 +22,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Of a document.
+PAGE = "cast(substr(source, 4) as int)"
+
+
 def code_of(k: Column) -> Column:
     return F.get(F.array(*(F.lit(c) for c in CODES)), k.cast("int"))
 
@@ -37,7 +41,7 @@ def notes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     return docs.select(
         F.col("doc_id").alias("note_uid"),
-        F.expr("cast(substr(source, 4) as int)").alias("page_id"),
+        F.expr(PAGE).alias("page_id"),
         F.substring(F.substring_index(F.coalesce("text", F.lit("")), "\n", 1), 1, 60).alias("caption"),
         code_of((F.col("doc_id") * 5) % 16).alias("node_color"),
         F.concat_ws(" > ", "source", "lang").alias("tree_path"),
@@ -51,8 +55,9 @@ def units(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages 0 to 24, so that some have no note."""
-    return spark.range(25).select(F.col("id").cast("int").alias("page_id"), F.concat(F.lit("page "), F.col("id").cast("string")).alias("page_caption"))
+    """The pages of all notes, and 0 to 24, so that some have no note."""
+    used = table(spark, sf_dir, "documents").select(F.expr(PAGE).cast("long").alias("id")).where("id IS NOT NULL")
+    return spark.range(25).union(used).distinct().select(F.col("id").cast("int").alias("page_id"), F.concat(F.lit("page "), F.col("id").cast("string")).alias("page_caption"))
 
 
 def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
