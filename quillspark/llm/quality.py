@@ -6,7 +6,8 @@ reference of each language by Jensen-Shannon distance: character classes (white
 digits, symbols, punctuation, the rest) and common words (by language that owns them, shared ones,
 the rest). A text is rejected if the mean of both distances exceeds `limit` for every language.
 Texts under `least_words` words or `least_chars` characters are too short for histograms: only the
-base rules judge them.
+base rules judge them. So it is with texts of other languages, which no reference describes: next to no
+common words of the four (FOREIGN_SHARE), but ordinary character shares (ORDINARY_CHARS).
 
 Defined results. Null or empty text: all counts zero, base failed (under 50 words), not kept. Null
 ids and repeated rows are judged like any row. Other columns are ignored. Empty tables: no rows.
@@ -23,6 +24,9 @@ SPACE = r"[\x20\x09-\x0D]+"
 LEAST_WORDS, MOST_REPEATED_PERCENT = 50, 50
 LEAST_CHARS = 200
 LIMIT = 0.20
+#: A text of another language has at most this share of common words, and character shares
+#: at most this far from a reference (clean Russian, Greek, Polish, Finnish: to 0.08; junk: from 0.18).
+FOREIGN_SHARE, ORDINARY_CHARS = 0.05, 0.12
 
 # Frequent function words of each language.
 COMMON_WORDS = {
@@ -113,7 +117,7 @@ def _distance(shares: Column, reference: tuple[float, ...]) -> Column:
 
 
 def quality_rules(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", limit: float = LIMIT, least_words: int = LEAST_WORDS, least_chars: int = LEAST_CHARS) -> DataFrame:
-    """All columns of the verdict: counts, base_failed, divergence (null where too short), kept."""
+    """All columns of the verdict: counts, base_failed, divergence (null where too short or of another language), kept."""
     text = F.coalesce(F.col("__text"), F.lit(""))
     owned = owned_words()
     every = sorted({w for words in owned.values() for w in words})
@@ -157,7 +161,12 @@ def quality_rules(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         return F.concat(shares, F.array(F.lit(1.0) - F.aggregate(shares, F.lit(0.0), lambda a, x: a + x)))
 
     def least_distance(chars_in: Column) -> Column:
-        return let(whole(F.col("words_in")), lambda w: F.least(*((_distance(chars_in, CHAR_REFERENCES[k]) + _distance(w, WORD_REFERENCES[k])) / 2 for k in CHAR_REFERENCES)))
+        def least(c: Column, w: Column) -> Column:
+            foreign = (F.element_at(w, -1) >= 1 - FOREIGN_SHARE) & (F.array_min(c) <= ORDINARY_CHARS)
+            return F.when(~foreign, F.least(*((F.get(c, F.lit(i)) + _distance(w, WORD_REFERENCES[k])) / 2 for i, k in enumerate(CHAR_REFERENCES))))
+
+        by_chars = F.array(*(_distance(chars_in, CHAR_REFERENCES[k]) for k in CHAR_REFERENCES))
+        return let(by_chars, lambda c: let(whole(F.col("words_in")), lambda w: least(c, w)))
 
     judged = counted.select(
         F.col("__id").alias(id_col),
