@@ -1,19 +1,23 @@
 """Personal data: base detectors and information-theoretic sanitisation (operator 2).
 
-Base detectors find e-mail addresses, IP addresses, card numbers and phone numbers. Every distinct
-value is a protected entity. Words near an entity may give it away; how far is estimated from
-co-occurrence counts of the whole corpus: a term t reveals the share PMI(t; c) / IC(c) of the
-information content IC(c) = -log2 p(c) of an entity c, where PMI(t; c) = log2 p(t, c) / (p(t) p(c)).
-Terms that reveal at least `remove` of an entity are removed around it, those of at least
-`generalise` are generalised; both become spans of kind `term`. A pair counts only if it is seen in
-`support` different texts at least, so the words of a single text never disclose by being rare.
+Base detectors find e-mail addresses, IP addresses, card numbers and phone numbers. Protected entities
+are each distinct value and the groups it belongs to: its e-mail domain, network (first two parts), card
+issuer (six digits) or dialling prefix, and its kind. Words near an entity may give it away; how far is
+estimated from co-occurrence counts of the whole corpus: a term t reveals the share PMI(t; c) / IC(c) of
+the information content IC(c) = -log2 p(c) of an entity c, where PMI(t; c) = log2 p(t, c) / (p(t) p(c)).
+Terms that reveal at least `remove` of an entity are removed around it, those of at least `generalise`
+are replaced by their class of frequency (how many documents hold them, as a power of ten); both become
+spans of kind `term`. A pair counts only if it is seen in `support` different texts at least, so the
+words of a single text never disclose by being rare.
 
 Probabilities are shares of documents (rows): copies count as often as they occur, but are counted
-once per distinct text and weighted, so a text with thousands of copies enters no task twice.
+once per distinct text and weighted, so a text with thousands of copies enters no task twice. Only terms
+that stand near an entity often enough are counted over the corpus, so no count of all words is shuffled.
 
 Defined results. Null or empty text: no spans, the digest of the empty string. Null ids and repeated
-rows are reported per row; equal texts get equal spans. Other columns are ignored. Offsets are code
-points, ends exclusive.
+rows are reported per row; equal texts get equal spans. Other columns are ignored. Very long texts are
+searched whole, one at a time. A term that reveals exactly a threshold reaches it. An empty table gives
+an empty result. Offsets are code points, ends exclusive.
 """
 
 from __future__ import annotations
@@ -29,8 +33,12 @@ from pyspark.sql import functions as F
 from quillspark.llm._util import checkpointed, rows
 
 KINDS = ("email", "ip", "card", "phone", "term")
+REMOVED, GENERALISED = 5, 10  # kinds of term spans; a generalised one adds its power of ten
+#: Rows of a table that may be broadcast (terms and pairs, under 100 bytes each); beyond it is joined.
+BROADCAST_ROWS = 200_000
 WINDOW_WORDS, WINDOW_CHARS, LEAST_LETTERS = 6, 120, 4
-SUPPORT, GENERALISE, REMOVE = 2, 0.85, 0.95
+#: Thresholds of the revealed share: half of an entity's information, and four fifths of it.
+SUPPORT, GENERALISE, REMOVE = 2, 0.5, 0.8
 
 _AT = re.compile("@")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -39,7 +47,11 @@ _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _NOT_DIGIT = re.compile("[^0-9]")
-_TERM = re.compile(r"[^\W\d_]+")
+# Letters, as ranges that Python and Java read alike; only A-Z are lowered, for the same reason.
+LETTERS = "A-Za-z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u02af\u0370-\u1fff\u2c00-\u2dff\u3040-\ud7ff\uf900-\ufaff"
+_TERM = re.compile(f"[{LETTERS}]+")
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+_TO_LOWER = str.maketrans(_UPPER, _LOWER)
 
 
 def emails(text: str) -> Iterator[tuple[int, int]]:
@@ -84,8 +96,11 @@ def base_spans(text: str) -> list[tuple[int, int, int, str]]:
     return out
 
 
-def entity_key(kind: int, value: str) -> int:
-    return xxhash.xxh64_intdigest(f"{KINDS[kind]}:{value}") - (1 << 63)
+def entity_keys(kind: int, value: str) -> tuple[int, int, int]:
+    """Keys of the value, of its group within the kind and of the kind."""
+    group = (value.partition("@")[2], ".".join(value.split(".")[:2]), value[:6], value[:4])[kind]
+    names = (f"{KINDS[kind]}:{value}", f"{KINDS[kind]} group:{group}", f"{KINDS[kind]} kind")
+    return tuple(xxhash.xxh64_intdigest(n) - (1 << 63) for n in names)
 
 
 def contexts(text: str, spans: list[tuple[int, int, int, str]]) -> dict[tuple[int, str], set[tuple[int, int]]]:
@@ -93,7 +108,7 @@ def contexts(text: str, spans: list[tuple[int, int, int, str]]) -> dict[tuple[in
     found: dict[tuple[int, str], set[tuple[int, int]]] = {}
     taken = [(a, b) for a, _, b, _ in spans]
     for a, kind, b, value in spans:
-        entity = entity_key(kind, value)
+        entities = entity_keys(kind, value)
         low = max(0, a - WINDOW_CHARS)
         before = [m for m in _TERM.finditer(text, low, a) if m.start() > low or low == 0][-WINDOW_WORDS:]
         after = []
@@ -101,9 +116,14 @@ def contexts(text: str, spans: list[tuple[int, int, int, str]]) -> dict[tuple[in
             if len(after) == WINDOW_WORDS or m.end() == b + WINDOW_CHARS < len(text):
                 break
             after.append(m)
+        if before and before[-1].end() == a and _TERM.match(text, a):
+            before.pop()  # part of a word that goes on inside the mention
+        if after and after[0].start() == b and _TERM.match(text, b - 1):
+            del after[0]
         for m in (*before, *after):
             if m.end() - m.start() >= LEAST_LETTERS and not any(x < m.end() and m.start() < y for x, y in taken if x < b + WINDOW_CHARS and y > low):
-                found.setdefault((entity, m[0].lower()), set()).add(m.span())
+                for entity in entities:
+                    found.setdefault((entity, m[0].translate(_TO_LOWER)), set()).add(m.span())
     return found
 
 
@@ -134,83 +154,109 @@ def detect(docs: DataFrame) -> DataFrame:
                     near = contexts(text, spans) if spans else {}
                     out["digest"].append(xxhash.xxh3_128_digest(text.encode()))
                     out["base"].append([{"start": a, "kind": k, "end": b} for a, k, b, _ in spans])
-                    out["entities"].append(sorted({entity_key(k, v) for _, k, _, v in spans}))
+                    out["entities"].append(sorted({e for _, k, _, v in spans for e in entity_keys(k, v)}))
                     out["near"].append([{"entity": e, "term": t, "spans": [{"start": a, "kind": 4, "end": b} for a, b in sorted(s)]} for (e, t), s in sorted(near.items())])
                 yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(out[f.name], f.type) for f in list(_FOUND)[1:])], schema=_FOUND)
 
     return docs.mapInArrow(run, _FOUND_DDL)
 
 
+def _small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+    """df (checkpointed), marked for broadcast if it has at most `most` rows."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
+def corpus_counts(docs: DataFrame, terms: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+    """(term, n_t): how many rows of docs (__id, __text) hold each of the terms (checkpointed)."""
+    text = F.translate(F.coalesce("__text", F.lit("")), _UPPER, _LOWER)
+    words = docs.select(F.explode(F.array_distinct(F.split(text, f"[^{LETTERS}]+"))).alias("term")).where(F.length("term") >= LEAST_LETTERS)
+    if terms.limit(most + 1).count() <= most:
+        return words.join(F.broadcast(terms), "term", "left_semi").groupBy("term").agg(F.count("*").alias("n_t"))
+    return words.groupBy("term").agg(F.count("*").alias("n_t")).join(terms, "term", "left_semi")
+
+
 def disclosing_pairs(docs: DataFrame, found: DataFrame, support: int, generalise: float, remove: float) -> DataFrame:
-    """(entity, term, share, removed) for pairs whose revealed share reaches `generalise`."""
+    """(entity, term, share, kind) for pairs whose revealed share reaches `generalise`; kind as in spans."""
     total = docs.count()
     texts = found.where(F.size("entities") > 0).groupBy("digest").agg(F.count("*").alias("m"), F.first("entities").alias("entities"), F.first("near").alias("near"))
     texts = checkpointed(texts)
     entities = texts.select("m", F.explode("entities").alias("entity")).groupBy("entity").agg(F.sum("m").alias("n_c"))
     pairs = texts.select("m", F.explode("near").alias("x")).groupBy(F.col("x.entity").alias("entity"), F.col("x.term").alias("term"))
     pairs = checkpointed(pairs.agg(F.sum("m").alias("n_tc"), F.count("*").alias("texts")).where(F.col("texts") >= support))
-    terms = pairs.select("term").distinct()
-    words = docs.select(F.explode(F.array_distinct(F.split(F.lower(F.coalesce("__text", F.lit(""))), r"[^\p{L}]+"))).alias("term"))
-    counts = words.where(F.length("term") >= LEAST_LETTERS).groupBy("term").agg(F.count("*").alias("n_t")).join(terms, "term", "left_semi")
-    joint = pairs.join(entities, "entity").join(counts, "term", "left").withColumn("n_t", F.greatest(F.coalesce("n_t", "n_tc"), "n_tc"))
+    counts = corpus_counts(docs, checkpointed(pairs.select("term").distinct()))
+    joint = pairs.join(entities, "entity").join(counts, "term")
     content = F.log2(F.lit(float(total)) / F.col("n_c"))
     pmi = F.log2(F.col("n_tc") * F.lit(float(total)) / (F.col("n_t").cast("double") * F.col("n_c")))
     share = F.when(content > 0, pmi / content).otherwise(0.0)
-    return joint.select("entity", "term", share.alias("share")).where(F.col("share") >= generalise).withColumn("removed", F.col("share") >= remove)
+    kind = F.when(F.col("share") >= remove - 1e-9, REMOVED).otherwise(GENERALISED + F.floor(F.log10("n_t") + 1e-9).cast("int"))
+    return checkpointed(joint.select("entity", "term", "n_t", share.alias("share")).where(F.col("share") >= generalise - 1e-9).select("entity", "term", "share", kind.alias("kind")))
 
 
 def term_spans(texts: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(digest, terms): the spans of disclosing terms of each distinct text; removed ones have kind 5."""
-    places = texts.select("digest", F.explode("near").alias("x")).select("digest", "x.entity", "x.term", "x.spans").join(pairs, ["entity", "term"])
-    kind = F.when(F.col("removed"), 5).otherwise(4)
-    marked = F.transform("spans", lambda s: F.struct(s["start"].alias("start"), kind.alias("kind"), s["end"].alias("end")))
-    return places.groupBy("digest").agg(F.array_distinct(F.flatten(F.collect_list(marked))).alias("terms"))
+    """(digest, terms): the spans of disclosing terms of each distinct text."""
+    places = texts.select("digest", F.explode("near").alias("x")).select("digest", "x.entity", "x.term", "x.spans").join(_small(pairs), ["entity", "term"])
+    marked = F.transform("spans", lambda s: F.struct(s["start"].alias("start"), F.col("kind").alias("kind"), s["end"].alias("end")))
+    return checkpointed(places.groupBy("digest").agg(F.array_distinct(F.flatten(F.collect_list(marked))).alias("terms")))
 
 
 def find_personal_data(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", support: int = SUPPORT, generalise: float = GENERALISE, remove: float = REMOVE) -> DataFrame:
     """Per row: (id_col, digest, base, terms): spans as array<struct<start,kind,end>>; kind is the
-    place in KINDS, removed terms have kind 5."""
+    place in KINDS, terms have REMOVED or GENERALISED kinds."""
     docs = rows(df, id_col, text_col)
     found = checkpointed(detect(docs))
-    some = found.where(F.size("near") > 0).select("digest", "near").dropDuplicates(["digest"])
-    terms = term_spans(some, disclosing_pairs(docs, found, support, generalise, remove))
-    hit = found.where(F.size("near") > 0).join(terms, "digest", "left").select("id", "digest", "base", "terms")
-    rest = found.where(F.size("near") == 0).select("id", "digest", "base", F.lit(None).cast(f"array<{_SPAN}>").alias("terms"))
+    near = F.size("near") > 0
+    some = found.where(near).select("digest", "near").dropDuplicates(["digest"])
+    terms = _small(term_spans(some, disclosing_pairs(docs, found, support, generalise, remove)))
+    hit = found.where(near).join(terms, "digest", "left").select("id", "digest", "base", "terms")
+    rest = found.where(~near).select("id", "digest", "base", F.lit(None).cast(f"array<{_SPAN}>").alias("terms"))
     out = hit.unionByName(rest).withColumn("terms", F.coalesce("terms", F.array().cast(f"array<{_SPAN}>")))
     return out.withColumnRenamed("id", id_col)
 
 
 def spelled(spans: Column) -> Column:
     """kind:start:end by start and kind, joined by commas."""
-    names = F.array(*(F.lit(k) for k in (*KINDS, KINDS[4])))
-    return F.array_join(F.transform(F.sort_array(spans), lambda s: F.concat_ws(":", F.get(names, s["kind"]), s["start"], s["end"])), ",")
+    names = F.array(*(F.lit(k) for k in KINDS))
+    return F.array_join(F.transform(F.sort_array(spans), lambda s: F.concat_ws(":", F.get(names, F.least(s["kind"], F.lit(4))), s["start"], s["end"])), ",")
 
 
 def sanitise(df: DataFrame, text_col: str = "text", support: int = SUPPORT, generalise: float = GENERALISE, remove: float = REMOVE) -> DataFrame:
-    """df with base spans of each text replaced by their kind in brackets, generalised terms by
-    [TERM], removed terms by nothing; all columns stay. Overlapping base spans become one."""
+    """df with base spans of each text replaced by their kind in brackets, generalised terms by their
+    class of frequency ([TERM:100+] is held by 100 to 999 documents), removed terms by nothing; all
+    columns stay. Overlapping base spans become one. Base spans are replaced in the scan; only rows
+    with disclosing terms are shuffled, to meet their spans."""
     docs = rows(df.select(F.lit(None).cast("long").alias("__no_id"), text_col), "__no_id", text_col)
     found = checkpointed(detect(docs).where(F.size("base") > 0))
     some = found.where(F.size("near") > 0).select("digest", "near").dropDuplicates(["digest"])
     terms = term_spans(some, disclosing_pairs(docs, found, support, generalise, remove))
-    spans = found.select("digest", "base").dropDuplicates(["digest"]).join(terms, "digest", "left")
-    spans = spans.select(F.col("digest").alias("__digest"), F.concat("base", F.coalesce("terms", F.array().cast(f"array<{_SPAN}>"))).alias("__spans"))
-    names = df.columns
-    at = names.index(text_col)
+    terms = _small(terms.select(F.col("digest").alias("__digest"), F.col("terms").alias("__terms")))
+    names, at = df.columns, df.columns.index(text_col)
 
-    def add_digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            digests = [None if t is None else xxhash.xxh3_128_digest(t.encode()) for t in batch.column(at).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(digests, pa.binary())], names=[*names, "__digest"])
+    def with_text(batch: pa.RecordBatch, texts: list) -> list[pa.Array]:
+        return [pa.array(texts, pa.string()) if k == at else batch.column(k) for k in range(len(names))]
 
-    def rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Texts without terms near entities masked; of the others the digest."""
+        for batch in batches:
+            texts, digests = batch.column(at).to_pylist(), []
+            for k, text in enumerate(texts):
+                spans = base_spans(text) if text else []
+                wait = bool(spans) and bool(contexts(text, spans))
+                digests.append(xxhash.xxh3_128_digest(text.encode()) if wait else None)
+                if spans and not wait:
+                    texts[k] = masked(text, [{"start": a, "kind": kind, "end": b} for a, kind, b, _ in spans])
+            yield pa.RecordBatch.from_arrays([*with_text(batch, texts), pa.array(digests, pa.binary())], names=[*names, "__digest"])
+
+    def second(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [masked(t, s) if s else t for t, s in zip(batch.column(at).to_pylist(), batch.column(len(names)).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if k == at else batch.column(k) for k in range(len(names))], names=names)
+            base = [[{"start": a, "kind": kind, "end": b} for a, kind, b, _ in base_spans(text)] for text in batch.column(at).to_pylist()]
+            texts = [masked(t, b + (s or [])) for t, b, s in zip(batch.column(at).to_pylist(), base, batch.column(len(names)).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays(with_text(batch, texts), names=names)
 
     schema = df.schema
-    with_digest = df.mapInArrow(add_digest, type(schema)([*schema.fields]).add("__digest", "binary"))
-    return with_digest.join(spans, "__digest", "left").select(*(f"`{c}`" for c in names), "__spans").mapInArrow(rewrite, schema)
+    seen = df.mapInArrow(first, type(schema)([*schema.fields]).add("__digest", "binary"))
+    columns = [f"`{c}`" for c in names]
+    waiting = seen.where("__digest is not null").join(terms, "__digest", "left").select(*columns, "__terms")
+    return seen.where("__digest is null").select(*columns).union(waiting.mapInArrow(second, schema))
 
 
 def masked(text: str, spans: list[dict]) -> str:
@@ -221,8 +267,9 @@ def masked(text: str, spans: list[dict]) -> str:
             if s["end"] > last:
                 done = last = s["end"]
             continue
+        kind = s["kind"]
         out.append(text[done : s["start"]])
-        out.append("" if s["kind"] == 5 else f"[{KINDS[s['kind']].upper()}]")
+        out.append("" if kind == REMOVED else f"[TERM:{10 ** (kind - GENERALISED)}+]" if kind >= GENERALISED else f"[{KINDS[kind].upper()}]")
         done = last = s["end"]
     out.append(text[done:])
     return "".join(out)

@@ -370,17 +370,68 @@ def test_base_spans(text):
 def test_disclosing_terms(spark):
     rows = [(k, f"Mail kasimir{k % 2}@example.org asks about zyzzyva number {k} again") for k in range(6)]
     rows += [(100 + k, f"again and again people asks about number things mail {k}") for k in range(200)]
-    out = {r.doc_id: r for r in privacy.find_personal_data(table(spark, rows), support=2, generalise=0.3).collect()}
+    out = {r.doc_id: r for r in privacy.find_personal_data(table(spark, rows), support=2, generalise=0.3, remove=0.95).collect()}
     found = {rows[0][1][s.start : s.end] for s in out[0].terms}
     assert "zyzzyva" in found and "again" not in found
     assert not out[100].terms
-    clean = {r.doc_id: r.text for r in privacy.sanitise(table(spark, rows), support=2, generalise=0.3).collect()}
+    clean = {r.doc_id: r.text for r in privacy.sanitise(table(spark, rows), support=2, generalise=0.3, remove=0.95).collect()}
     assert "kasimir" not in clean[0] and "[EMAIL]" in clean[0] and "zyzzyva" not in clean[0]
     assert clean[100] == rows[6][1]
     alone = privacy.find_personal_data(table(spark, rows[:1] * 50 + rows[6:])).where("doc_id = 0").first()
     assert not alone.terms  # copies of one text are no support
 
 
+def brute_terms(rows, support, generalise, remove):
+    """{doc: {(start, end, kind)}} of disclosing terms, by counting documents in plain Python."""
+    term = re.compile(f"[{privacy.LETTERS}]+")
+    lower = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    near, entities = {}, {}
+    for i, t, *_ in rows:
+        spans = privacy.base_spans(t or "")
+        near[i] = privacy.contexts(t or "", spans)
+        entities[i] = {e for _, k, _, v in spans for e in privacy.entity_keys(k, v)}
+    words = {i: {w.translate(lower) for w in term.findall(t or "")} for i, t, *_ in rows}
+    texts = {i: t or "" for i, t, *_ in rows}
+    kinds = {}
+    for e, t in {pair for found in near.values() for pair in found}:
+        both = [i for i in near if (e, t) in near[i]]
+        if len({texts[i] for i in both}) < support:
+            continue
+        n, n_c, n_t = len(rows), sum(e in x for x in entities.values()), sum(t in w for w in words.values())
+        content = np.log2(n / n_c)
+        share = np.log2(len(both) * n / (n_c * n_t)) / content if content > 0 else 0.0
+        if share >= generalise - 1e-9:
+            kinds[e, t] = privacy.REMOVED if share >= remove - 1e-9 else privacy.GENERALISED + len(str(n_t)) - 1
+    return {i: {(a, b, kinds[p]) for p, places in near[i].items() if p in kinds for a, b in places} for i in near}
+
+
+@pytest.mark.parametrize("most", [0, 1000])
+def test_disclosure_against_counting(spark, monkeypatch, most):
+    """Values, groups and kinds as entities, copies, near copies; with and without broadcasts."""
+    monkeypatch.setattr(privacy, "BROADCAST_ROWS", most)
+    monkeypatch.setattr(privacy._small, "__defaults__", (most,))
+    monkeypatch.setattr(privacy.corpus_counts, "__defaults__", (most,))
+    rng = random.Random(8)
+    vocabulary = [c + "".join(rng.choices("abcdéÉßжŽ", k=6)) for c in "ABcdeжéß" for _ in range(12)]
+    weights = [1 / (k + 1) for k in range(len(vocabulary))]
+    rows = []
+    for i in range(300):
+        words = rng.choices(vocabulary, weights, k=30)
+        if i % 3 == 0:
+            at = rng.randrange(len(words))
+            words[at:at] = [rng.choice(vocabulary[-20:]), rng.choice([f"ab{rng.randrange(4)}@m{rng.randrange(3)}.org", f"10.{rng.randrange(3)}.2.3", "+1 (234) 567-89" + str(rng.randrange(10, 13)), "4111 1111 1111 1111"]), rng.choice(vocabulary[-20:])]
+        rows.append((i, " ".join(words)))
+    rows += [(500 + k, rows[3 * k][1]) for k in range(20)] + [(600, None), (601, "")]
+    want = brute_terms(rows, 2, 0.3, 0.45)
+    out = privacy.find_personal_data(table(spark, rows), support=2, generalise=0.3, remove=0.45).collect()
+    assert {r.doc_id: {(s.start, s.end, s.kind) for s in r.terms} for r in out} == want
+    assert {k for spans in want.values() for *_, k in spans} >= {privacy.REMOVED, privacy.GENERALISED + 1}
+    clean = {r.doc_id: r.text for r in privacy.sanitise(table(spark, rows), support=2, generalise=0.3, remove=0.45).collect()}
+    for i, text in rows:
+        spans = [{"start": a, "kind": k, "end": b} for a, k, b, _ in privacy.base_spans(text or "")] + [{"start": a, "kind": k, "end": b} for a, b, k in want[i]]
+        assert clean[i] == (privacy.masked(text, spans) if spans else text)
+
+
 def test_language(spark):
     rng = random.Random(4)
     sounds = {"aa": "aeio", "bb": "bdgk", "cc": "mnrl", "dd": "stfh", "ee": "vwxz", "ff": "cjqp"}
