@@ -1,80 +1,106 @@
 """URL filter over a memory-mapped sorted digest array (operator 8).
 
-The list holds strings `host` + `path prefix`, each with an action. Their 64-bit xxhash digests are
-sorted and stored with the strings in one file, which Spark ships to every executor once; tasks map
-it into memory, so all workers of a machine share its pages. A URL asks for each of its host's
-suffixes joined with each prefix of its path that has the length of some listed path; all questions
-of a batch are answered by one vectorised binary search, and every hit is confirmed against the
-stored string, so a digest collision never decides. The longest listed string wins; on a tie the one
-with the longer host. URLs that nothing on the list fits get the default action.
+The list is a table of strings with an action: `host` + `path prefix` for rules, and single words of a
+host (no path: `casino` is a word of `m.casino-win.example.com`). Spark sorts it by the 64-bit xxhash of
+the strings and writes it once to the shared folder; the files are handed to each executor, which lays
+them out once as flat arrays on its own disk (keys, string ends, actions, bytes) and maps them into
+memory, so all workers of a machine share the pages and neither the driver nor a task ever holds the
+list. A URL asks for each of its host's suffixes joined with each prefix of its path that has the length
+of some listed path, and for each word of its host; all questions of a batch are answered by one
+vectorised binary search, and every hit is confirmed against the stored string, so a digest collision
+never decides. The longest listed rule wins; on a tie the one with the longer host. Where no rule fits,
+a blocked word of the host blocks; everything else gets the default action.
 
 Defined results. Null URL or one without `://`: empty host and path, no rule, the default. A rule fits
 its host and all subdomains if the path starts with the rule's path; an empty path starts with no
-rule's `/`. Null ids and repeated rows are judged like any row. Other columns are ignored.
+rule's `/`. Null ids and repeated rows are judged like any row. Other columns are ignored, whatever
+their names. Very long URLs are judged whole. Of listed strings that repeat with different actions
+`block` counts; null strings are passed over. An empty table gives an empty result, an empty list the
+default for all.
 """
 
 from __future__ import annotations
 
 import functools
 import os
-import tempfile
+import shutil
 import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 import xxhash
 from pyspark import SparkFiles
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillspark.llm._util import scratch_table
+
 # The rules of the query: (action, host, path).
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
+# Words of a host that block it: gambling, adult, pharmacy, spam and tracking sites name themselves.
+BLOCKED_WORDS = (
+    "casino casinos poker roulette slots jackpot betting bet bets lottery gambling adult porn porno xxx sex sexy nude escort escorts camgirls "
+    "pills pill viagra cialis pharmacy steroids spam spammer malware phishing warez torrent cracked ads adserver tracker track banner popup clickbait replica"
+)
 DEFAULT = "allow"
 ACTIONS = ("allow", "block")
-_MAGIC = 0x51554C4C55524C31
-
-
-def write_digest_array(path: str, entries: Iterable[tuple[str, str, str]], digest=xxhash.xxh64_intdigest) -> None:
-    """Write (action, host, path) entries as one file: header, sorted digests, offsets, host lengths,
-    actions, string bytes. A later entry of an equal string replaces an earlier one."""
-    merged = {(h + p).encode(): (len(h.encode()), ACTIONS.index(a)) for a, h, p in entries}
-    items = sorted((digest(s), s, *v) for s, v in merged.items())
-    strings = [i[1] for i in items]
-    paths = sorted({len(s) - h for _, s, h, _ in items})
-    labels = max((s[:h].count(b".") + 1 for _, s, h, _ in items), default=0)
-    head = np.array([_MAGIC, len(items), labels, len(paths), *paths], np.uint64)
-    offsets = np.concatenate(([0], np.cumsum([len(s) for s in strings]))).astype(np.uint64)
-    with open(path, "wb") as f:
-        for part in (head, np.array([i[0] for i in items], np.uint64), offsets, np.array([i[2] for i in items], np.uint32), np.array([i[3] for i in items], np.uint8)):
-            f.write(part.tobytes())
-        f.write(b"".join(strings))
+SEED = 42  # of Spark's xxhash64
+ROWS_A_FILE = 2_000_000
+_TOP = np.uint64(1 << 63)
+
+
+def default_list(spark: SparkSession) -> DataFrame:
+    words = [("block", w, "") for w in BLOCKED_WORDS.split()]
+    return spark.createDataFrame([*RULES, *words], "action string, host string, path string")
+
+
+def sorted_list(listed: DataFrame, rows_a_file: int = ROWS_A_FILE) -> tuple[list[str], list[int], int]:
+    """Sort a list (action, host, path) by digest into files of the shared folder. Returns the files
+    in order, the different lengths of rule paths and the most labels of a rule's host."""
+    text = F.concat("host", F.coalesce("path", F.lit("")))
+    flat = listed.where("host is not null").groupBy(text.alias("text")).agg(F.max(F.when(F.col("action") == ACTIONS[1], 1).otherwise(0)).cast("int").alias("action"))
+    # Spark orders signed numbers: the highest bit is turned for the order of unsigned ones.
+    keyed = flat.select(F.xxhash64("text").bitwiseXOR(F.lit(-(1 << 63))).alias("key"), F.col("text").cast("binary").alias("text"), "action")
+    files = max(1, -(-listed.count() // rows_a_file))
+    table = scratch_table(keyed.repartitionByRange(files, "key").sortWithinPartitions("key", "text"))
+    slash = F.expr("instr(cast(text as string), '/')")
+    rules = table.where(slash > 0)
+    paths = [r[0] for r in rules.select((F.octet_length("text") - F.octet_length(F.substring_index(F.col("text").cast("string"), "/", 1))).alias("n")).distinct().collect()]
+    labels = rules.agg(F.max(F.size(F.split(F.substring_index(F.col("text").cast("string"), "/", 1), r"\.")))).first()[0]
+    return sorted(table.inputFiles(), key=os.path.basename), sorted(paths), labels or 0
+
+
+def lay_out(files: list[str], folder: str) -> None:
+    """The sorted files as flat arrays in `folder`, a row group at a time."""
+    os.makedirs(folder)
+    end = 0
+    with open(f"{folder}/keys", "wb") as keys, open(f"{folder}/ends", "wb") as ends, open(f"{folder}/actions", "wb") as actions, open(f"{folder}/text", "wb") as text:
+        for name in files:
+            for batch in pq.ParquetFile(name).iter_batches(1 << 16):
+                strings = batch.column("text").to_pylist()
+                to = end + np.cumsum(np.fromiter(map(len, strings), np.uint64, len(strings)), dtype=np.uint64)
+                keys.write((batch.column("key").to_numpy().view(np.uint64) ^ _TOP).tobytes())
+                ends.write(to.tobytes())
+                actions.write(batch.column("action").to_numpy().astype(np.uint8).tobytes())
+                text.write(b"".join(strings))
+                end = int(to[-1]) if len(to) else end
 
 
 class DigestArray:
-    """A mapped digest array file."""
-
-    def __init__(self, path: str, digest=xxhash.xxh64_intdigest) -> None:
-        self.digest = digest
-        raw = np.memmap(path, np.uint8, "r")
-        head = raw[:32].view(np.uint64)
-        if int(head[0]) != _MAGIC:
-            raise ValueError(f"{path} is no digest array")
-        n, self.labels, k = (int(x) for x in head[1:])
-        at = 32
-
-        def part(kind: type, count: int) -> np.ndarray:
-            nonlocal at
-            size = np.dtype(kind).itemsize * count
-            out, at = raw[at : at + size].view(kind), at + size
-            return out
+    """The mapped arrays of a folder."""
+
+    def __init__(self, folder: str, paths: list[int], labels: int, digest=lambda s: xxhash.xxh64_intdigest(s, SEED)) -> None:
+        def mapped(name: str, kind: type) -> np.ndarray:
+            full = f"{folder}/{name}"
+            return np.memmap(full, kind, "r") if os.path.getsize(full) else np.zeros(0, kind)
 
-        self.paths = part(np.uint64, k).tolist()
-        self.keys, self.offsets, self.hosts, self.actions = part(np.uint64, n), part(np.uint64, n + 1), part(np.uint32, n), part(np.uint8, n)
-        self.strings = raw[at:]
+        self.digest, self.paths, self.labels = digest, paths, labels
+        self.keys, self.ends, self.actions, self.text = mapped("keys", np.uint64), mapped("ends", np.uint64), mapped("actions", np.uint8), mapped("text", np.uint8)
 
     def string(self, k: int) -> bytes:
-        return self.strings[int(self.offsets[k]) : int(self.offsets[k + 1])].tobytes()
+        return self.text[int(self.ends[k - 1]) if k else 0 : int(self.ends[k])].tobytes()
 
     def find(self, asked: list[bytes]) -> list[int]:
         """The entry of each asked string, or -1."""
@@ -87,7 +113,8 @@ class DigestArray:
             out[q] = next((k for k in range(low[q], high[q]) if self.string(k) == asked[q]), -1)
         return out
 
-    def questions(self, host: bytes, path: bytes) -> list[bytes]:
+    def questions(self, host: bytes, path: bytes) -> list[tuple[bytes, int]]:
+        """(string, length of its host) of every rule that would fit."""
         suffixes, end = [], len(host)
         for _ in range(self.labels):  # no listed host has more labels
             dot = host.rfind(b".", 0, end)
@@ -95,25 +122,39 @@ class DigestArray:
             if dot < 0:
                 break
             end = dot
-        return [s + path[:n] for n in self.paths if n <= len(path) for s in suffixes]
+        return [(s + path[:n], len(s)) for n in self.paths if n <= len(path) for s in suffixes]
 
-    def judge(self, hosts: list[bytes], paths: list[bytes]) -> list[int]:
-        """The winning entry for each URL, or -1."""
-        asked, of = [], []
+    def judge(self, hosts: list[bytes], paths: list[bytes]) -> list[tuple[int, bool]]:
+        """The winning rule for each URL, or -1, and whether a word of its host is blocked."""
+        asked, of, width = [], [], []
         for k, (host, path) in enumerate(zip(hosts, paths, strict=True)):
             mine = self.questions(host, path)
-            asked += mine
-            of += [k] * len(mine)
+            words = {w for label in host.split(b".") for w in label.split(b"-") if w}
+            asked += [s for s, _ in mine] + sorted(words)
+            width += [n for _, n in mine] + [-1] * len(words)
+            of += [k] * (len(mine) + len(words))
         best: list[tuple[int, int, int]] = [(-1, -1, -1)] * len(hosts)
-        for k, entry, text in zip(of, self.find(asked), asked, strict=True):
-            if entry >= 0:
-                best[k] = max(best[k], (len(text), int(self.hosts[entry]), entry))
-        return [b[2] for b in best]
+        blocked = [False] * len(hosts)
+        for k, entry, text, n in zip(of, self.find(asked), asked, width, strict=True):
+            if entry >= 0 and n >= 0:
+                best[k] = max(best[k], (len(text), n, entry))
+            elif entry >= 0:
+                blocked[k] |= bool(self.actions[entry])
+        return [(b[2], w) for b, w in zip(best, blocked, strict=True)]
 
 
 @functools.lru_cache(maxsize=4)
-def _shipped(name: str) -> DigestArray:
-    return DigestArray(SparkFiles.get(name))
+def _shipped(name: str, files: tuple[str, ...], paths: tuple[int, ...], labels: int) -> DigestArray:
+    """The executor's arrays of a list, laid out beside the files that it was handed."""
+    folder = os.path.join(SparkFiles.getRootDirectory(), name)
+    if not os.path.isdir(folder):
+        mine = f"{folder}-{uuid.uuid4().hex}"
+        lay_out([SparkFiles.get(f) for f in files], mine)
+        try:
+            os.rename(mine, folder)
+        except OSError:  # another worker was first
+            shutil.rmtree(mine, ignore_errors=True)
+    return DigestArray(folder, list(paths), labels)
 
 
 def split_url(url: Column) -> tuple[Column, Column]:
@@ -126,33 +167,40 @@ def split_url(url: Column) -> tuple[Column, Column]:
     return F.translate(host, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), path
 
 
-def filter_urls(df: DataFrame, entries: Iterable[tuple[str, str, str]] = RULES, id_col: str = "page_id", url_col: str = "url", default: str = DEFAULT) -> DataFrame:
-    """(id_col, host, path, rule, verdict) for each row."""
-    name = f"digests-{uuid.uuid4().hex}.bin"
-    staged = os.path.join(tempfile.mkdtemp(prefix="digests-"), name)
-    write_digest_array(staged, entries)
-    df.sparkSession.sparkContext.addFile(staged)  # the driver serves it; each executor fetches one copy
-    schema = pa.schema([("id", pa.int64()), ("host", pa.string()), ("path", pa.string()), ("rule", pa.string()), ("verdict", pa.string())])
+def filter_urls(df: DataFrame, listed: DataFrame | Iterable[tuple[str, str, str]] | None = None, id_col: str = "page_id", url_col: str = "url", default: str = DEFAULT) -> DataFrame:
+    """(id, host, path, rule, verdict) for each row, the id under its own name. listed: a table (action,
+    host, path), or a few such entries; none for the default list."""
+    spark = df.sparkSession
+    if listed is None:
+        listed = default_list(spark)
+    elif not isinstance(listed, DataFrame):
+        listed = spark.createDataFrame(list(listed), "action string, host string, path string")
+    sources, paths, labels = sorted_list(listed)
+    for f in sources:
+        spark.sparkContext.addFile(f)  # each executor fetches one copy
+    name, files = f"digests-{uuid.uuid4().hex}", tuple(os.path.basename(f) for f in sources)
+    schema = pa.schema([("__id", pa.int64()), ("host", pa.string()), ("path", pa.string()), ("rule", pa.string()), ("verdict", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        array = _shipped(name)
+        array = _shipped(name, files, tuple(paths), labels)
         for batch in batches:
-            hosts, paths = ([s.encode() for s in c.to_pylist()] for c in (batch.column(1), batch.column(2)))
-            won = array.judge(hosts, paths)
-            rule = [array.string(k).decode() if k >= 0 else None for k in won]
-            verdict = [ACTIONS[array.actions[k]] if k >= 0 else default for k in won]
+            hosts, parts = ([s.encode() for s in c.to_pylist()] for c in (batch.column(1), batch.column(2)))
+            won = array.judge(hosts, parts)
+            rule = [array.string(k).decode() if k >= 0 else None for k, _ in won]
+            verdict = [ACTIONS[array.actions[k]] if k >= 0 else ACTIONS[1] if word else default for k, word in won]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rule, pa.string()), pa.array(verdict, pa.string())], schema=schema)
 
     host, path = split_url(F.col(f"`{url_col}`").cast("string"))
-    parts = df.select(F.col(f"`{id_col}`").cast("long").alias("id"), host.alias("host"), path.alias("path"))
-    return parts.mapInArrow(run, "id long, host string, path string, rule string, verdict string").withColumnRenamed("id", id_col)
+    parts = df.select(F.col(f"`{id_col}`").cast("long").alias("__id"), host.alias("host"), path.alias("path"))
+    out = parts.mapInArrow(run, "__id long, host string, path string, rule string, verdict string")
+    return out.select(F.col("__id").alias(id_col), "host", "path", "rule", "verdict")
 
 
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
 
-SQL = r"""
+SQL = rf"""
 WITH r AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
 h AS (SELECT page_id, regexp_extract(coalesce(rest, ''), '^[^/?#]*') AS host, coalesce(rest, '') AS rest FROM r),
 p AS (SELECT page_id, translate(host, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
@@ -161,5 +209,5 @@ l(rule, rhost, rpath, verdict) AS (VALUES ('net/', 'net', '/', 'block'), ('examp
   ('example.com/de/', 'example.com', '/de/', 'block'), ('org/fr/', 'org', '/fr/', 'allow')),
 m AS (SELECT page_id, arg_max(rule, length(rule)) AS rule, arg_max(verdict, length(rule)) AS verdict
   FROM p JOIN l ON (host = rhost OR ends_with(host, '.' || rhost)) AND starts_with(path, rpath) GROUP BY page_id)
-SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM p LEFT JOIN m USING (page_id)
+SELECT page_id, host, path, rule, coalesce(verdict, CASE WHEN list_has_any(string_split_regex(host, '[.-]'), string_split('{BLOCKED_WORDS}', ' ')) THEN 'block' ELSE 'allow' END) AS verdict FROM p LEFT JOIN m USING (page_id)
 """

@@ -481,32 +481,61 @@ def test_sharding(spark, rows):
 URLS = [
     None, "", "no scheme", "http://net/", "http://net", "https://A.Net/x?y#z", "ftp://u@example.net/en/a/b?c", "http://EXAMPLE.net/en", "http://notexample.net/en/", "http://x.example.com/de/?q",
     "http://example.com/de", "http://org/fr/", "http://a.b.org/fr/x/#f", "http://org.fr/fr/", "x://y://net/z", "http://.net/", "http://net:80/", "http://ex.org?/fr/", "://net/a", "http://ünet.net/é",
+    "http://m.CASINO-win.org/a", "http://casino.example.net/en/", "http://casinos-.org/fr/x", "http://org/casino/", "http://a-bet.c.d.e.f/" + "x" * 100_000, "http://mybets.com/",
 ]
 
 
+def plain_verdict(url, entries):
+    rest = url.split("://", 1)[1] if url and "://" in url else ""
+    host = re.match("[^/?#]*", rest)[0]
+    path = re.match("[^?#]*", rest[len(host) :])[0]
+    host = "".join(c.lower() if "A" <= c <= "Z" else c for c in host)
+    fit = [(len(h + p), len(h), h + p, a) for a, h, p in entries if p and (host == h or host.endswith("." + h)) and path.startswith(p)]
+    word = {a for a, h, p in entries if not p and h in re.split("[.-]", host)}
+    rule, verdict = max(fit)[2:] if fit else (None, "block" if "block" in word else "allow")
+    return host, path, rule, verdict
+
+
 def test_urls(spark):
-    rows = [(k, u) for k, u in enumerate(URLS)]
-    df = spark.createDataFrame([(k, u, "<p>", "h", "p") for k, u in rows], "page_id long, url string, html string, host string, path string")
+    entries = [*urls.RULES, *(("block", w, "") for w in urls.BLOCKED_WORDS.split())]
+    df = spark.createDataFrame([(k, u, "<p>", "h", "p") for k, u in enumerate(URLS)], "page_id long, url string, html string, host string, path string")
     for r in urls.filter_urls(df).collect():
-        url = URLS[r.page_id] or ""
-        rest = url.split("://", 1)[1] if "://" in url else ""
-        host = re.match("[^/?#]*", rest)[0]
-        path = re.match("[^?#]*", rest[len(host) :])[0]
-        host = "".join(c.lower() if "A" <= c <= "Z" else c for c in host)
-        fit = [(len(h + p), h + p, a) for a, h, p in urls.RULES if (host == h or host.endswith("." + h)) and path.startswith(p)]
-        rule, verdict = max(fit)[1:] if fit else (None, "allow")
-        assert (r.host, r.path, r.rule, r.verdict) == (host, path, rule, verdict), url
-
-
-def test_digest_collisions_are_confirmed(tmp_path):
-    path = str(tmp_path / "d.bin")
-    entries = [("block", f"h{k}.org", "/") for k in range(50)]
-    urls.write_digest_array(path, entries, digest=lambda s: len(s) % 3)
-    array = urls.DigestArray(path, digest=lambda s: len(s) % 3)
-    assert [array.string(k) for k in array.find([b"h7.org/", b"h49.org/"])] == [b"h7.org/", b"h49.org/"]
-    assert array.find([b"h77.org/", b""]) == [-1, -1]
-    urls.write_digest_array(path, [])
-    assert urls.DigestArray(path).judge([b"a.b"], [b"/"]) == [-1]
+        assert (r.host, r.path, r.rule, r.verdict) == plain_verdict(URLS[r.page_id], entries), URLS[r.page_id]
+    assert {r.verdict for r in urls.filter_urls(df, []).collect()} == {"allow"}
+    renamed = df.withColumnRenamed("page_id", "__k").drop("host").withColumnRenamed("__k", "host")
+    assert urls.filter_urls(renamed, id_col="host").select("verdict").count() == len(URLS)
+
+
+def test_a_listed_table_in_several_files(spark, monkeypatch):
+    """A list of thousands of full URLs and hosts, sorted by Spark into several files."""
+    monkeypatch.setattr(urls.sorted_list, "__defaults__", (700,))
+    rng = random.Random(6)
+    hosts = [f"h{k % 97}.{'x' * (k % 5)}site{k % 53}.org" for k in range(900)]
+    entries = [(rng.choice(urls.ACTIONS), h, f"/p{k % 41}/" + "q" * (k % 7)) for k, h in enumerate(hosts)] + [("block", f"word{k}", "") for k in range(900)]
+    merged = {}
+    for a, h, p in entries:
+        merged[h, p] = max(a, merged.get((h, p), a))
+    asked = [f"https://sub.{rng.choice(hosts)}/p{rng.randrange(50)}/{'q' * rng.randrange(9)}?x" for _ in range(400)] + [f"http://a.word{k * 3}-b.com/" for k in range(200, 400)]
+    listed = spark.createDataFrame(entries, "action string, host string, path string")
+    df = spark.createDataFrame(list(enumerate(asked)), "page_id long, url string")
+    out = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in urls.filter_urls(df, listed).collect()}
+    want = {k: plain_verdict(u, [(a, h, p) for (h, p), a in merged.items()]) for k, u in enumerate(asked)}
+    assert out == want
+    assert len(urls.sorted_list(listed)[0]) > 1 and {v[3] for v in want.values()} == set(urls.ACTIONS)
+
+
+def test_digest_collisions_are_confirmed(spark, tmp_path):
+    """Every string under one of three digests, in the file's order."""
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    strings = sorted((len(s) % 3, s) for s in (f"h{k}.org/".encode() for k in range(120)))
+    keys = np.array([k for k, _ in strings], np.uint64) ^ np.uint64(1 << 63)
+    pq.write_table(pa.table({"key": keys.view(np.int64), "text": pa.array([s for _, s in strings], pa.binary()), "action": pa.array([1] * len(strings), pa.int32())}), tmp_path / "a.parquet")
+    urls.lay_out([str(tmp_path / "a.parquet")], str(tmp_path / "array"))
+    array = urls.DigestArray(str(tmp_path / "array"), [1], 2, digest=lambda s: len(s) % 3)
+    assert [array.string(k) for k in array.find([b"h7.org/", b"h49.org/", b"h119.org/"])] == [b"h7.org/", b"h49.org/", b"h119.org/"]
+    assert array.find([b"h777.org/", b""]) == [-1, -1]
 
 
 OPERATORS = {
