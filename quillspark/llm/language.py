@@ -5,18 +5,22 @@ which half the text's language is in. Decoding sums the logistic losses of the b
 codeword, weighted by how well each bit classifier does on its training texts, and takes the codeword
 with the least loss; a small margin to the second marks the prediction as ambiguous.
 
-Features of a text are counts over the whole text, never a prefix. The classifiers are fitted on the
-driver on a sample of at most `per_language` labelled texts of each of at most `max_languages`
-languages (the most frequent), of which only the feature vectors leave the executors.
+Features of a text are counts over the whole text, never a prefix. Every language of the labelled rows
+is learned, from a bounded sample: at most `per_language` texts of each (parameter). The classifiers of
+all bits are fitted on the executors, on blocks of at most `block_rows` feature vectors, and averaged
+over the blocks bit by bit; the driver sees the language names and the averaged weights only.
 
 Learning: rows whose crc32 of the id as text is not 2 modulo 4, with language and text. Defined
 results. Null text or text without a letter: `und`, score 0, not ambiguous. Null ids are never
-learned from and count as not held out. With no rows to learn from every text is `und`; with one
-language every text with a letter is of it. Repeated rows get equal predictions.
+learned from and count as not held out. With no rows to learn from (as in an empty table) every text is
+`und`; with one language every text with a letter is of it. Repeated rows get equal predictions. Of
+equal losses the first language by name is taken, marked ambiguous. Very long texts are counted in
+slices, whole. Other columns are ignored, whatever their names. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -25,12 +29,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quillspark.llm._util import bounded_batches, chunks, text_view
+from quillspark.llm._util import bounded_batches, checkpointed, chunks, text_view
 
 ORDERS = (2, 3)
 BUCKETS = 8192
 PER_LANGUAGE = 300
-MAX_LANGUAGES = 256
+BLOCK_ROWS = 2400
 AMBIGUOUS_MARGIN = 0.5
 
 _FOLD = np.arange(256, dtype=np.uint32)
@@ -92,9 +96,10 @@ class Model:
     trust: np.ndarray
 
     def losses(self, x: np.ndarray) -> np.ndarray:
+        """Logistic losses of all bits against each codeword, weighted by trust."""
         margins = x @ self.weights + self.bias
-        per_bit = np.logaddexp(0, -margins[:, None, :] * self.code[None])
-        return per_bit @ self.trust
+        one, zero = self.code.T > 0, self.code.T < 0
+        return (np.logaddexp(0, -margins) * self.trust) @ one + (np.logaddexp(0, margins) * self.trust) @ zero
 
     def predict(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Index of the language, its score in 0..1, and whether the second is close."""
@@ -108,13 +113,13 @@ class Model:
         return best, score, np.zeros(len(best), bool)
 
 
-def fit(x: np.ndarray, y: list[str], rounds: int = 120) -> Model:
-    """Ridge-penalised logistic regressions for all bits at once, by accelerated gradient steps."""
-    languages = sorted(set(y))
-    code = codewords(len(languages))
-    row = np.array([languages.index(v) for v in y], np.int64)
-    bits = code[row] if len(row) else np.zeros((0, code.shape[1]), np.float32)
-    balance = (1 / np.bincount(row, minlength=max(1, len(languages))))[row][:, None].astype(np.float32) if len(row) else np.zeros((0, 1), np.float32)
+def fit_bits(x: np.ndarray, row: np.ndarray, code: np.ndarray, rounds: int = 120) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ridge-penalised logistic regressions for all bits at once, by accelerated gradient steps.
+
+    row: the language of each vector, a row of code. Returns weights, bias and the share of each bit
+    that comes out right on x. Languages count alike, whatever their number of vectors."""
+    bits = code[row]
+    balance = (1 / np.bincount(row, minlength=len(code))[row])[:, None].astype(np.float32)
     balance /= max(balance.sum(), 1e-9)
     w = np.zeros((BUCKETS, code.shape[1]), np.float32)
     b = np.zeros(code.shape[1], np.float32)
@@ -125,42 +130,67 @@ def fit(x: np.ndarray, y: list[str], rounds: int = 120) -> Model:
         vw = 0.9 * vw - rate * (x.T @ slope + decay * w)
         vb = 0.9 * vb - rate * slope.sum(axis=0)
         w, b = w + vw, b + vb
-    right = ((x @ w + b) * bits > 0).mean(axis=0) if len(row) and code.shape[1] else np.ones(code.shape[1])
+    return w, b, ((x @ w + b) * bits > 0).mean(axis=0)
+
+
+def model_of(languages: list[str], code: np.ndarray, weights: np.ndarray, bias: np.ndarray, right: np.ndarray) -> Model:
     trust = np.log((right + 0.01) / (1.01 - right)).clip(0.05)
-    return Model(languages, code, w, b, (trust / max(trust.sum(), 1e-9) * max(1, len(trust))).astype(np.float32))
+    return Model(languages, code, weights, bias, (trust / max(trust.sum(), 1e-9) * max(1, len(trust))).astype(np.float32))
 
 
 def held_out(id_column: str) -> F.Column:
     return F.coalesce(F.crc32(F.col(id_column).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def learn(df: DataFrame, id_col: str, text_col: str, lang_col: str, per_language: int = PER_LANGUAGE, max_languages: int = MAX_LANGUAGES) -> Model:
+def learn(df: DataFrame, id_col: str, text_col: str, lang_col: str, per_language: int = PER_LANGUAGE, block_rows: int = BLOCK_ROWS) -> Model:
     """Fit on a bounded sample of the labelled rows that are not held out."""
     bounded_batches(df.sparkSession)
     known = df.select(F.col(f"`{id_col}`").alias("__id"), F.col(f"`{text_col}`").alias("__text"), F.col(f"`{lang_col}`").cast("string").alias("__lang"))
     known = known.where("__id is not null and __lang is not null and __text is not null").where(~held_out("__id"))
-    counts = known.groupBy("__lang").count().orderBy(F.desc("count"), "__lang").limit(max_languages).collect()
-    if not counts:
-        return fit(np.zeros((0, BUCKETS), np.float32), [])
+    counts = checkpointed(known.groupBy("__lang").agg(F.count("*").alias("__rows")))
+    languages = sorted(r[0] for r in counts.select("__lang").collect())  # names only
+    code = codewords(len(languages))
+    if not code.shape[1]:
+        return model_of(languages, code, np.zeros((BUCKETS, 0), np.float32), np.zeros(0, np.float32), np.ones(0))
     # A seeded share of each language that leaves a few times the bound, then the bound itself.
-    share = F.create_map(*(x for r in counts for x in (F.lit(r["__lang"]), F.lit(min(1.0, 3.0 * per_language / r["count"])))))
     draw = F.pmod(F.xxhash64("__id", F.lit(11)), F.lit(1 << 30)) / float(1 << 30)
-    drawn = known.where(draw < share[F.col("__lang")])
+    drawn = known.join(counts, "__lang").where(draw * F.col("__rows") < 3.0 * per_language).drop("__rows")
     first = Window.partitionBy("__lang").orderBy(F.xxhash64("__id", F.lit(11)), "__id")
     chosen = drawn.select("__id", "__lang").withColumn("__n", F.row_number().over(first)).where(f"__n <= {per_language}").select("__id").distinct()
     sample = drawn.join(chosen, "__id", "left_semi").select("__text", "__lang")
-    schema = pa.schema([("lang", pa.string()), ("vector", pa.binary())])
+    blocks = -(-per_language * len(languages) // block_rows)
+    schema = pa.schema([("block", pa.int32()), ("row", pa.int64()), ("vector", pa.binary())])
+    place = {name: k for k, name in enumerate(languages)}
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = text_view(batch.column(0))
-            texts = [data[a:b] for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
-            keep = [k for k, t in enumerate(texts) if has_letter(t)]
-            yield pa.RecordBatch.from_arrays([batch.column(1).take(pa.array(keep, pa.int64())), pa.array([features(texts[k]).astype(np.float16).tobytes() for k in keep], pa.binary())], schema=schema)
-
-    found = sorted((r[0], bytes(r[1])) for r in sample.mapInArrow(run, "lang string, vector binary").collect())  # per_language x max_languages at most, 16 KB each
-    x = np.stack([np.frombuffer(v, np.float16) for _, v in found]).astype(np.float32) if found else np.zeros((0, BUCKETS), np.float32)
-    return fit(x, [lang for lang, _ in found])
+            out: tuple[list, list, list] = [], [], []
+            for a, b, lang in zip(offsets[:-1], offsets[1:], batch.column(1).to_pylist(), strict=True):
+                if has_letter(data[a:b]):
+                    vector = features(data[a:b]).astype(np.float16).tobytes()
+                    for column, value in zip(out, (zlib.crc32(vector) % blocks, place[lang], vector), strict=True):
+                        column.append(value)
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, schema, strict=True)], schema=schema)
+
+    def fit_block(table: pa.Table) -> pa.Table:
+        x = np.stack([np.frombuffer(v.as_buffer(), np.float16) for v in table.column("vector")]).astype(np.float32)
+        order = np.lexsort((*x[:, :8].T, table.column("row").to_numpy()))  # as the rows arrive in any order
+        w, b, right = fit_bits(x[order], table.column("row").to_numpy()[order], code)
+        bits = np.arange(code.shape[1], dtype=np.int32)
+        packed = [np.append(w[:, k], (b[k], right[k])).astype(np.float32).tobytes() for k in bits]
+        return pa.table({"bit": bits, "n": np.full(len(bits), len(x)), "weights": pa.array(packed, pa.binary())})
+
+    def average(table: pa.Table) -> pa.Table:
+        n = table.column("n").to_numpy()
+        parts = np.stack([np.frombuffer(v.as_buffer(), np.float32) for v in table.column("weights")])
+        return pa.table({"bit": table.column("bit").combine_chunks().slice(0, 1), "weights": pa.array([np.average(parts, axis=0, weights=n).astype(np.float32).tobytes()], pa.binary())})
+
+    fitted = sample.mapInArrow(vectors, "block int, row long, vector binary").groupBy("block").applyInArrow(fit_block, "bit int, n long, weights binary")
+    found = {r["bit"]: np.frombuffer(r["weights"], np.float32) for r in fitted.groupBy("bit").applyInArrow(average, "bit int, weights binary").collect()}  # 32 KB a bit
+    none = np.zeros(BUCKETS + 2, np.float32)
+    flat = np.stack([found.get(k, none) for k in range(code.shape[1])], axis=1)
+    return model_of(languages, code, flat[:-2], flat[-2], flat[-1].astype(np.float64))
 
 
 def identify(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

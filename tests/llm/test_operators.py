@@ -452,6 +452,29 @@ def test_language(spark):
     assert {r.lang_pred for r in language.identify(docs, none).collect()} == {"und"}
 
 
+def test_many_languages_in_blocks(spark):
+    """More languages than one block of vectors can hold, each learned; every prediction as a plain decoder makes it."""
+    rng = random.Random(12)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    sounds = {f"l{k:03d}": rng.sample([a + b for a in letters for b in letters], 8) for k in range(60)}
+    texts = [(lang, " ".join("".join(rng.choices(sounds[lang], k=3)) for _ in range(40))) for lang in sounds for _ in range(24)]
+    docs = table(spark, [(i, text, lang) for i, (lang, text) in enumerate(texts)])
+    model = language.learn(docs, "doc_id", "text", "lang", per_language=12, block_rows=300)
+    assert model.languages == sorted(sounds) and model.weights.shape == (language.BUCKETS, model.code.shape[1])
+    out = {r.doc_id: r for r in language.identify(docs, model).collect()}
+    wrong = sum(out[i].lang_pred != lang for i, (lang, _) in enumerate(texts) if out[i].held_out)
+    assert wrong <= 0.02 * len(texts)
+    for i in range(0, len(texts), 7):
+        x = language.features(np.frombuffer(texts[i][1].encode(), np.uint8)).astype(np.float64)
+        loss = [sum(model.trust[b] * np.log1p(np.exp(-word[b] * (x @ model.weights[:, b] + model.bias[b]))) for b in range(len(word))) for word in model.code]
+        two = np.sort(loss)[:2]
+        if two[1] - two[0] > 1e-3:
+            assert out[i].lang_pred == model.languages[int(np.argmin(loss))]
+        assert out[i].score == pytest.approx(1 / sum(np.exp(min(loss) - v) for v in loss), rel=1e-2)
+        if abs(two[1] - two[0] - language.AMBIGUOUS_MARGIN) > 1e-3:
+            assert out[i].ambiguous == (two[1] - two[0] < language.AMBIGUOUS_MARGIN)
+
+
 def test_codewords_are_apart():
     for k in (2, 3, 4, 5, 6, 20):
         code = language.codewords(k)
