@@ -57,6 +57,15 @@ def scratch_table(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows of a table that may be broadcast (ids, terms and counts, under 100 bytes each); beyond it is joined.
+BROADCAST_ROWS = 200_000
+
+
+def small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+    """df (checkpointed), marked for broadcast if it has at most `most` rows."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
 def bounded_batches(spark: SparkSession) -> None:
     """Hand texts to Python in Arrow batches of at most BATCH_BYTES (a longer text stands alone)."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm._util import bounded_batches, checkpointed, chunks, mix, shuffle_partitions, text_view
+from quillspark.llm._util import bounded_batches, checkpointed, chunks, mix, shuffle_partitions, small, text_view
 from quillspark.llm.components import connected_components
 from quillspark.llm.simhash import Forest, fingerprint, fingerprint_links, shingle_hashes, tile_links
 
@@ -67,8 +67,8 @@ def near_duplicate_groups(df: DataFrame, id_col: str = "doc_id", text_col: str =
     parts = connected_components(edges, "a", "b").withColumnRenamed("node", "rep")
     known = prints_of.join(parts, "rep", "left").select(*names, F.coalesce("component", "rep").alias("component"))
     members = checkpointed(texts.where("n > 0").join(known, names).select("key", "id", "n", "component", *names))
-    sizes = members.groupBy("component").agg(F.count("*").alias("texts"), F.ceil(F.sum("n") * 8 / block_bytes).cast("int").alias("blocks")).where("texts > 1")
-    wanted = members.join(sizes, "component").drop("texts")
+    sizes = members.groupBy("component").agg(F.count("*").alias("texts"), F.ceil(F.sum("n") * 8 / block_bytes).cast("int").alias("blocks")).where("texts > 1").drop("texts")
+    wanted = members.join(small(checkpointed(sizes)), "component")
     near = verified_links(docs, wanted, names, shingle, similarity, radius)
     groups = connected_components(near, "a", "b")
     out = texts.join(groups, texts["key"] == groups["node"], "left")

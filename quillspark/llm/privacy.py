@@ -30,12 +30,10 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm._util import checkpointed, rows
+from quillspark.llm._util import BROADCAST_ROWS, checkpointed, rows, small
 
 KINDS = ("email", "ip", "card", "phone", "term")
 REMOVED, GENERALISED = 5, 10  # kinds of term spans; a generalised one adds its power of ten
-#: Rows of a table that may be broadcast (terms and pairs, under 100 bytes each); beyond it is joined.
-BROADCAST_ROWS = 200_000
 WINDOW_WORDS, WINDOW_CHARS, LEAST_LETTERS = 6, 120, 4
 #: Thresholds of the revealed share: half of an entity's information, and four fifths of it.
 SUPPORT, GENERALISE, REMOVE = 2, 0.5, 0.8
@@ -161,11 +159,6 @@ def detect(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, _FOUND_DDL)
 
 
-def _small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
-    """df (checkpointed), marked for broadcast if it has at most `most` rows."""
-    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
-
-
 def corpus_counts(docs: DataFrame, terms: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
     """(term, n_t): how many rows of docs (__id, __text) hold each of the terms (checkpointed)."""
     text = F.translate(F.coalesce("__text", F.lit("")), _UPPER, _LOWER)
@@ -194,7 +187,7 @@ def disclosing_pairs(docs: DataFrame, found: DataFrame, support: int, generalise
 
 def term_spans(texts: DataFrame, pairs: DataFrame) -> DataFrame:
     """(digest, terms): the spans of disclosing terms of each distinct text."""
-    places = texts.select("digest", F.explode("near").alias("x")).select("digest", "x.entity", "x.term", "x.spans").join(_small(pairs), ["entity", "term"])
+    places = texts.select("digest", F.explode("near").alias("x")).select("digest", "x.entity", "x.term", "x.spans").join(small(pairs), ["entity", "term"])
     marked = F.transform("spans", lambda s: F.struct(s["start"].alias("start"), F.col("kind").alias("kind"), s["end"].alias("end")))
     return checkpointed(places.groupBy("digest").agg(F.array_distinct(F.flatten(F.collect_list(marked))).alias("terms")))
 
@@ -206,7 +199,7 @@ def find_personal_data(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     found = checkpointed(detect(docs))
     near = F.size("near") > 0
     some = found.where(near).select("digest", "near").dropDuplicates(["digest"])
-    terms = _small(term_spans(some, disclosing_pairs(docs, found, support, generalise, remove)))
+    terms = small(term_spans(some, disclosing_pairs(docs, found, support, generalise, remove)))
     hit = found.where(near).join(terms, "digest", "left").select("id", "digest", "base", "terms")
     rest = found.where(~near).select("id", "digest", "base", F.lit(None).cast(f"array<{_SPAN}>").alias("terms"))
     out = hit.unionByName(rest).withColumn("terms", F.coalesce("terms", F.array().cast(f"array<{_SPAN}>")))
@@ -228,7 +221,7 @@ def sanitise(df: DataFrame, text_col: str = "text", support: int = SUPPORT, gene
     found = checkpointed(detect(docs).where(F.size("base") > 0))
     some = found.where(F.size("near") > 0).select("digest", "near").dropDuplicates(["digest"])
     terms = term_spans(some, disclosing_pairs(docs, found, support, generalise, remove))
-    terms = _small(terms.select(F.col("digest").alias("__digest"), F.col("terms").alias("__terms")))
+    terms = small(terms.select(F.col("digest").alias("__digest"), F.col("terms").alias("__terms")))
     names, at = df.columns, df.columns.index(text_col)
 
     def with_text(batch: pa.RecordBatch, texts: list) -> list[pa.Array]:

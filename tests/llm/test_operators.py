@@ -202,6 +202,49 @@ def test_tiles_between_sets():
     assert got == {(i, j) for i in range(len(words)) for j in range(i + 1, len(words)) if int(words[i, 0] ^ words[j, 0]).bit_count() <= 4}
 
 
+def test_tiles_beyond_the_radius_are_skipped():
+    rng = np.random.default_rng(3)
+    words = rng.integers(0, 1 << 63, 3000, np.uint64)[:, None]
+    words = np.concatenate([words, words[:500] ^ np.uint64(9)])
+    words = words[np.argsort(np.bitwise_count(words[:, 0]), kind="stable")]
+    pop = np.bitwise_count(words[:, 0]).astype(np.int64)
+    tiles = -(-len(words) // 64)
+    taken = set(simhash.tiles_in_reach(pop, pop, 4, True, 64))
+    assert len(taken) < 0.8 * tiles * (tiles + 1) / 2
+    for i in range(0, len(words), 64):
+        for j in range(i, len(words), 64):
+            near = np.abs(pop[i : i + 64, None] - pop[None, j : j + 64]).min() <= 4
+            assert near == ((i, j) in taken)
+
+
+@pytest.mark.parametrize("hot", [40, 10**6])
+def test_hot_slices_are_dealt_by_population_tiles(spark, hot):
+    """Hundreds of fingerprints that share 52 bits, so that slices hold them all: dealt by tiles, linked as by brute force."""
+    from pyspark.sql import functions as F
+
+    rng = np.random.default_rng(9)
+    base = np.uint64(0x0F0F_3C3C_A5A5_F000)
+    words = np.unique(np.concatenate([base ^ rng.integers(0, 1 << 12, 300, np.uint64), rng.integers(0, 1 << 63, 60, np.uint64)]))
+    rows = [(int(np.int64(w.view(np.int64))), None if k % 11 == 0 else k) for k, w in enumerate(words)]
+    prints = spark.createDataFrame(rows, "f0 long, least long").repartition(3)
+    links = simhash.block_links(prints, 4, hot=hot).collect()
+    held = dict(rows)
+    forest = simhash.Forest(len(words))
+    at = {f: k for k, (f, _) in enumerate(rows)}
+    for r in links:
+        assert (held[r.f], held[r.f_to]) == (r.least, r.least_to)
+        forest.link(np.array([at[r.f]]), np.array([at[r.f_to]]))
+    want = brute_components(range(len(words)), lambda a, b: int(words[a] ^ words[b]).bit_count() <= 4)
+    assert {k: int(c) for k, c in enumerate(forest.root)} == want and len(set(want.values())) < len(words) - 250
+    # Pairs of tiles farther apart than the radius are never formed.
+    counts = spark.createDataFrame([(0, 1, p, 45) for p in (10, 12, 30)], "mask int, key long, pop int, n long")
+    tiles = simhash.tile_numbers(counts, 40)
+    pairs = tiles.withColumn("pop", F.explode(F.array(F.lit(10), F.lit(12), F.lit(30)))).withColumn("part", F.explode(F.array(F.lit(0), F.lit(1)))).select(F.explode(simhash.tile_pairs(4)).alias("p")).distinct().collect()
+    assert {((r.p.low.pop, r.p.low.part), (r.p.high.pop, r.p.high.part)) for r in pairs} == {
+        (a, b) for a in [(p, k) for p in (10, 12, 30) for k in (0, 1)] for b in [(p, k) for p in (10, 12, 30) for k in (0, 1)] if a <= b and abs(a[0] - b[0]) <= 4
+    }
+
+
 def test_components_of_a_long_path(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(0, 60)] + [(100, 101), (101, 100), (102, 102)], "a long, b long")
     out = {r.node: r.component for r in connected_components(edges).collect()}
@@ -408,8 +451,7 @@ def brute_terms(rows, support, generalise, remove):
 @pytest.mark.parametrize("most", [0, 1000])
 def test_disclosure_against_counting(spark, monkeypatch, most):
     """Values, groups and kinds as entities, copies, near copies; with and without broadcasts."""
-    monkeypatch.setattr(privacy, "BROADCAST_ROWS", most)
-    monkeypatch.setattr(privacy._small, "__defaults__", (most,))
+    monkeypatch.setattr(privacy.small, "__defaults__", (most,))
     monkeypatch.setattr(privacy.corpus_counts, "__defaults__", (most,))
     rng = random.Random(8)
     vocabulary = [c + "".join(rng.choices("abcdéÉßжŽ", k=6)) for c in "ABcdeжéß" for _ in range(12)]
