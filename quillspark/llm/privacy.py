@@ -23,6 +23,7 @@ an empty result. Offsets are code points, ends exclusive.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -160,12 +161,24 @@ def detect(docs: DataFrame) -> DataFrame:
 
 
 def corpus_counts(docs: DataFrame, terms: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
-    """(term, n_t): how many rows of docs (__id, __text) hold each of the terms (checkpointed)."""
-    text = F.translate(F.coalesce("__text", F.lit("")), _UPPER, _LOWER)
-    words = docs.select(F.explode(F.array_distinct(F.split(text, f"[^{LETTERS}]+"))).alias("term")).where(F.length("term") >= LEAST_LETTERS)
-    if terms.limit(most + 1).count() <= most:
-        return words.join(F.broadcast(terms), "term", "left_semi").groupBy("term").agg(F.count("*").alias("n_t"))
-    return words.groupBy("term").agg(F.count("*").alias("n_t")).join(terms, "term", "left_semi")
+    """(term, n_t): how many rows of docs (__id, __text) hold each of the terms (checkpointed). Up to
+    `most` terms are sent to all tasks, which count them alone; more are joined to counts of all words."""
+    if terms.limit(most + 1).count() > most:
+        lowered = docs.select(F.array_distinct(F.split(F.translate(F.coalesce("__text", F.lit("")), _UPPER, _LOWER), f"[^{LETTERS}]+")).alias("words"))
+        words = lowered.select(F.explode("words").alias("term")).where(F.length("term") >= LEAST_LETTERS)
+        return words.groupBy("term").agg(F.count("*").alias("n_t")).join(terms, "term", "left_semi")
+    wanted = frozenset(r[0] for r in terms.collect())  # at most `most`
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: Counter[str] = Counter()
+        for batch in batches:
+            for value in batch.column(1):
+                text = (value.as_py() or "").encode().lower().decode()  # on bytes, A-Z only
+                found = _TERM.findall(text) if len(text) < 1 << 20 else (m[0] for m in _TERM.finditer(text))
+                counts.update(wanted.intersection(found))
+        yield pa.RecordBatch.from_pydict({"term": pa.array(counts.keys(), pa.string()), "n": pa.array(counts.values(), pa.int64())})
+
+    return docs.mapInArrow(count, "term string, n long").groupBy("term").agg(F.sum("n").alias("n_t"))
 
 
 def disclosing_pairs(docs: DataFrame, found: DataFrame, support: int, generalise: float, remove: float) -> DataFrame:
