@@ -1,9 +1,10 @@
 """Find anchor codes that occur more than once in a corpus, and tell each document its own.
 
-Anchors are 48-bit codes of short passages. A task packs the codes of a run of documents into one
-blob per bucket, so that the shuffle moves a few bytes an anchor and rows by the thousand. A code
-seen twice in the same run is settled there and enters its bucket once (map-side combine), which
-keeps a passage that a third of all documents share from filling one task.
+Anchors are 48-bit codes of short passages. A task gathers the codes of its documents over all its
+batches, up to a bound, and packs them into one blob per bucket, so that the shuffle moves a few bytes an
+anchor and rows by the thousand, in proportion to the input. A code seen twice in the same run is settled
+there and enters its bucket once (map-side combine), which keeps a passage that a third of all documents
+share from filling one task.
 """
 
 from __future__ import annotations
@@ -20,6 +21,9 @@ from quillspark.llm._util import batch_of, by_bucket, chunks, joined, mix, plane
 CODE_BITS = 48
 _SHIFT = np.uint64(64 - CODE_BITS)
 
+#: A task's run: this many items, or 64 for each bucket if that is more, are packed at once.
+RUN_ITEMS = 1 << 20
+
 _BLOBS = pa.schema([("bucket", pa.int32()), ("settled", pa.bool_()), ("codes", pa.binary()), ("docs", pa.binary())])
 _FOUND = pa.schema([("__id", pa.int64()), ("codes", pa.binary())])
 
@@ -33,7 +37,20 @@ def bucket_of(codes: np.ndarray, buckets: int) -> np.ndarray:
     return ((mix(codes) >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
 
 
-def shared_codes(docs: DataFrame, anchors: Callable, within: bool, per_partition: int = 4) -> DataFrame:
+def runs(parts: Iterator[tuple[np.ndarray, ...]], items: int) -> Iterator[list[np.ndarray]]:
+    """Arrays of equal length, gathered until there are `items` of them at least; the last run may be shorter."""
+    held, n = [], 0
+    for part in parts:
+        held.append(part)
+        n += len(part[0])
+        if n >= items:
+            yield [np.concatenate(x) for x in zip(*held, strict=True)]
+            held, n = [], 0
+    if n:
+        yield [np.concatenate(x) for x in zip(*held, strict=True)]
+
+
+def shared_codes(docs: DataFrame, anchors: Callable, within: bool, per_partition: int = 1, run_items: int = RUN_ITEMS) -> DataFrame:
     """Rows (__id, codes) of the anchor codes of a document that occur elsewhere too.
 
     docs: columns __id, __text; rows with a null id are passed over. anchors(data, offsets) gives hashes and their rows.
@@ -41,38 +58,42 @@ def shared_codes(docs: DataFrame, anchors: Callable, within: bool, per_partition
     """
     buckets = per_partition * shuffle_partitions(docs.sparkSession)
 
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        spread = 0
+    def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         for batch in batches:
             batch = batch.filter(batch.column(0).is_valid())
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             data, offsets = text_view(batch.column(1))
             for i, j in chunks(offsets):
                 hashes, row = anchors(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-                if not len(hashes):
-                    continue
-                codes, owner = code_of(hashes), ids[i:j][row]
-                order = np.argsort(codes, kind="stable")
-                code, own = codes[order], owner[order]
-                start, end = runs_of(code)
-                again = (end - start > 1) if within else np.maximum.reduceat(own, start) != np.minimum.reduceat(own, start)
-                local = np.repeat(again, end - start)
-                if local.any():
-                    spread += 1
-                    c, d = code[local], own[local]
-                    yield batch_of(_BLOBS, bucket=[spread % buckets], settled=[True], codes=[planes(c, 8)], docs=[planes(d, 8)])
-                keep = np.sort(order[start])
-                code, own = codes[keep], owner[keep]
-                order, present, cut = by_bucket(bucket_of(code, buckets))
-                code, own = code[order], own[order]
+                if len(hashes):
+                    yield code_of(hashes), ids[i:j][row]
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for spread, (codes, owner) in enumerate(runs(coded(batches), max(run_items, 64 * buckets))):
+            order = np.argsort(codes, kind="stable")
+            code, own = codes[order], owner[order]
+            start, end = runs_of(code)
+            again = (end - start > 1) if within else np.maximum.reduceat(own, start) != np.minimum.reduceat(own, start)
+            local = np.repeat(again, end - start)
+            if local.any():
+                # Settled codes need no bucket of their own: each document's go anywhere, but together.
+                c, d = code[local], own[local]
+                order_, present, cut = by_bucket(bucket_of(d.view(np.uint64) ^ np.uint64(spread), buckets))
                 spans = list(zip(cut[:-1], cut[1:], strict=True))
-                yield batch_of(
-                    _BLOBS,
-                    bucket=present.astype(np.int32),
-                    settled=[False] * len(spans),
-                    codes=[planes(code[a:b], 6) for a, b in spans],
-                    docs=[planes(own[a:b], 8) for a, b in spans],
-                )
+                c, d = c[order_], d[order_]
+                yield batch_of(_BLOBS, bucket=present.astype(np.int32), settled=[True] * len(spans), codes=[planes(c[a:b], 8) for a, b in spans], docs=[planes(d[a:b], 8) for a, b in spans])
+            keep = np.sort(order[start])
+            code, own = codes[keep], owner[keep]
+            order, present, cut = by_bucket(bucket_of(code, buckets))
+            code, own = code[order], own[order]
+            spans = list(zip(cut[:-1], cut[1:], strict=True))
+            yield batch_of(
+                _BLOBS,
+                bucket=present.astype(np.int32),
+                settled=[False] * len(spans),
+                codes=[planes(code[a:b], 6) for a, b in spans],
+                docs=[planes(own[a:b], 8) for a, b in spans],
+            )
 
     def settle(table: pa.Table) -> pa.Table:
         flags = table.column("settled").to_numpy()

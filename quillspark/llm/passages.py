@@ -7,10 +7,10 @@ that starts at a cover position in both, and hashing the seeds at cover position
 finds every repeat. Windows around seeds that occur in several documents are then compared whole.
 
 Defined results. Null or empty text: no words, nothing removed, empty kept text. A null id is
-ordered against nothing: such rows keep all their words and remove none. Rows with the same id
+ordered against nothing: such rows keep all their words and remove none. Rows with the same id (ties)
 never remove each other's words (no id is smaller), but each is judged against smaller ids.
-Columns other than the id and the text are ignored, whatever their names. An empty table gives an
-empty result.
+Very long texts are cut into words by the batch, whole. Columns other than the id and the text are
+ignored, whatever their names. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm._candidates import bucket_of, code_of, codes_by_row, marked, shared_codes
+from quillspark.llm._candidates import bucket_of, code_of, codes_by_row, marked, runs, shared_codes
 from quillspark.llm._util import (
     batch_of,
     by_bucket,
@@ -46,6 +46,8 @@ WINDOW = 13
 #: Period -> a difference cover of it (every residue is a difference of two members).
 COVERS = {3: (0, 1), 7: (0, 1, 3), 13: (0, 1, 3, 9)}
 PERIOD = 7
+#: Windows that a task gathers before it packs them (16 for each bucket if that is more).
+RUN_WINDOWS = 1 << 19
 
 _WINDOWS = pa.schema([("bucket", pa.int32()), ("settled", pa.bool_()), ("docs", pa.binary()), ("at", pa.binary()), ("hashes", pa.binary())])
 _PLACES = pa.schema([("__id", pa.int64()), ("places", pa.binary())])
@@ -100,15 +102,15 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, period: int = PERIOD
     Several rows of one id and repeated places are possible."""
     if window - period + 1 < 1 or period not in COVERS:
         raise ValueError(f"no cover of period {period} for windows of {window} words")
-    buckets = 4 * shuffle_partitions(docs.sparkSession)
+    buckets = shuffle_partitions(docs.sparkSession)
 
     def anchors(data: np.ndarray, offsets: np.ndarray):
         starts, ends, row, first = _cut(data, offsets)
         seeds, at = cover_seeds(word_hashes(data, starts, ends), row, first, window, period)
         return seeds, row[at]
 
-    def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        spread = 0
+    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
+        """Key (two halves), document, place and dealing hash of each window around a shared seed."""
         for batch in batches:
             batch = batch.filter(batch.column(2).is_valid())
             ids, lists = batch.column(0).to_numpy(zero_copy_only=False), batch.column(2)
@@ -133,31 +135,37 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, period: int = PERIOD
                 if not len(begin):
                     continue
                 keys = window_keys(text, starts, ends, begin, window)
-                owner, place = ids[i:j][row[begin]], begin - first[row[begin]]
                 # Neighbouring windows mostly share their least 4-word hash, and so their bucket.
                 least4 = slide(ngram_hashes(words, min(4, window)), max(1, window - 3), np.minimum)[begin]
-                order = np.lexsort((keys[:, 1], keys[:, 0]))
-                high, low, own, place, least4 = keys[order, 0], keys[order, 1], owner[order], place[order], least4[order]
-                new = np.concatenate(([True], (high[1:] != high[:-1]) | (low[1:] != low[:-1])))
-                start = np.flatnonzero(new)
-                least = np.repeat(np.minimum.reduceat(own, start), np.diff(np.append(start, len(own))))
-                late = own > least
-                if late.any():
-                    spread += 1
-                    yield batch_of(_WINDOWS, bucket=[spread % buckets], settled=[True], docs=[planes(own[late], 8)], at=[planes(place[late], 4)], hashes=[b""])
-                high, low, own, place, least4 = high[~late], low[~late], own[~late], place[~late], least4[~late]
-                order, present, cut = by_bucket(bucket_of(least4, buckets))
-                order = np.concatenate([part[np.lexsort((place[part], own[part]))] for part in np.split(order, cut[1:-1])])
-                high, low, own, place = high[order], low[order], own[order], place[order]
+                yield keys[:, 0], keys[:, 1], ids[i:j][row[begin]], begin - first[row[begin]], least4
+
+    def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for spread, (high, low, own, place, least4) in enumerate(runs(windows(batches), max(RUN_WINDOWS, 16 * buckets))):
+            order = np.lexsort((low, high))
+            high, low, own, place, least4 = high[order], low[order], own[order], place[order], least4[order]
+            new = np.concatenate(([True], (high[1:] != high[:-1]) | (low[1:] != low[:-1])))
+            start = np.flatnonzero(new)
+            least = np.repeat(np.minimum.reduceat(own, start), np.diff(np.append(start, len(own))))
+            late = own > least
+            if late.any():
+                o, p = own[late], place[late]
+                order, present, cut = by_bucket(bucket_of(o.view(np.uint64) ^ np.uint64(spread), buckets))
                 spans = list(zip(cut[:-1], cut[1:], strict=True))
-                yield batch_of(
-                    _WINDOWS,
-                    bucket=present.astype(np.int32),
-                    settled=[False] * len(spans),
-                    docs=[planes(own[a:b], 8) for a, b in spans],
-                    at=[planes(place[a:b], 4) for a, b in spans],
-                    hashes=[planes(high[a:b], 8) + planes(low[a:b], 4) for a, b in spans],
-                )
+                o, p = o[order], p[order]
+                yield batch_of(_WINDOWS, bucket=present.astype(np.int32), settled=[True] * len(spans), docs=[planes(o[a:b], 8) for a, b in spans], at=[planes(p[a:b], 4) for a, b in spans], hashes=[b""] * len(spans))
+            high, low, own, place, least4 = high[~late], low[~late], own[~late], place[~late], least4[~late]
+            order, present, cut = by_bucket(bucket_of(least4, buckets))
+            order = np.concatenate([part[np.lexsort((place[part], own[part]))] for part in np.split(order, cut[1:-1])])
+            high, low, own, place = high[order], low[order], own[order], place[order]
+            spans = list(zip(cut[:-1], cut[1:], strict=True))
+            yield batch_of(
+                _WINDOWS,
+                bucket=present.astype(np.int32),
+                settled=[False] * len(spans),
+                docs=[planes(own[a:b], 8) for a, b in spans],
+                at=[planes(place[a:b], 4) for a, b in spans],
+                hashes=[planes(high[a:b], 8) + planes(low[a:b], 4) for a, b in spans],
+            )
 
     def judge(table: pa.Table) -> pa.Table:
         flags = table.column("settled").to_numpy()

@@ -19,6 +19,7 @@ does not count. Columns other than the id and the text are ignored. Empty tables
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -46,6 +47,8 @@ from quillspark.llm.induced import SEPARATOR, sort_suffixes
 
 LENGTH = 100
 GRAIN = 32
+#: Bytes of pieces that a task gathers before it packs them (1 KB for each bucket if that is more).
+RUN_BYTES = 12 << 20
 _SLAB = 1 << 16  # its temporaries stay in cache
 
 _PIECES = pa.schema(
@@ -146,8 +149,8 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, grain: int = GRAIN, me
     def anchors(data: np.ndarray, offsets: np.ndarray):
         return minimizer_places(data, offsets, length, grain)
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        spread = 0
+    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[bytes]]]:
+        """Key, code, document, place, size and bytes of each piece of a chunk."""
         for batch in batches:
             batch = batch.filter(batch.column(2).is_valid())
             ids, lists = batch.column(0).to_numpy(zero_copy_only=False), batch.column(2)
@@ -160,34 +163,56 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, grain: int = GRAIN, me
                 code, row, start, windows = _pieces(text, offs, length, grain, want, want_row)
                 if not len(code):
                     continue
-                raw = text.tobytes()
-                stop = start + windows + length - 1
-                digest = xxhash.xxh3_128_digest
-                keys = np.frombuffer(b"".join([digest(raw[a:b]) for a, b in zip(start.tolist(), stop.tolist(), strict=True)]), "<u8").reshape(-1, 2)
-                doc, place = ids[i:j][row], start - offs[row]
-                order, least = _earliest(keys, doc, place)
-                d, p = doc[order], place[order]
-                late = (d != d[least]) | (p != p[least])
-                size = (stop - start)[order]
-                if late.any():
-                    spread += 1
-                    yield batch_of(_PIECES, bucket=[spread % buckets], settled=[True], docs=[planes(d[late], 8)], at=[planes(p[late], 4)], sizes=[planes(size[late], 4)], keys=[b""], text=[b""])
-                keep = order[least[least == np.arange(len(least))]]
-                keep = np.sort(keep)
-                order, present, bounds = by_bucket(bucket_of(code[keep], buckets))
-                keep = keep[order]
+                raw, stop = text.tobytes(), start + windows + length - 1
+                cuts = [raw[a:b] for a, b in zip(start.tolist(), stop.tolist(), strict=True)]
+                keys = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, cuts)), "<u8").reshape(-1, 2)
+                yield keys, code, ids[i:j][row], start - offs[row], stop - start, cuts
+
+    def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[list]:
+        held, size = [], 0
+        for part in pieces(batches):
+            held.append(part)
+            size += int(part[4].sum())
+            if size >= max(RUN_BYTES, 1024 * buckets):
+                yield [list(chain.from_iterable(x)) if k == 5 else np.concatenate(x) for k, x in enumerate(zip(*held, strict=True))]
+                held, size = [], 0
+        if held:
+            yield [list(chain.from_iterable(x)) if k == 5 else np.concatenate(x) for k, x in enumerate(zip(*held, strict=True))]
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for spread, (keys, code, doc, place, size, cuts) in enumerate(gathered(batches)):
+            order, least = _earliest(keys, doc, place)
+            d, p = doc[order], place[order]
+            late = (d != d[least]) | (p != p[least])
+            if late.any():
+                d, p, n = d[late], p[late], size[order][late]
+                to, present, bounds = by_bucket(bucket_of(d.view(np.uint64) ^ np.uint64(spread), buckets))
+                d, p, n = d[to], p[to], n[to]
                 spans = list(zip(bounds[:-1], bounds[1:], strict=True))
-                begin, end = start[keep].tolist(), stop[keep].tolist()
                 yield batch_of(
                     _PIECES,
                     bucket=present.astype(np.int32),
-                    settled=[False] * len(spans),
-                    docs=[planes(doc[keep[a:b]], 8) for a, b in spans],
-                    at=[planes(place[keep[a:b]], 4) for a, b in spans],
-                    sizes=[planes((stop - start)[keep[a:b]], 4) for a, b in spans],
-                    keys=[keys[keep[a:b]].tobytes() for a, b in spans],
-                    text=[b"".join([raw[x:y] for x, y in zip(begin[a:b], end[a:b], strict=True)]) for a, b in spans],
+                    settled=[True] * len(spans),
+                    docs=[planes(d[a:b], 8) for a, b in spans],
+                    at=[planes(p[a:b], 4) for a, b in spans],
+                    sizes=[planes(n[a:b], 4) for a, b in spans],
+                    keys=[b""] * len(spans),
+                    text=[b""] * len(spans),
                 )
+            keep = np.sort(order[least[least == np.arange(len(least))]])
+            order, present, bounds = by_bucket(bucket_of(code[keep], buckets))
+            keep = keep[order]
+            spans = list(zip(bounds[:-1], bounds[1:], strict=True))
+            yield batch_of(
+                _PIECES,
+                bucket=present.astype(np.int32),
+                settled=[False] * len(spans),
+                docs=[planes(doc[keep[a:b]], 8) for a, b in spans],
+                at=[planes(place[keep[a:b]], 4) for a, b in spans],
+                sizes=[planes(size[keep[a:b]], 4) for a, b in spans],
+                keys=[keys[keep[a:b]].tobytes() for a, b in spans],
+                text=[b"".join([cuts[k] for k in keep[a:b].tolist()]) for a, b in spans],
+            )
 
     def judge(table: pa.Table) -> pa.Table:
         flags = table.column("settled").to_numpy()
