@@ -6,6 +6,8 @@ object per word, and keeps its temporaries near CHUNK_BYTES whatever the size of
 
 from __future__ import annotations
 
+import ctypes
+import time
 import uuid
 from collections.abc import Iterator
 
@@ -19,6 +21,7 @@ CHUNK_BYTES = 2 << 20
 CHUNK_ROWS = 60_000
 BATCH_BYTES = 8 << 20
 U64 = np.uint64
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
 
 # ASCII white space is U+0020 and U+0009 to U+000D.
 WHITESPACE = b" \t\n\x0b\x0c\r"
@@ -88,6 +91,20 @@ def text_view(col: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     return raw[offs[0] : offs[-1]], offs - offs[0]
 
 
+_last_trim = 0.0
+
+
+def give_back() -> None:
+    """Hand freed memory of this worker back to the system, at most once a second: workers are kept for
+    later tasks, and what one task's arrays took would stay beside the next one's."""
+    global _last_trim
+    if time.monotonic() - _last_trim > 1:
+        pa.default_memory_pool().release_unused()
+        if _TRIM is not None:
+            _TRIM(0)
+        _last_trim = time.monotonic()
+
+
 def chunks(offsets: np.ndarray, limit: int = CHUNK_BYTES, rows: int = CHUNK_ROWS) -> Iterator[tuple[int, int]]:
     """Row ranges of at most limit bytes (a longer text stands alone) and at most rows rows."""
     n, i = len(offsets) - 1, 0
@@ -96,6 +113,7 @@ def chunks(offsets: np.ndarray, limit: int = CHUNK_BYTES, rows: int = CHUNK_ROWS
         j = min(max(j, i + 1), i + rows, n)
         yield i, j
         i = j
+    give_back()
 
 
 def cut_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -116,7 +134,7 @@ def cut_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
 
 
 _POWERS: list[np.ndarray] = [np.zeros(0, np.uint64)] * 2
-_KEEP_POWERS = 3 << 20
+_KEEP_POWERS = 1 << 18
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:

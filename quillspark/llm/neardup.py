@@ -29,7 +29,7 @@ from quillspark.llm.simhash import Forest, fingerprint, fingerprint_links, shing
 
 SHINGLE, SIMILARITY, RADIUS = 5, 0.8, 30
 SEEDS = (42, 1042)
-BLOCK_BYTES = 32 << 20
+BLOCK_BYTES = 8 << 20
 
 _EDGES = pa.schema([("a", pa.string()), ("b", pa.string())])
 
