@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quillspark.llm._util import bounded_batches, checkpointed, chunks, text_view
+from quillspark.llm._util import bounded_batches, checkpointed, chunks, small, text_view
 
 ORDERS = (2, 3)
 BUCKETS = 8192
@@ -154,7 +154,7 @@ def learn(df: DataFrame, id_col: str, text_col: str, lang_col: str, per_language
         return model_of(languages, code, np.zeros((BUCKETS, 0), np.float32), np.zeros(0, np.float32), np.ones(0))
     # A seeded share of each language that leaves a few times the bound, then the bound itself.
     draw = F.pmod(F.xxhash64("__id", F.lit(11)), F.lit(1 << 30)) / float(1 << 30)
-    drawn = known.join(counts, "__lang").where(draw * F.col("__rows") < 3.0 * per_language).drop("__rows")
+    drawn = known.join(small(counts), "__lang").where(draw * F.col("__rows") < 3.0 * per_language).drop("__rows")
     first = Window.partitionBy("__lang").orderBy(F.xxhash64("__id", F.lit(11)), "__id")
     chosen = drawn.select("__id", "__lang").withColumn("__n", F.row_number().over(first)).where(f"__n <= {per_language}").select("__id").distinct()
     sample = drawn.join(chosen, "__id", "left_semi").select("__text", "__lang")
