@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,26 +10,12 @@ from quillspark.functions import spans as S
 from quillspark.functions.constants import SALIENCE_WEIGHTS
 from quillspark.functions.rtf import rtf_of_text, spans_of_text
 from quillspark.operators import archive, evaluate, export, retrieve, service, stats, tree, units
-from quillspark.operators.lexical import bm25, build_index, corpus_size, top_per_query
+from quillspark.operators.lexical import bm25, build_index, corpus_size, parse_queries, top_per_query
 from quillspark.plans import standin as T
 from quillspark.plans.regimes import REGIMES, Regime, resolve
+from quillspark.registry import QUERIES, SQL, Query, query
 from quillspark.plans.sql import COPIED, CORPUS, PROMPT, RUNS, TIER_SQL, TREE, UNITS, regime_sql
 
-Query = Callable[[SparkSession, str], DataFrame]
-_QUERIES: dict[str, Query] = {}
-_SQL: dict[str, str] = {}
-
-
-def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
-    def add(f: Query) -> Query:
-        _QUERIES[name] = f
-        if sql is not None:
-            _SQL[name] = sql
-        return f
-
-    return add
-
-
 def good(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.units(spark, sf_dir).where(units.retrievable())
 
@@ -84,9 +68,13 @@ def _virtual(spark, d):
     return good(spark, d).where(units.colour_filter(("u", "nb"))).select("unit_id", F.coalesce("color", F.lit("none")).alias("color"))
 
 
-@query("labels_skipped", f"{WITH_GOOD} SELECT unit_id, text FROM good WHERE length(text) < 15 AND NOT regexp_matches(text, '[.!?\"]')")
+NARROW = UNITS.replace("date_created, text FROM documents)", r"date_created, text FROM (SELECT * REPLACE (regexp_replace(text, '([^ \n]+ [^ \n]+) ', '\1' || chr(10), 'g') AS text) FROM documents))", 1)
+
+
+@query("labels_skipped", f"{NARROW}, good AS ({GOOD}) SELECT unit_id, text FROM good WHERE length(text) < 15 AND NOT regexp_matches(text, '[.!?\"]')")
 def _labels(spark, d):
-    return good(spark, d).where(units.is_label(F.col("text"))).select("unit_id", "text")
+    """Over notes of two words a line, some of them labels."""
+    return units.knowledge_units(T.notes(spark, d, narrow=True)).where(units.retrievable()).where(units.is_label(F.col("text"))).select("unit_id", "text")
 
 
 @query("embeddable_units", f"{WITH_GOOD} SELECT count(*) AS n FROM units WHERE effective_weight >= 1 AND NOT is_trivial AND NOT is_separator AND NOT is_duplicate")
@@ -99,11 +87,6 @@ def _embedding_texts(spark, d):
     return good(spark, d).select("unit_id", retrieve.embedding_text(F.col("text"), F.col("tree_path"), F.col("caption"), True).alias("embed_text"))
 
 
-@query("section_colours")
-def _sections(spark, d):
-    return units.content_units(T.notes(spark, d)).select("note_uid", "line_index", "section_color", "break_context")
-
-
 # Aggregates
 
 
@@ -288,52 +271,15 @@ def _nested(spark, d):
 # Retrieval
 
 
-#: The registered SQL of these queries (plans/sql.py) reads this many characters of a text and asks three
-#: questions; each has a twin named whole_... without the cuts.
-CHARS = 400
-
-
-def whole_sql(sql: str) -> str:
-    """The twin's SQL: a retrieval query's SQL over whole texts and all questions."""
-    chosen = "vec_id IN (SELECT item_id FROM benchmark)" if "arms AS" in sql else "vec_id % 100 = 0"
-    vectors = f"corpus c, (SELECT vec_id AS unit_id, embedding::DOUBLE[] AS vector FROM embeddings WHERE {chosen}) q WHERE TRUE"
-    for cut, whole in (("left(text, 400) AS text", "text"), ("left(text, 60)", "text"), (" FROM benchmark WHERE item_id < 3", " FROM benchmark"), (", benchmark WHERE item_id < 3", ", benchmark"), ("corpus c, corpus q WHERE q.unit_id < 3", vectors)):
-        sql = sql.replace(cut, whole)
-    return sql
+def hits(spark: SparkSession, d: str, key: str) -> DataFrame:
+    return asked(spark, d, resolve(key))
 
 
-def retrieval(name: str, sql: str) -> Callable[[Callable[[SparkSession, str, bool], DataFrame]], Callable]:
-    """Registers f(spark, d, whole) as `name`, as its SQL has it, and as whole_`name`."""
-
-    def add(f):
-        query(name, sql)(lambda spark, d: f(spark, d, False))
-        query(f"whole_{name}", whole_sql(sql))(lambda spark, d: f(spark, d, True))
-        return f
-
-    return add
-
-
-def units_of(spark: SparkSession, d: str, whole: bool) -> DataFrame:
-    return T.corpus(spark, d, None if whole else CHARS)
-
-
-def hits(spark: SparkSession, d: str, key: str, whole: bool = True) -> DataFrame:
-    return asked(spark, d, resolve(key), whole)
-
-
-def questions_of(spark: SparkSession, d: str, whole: bool) -> DataFrame:
-    return T.questions(spark, d) if whole else T.first_questions(spark, d)
-
-
-def asked(spark: SparkSession, d: str, regime: Regime, whole: bool) -> DataFrame:
+def asked(spark: SparkSession, d: str, regime: Regime) -> DataFrame:
+    """The regime for every question, or for the stated query set of vectors."""
     turned = regime.embed == "context"
-    if not whole:
-        vectors = T.first_vectors(spark, d, turned=turned)
-    elif regime.retriever == "pooled":
-        vectors = T.question_vectors(spark, d, turned)
-    else:
-        vectors = T.query_vectors(spark, d, turned)
-    return retrieve.retrieve(units_of(spark, d, whole), regime, questions_of(spark, d, whole), vectors)
+    vectors = T.question_vectors(spark, d, turned) if regime.retriever == "pooled" else T.query_vectors(spark, d, turned)
+    return retrieve.retrieve(T.corpus(spark, d), regime, T.questions(spark, d), vectors)
 
 
 def _rounded(df: DataFrame) -> DataFrame:
@@ -342,45 +288,46 @@ def _rounded(df: DataFrame) -> DataFrame:
 
 for _key in REGIMES:
 
-    def _regime(spark, d, whole, key=_key):
-        return _rounded(hits(spark, d, key, whole))
+    def _regime(spark, d, key=_key):
+        return _rounded(hits(spark, d, key))
 
-    retrieval(f"regime_{_key}", regime_sql(REGIMES[_key]))(_regime)
+    query(f"regime_{_key}", regime_sql(REGIMES[_key]))(_regime)
 
 
-@retrieval("bm25_scores", f"{CORPUS}, r AS (SELECT query_id, unit_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, unit_id) AS rank FROM bm25) SELECT query_id, unit_id, rank, round(score, 6) AS score FROM r WHERE rank <= 50")
-def _bm25(spark, d, whole):
-    c = units_of(spark, d, whole)
-    top = top_per_query(bm25(build_index(c), corpus_size(c), questions_of(spark, d, whole)), 50)
+@query("bm25_scores", f"{CORPUS}, r AS (SELECT query_id, unit_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, unit_id) AS rank FROM bm25) SELECT query_id, unit_id, rank, round(score, 6) AS score FROM r WHERE rank <= 50")
+def _bm25(spark, d):
+    c = T.corpus(spark, d)
+    questions = T.questions(spark, d)
+    top = top_per_query(bm25(build_index(c, parse_queries(questions)), corpus_size(c), questions), 50)
     return top.select("query_id", "unit_id", F.col("rank").cast("long").alias("rank"), F.round("score", 6).alias("score"))
 
 
-@retrieval("postings", f"{CORPUS} SELECT term, count(DISTINCT unit_id) AS units, count(*) AS places FROM words GROUP BY term")
-def _postings(spark, d, whole):
-    return build_index(units_of(spark, d, whole)).groupBy("term").agg(F.count("*").alias("units"), F.sum(F.size("places")).alias("places"))
+@query("postings", f"{CORPUS} SELECT term, count(DISTINCT unit_id) AS units, count(*) AS places FROM words GROUP BY term")
+def _postings(spark, d):
+    return build_index(T.corpus(spark, d)).groupBy("term").agg(F.count("*").alias("units"), F.sum(F.size("places")).alias("places"))
 
 
-@retrieval(
+@query(
     "fragment_metrics",
     f"SELECT * FROM ({regime_sql(REGIMES['R6_full_metadata'], 'SELECT h.query_id, count(*) AS n_fragments, count(*) FILTER (h.source = ' + chr(39) + 'expanded' + chr(39) + ') AS n_expanded, max(c.effective_weight) AS max_weight, count(DISTINCT c.note_uid) AS n_notes, sum(length(c.text))::BIGINT AS context_chars FROM result h JOIN corpus c USING (unit_id) GROUP BY h.query_id')})",
 )
-def _metrics(spark, d, whole):
-    out = retrieve.metrics(hits(spark, d, "R6_full_metadata", whole), units_of(spark, d, whole))
+def _metrics(spark, d):
+    out = retrieve.metrics(hits(spark, d, "R6_full_metadata"), T.corpus(spark, d))
     return out.select("query_id", "n_fragments", "n_expanded", "max_weight", "n_notes", "context_chars")
 
 
-@retrieval("prompt_context", regime_sql(REGIMES["R6_full_metadata"], PROMPT))
-def _context(spark, d, whole):
+@query("prompt_context", regime_sql(REGIMES["R6_full_metadata"], PROMPT))
+def _context(spark, d):
     regime = resolve("R6_full_metadata")
-    c = units_of(spark, d, whole)
-    fitted = retrieve.fit(hits(spark, d, regime.key, whole), c, regime, window_tokens=4096, fixed_chars=2000)
+    c = T.corpus(spark, d)
+    fitted = retrieve.fit(hits(spark, d, regime.key), c, regime, window_tokens=4096, fixed_chars=2000)
     return retrieve.context(fitted)
 
 
-@retrieval("regime_overrides", regime_sql(resolve("R2_weight_boost", {"top_k": 5, "min_weight": 2.0})))
-def _overrides(spark, d, whole):
+@query("regime_overrides", regime_sql(resolve("R2_weight_boost", {"top_k": 5, "min_weight": 2.0})))
+def _overrides(spark, d):
     regime = resolve("R2_weight_boost", {"top_k": 5, "min_weight": 2.0, "retriever": "none"})
-    return _rounded(asked(spark, d, regime, whole))
+    return _rounded(asked(spark, d, regime))
 
 
 # Export
@@ -405,28 +352,6 @@ def _export_prefix(spark, d):
     return export.within_budget(export.note_sizes(mine), 20_000).select("note_uid", "size")
 
 
-@query("export_budgeted")
-def _export_budget(spark, d):
-    return _tier(spark, d, 30_000)
-
-
-@query("export_recent")
-def _export_recent(spark, d):
-    return _tier(spark, d, 30_000, recent=True)
-
-
-@query("export_outline")
-def _outline(spark, d):
-    chosen, _ = export.tiered(T.units(spark, d), ("u", "p", "b"), 50_000)
-    return export.outline(chosen).select(F.col("place.note_uid").alias("note_uid"), "block")
-
-
-@query("export_newest_blocks")
-def _newest(spark, d):
-    chosen, _ = export.tiered(T.units(spark, d), ("u", "p", "b"), 50_000, recent_first=True)
-    return export.newest_first(chosen).select(F.col("place.note_uid").alias("note_uid"), "block")
-
-
 @query(
     "export_old_sample",
     f"{UNITS}, g AS (SELECT note_uid, max(effective_weight) AS w FROM units WHERE color = 'g' AND NOT is_trivial AND NOT is_separator AND length(text) >= 15 AND NOT (source_type = 'treenode' AND length(text) < 50 AND NOT regexp_matches(text, '[.\"]')) GROUP BY note_uid) "
@@ -437,34 +362,24 @@ def _old_sample(spark, d):
     return export.sample_heaviest_notes(mine, 20).select("note_uid").distinct()
 
 
-@query("export_old_rich")
-def _old_rich(spark, d):
-    return export.preset(T.units(spark, d), "rich").select("unit_id", "tier")
-
-
-@query("export_compact")
-def _compact(spark, d):
-    return export.compact(export.preset(T.units(spark, d), "compact"))
-
-
-@retrieval(
+@query(
     "embedded_units",
     f"{CORPUS} SELECT unit_id, length(text)::DOUBLE AS size, (length(text) - length(replace(text, 'e', '')))::DOUBLE AS es FROM corpus",
 )
-def _embedded(spark, d, whole):
-    units_ = units_of(spark, d, whole).withColumn("caption", F.lit(None).cast("string"))
+def _embedded(spark, d):
+    units_ = T.corpus(spark, d).withColumn("caption", F.lit(None).cast("string"))
     out = service.embedded(units_, lambda texts: [[len(t), t.count("e")] for t in texts], 2, context=False)
     return out.select("unit_id", F.get("vector", F.lit(0)).cast("double").alias("size"), F.get("vector", F.lit(1)).cast("double").alias("es"))
 
 
-@retrieval("copied_context", regime_sql(REGIMES["R6_full_metadata"], COPIED))
-def _copied(spark, d, whole):
-    return service.copied_context(hits(spark, d, "R6_full_metadata", whole), units_of(spark, d, whole))
+@query("copied_context", regime_sql(REGIMES["R6_full_metadata"], COPIED))
+def _copied(spark, d):
+    return service.copied_context(hits(spark, d, "R6_full_metadata"), T.corpus(spark, d))
 
 
-@retrieval("curated_notes", f"SELECT DISTINCT note_uid FROM ({regime_sql(REGIMES['R0_baseline_fts'], 'SELECT c.note_uid FROM result h JOIN corpus c USING (unit_id)')}) UNION SELECT note_uid FROM ({regime_sql(REGIMES['R6_full_metadata'], 'SELECT c.note_uid FROM result h JOIN corpus c USING (unit_id)')})")
-def _curated(spark, d, whole):
-    return export.curated_notes(hits(spark, d, "R0_baseline_fts", whole), hits(spark, d, "R6_full_metadata", whole))
+@query("curated_notes", f"SELECT DISTINCT note_uid FROM ({regime_sql(REGIMES['R0_baseline_fts'], 'SELECT c.note_uid FROM result h JOIN corpus c USING (unit_id)')}) UNION SELECT note_uid FROM ({regime_sql(REGIMES['R6_full_metadata'], 'SELECT c.note_uid FROM result h JOIN corpus c USING (unit_id)')})")
+def _curated(spark, d):
+    return export.curated_notes(hits(spark, d, "R0_baseline_fts"), hits(spark, d, "R6_full_metadata"))
 
 
 # Evaluation
@@ -524,16 +439,19 @@ def _next(spark, d):
     return evaluate.next_unrated(T.runs(spark, d), T.ratings(spark, d))
 
 
-@query("work_list", f"{RUNS} SELECT q AS question_id, regime FROM (SELECT unnest(range(50))::VARCHAR AS q) CROSS JOIN (SELECT DISTINCT regime FROM runs) r WHERE NOT EXISTS (SELECT 1 FROM runs x WHERE x.question_id = q AND x.regime = r.regime)")
+QUESTIONS = "SELECT DISTINCT user_id::VARCHAR || ':' || event_id % 7 AS question_id, event_type AS regime FROM events"
+
+
+@query("work_list", f"WITH runs AS ({QUESTIONS}) SELECT q.question_id, r.regime FROM (SELECT DISTINCT question_id FROM runs) q CROSS JOIN (SELECT DISTINCT regime FROM runs) r ANTI JOIN runs USING (question_id, regime)")
 def _work(spark, d):
-    runs = T.runs(spark, d)
-    asked = spark.range(50).select(F.col("id").cast("string").alias("question_id"))
-    return evaluate.work_list(asked, runs.select("regime").distinct(), runs)
+    """Seven questions a user, so that some regimes have not answered some of them."""
+    runs = T.table(spark, d, "events").select(F.concat_ws(":", "user_id", F.col("event_id") % 7).alias("question_id"), F.col("event_type").alias("regime"))
+    return evaluate.work_list(runs.select("question_id").distinct(), runs.select("regime").distinct(), runs)
 
 
 @query("whole_work_list", f"{RUNS}, q AS (SELECT DISTINCT question_id FROM runs), r AS (SELECT DISTINCT regime FROM runs) SELECT question_id, regime FROM q CROSS JOIN r ANTI JOIN runs USING (question_id, regime)")
 def _whole_work(spark, d):
-    """The gaps of every question of the runs; work_list, as its SQL has it, lists those of questions 0 to 49."""
+    """The gaps of every user as a question."""
     runs = T.runs(spark, d)
     return evaluate.work_list(runs.select("question_id").distinct(), runs.select("regime").distinct(), runs)
 
@@ -615,20 +533,11 @@ def _internal(spark, d):
     return T.notes(spark, d).select("note_uid", S.internal_format(F.col("spans")).alias("internal"))
 
 
-@query("render_line")
-def _render(spark, d):
-    return T.notes(spark, d).select("note_uid", S.render(F.col("spans"), ("u", "p", "b"), "line").alias("body"))
-
-
-@query("decode_rtf")
+@query("decode_rtf", "SELECT doc_id, md5(coalesce(text, '')) AS digest FROM documents")
 def _decode(spark, d):
     """Plain texts written as rich text and read back."""
-    docs = T.table(spark, d, "documents")
-    back = docs.select("doc_id", "text", spans_of_text(rtf_of_text("text")).alias("spans"))
-    return back.select("doc_id", (S.plain_text(F.col("spans")) == F.col("text")).alias("same"))
-
-
-_SQL["decode_rtf"] = "SELECT doc_id, TRUE AS same FROM documents"
+    back = T.table(spark, d, "documents").select("doc_id", spans_of_text(rtf_of_text("text")).alias("spans"))
+    return back.select("doc_id", F.md5(S.plain_text(F.col("spans")).cast("binary")).alias("digest"))
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -637,8 +546,11 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return dict(_QUERIES)
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
+    return dict(SQL)
+
+
+from quillspark import archive_queries  # noqa: E402, F401  registers its own

@@ -2,17 +2,22 @@
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from quillspark.functions.constants import BOLD_BONUS, RANK_WEIGHTS, TAGS, TOP_WEIGHT
+from quillspark.functions.constants import BOLD_BONUS, NEAR_COLOUR, RANK_WEIGHTS, RGB_CODES, TAGS, TOP_WEIGHT
+
+
+#: White space in the Unicode sense (NBSP counts).
+WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 
 
 def strip(text: Column) -> Column:
-    """Both ends without white space in the Unicode sense (NBSP counts)."""
-    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+    """Both ends without white space."""
+    return F.trim(text, F.lit(WHITE))
 
 
 def normalise(text: Column) -> Column:
@@ -69,6 +74,21 @@ def norm(vector: Column) -> Column:
     return F.when(length > 0, length).otherwise(1.0)
 
 
+def nearest_colour(red: Column, green: Column, blue: Column) -> Column:
+    """The code of an RGB colour: exact, else of the nearest known one if near; black and white have none."""
+    known = [(k, rgb, code) for k, (rgb, code) in enumerate(RGB_CODES.items())]
+
+    def far(rgb: tuple[int, int, int]) -> Column:
+        return sum(((c - v) * (c - v) for c, v in zip((red, green, blue), rgb, strict=True)), F.lit(0))
+
+    exact = F.lit(None).cast("string")
+    for _, rgb, code in reversed(known):
+        exact = F.when(far(rgb) == 0, F.lit(code).cast("string")).otherwise(exact)
+    plain = F.least(*(far(rgb) for rgb in [(0, 0, 0), *(rgb for _, rgb, _ in known)])) == 0
+    best = F.array_min(F.array(*(F.struct(far(rgb).alias("d"), F.lit(k).alias("k"), F.lit(code).alias("code")) for k, rgb, code in known if code)))
+    return F.when(plain, exact).when(best["d"] < NEAR_COLOUR, best["code"])
+
+
 def ratio(part: Column, whole: Column, default: float = 0.0) -> Column:
     return F.when(whole > 0, part / whole).otherwise(default)
 
@@ -102,8 +122,15 @@ def query_terms(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit("[A-Za-z0-9']{3,}"), F.lit(0))
 
 
-_ACCENTED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ"
-_PLAIN = "aaaaaaceeeeiiiinooooouuuuyy"
+
+def _marked_letters() -> tuple[str, str]:
+    """Small Latin letters with one diacritic, and the letters below: full-text engines index both alike."""
+    pairs = [(c, unicodedata.normalize("NFD", c)) for c in map(chr, (*range(0xC0, 0x250), *range(0x1E00, 0x1F00))) if c.islower()]
+    pairs = [(c, d[0]) for c, d in pairs if len(d) == 2 and "a" <= d[0] <= "z"]
+    return "".join(c for c, _ in pairs), "".join(d for _, d in pairs)
+
+
+_ACCENTED, _PLAIN = _marked_letters()
 
 
 def fold(text: Column) -> Column:

@@ -188,6 +188,40 @@ def spans_of_blob(blobs: pd.Series) -> pd.Series:
     return blobs.map(lambda b: rtf_spans(inflate(None if b is None else bytes(b))))
 
 
+@F.pandas_udf(T.StringType())
+def cp1252_text(blobs: pd.Series) -> pd.Series:
+    """Bytes of a rich-text file as text."""
+    return blobs.map(lambda b: None if b is None else bytes(b).decode("cp1252", "replace"))
+
+
+def _packed(text: str, way: int) -> bytes:
+    raw = text.encode()
+    if way == 1:
+        return raw
+    if way == 2:
+        try:
+            other = text.encode("cp1252")
+            other.decode()
+        except UnicodeDecodeError:
+            raw = other
+        except UnicodeEncodeError:
+            pass
+    return zlib.compress(raw)
+
+
+@F.pandas_udf(T.BinaryType())
+def packed(texts: pd.Series, ways: pd.Series) -> pd.Series:
+    """Texts as note contents: 0 zlib over UTF-8, 1 bare UTF-8, 2 zlib over cp1252 where that can spell
+    them and is no valid UTF-8 (else as 0)."""
+    return pd.Series([_packed(t or "", w) for t, w in zip(texts, ways, strict=True)])
+
+
+@F.pandas_udf(T.StringType())
+def inflate_text(blobs: pd.Series) -> pd.Series:
+    """Packed or raw note contents as text."""
+    return blobs.map(lambda b: inflate(None if b is None else bytes(b)))
+
+
 @F.pandas_udf(SPANS)
 def spans_of_text(texts: pd.Series) -> pd.Series:
     """Spans of rich text already decoded."""
@@ -200,8 +234,13 @@ def rtf_of_text(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: to_rtf(t or ""))
 
 
-def to_rtf(text: str) -> str:
-    """Plain text as a small rich-text document."""
+@F.pandas_udf(T.StringType())
+def rtf_of_spans(spans: pd.Series) -> pd.Series:
+    """Formatted spans as rich-text documents."""
+    return spans.map(lambda s: rich_rtf([] if s is None else [(x["text"], x["highlight"], x["bold"], x["italic"]) for x in s]))
+
+
+def _escaped(text: str) -> str:
     out = []
     for ch in text:
         if ch in "\\{}":
@@ -215,4 +254,49 @@ def to_rtf(text: str) -> str:
         else:
             units = ch.encode("utf-16-le", "surrogatepass")
             out += [f"\\u{int.from_bytes(units[k : k + 2], 'little', signed=True)}?" for k in range(0, len(units), 2)]
-    return "{\\rtf1\\ansi\\deff0 " + "".join(out) + "}"
+    return "".join(out)
+
+
+def to_rtf(text: str) -> str:
+    """Plain text as a small rich-text document."""
+    return "{\\rtf1\\ansi\\deff0 " + _escaped(text) + "}"
+
+
+def _group(text: str, number: int | None, bold: bool, italic: bool) -> str:
+    words = (f"\\highlight{number}" if number else "") + ("\\b" if bold else "") + ("\\i" if italic else "")
+    return f"{{{words} {_escaped(text)}}}" if words else _escaped(text)
+
+
+def rich_rtf(spans: list[tuple[str | None, str | None, bool | None, bool | None]]) -> str:
+    """Formatted spans (text, colour code, bold, italic) as a rich-text document with their colours in its table."""
+    codes = sorted({c for _, c, _, _ in spans if c})
+    colours = {code: rgb for rgb, code in reversed(RGB_CODES.items()) if code}
+    table = "".join(";\\red{}\\green{}\\blue{}".format(*colours[c]) for c in codes)
+    place = {c: k for k, c in enumerate(codes, 1)}
+    body = "".join(_group(t or "", place.get(c), bool(b), bool(i)) for t, c, b, i in spans)
+    return "{\\rtf1\\ansi\\deff0{\\colortbl" + table + ";}" + body + "}"
+
+
+def with_text(source: str, text: str, code: str | None = None, bold: bool = False) -> str:
+    """Rich text with a formatted piece behind it; the colour joins the table if it is not there yet."""
+    number = None
+    if code:
+        rgb = next(rgb for rgb, known in RGB_CODES.items() if known == code)
+        table = colour_table(source)
+        if rgb in table:
+            number = table.index(rgb)
+        else:
+            entry, at = "\\red{}\\green{}\\blue{};".format(*rgb), source.find("{\\colortbl")
+            if at < 0:
+                at = source.index("}") if "{" not in source[1:] else source.index("{", 1)
+                head = source.find(" ")
+                at = head if 0 < head < at else at
+                rest = source[at + 1 :] if source[at] == " " else source[at:]  # a blank closes a control word
+                source, number = source[:at] + "{\\colortbl;" + entry + "}" + rest, 1
+            else:
+                end = source.index("}", at)
+                gap = "" if source[end - 1] == ";" else ";"
+                number = len(table) + (gap == ";")
+                source = source[:end] + gap + entry + source[end:]
+    piece = _group(text, number, bold, False)
+    return source[:-1] + piece + "}" if source.endswith("}") else source + piece

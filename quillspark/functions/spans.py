@@ -37,6 +37,7 @@ def span_stats(spans: Column) -> Column:
 
 def encode_breaks(text: Column) -> Column:
     """Rows of =, x and newlines as break tokens; later rules see what earlier ones wrote."""
+    # What counts as a break, in order.
     for pattern, token in (("={10,}", "[BR3]"), ("={3,9}", "[BR2]"), ("x{3,}", "[BR2]"), (r"\n{5,}", "[BR3]"), (r"\n{3,4}", "[BR2]")):
         text = F.regexp_replace(text, pattern, f"\n{token}\n")
     return text

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quillspark.functions.columns import lookup, salience, strip
 from quillspark.functions.constants import HEX_CODES, LIVE_SALIENCE_WEIGHTS, RANK_WEIGHTS
+from quillspark.functions.rtf import inflate, rich_rtf, with_text
 from quillspark.functions.spans import char_count, colour_chars
 from quillspark.operators.tree import ROOT, reindexed
 
@@ -105,12 +106,38 @@ def point(df: DataFrame, **keys: object) -> DataFrame:
 # Changes: the state and a set of changes give the new state; a table is then written anew.
 
 
-def patched(notes: DataFrame, patch: DataFrame, key: str = "uid") -> DataFrame:
-    """notes with the non-null values of patch (key and some of the columns)."""
+def patched(notes: DataFrame, patch: DataFrame, key: str = "uid", set_null: bool = False) -> DataFrame:
+    """notes with the non-null values of patch (key and some of the columns); with set_null with all."""
     names = [c for c in patch.columns if c != key]
-    changes = patch.select(key, *(F.col(c).alias(f"__{c}") for c in names))
+    changes = patch.select(key, F.lit(True).alias("__hit"), *(F.col(c).alias(f"__{c}") for c in names))
     joined = notes.join(changes, key, "left")
-    return joined.select(*(F.coalesce(f"__{c}", c).alias(c) if c in names else c for c in notes.columns))
+
+    def value(c: str) -> Column:
+        return F.when(F.col("__hit"), F.col(f"__{c}")).otherwise(F.col(c)) if set_null else F.coalesce(f"__{c}", c)
+
+    return joined.select(*(value(c).alias(c) if c in names else c for c in notes.columns))
+
+
+def appended(contents: DataFrame, uid: int, text: str, code: str | None = None, bold: bool = False) -> DataFrame:
+    """contents (id, data, ...) with a formatted piece behind one note's rich text."""
+    added = F.udf(lambda b: with_text(inflate(bytes(b)), text, code, bold).encode("cp1252", "replace"), "binary")
+    data = F.when(F.col("id") == uid, added("data")).otherwise(F.col("data"))
+    changed = contents.withColumn("data", data)
+    return changed.withColumn("packed_size", F.when(F.col("id") == uid, F.octet_length("data").cast("long")).otherwise(F.col("packed_size")))
+
+
+def created(notes: DataFrame, contents: DataFrame, nodes: DataFrame, page_id: int, parent_id: int, place: int, caption: str, spans: list[tuple[str, str | None, bool, bool]], bg_color: str = "") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """A whole new note: its row (other columns as those of the least uid), its rich-text contents and its
+    node at a place among its siblings. The archive must have a note to take the other columns from."""
+    first = notes.orderBy("uid").limit(1)
+    if first.isEmpty():
+        raise ValueError("no note to take a new note's columns from")
+    uid = notes.agg(F.max("uid")).first()[0] + 1
+    new = {"uid": F.lit(uid), "page_id": F.lit(page_id), "caption": F.lit(caption), "bg_color": F.lit(bg_color), "guid": F.expr("uuid()")}
+    row = first.select(*((new[c] if c in new else F.col(c)).cast(t).alias(c) for c, t in notes.dtypes))
+    data = rich_rtf(spans).encode("cp1252", "replace")
+    content = notes.sparkSession.createDataFrame([(uid, bytearray(data), len(data))], "id long, data binary, packed_size long")
+    return notes.unionByName(row), contents.unionByName(content, allowMissingColumns=True), inserted(nodes, page_id, parent_id, place, uid)
 
 
 def inserted(nodes: DataFrame, page_id: int, parent_id: int, place: int, note_uid: int) -> DataFrame:

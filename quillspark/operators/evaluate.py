@@ -126,14 +126,43 @@ def rating_queue(runs: DataFrame, ratings: DataFrame, question_id: str, seed: in
     return mine.orderBy(F.xxhash64("run_id", F.lit(seed)), "run_id")
 
 
-def report(scores: DataFrame, baseline: str, metric: str = "score") -> DataFrame:
-    """Paired tests with each regime's mean; refuses without runs or scores."""
-    if scores.isEmpty():
+def regime_table(scores: DataFrame, baseline: str, metric: str = "score", rounds: int = 4000) -> DataFrame:
+    """Per regime, over the questions it shares with the baseline: n, mean and its interval, mean
+    difference, t, df, significance. The regimes are walked one by one, as they are a handful."""
+    base = scores.where((F.col("regime") == baseline) & F.col(metric).isNotNull()).select("question_id")
+    shared = scores.where(F.col(metric).isNotNull()).join(base, "question_id", "left_semi")
+    means = shared.groupBy("regime").agg(F.avg(metric).alias("mean"))
+    intervals = None
+    for (name,) in sorted(tuple(r) for r in shared.select("regime").distinct().collect()):
+        one = bootstrap_interval(shared.where(F.col("regime") == name), metric, rounds).withColumn("regime", F.lit(name))
+        intervals = one if intervals is None else intervals.unionByName(one)
+    tests = paired_tests(scores, baseline, metric)
+    out = tests.join(means, "regime", "left")
+    return out if intervals is None else out.join(intervals, "regime", "left")
+
+
+def box_plots(scores: DataFrame, metric: str = "score") -> DataFrame:
+    """Per regime what a box plot shows: least, quartiles (interpolated), greatest, and the number of scores."""
+    given = scores.where(F.col(metric).isNotNull())
+    places = F.percentile(metric, F.array(*(F.lit(p) for p in (0.0, 0.25, 0.5, 0.75, 1.0))))
+    out = given.groupBy("regime").agg(F.count("*").alias("n"), places.alias("p"))
+    return out.select("regime", "n", *(F.get("p", F.lit(k)).alias(name) for k, name in enumerate(("low", "q1", "median", "q3", "high"))))
+
+
+def report(runs: DataFrame, ratings: DataFrame, baseline: str, metrics: tuple[str, ...] = ("overall", "correctness", "completeness", "grounding"), rounds: int = 4000) -> dict[str, DataFrame]:
+    """The whole report by name: retrieval means (where runs carry figures), a table of regimes for each
+    metric, the group pivot, and the blind split. Refuses without runs or ratings."""
+    if runs.isEmpty():
         raise ValueError("no runs stored")
-    if scores.where(F.col(metric).isNotNull()).isEmpty():
+    if ratings.where(F.col(metrics[0]).isNotNull()).isEmpty():
         raise ValueError("no ratings stored")
-    means = scores.groupBy("regime").agg(F.avg(metric).alias("mean"))
-    return paired_tests(scores, baseline, metric).join(means, "regime")
+    rated = runs.select("run_id", "question_id", "regime").join(ratings, "run_id")
+    scores = {m: rated.groupBy("question_id", "regime").agg(F.avg(m).alias("score")) for m in metrics}
+    regimes = sorted(r[0] for r in runs.select("regime").distinct().collect())
+    out = {f"table_{m}": regime_table(s, baseline, rounds=rounds) for m, s in scores.items()}
+    figures = runs.drop("run_id", "question_id", "regime").columns
+    out |= {"retrieval": retrieval_means(runs.drop("run_id"))} if figures else {}
+    return out | {"groups": group_pivot(scores[metrics[0]], regimes), "blind": blind_split(ratings, runs)}
 
 
 def empty_scores(spark: SparkSession) -> DataFrame:

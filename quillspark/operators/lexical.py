@@ -7,12 +7,16 @@ from pyspark.sql import functions as F
 
 from quillspark.functions.columns import query_terms, tokens
 from quillspark.functions.constants import BM25_B, BM25_IDF_FLOOR, BM25_K1
+from quillspark.sources.storage import scratch_table, small
 
 
-def build_index(units: DataFrame, id_col: str = "unit_id", text_col: str = "text") -> DataFrame:
-    """Postings (term, unit_id, places, length): one row per term and unit, with token places."""
+def build_index(units: DataFrame, terms: DataFrame | None = None, id_col: str = "unit_id", text_col: str = "text") -> DataFrame:
+    """Postings (term, unit_id, places, length): one row per term and unit, with token places. With
+    terms (a table with a column term) only theirs: all other words are dropped before the shuffle."""
     cut = units.select(F.col(id_col).alias("unit_id"), tokens(F.col(text_col)).alias("words"))
     placed = cut.select("unit_id", F.size("words").alias("length"), F.posexplode("words").alias("place", "term"))
+    if terms is not None:
+        placed = placed.join(small(scratch_table(terms.select("term").distinct())), "term", "left_semi")
     return placed.groupBy("term", "unit_id").agg(F.array_sort(F.collect_list("place")).alias("places"), F.first("length").alias("length"))
 
 

@@ -10,11 +10,12 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspark.functions.columns import colour_weight, dot, norm, share_of_top, tag
-from quillspark.operators.lexical import bm25, build_index, corpus_size, top_per_query
+from quillspark.operators.lexical import bm25, build_index, corpus_size, parse_queries, top_per_query
 from quillspark.plans.regimes import Regime
 
 EXPANDED_SHARE = 0.5
@@ -40,7 +41,11 @@ def cosines(corpus: DataFrame, vector: str, queries: Sequence[tuple[int, Sequenc
     if wrong:
         raise ValueError(f"zero query vectors: {wrong}")
     unit = [(q, [x / sum(y * y for y in v) ** 0.5 for x in v]) for q, v in queries]
-    length = norm(F.col(vector))
+    dims = {len(v) for _, v in queries}
+    if len(dims) > 1:
+        raise ValueError(f"query vectors of different lengths: {sorted(dims)}")
+    wrong_size = F.raise_error(F.concat(F.lit(f"a vector of {vector} has not the queries' {max(dims, default=0)} places: "), F.size(vector).cast("string")))
+    length = F.when(F.size(vector) == max(dims, default=0), norm(F.col(vector))).otherwise(wrong_size.cast("double"))
     scored = F.array(*(F.struct(F.lit(q).cast("long").alias("query_id"), (dot(F.col(vector), v) / F.col("__norm")).alias("cosine")) for q, v in unit))
     with_norm = corpus.where(F.col(vector).isNotNull()).withColumn("__norm", length)
     return with_norm.withColumn("__scores", scored).select(*corpus.columns, F.inline("__scores"))
@@ -55,6 +60,9 @@ def nearest(units: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     are rounded to twelve places, so that equal vectors score equally in any block."""
     rows = queries.where(F.col("vector").isNotNull()).orderBy("query_id").collect()
     ids = np.array([r["query_id"] for r in rows], dtype=np.int64)
+    dims = {len(r["vector"]) for r in rows}
+    if len(dims) > 1:
+        raise ValueError(f"query vectors of different lengths: {sorted(dims)}")
     matrix = np.array([r["vector"] for r in rows], dtype=np.float64).reshape(len(rows), -1)
     length = np.sqrt((matrix * matrix).sum(axis=1))
     if len(rows) and not length.all():
@@ -67,6 +75,9 @@ def nearest(units: DataFrame, queries: DataFrame, k: int) -> DataFrame:
                 continue
             batch = batch.sort_by("unit_id")
             unit, note, factor = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("unit_id", "note_uid", "factor"))
+            sizes = pc.unique(pc.list_value_length(batch.column("vector"))).to_pylist()
+            if sizes != [matrix.shape[1]]:
+                raise ValueError(f"vectors of {sizes} places against queries of {matrix.shape[1]}")
             rows = batch.column("vector").flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(unit), -1)
             norms = np.sqrt((rows * rows).sum(axis=1))
             rows /= np.where(norms > 0, norms, 1.0)[:, None]
@@ -105,7 +116,7 @@ def dense(corpus: DataFrame, regime: Regime, queries: Vectors, vector: str, k: i
 def lexical(corpus: DataFrame, regime: Regime, queries: DataFrame, index: DataFrame | None = None, size: DataFrame | None = None, k: int | None = None) -> DataFrame:
     """BM25, cut at four times k, then the weight floor, then the first k."""
     k = regime.top_k if k is None else k
-    index = build_index(corpus) if index is None else index
+    index = build_index(corpus, parse_queries(queries)) if index is None else index
     size = corpus_size(corpus) if size is None else size
     first = top_per_query(bm25(index, size, queries), 4 * k).drop("rank")
     found = first.join(corpus.select("unit_id", "note_uid", "effective_weight"), "unit_id")

@@ -74,8 +74,11 @@ def index_summary(units: DataFrame) -> DataFrame:
 
 
 def corpus_stats(units: DataFrame) -> DataFrame:
-    """One row: fragments, highlighted (weight of 1 or more), notes, average characters to one place."""
+    """One row: fragments, highlighted (weight of 1 or more), notes, average characters to one place, and
+    for each vector column of units how many have one."""
+    vectors = [c for c in units.columns if c.startswith("vector_")]
     return units.agg(
+        *(F.count(c).alias(f"embedded_{c.removeprefix('vector_')}") for c in vectors),
         F.count("*").alias("fragments"),
         count_if(F.col("effective_weight") >= 1.0).alias("highlighted"),
         F.countDistinct("note_uid").alias("notes"),

@@ -8,14 +8,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillspark.functions.columns import ratio, salience
+
 ROOT = -1
 
 
 def hierarchy(nodes: DataFrame, max_depth: int = 1000) -> DataFrame:
     """nodes plus depth, id_path (array of ids) and captions (array); nodes that no root reaches drop out.
+    A tree deeper than max_depth is an error.
 
-    One equi-join per level, each against the children of the last level only; a level is checkpointed
-    every 10 so that lineage stays short on deep trees."""
+    One equi-join per level, each against the children of the last level only; each level is
+    checkpointed, so lineage stays short and nothing stays cached."""
     from quillspark.sources.storage import checkpointed
 
     fields = [*nodes.columns, "depth", "id_path", "captions"]
@@ -26,11 +29,11 @@ def hierarchy(nodes: DataFrame, max_depth: int = 1000) -> DataFrame:
         up = level.select(F.col("page_id").alias("__page"), F.col("id").alias("__up"), F.col("id_path").alias("__path"), F.col("captions").alias("__captions"))
         down = rest.join(up, (F.col("page_id") == F.col("__page")) & (F.col("parent_id") == F.col("__up")))
         level = down.select(*nodes.columns, F.lit(depth).alias("depth"), F.array_append("__path", F.col("id")).alias("id_path"), F.array_append("__captions", F.substring("caption", 1, 30)).alias("captions"))
-        level = checkpointed(level) if depth % 10 == 0 else level.persist()
+        level = checkpointed(level)
         if level.isEmpty():
-            break
+            return out.select(*fields)
         out = out.unionByName(level)
-    return out.select(*fields)
+    raise ValueError(f"the tree is deeper than {max_depth} levels")
 
 
 def with_paths(tree: DataFrame) -> DataFrame:
@@ -46,6 +49,32 @@ def rollup(tree: DataFrame, sums: list[str]) -> DataFrame:
     return tree.join(totals, ["page_id", "id"])
 
 
+def with_leaf_stats(tree: DataFrame, notes: DataFrame, sums: list[str]) -> DataFrame:
+    """tree with n_notes (1 or 0) and the figures `sums` of each node's note (note_uid), zero without one."""
+    figures = notes.select("note_uid", F.lit(1).cast("long").alias("n_notes"), *sums)
+    return tree.join(figures, "note_uid", "left").fillna(0, ["n_notes", *sums])
+
+
+def subtree_figures(tree: DataFrame, notes: DataFrame, colours: list[str], weights: dict[str, float]) -> DataFrame:
+    """Each node with sums over itself and all below: notes, characters, highlighted ones, those of each
+    colour, and from the sums the share highlighted and the salience. notes: note_uid, chars_total,
+    chars_highlighted, chars_<colour>."""
+    sums = ["chars_total", "chars_highlighted", *(f"chars_{c}" for c in colours)]
+    out = rollup(with_leaf_stats(tree, notes, sums), ["n_notes", *sums])
+    total, lit = F.col("subtree_chars_total"), F.col("subtree_chars_highlighted").cast("double")
+    share = salience({c: F.col(f"subtree_chars_{c}") for c in colours}, total, weights)
+    return out.withColumns({"subtree_highlight_ratio": ratio(lit, total), "subtree_salience": share})
+
+
+def nested(tree: DataFrame, chosen: DataFrame, max_depth: int = 10) -> DataFrame:
+    """(page_id, top, id, below): the nodes at or under each of chosen (page_id, id) to max_depth levels,
+    with how many levels they lie below it."""
+    spread = tree.select("page_id", "id", "depth", F.posexplode("id_path").alias("at", "top")).withColumn("below", F.col("depth") - F.col("at"))
+    want = chosen.select(F.col("page_id").alias("__page"), F.col("id").alias("__top")).distinct()
+    found = spread.where(F.col("below") <= max_depth).join(want, (F.col("page_id") == F.col("__page")) & (F.col("top") == F.col("__top")), "left_semi")
+    return found.select("page_id", "top", "id", "below")
+
+
 def subtree(tree: DataFrame, chosen: DataFrame) -> DataFrame:
     """Nodes at or below chosen (page_id, id): the ancestors of a node are in its path, so this is an
     equi semi-join, not a prefix comparison."""

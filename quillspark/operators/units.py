@@ -1,14 +1,31 @@
-"""From rich-text notes to line units: shredding, colours, section state, weights, duplicates."""
+"""From rich-text notes to line units: shredding, colours, section state, weights, duplicates.
+
+A note is one row with its spans, so its lines follow from one walk over them, note by note and without
+a shuffle. The walk carries a state (line, section colour and its run, a waiting break) that no built-in
+function expresses over an array without copying the array at each step; it is an Arrow function.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Iterator
+
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.functions.columns import colour_weight, effective_weight, is_separator, is_trivial, normalise, strip
+from quillspark.functions.columns import WHITE, age_days, colour_weight, effective_weight, is_separator, is_trivial, normalise, strip
 from quillspark.functions.constants import NODE_BONUS
+from quillspark.sources.storage import scratch_table, small
 
 UNIT_STEP = 1 << 20  # lines a note can have
+INNER_CHARS = 100
+TOKENS = {"[BR2]": "block_start", "[BR3]": "section_start"}
+_INNER = pa.list_(pa.struct([("text", pa.string()), ("color", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
+_LINES = pa.schema(
+    [("line_index", pa.int32()), ("text", pa.string()), ("color", pa.string()), ("is_bold", pa.bool_()), ("inner_highlights", _INNER), ("section_color", pa.string()), ("break_context", pa.string()), ("char_start", pa.int64()), ("char_end", pa.int64())]
+)
+_LINES_DDL = "line_index int, text string, color string, is_bold boolean, inner_highlights array<struct<text:string,color:string,start:long,end:long>>, section_color string, break_context string, char_start long, char_end long"
 
 
 def unit_id(note_uid: Column, line_index: Column) -> Column:
@@ -16,122 +33,99 @@ def unit_id(note_uid: Column, line_index: Column) -> Column:
     return note_uid * UNIT_STEP + line_index + 1
 
 
-def line_parts(notes: DataFrame) -> DataFrame:
-    """Each span cut at newlines: one row per part with its line and true character offset.
-
-    notes: note_uid and spans array<struct<text,highlight,bold,...>>, in order. One shuffle on the
-    note, which every later step on (note, line) reuses."""
-    spans = notes.select("note_uid", F.posexplode("spans").alias("s", "span"))
-    parts = spans.select("note_uid", "s", F.col("span.highlight").alias("color"), F.col("span.bold").alias("bold"), F.posexplode(F.split("span.text", "\n", -1)).alias("p", "text"))
-    order = Window.partitionBy("note_uid").orderBy("s", "p")
-    before = order.rowsBetween(Window.unboundedPreceding, -1)
-    newline = (F.col("p") > 0).cast("long")
-    return parts.select(
-        "note_uid",
-        "s",
-        "p",
-        "color",
-        F.coalesce("bold", F.lit(False)).alias("bold"),
-        "text",
-        F.sum(newline).over(order).alias("line_index"),
-        (F.coalesce(F.sum(F.length("text")).over(before), F.lit(0)) + F.sum(newline).over(order)).alias("offset"),
-    )
-
-
-def section_states(notes: DataFrame) -> DataFrame:
-    """(note_uid, s, p, section): the running section colour after each part that changes it.
-
-    A fold over the note's coloured parts and section breaks: more of the same colour adds to its run;
-    another colour takes over if there is none yet or its part is longer than the run so far."""
-    pieces = F.flatten(
-        F.transform(
-            "spans",
-            lambda span, s: F.transform(
-                F.split(span["text"], "\n", -1),
-                lambda t, p: F.struct(s.alias("s"), p.alias("p"), span["highlight"].alias("color"), F.length(t).alias("n"), (F.trim(t) == "[BR3]").alias("reset"), F.trim(t).isin("[BR2]", "[BR3]").alias("token")),
-            ),
-        )
-    )
-    events = F.filter(pieces, lambda x: x["reset"] | (x["color"].isNotNull() & (x["n"] > 0) & ~x["token"]))
-    kind = "struct<color:string,run:int,out:array<struct<s:int,p:int,section:string>>>"
-    start = F.struct(F.lit(None).cast("string").alias("color"), F.lit(0).alias("run"), F.array().alias("out")).cast(kind)
-
-    def step(acc: Column, x: Column) -> Column:
-        same = ~x["reset"] & (acc["color"] == x["color"])
-        take = ~x["reset"] & (acc["color"].isNull() | ((acc["color"] != x["color"]) & (x["n"] > acc["run"])))
-        color = F.when(x["reset"], F.lit(None)).when(take, x["color"]).otherwise(acc["color"])
-        run = F.when(x["reset"], 0).when(take, x["n"]).when(F.coalesce(same, F.lit(False)), acc["run"] + x["n"]).otherwise(acc["run"])
-        change = F.struct(x["s"].alias("s"), x["p"].alias("p"), color.alias("section"))
-        out = F.when(x["reset"] | take, F.array_append(acc["out"], change)).otherwise(acc["out"])
-        return F.struct(color.alias("color"), run.alias("run"), out.alias("out")).cast(kind)
-
-    changes = F.aggregate(events, start, step)["out"]
-    return notes.select("note_uid", F.explode(changes).alias("c")).select("note_uid", "c.s", "c.p", "c.section")
-
-
-def content_units(notes: DataFrame) -> DataFrame:
-    """One row per line with text: text, color, is_bold, inner_highlights, section_color,
-    break_context, char_start, char_end, line_index, for each note_uid."""
-    parts = line_parts(notes)
-    changes = section_states(notes).select("note_uid", "s", "p", F.struct("section").alias("change"))
-    tokens = parts.withColumn("token", F.when(strip(F.col("text")).isin("[BR2]", "[BR3]"), strip(F.col("text"))))
-    joined = tokens.join(changes, ["note_uid", "s", "p"], "left")
-    order = Window.partitionBy("note_uid").orderBy("s", "p")
-    has_text = (F.length("text") > 0) & F.col("token").isNull()
-    ahead = order.rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    stated = joined.select(
-        "*",
-        has_text.alias("has_text"),
-        F.last("change", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))["section"].alias("section"),
-        F.first(F.when(has_text, F.col("line_index")), ignorenulls=True).over(ahead).alias("next_line"),
-    )
-    breaks = F.when(F.col("token").isNotNull(), F.struct("s", "p", "token"))
-    n = F.length(strip(F.col("text")))
-    target = F.when(F.col("token").isNotNull(), F.col("next_line")).otherwise(F.col("line_index"))
-    shown = stated.where(F.col("has_text") | F.col("token").isNotNull()).withColumn("line", target).where("line is not null")
-    before = Window.partitionBy("note_uid", "line").orderBy("s", "p").rowsBetween(Window.unboundedPreceding, -1)
-    shown = shown.withColumn("at", F.coalesce(F.sum(F.when(F.col("has_text"), F.length("text")).otherwise(0)).over(before), F.lit(0)))
-    colours = Window.partitionBy("note_uid", "line", "color")
-    of_colour = F.when(F.col("has_text") & F.col("color").isNotNull() & (n > 0), n)
-    shown = shown.withColumns({"n": F.when(F.col("has_text"), n).otherwise(0), "colour_n": F.sum(of_colour).over(colours), "colour_at": F.min(F.when(of_colour.isNotNull(), F.struct("s", "p"))).over(colours)})
-    # Most characters, then the colour seen first: max over (count, reversed place).
-    best = F.max(F.when(of_colour.isNotNull(), F.struct("colour_n", (-F.col("colour_at.s")).alias("rs"), (-F.col("colour_at.p")).alias("rp"), "color")))
-    parts_list = F.array_sort(F.collect_list(F.when(F.col("has_text"), F.struct("s", "p", "text", "color", "at"))))
-    lines = shown.groupBy("note_uid", "line").agg(
-        parts_list.alias("parts"),
-        best["color"].alias("color"),
-        F.sum("n").alias("chars"),
-        F.sum(F.when(F.col("bold"), F.col("n")).otherwise(0)).alias("bold_chars"),
-        F.max_by("section", F.when(F.col("has_text"), F.struct("s", "p"))).alias("section_color"),
-        F.max_by("token", breaks).alias("token"),
-        F.min(F.when(F.col("has_text"), F.col("offset"))).alias("char_start"),
-        F.max(F.when(F.col("has_text"), F.col("offset") + F.length("text"))).alias("char_end"),
-    )
-    inner = F.filter("parts", lambda x: (F.length(strip(x["text"])) > 0) & x["color"].isNotNull() & (x["color"] != F.col("color")))
-    inner = F.transform(inner, lambda x: F.struct(F.substring(strip(x["text"]), 1, 100).alias("text"), x["color"].alias("color"), x["at"].alias("start"), (x["at"] + F.length(strip(x["text"]))).alias("end")))
-    text = strip(F.array_join(F.transform("parts", lambda x: x["text"]), ""))
-    context = F.when(F.col("token") == "[BR3]", "section_start").when(F.col("token") == "[BR2]", "block_start").otherwise("mid_block")
-    return lines.where("chars > 0").select(
-        "note_uid",
-        F.col("line").cast("int").alias("line_index"),
-        text.alias("text"),
-        "color",
-        (F.col("bold_chars") * 2 > F.col("chars")).alias("is_bold"),
-        inner.alias("inner_highlights"),
-        "section_color",
-        context.alias("break_context"),
-        "char_start",
-        "char_end",
-    )
-
-
-def caption_units(notes: DataFrame) -> DataFrame:
+def note_lines(spans: list[tuple[str | None, str | None, bool | None]]) -> Iterator[tuple]:
+    """The lines with text of one note's spans (text, colour, bold), as rows of _LINES.
+
+    A line's colour is the one with most stripped characters, the first seen on a tie; it is bold if
+    over half of them are. The section colour runs on: more of the same colour adds to its run, another
+    takes over if there is none yet or its part is longer than the run so far, and [BR3] ends it. A
+    break token counts for the next line with text."""
+    line, at, section, run, waiting = 0, 0, None, 0, None
+    parts: list[tuple[str, str | None, bool]] = []
+    begin, state = 0, None
+    context = "mid_block"
+
+    def closed() -> Iterator[tuple]:
+        n = {k: len(t.strip(WHITE)) for k, (t, _, _) in enumerate(parts)}
+        chars = sum(n.values())
+        if not chars:
+            return
+        by_colour: dict[str, int] = {}
+        for k, (_, color, _) in enumerate(parts):
+            if color is not None and n[k]:
+                by_colour[color] = by_colour.get(color, 0) + n[k]
+        best = max(by_colour, key=by_colour.__getitem__, default=None)
+        inner, to = [], 0
+        for k, (text, color, _) in enumerate(parts):
+            if n[k] and color is not None and color != best:
+                inner.append({"text": text.strip(WHITE)[:INNER_CHARS], "color": color, "start": to, "end": to + n[k]})
+            to += len(text)
+        bold = sum(n[k] for k, (_, _, b) in enumerate(parts) if b)
+        yield line, "".join(t for t, _, _ in parts).strip(WHITE), best, 2 * bold > chars, inner, state, context, begin, end
+
+    end = 0
+    for whole, color, bold in spans:
+        for k, text in enumerate((whole or "").split("\n")):
+            if k:
+                if parts:
+                    yield from closed()
+                    parts, context = [], "mid_block"
+                line, at = line + 1, at + 1
+            token = text.strip(WHITE)
+            if token in TOKENS:
+                waiting = TOKENS[token]
+                if token == "[BR3]":
+                    section, run = None, 0
+            elif text:
+                if color is not None and color == section:
+                    run += len(text)
+                elif color is not None and (section is None or len(text) > run):
+                    section, run = color, len(text)
+                if not parts:
+                    begin = at
+                if waiting:
+                    context, waiting = waiting, None
+                parts.append((text, color, bool(bold)))
+                state, end = section, at + len(text)
+            at += len(text)
+    if parts:
+        yield from closed()
+
+
+def content_units(notes: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """One row per line with text: text, color, is_bold, inner_highlights, section_color, break_context,
+    char_start, char_end, line_index, for each note_uid; further columns of notes in `keep` come along."""
+    names = ("note_uid", *keep)
+    flat = notes.select(*names, F.transform("spans", lambda s: F.struct(s["text"].alias("text"), s["highlight"].alias("highlight"), s["bold"].alias("bold"))).alias("__spans"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(len(names))
+            sizes = pc.fill_null(pc.list_value_length(lists), 0).to_pylist()
+            values = lists.flatten()
+            spans = list(zip(*(pc.struct_field(values, k).to_pylist() for k in range(3)), strict=True))
+            source, out, begin = [], [], 0
+            for row, n in enumerate(sizes):
+                lines = list(note_lines(spans[begin : begin + n]))
+                begin += n
+                source += [row] * len(lines)
+                out += lines
+            columns = zip(*out, strict=True) if out else [[]] * len(_LINES)
+            kept = batch.select(list(names)).take(pa.array(source, pa.int64())).columns
+            yield pa.RecordBatch.from_arrays([*kept, *(pa.array(c, f.type) for c, f in zip(columns, _LINES, strict=True))], names=[*names, *_LINES.names])
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in flat.select(*names).schema)
+    return flat.mapInArrow(run, f"{schema}, {_LINES_DDL}")
+
+
+def caption_units(notes: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """One unit per note whose caption has text and is no separator line; color is the node's."""
     caption = strip(F.col("caption"))
     color = F.col("node_color")
     good = notes.where(F.col("caption").isNotNull() & (caption != "") & ~is_separator(caption))
     return good.select(
         "note_uid",
+        *keep,
         F.lit(-1).alias("line_index"),
         caption.alias("text"),
         color.alias("color"),
@@ -144,12 +138,17 @@ def caption_units(notes: DataFrame) -> DataFrame:
     )
 
 
-def knowledge_units(notes: DataFrame) -> DataFrame:
+NOTE_COLUMNS = ("page_id", "caption", "tree_path", "date_created")
+
+
+def knowledge_units(notes: DataFrame, as_of: Column | None = None) -> DataFrame:
     """Caption and content units of notes (note_uid, page_id, caption, node_color, tree_path,
-    date_created, spans), weighted, flagged and with exact duplicates per page marked."""
-    content = content_units(notes).withColumn("source_type", F.lit("content"))
-    captions = caption_units(notes).withColumn("source_type", F.lit("treenode"))
-    units = captions.unionByName(content).join(notes.select("note_uid", "page_id", "caption", "tree_path", "date_created"), "note_uid")
+    date_created, spans), weighted, flagged and with exact duplicates per page marked. With as_of
+    they also have note_age_days. The units are written once to the shared folder and read back, so
+    that what counts them reads the columns it needs."""
+    content = content_units(notes, NOTE_COLUMNS).withColumn("source_type", F.lit("content"))
+    captions = caption_units(notes, NOTE_COLUMNS).withColumn("source_type", F.lit("treenode"))
+    units = captions.unionByName(content)
     weight = colour_weight(F.col("color"))
     marked = F.when(F.col("source_type") == "treenode", effective_weight(F.col("color"), F.lit(True), NODE_BONUS)).otherwise(effective_weight(F.col("color"), F.col("is_bold")))
     units = units.select(
@@ -161,17 +160,22 @@ def knowledge_units(notes: DataFrame) -> DataFrame:
         is_separator(F.col("text")).alias("is_separator"),
         is_trivial(F.col("text"), F.col("color")).alias("is_trivial"),
     )
-    return mark_duplicates(units)
+    if as_of is not None:
+        units = units.withColumn("note_age_days", age_days(F.col("date_created"), as_of))
+    return mark_duplicates(scratch_table(units))
 
 
 def mark_duplicates(units: DataFrame) -> DataFrame:
     """is_duplicate: a clean unit with a smaller id on the page has the same normalised text.
 
-    The least id per (page, text) is combined before the shuffle; no group is gathered."""
+    units: a stored table, as it is read twice. The least id per (page, text) is combined before the
+    shuffle and only texts that occur again are joined back, so a line on a third of all notes is one
+    row; no group is gathered."""
     clean = ~F.col("is_trivial") & ~F.col("is_separator")
-    first = units.where(clean).groupBy("page_id", "text_normalized").agg(F.min("unit_id").alias("__first"))
-    out = units.join(first, ["page_id", "text_normalized"], "left")
-    return out.withColumn("is_duplicate", F.coalesce(clean & (F.col("unit_id") > F.col("__first")), F.lit(False))).drop("__first")
+    first = units.where(clean).groupBy("page_id", "text_normalized").agg(F.min("unit_id").alias("__first"), F.count("*").alias("__n"))
+    again = small(scratch_table(first.where("__n > 1").select(F.col("page_id").alias("__page"), F.col("text_normalized").alias("__text"), "__first")))
+    out = units.join(again, F.col("page_id").eqNullSafe(F.col("__page")) & (F.col("text_normalized") == F.col("__text")), "left")
+    return out.withColumn("is_duplicate", F.coalesce(clean & (F.col("unit_id") > F.col("__first")), F.lit(False))).drop("__page", "__text", "__first")
 
 
 def retrievable(pages: tuple[int, ...] = ()) -> Column:

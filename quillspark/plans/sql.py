@@ -45,13 +45,13 @@ TIER_SQL = f"""{UNITS}, good AS (SELECT * FROM units WHERE NOT is_trivial AND NO
 tiers AS (SELECT *, CASE WHEN color IN ('u', 'p') THEN 0 WHEN color = 'b' THEN 1 WHEN color IN ('g', 'g2') THEN 2 WHEN color IS NULL AND is_bold THEN 5 END AS tier FROM good WHERE color IN ('u', 'p', 'b', 'g', 'g2') OR (color IS NULL AND is_bold))"""
 
 _TOKENS = rf"list_filter(string_split_regex(translate(lower({{x}}), '{_ACCENTED}', '{_PLAIN}'), '[^\p{{{{L}}}}\p{{{{N}}}}]+'), lambda w: w <> '')"
-CORPUS = rf"""WITH corpus AS (SELECT vec_id AS unit_id, vec_id // 10 AS note_uid, left(text, 400) AS text, {CODE.format(k='vec_id * 7')} AS color, vec_id % 5 = 0 AS is_bold,
+CORPUS = rf"""WITH corpus AS (SELECT vec_id AS unit_id, vec_id // 10 AS note_uid, text, {CODE.format(k='vec_id * 7')} AS color, vec_id % 5 = 0 AS is_bold,
  {WEIGHT.format(c=CODE.format(k='vec_id * 7'))} + CASE WHEN {CODE.format(k='vec_id * 7')} IS NOT NULL AND vec_id % 5 = 0 THEN 0.5 ELSE 0 END AS effective_weight,
  {WEIGHT.format(c=CODE.format(k='label % 7'))} AS section_weight, embedding::DOUBLE[] AS vector, source || ' > ' || lang AS tree_path FROM embeddings JOIN documents ON vec_id = doc_id),
 words AS (SELECT unit_id, unnest({_TOKENS.format(x='text')}) AS term FROM corpus),
 lengths AS (SELECT unit_id, len({_TOKENS.format(x='text')}) AS length FROM corpus),
 size AS (SELECT count(*) AS n, avg(length) AS average FROM lengths),
-asked AS (SELECT item_id AS query_id, unnest(regexp_extract_all(left(text, 60), '[A-Za-z0-9'']{{3,}}')) AS raw FROM benchmark WHERE item_id < 3),
+asked AS (SELECT item_id AS query_id, unnest(regexp_extract_all(text, '[A-Za-z0-9'']{{3,}}')) AS raw FROM benchmark),
 terms AS (SELECT query_id, row_number() OVER () AS phrase, translate(lower(raw), '{_ACCENTED}', '{_PLAIN}') AS term FROM asked),
 tf AS (SELECT query_id, phrase, unit_id, count(*) AS tf FROM terms JOIN words USING (term) GROUP BY ALL),
 df AS (SELECT query_id, phrase, count(*) AS df FROM tf GROUP BY ALL),
@@ -63,6 +63,8 @@ def regime_sql(r: Regime, final: str = "SELECT query_id, rank, unit_id, round(sc
     """The regime over the stand-in corpus."""
     floor = "TRUE" if r.min_weight is None else f"effective_weight >= {r.min_weight}"
     top = "least(greatest(coalesce({w}, 0), 0), 5.5) / 5.5"
+    # The stated query set of vectors; pooled retrieval takes each question's own.
+    asked = "vec_id IN (SELECT item_id FROM benchmark)" if r.retriever == "pooled" else "vec_id % 100 = 0"
 
     def lexical(k: int) -> str:
         return f"""first AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, unit_id) AS r FROM bm25) WHERE r <= {4 * k}),
@@ -70,7 +72,7 @@ lex AS (SELECT query_id, unit_id, score, rank FROM (SELECT query_id, unit_id, sc
 
     def dense(k: int) -> str:
         return f"""cosines AS (SELECT q.unit_id AS query_id, c.unit_id, list_cosine_similarity(c.vector, q.vector) * (1 + {r.alpha} * {top.format(w='c.effective_weight')}) * (1 + {r.beta} * {top.format(w='c.section_weight')}) AS score
- FROM corpus c, corpus q WHERE q.unit_id < 3 AND {floor.replace('effective_weight', 'c.effective_weight')}),
+ FROM corpus c, (SELECT vec_id AS unit_id, embedding::DOUBLE[] AS vector FROM embeddings WHERE {asked}) q WHERE {floor.replace('effective_weight', 'c.effective_weight')}),
 den AS (SELECT query_id, unit_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, unit_id) AS rank FROM cosines) WHERE rank <= {k})"""
 
     if r.retriever == "fts":
@@ -79,7 +81,7 @@ den AS (SELECT query_id, unit_id, score, rank FROM (SELECT *, row_number() OVER
         body = dense(r.top_k) + ",\nhits AS (SELECT * FROM den)"
     elif r.retriever == "none":
         body = f"""hits AS (SELECT item_id AS query_id, unit_id, effective_weight AS score, row_number() OVER (PARTITION BY item_id ORDER BY effective_weight DESC, unit_id) AS rank
- FROM (SELECT * FROM corpus WHERE {floor} ORDER BY effective_weight DESC, unit_id LIMIT {r.top_k}), benchmark WHERE item_id < 3)"""
+ FROM (SELECT * FROM corpus WHERE {floor} ORDER BY effective_weight DESC, unit_id LIMIT {r.top_k}), benchmark)"""
     else:
         half = max(1, r.top_k // 2)
         body = f"""{lexical(half)},

@@ -22,16 +22,82 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """df over all cores where it lies in fewer files than there are cores (one row group is one task)."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if len(df.inputFiles()) < cores else df
+
+
 #: Of a document.
 PAGE = "cast(substr(source, 4) as int)"
 
 
+def with_tokens(text: Column) -> Column:
+    """text with a line [BR2] behind lines 3, 10, ... and [BR3] behind lines 6, 13, ..."""
+    token = lambda i: F.when(i % 7 == 3, "\n[BR2]").when(i % 7 == 6, "\n[BR3]").otherwise("")
+    return F.array_join(F.transform(F.split(text, "\n", -1), lambda t, i: F.concat(t, token(i))), "\n")
+
+
+#: A piece of a line: two words with the spaces behind them, or what is left.
+PIECE = "[^ ]+ +[^ ]+ +|[^ ]+ *| +"
+
+
+def mixed_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Notes with several spans a line: pieces of two words, coloured and bold by (document, line, piece)."""
+    docs = spread(table(spark, sf_dir, "documents"), "doc_id")
+
+    def line(text: Column, i: Column) -> Column:
+        def span(t: Column, k: Column) -> Column:
+            return F.struct(t.alias("text"), code_of((F.col("doc_id") * 7 + i * 3 + k * 5) % 16).alias("highlight"), ((F.col("doc_id") + i + k) % 3 == 0).alias("bold"), F.lit(False).alias("italic"))
+
+        newline = F.struct(F.lit("\n").alias("text"), F.lit(None).cast("string").alias("highlight"), F.lit(False).alias("bold"), F.lit(False).alias("italic"))
+        return F.array_append(F.transform(F.regexp_extract_all(text, F.lit(PIECE), F.lit(0)), span), newline)
+
+    spans = F.flatten(F.transform(F.split(F.coalesce("text", F.lit("")), "\n", -1), line))
+    return docs.select(F.col("doc_id").alias("note_uid"), spans.alias("spans"))
+
+
+#: Fixed rule: hex colours of stand-in notes by (document x 5) modulo 16; missing ones have none.
+HEX = ("FF99CC", "ccffff ", "CCFFCC", "", "CC99FF", "99CC00", "FFFF99", "123456")
+
+
+def archive_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """An archive's own tables: documents as notes with rich-text contents, each note a node of one tree
+    in which node i (from 1) lies under node (i - 1) div 4. Some nodes have no note, some notes no content."""
+    docs = table(spark, sf_dir, "documents")
+    i = F.col("doc_id")
+    caption = F.when(i % 29 == 7, "=====").when(i % 31 == 9, " ").otherwise(F.substring(F.substring_index(F.coalesce("text", F.lit("")), "\n", 1), 1, 60))
+    notes = docs.select(
+        i.alias("uid"),
+        F.expr(PAGE).cast("long").alias("page_id"),
+        caption.alias("caption"),
+        F.get(F.array(*(F.lit(h) for h in HEX)), ((i * 5) % 16).cast("int")).alias("bg_color"),
+        (F.lit(40000.25) + i % 1000).alias("date_created"),
+    )
+    contents = docs.where(i % 13 != 5).select(i.alias("id"), F.col("text"), F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("packed_size"))
+    nodes = docs.select(
+        F.lit(1).cast("long").alias("page_id"),
+        (i + 1).alias("id"),
+        F.when(i < 4, -1).otherwise(F.expr("doc_id div 4")).cast("long").alias("parent_id"),
+        (i % 4).alias("sort_index"),
+        F.when(i % 17 == 3, i + 1_000_000_000).otherwise(i).alias("note_uid"),
+        (i % 5).alias("child_count"),
+        caption.alias("caption"),
+    )
+    return {"pages": pages(spark, sf_dir).select(F.col("page_id").cast("long").alias("id"), F.col("page_caption").alias("caption")), "notes": notes, "contents": contents, "treenodes": nodes}
+
+
 def code_of(k: Column) -> Column:
     return F.get(F.array(*(F.lit(c) for c in CODES)), k.cast("int"))
 
 
-def notes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+def notes(spark: SparkSession, sf_dir: str, narrow: bool = False, tokens: bool = False) -> DataFrame:
+    """narrow: two words a line. tokens: every seventh line is followed by a line with a break token."""
+    docs = spread(table(spark, sf_dir, "documents"), "doc_id")
+    if narrow:
+        docs = docs.withColumn("text", F.regexp_replace("text", r"([^ \n]+ [^ \n]+) ", "$1\n"))
+    if tokens:
+        docs = docs.withColumn("text", with_tokens(F.col("text")))
     lines = F.split(F.coalesce("text", F.lit("")), r"(?<=\n)", -1)  # each line keeps its newline
 
     def span(t: Column, i: Column) -> Column:
@@ -76,16 +142,15 @@ def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def corpus(spark: SparkSession, sf_dir: str, chars: int | None = None) -> DataFrame:
-    """Embeddings with whole texts (or their first `chars` characters); ten units a note. The context
-    vector is the plain one turned round."""
+def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Embeddings with whole texts; ten units a note. The context vector is the plain one turned round."""
     vectors, docs = table(spark, sf_dir, "embeddings"), table(spark, sf_dir, "documents")
     joined = vectors.join(docs, vectors["vec_id"] == docs["doc_id"])
     color, bold = code_of((F.col("vec_id") * 7) % 16), F.col("vec_id") % 5 == 0
     return joined.select(
         F.col("vec_id").alias("unit_id"),
         F.expr("vec_id div 10").alias("note_uid"),
-        (F.col("text") if chars is None else F.substring("text", 1, chars)).alias("text"),
+        "text",
         color.alias("color"),
         bold.alias("is_bold"),
         effective_weight(color, bold).alias("effective_weight"),
@@ -101,11 +166,6 @@ def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
 
 
-def first_questions(spark: SparkSession, sf_dir: str, n: int = 3) -> DataFrame:
-    """The first items of the benchmark as queries (their first 60 characters)."""
-    return table(spark, sf_dir, "benchmark").where(F.col("item_id") < n).select(F.col("item_id").alias("query_id"), F.substring("text", 1, 60).alias("query"))
-
-
 def _asked(vectors: DataFrame, turned: bool) -> DataFrame:
     return vectors.select(F.col("vec_id").alias("query_id"), (F.reverse("embedding") if turned else F.col("embedding")).alias("vector"))
 
@@ -121,12 +181,6 @@ def question_vectors(spark: SparkSession, sf_dir: str, turned: bool = False) ->
     return _asked(vectors.join(items, vectors["vec_id"] == items["item_id"], "left_semi"), turned)
 
 
-def first_vectors(spark: SparkSession, sf_dir: str, n: int = 3, turned: bool = False) -> list[tuple[int, list[float]]]:
-    """Vectors 0..n-1 as embedded questions."""
-    rows = table(spark, sf_dir, "embeddings").where(F.col("vec_id") < n).orderBy("vec_id").collect()
-    return [(r["vec_id"], list(r["embedding"])[:: -1 if turned else 1]) for r in rows]
-
-
 def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as rated runs: type = regime, user = question, mean value = score."""
     return table(spark, sf_dir, "events").groupBy(F.col("user_id").cast("string").alias("question_id"), F.col("event_type").alias("regime")).agg(F.avg("value").alias("score"))

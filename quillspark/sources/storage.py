@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import json
+import uuid
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillspark.functions.rtf import cp1252_text
+
 
 def checkpointed(df: DataFrame) -> DataFrame:
     """A reliable checkpoint in spark.checkpoint.dir (beside the warehouse where that is unset)."""
@@ -18,6 +21,25 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def scratch_table(df: DataFrame) -> DataFrame:
+    """df written once to the shared checkpoint folder as Parquet, and read back."""
+    spark = df.sparkSession
+    where = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    where = where or f"{spark.conf.get('spark.sql.warehouse.dir')}/_checkpoints"
+    path = f"{where.rstrip('/')}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+#: Rows of a table that may be broadcast (short texts, ids and counts); beyond it is joined.
+BROADCAST_ROWS = 100_000
+
+
+def small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+    """df (stored), marked for broadcast if it has at most `most` rows."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
 def rebuild(df: DataFrame, path: str, partition_by: tuple[str, ...] = ()) -> None:
     """Replace a table as a whole."""
     writer = df.write.mode("overwrite")
@@ -51,13 +73,14 @@ def write_json(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
 
-def read_json(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.json(path, multiLine=True)
+def read_json(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """One JSON value a file, or with lines one a line."""
+    return spark.read.json(path, multiLine=not lines)
 
 
 def read_rtf_files(spark: SparkSession, path: str) -> DataFrame:
     """(path, text) of rich-text files, read as cp1252."""
-    return spark.read.format("binaryFile").load(path).select("path", F.decode("content", "windows-1252").alias("text"))
+    return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", cp1252_text("content").alias("text"))
 
 
 def write_text_parts(text: str, folder: str, name: str, limit: int = 0) -> list[str]:

@@ -172,6 +172,13 @@ def test_tree(spark):
     assert below == {i for (p, i), r in got.items() if p == 1 and 0 in r.id_path}
 
 
+def test_a_tree_too_deep_is_an_error(spark):
+    nodes = spark.createDataFrame([(1, k, k - 1, 0, f"c{k}", 1) for k in range(6)], NODES)
+    with pytest.raises(ValueError, match="deeper than 4"):
+        tree.hierarchy(nodes, max_depth=4)
+    assert tree.hierarchy(nodes, max_depth=6).count() == 6
+
+
 def test_deep_tree(spark):
     rows = [(1, k, k - 1, 0, f"c{k}", 1) for k in range(25)]
     out = tree.with_paths(tree.hierarchy(spark.createDataFrame(rows, NODES)))
@@ -219,7 +226,7 @@ def test_changes(spark):
 
 def test_bm25_like_sqlite(spark):
     rng = random.Random(8)
-    words = ["alpha", "beta", "gamma", "delta", "it's", "it", "was", "s", "Café", "naive"]
+    words = ["alpha", "beta", "gamma", "delta", "it's", "it", "was", "s", "Café", "naive", "Čeština", "őszi", "başka", "žena", "ångström", "ḥadd"]
     texts = [(k, " ".join(rng.choices(words, k=rng.randint(1, 25)))) for k in range(200)]
     con = sqlite3.connect(":memory:")
     try:
@@ -229,10 +236,12 @@ def test_bm25_like_sqlite(spark):
     con.executemany("INSERT INTO f(rowid, text) VALUES (?, ?)", [(k + 1, t) for k, t in texts])
     df = spark.createDataFrame(texts, "unit_id long, text string")
     index, size = lexical.build_index(df), lexical.corpus_size(df)
-    for query in ("alpha gamma", "it's alpha", "cafe beta beta", "ab"):
+    for query in ("alpha gamma", "it's alpha", "cafe beta beta", "ab", "cestina oszi", "baska zena angstrom hadd"):
         terms = C.query_terms(F.lit(query))
         parts = spark.range(1).select(terms.alias("t")).first().t
-        got = {r.unit_id: r.score for r in lexical.bm25(index, size, spark.createDataFrame([(0, query)], "query_id long, query string")).collect()}
+        asked = spark.createDataFrame([(0, query)], "query_id long, query string")
+        got = {r.unit_id: r.score for r in lexical.bm25(index, size, asked).collect()}
+        assert got == {r.unit_id: r.score for r in lexical.bm25(lexical.build_index(df, lexical.parse_queries(asked)), size, asked).collect()}
         if not parts:
             assert got == {}
             continue
@@ -256,6 +265,12 @@ def test_retrieval_properties(spark):
         resolve("R9")
     with pytest.raises(ValueError):
         retrieve.cosines(corpus, "vector_plain", [(0, [0.0] * 4)])
+    # Vectors of another length are an error, whether the queries are a few or a table.
+    with pytest.raises(Exception, match="has not the queries' 3 places"):
+        retrieve.cosines(corpus, "vector_plain", [(0, [1.0] * 3)]).collect()
+    short = spark.createDataFrame([(0, [1.0] * 3)], "query_id long, vector array<double>")
+    with pytest.raises(Exception, match="against queries of 3"):
+        retrieve.dense(corpus, resolve("R1_baseline_vector"), short, "vector_plain").collect()
     assert resolve("R1_baseline_vector", {"top_k": 3, "alpha": 9, "min_weight": None}).alpha == 0.0
     hits = retrieve.retrieve(corpus, resolve("R6_full_metadata"), asked, vectors)
     fitted = retrieve.fit(hits, corpus, resolve("R6_full_metadata"), 300, 500).orderBy("rank").collect()
@@ -332,7 +347,7 @@ def test_paired_tests(spark):
     points = spark.createDataFrame([(k,) for k in (0, 1, 11, 61)], "df long").select("df", evaluate.t_critical(F.col("df")).alias("t")).collect()
     assert math.isnan(points[0].t) and [p.t for p in points[1:]] == [12.71, 2.18, 1.96]
     with pytest.raises(ValueError):
-        evaluate.report(evaluate.empty_scores(spark), "r0")
+        evaluate.report(spark.createDataFrame([], "run_id long, question_id string, regime string"), spark.createDataFrame([], "run_id long, overall double"), "r0")
 
 
 def test_bootstrap_and_overlap(spark):
@@ -426,3 +441,62 @@ def test_old_export_texts(spark):
     chunks = export.split_at_branches(long, 400)
     assert len(chunks) > 1 and all(c.startswith("# head") for c in chunks) and sum(c.count("== b") for c in chunks) == 4
     assert export.preset(export_units(spark), "compact").count() == 1
+
+
+def test_rich_text_is_written_and_read_back():
+    spans = [("plain {\\} ", None, False, False), ("pink é\n", "p", False, False), ("both\t", "g2", True, True), ("bold \U0001f601", None, True, False)]
+    from quillspark.functions.rtf import rich_rtf, with_text
+
+    assert shown(rich_rtf(spans)) == spans
+    for source in (rich_rtf(spans), rich_rtf([]), to_rtf("old"), rich("old")):
+        more = shown(with_text(source, "new {text}", "u", True))
+        assert more[-1] == ("new {text}", "u", True, False) and more[:-1] == shown(source)
+        again = shown(with_text(with_text(source, "one", "b"), "two", "b"))
+        assert [s[:2] for s in again[-2:]] in ([("one", "b"), ("two", "b")],) or again[-1][:2] == ("onetwo", "b")
+    assert shown(with_text(to_rtf("old"), " plain"))[-1][0] == "old plain"
+
+
+def test_nearest_colours_alike(spark):
+    rng = random.Random(4)
+    rgb = [tuple(rng.randrange(256) for _ in range(3)) for _ in range(300)] + [(0, 0, 0), (255, 255, 255), (255, 153, 204), (250, 250, 160), (10, 10, 120)]
+    df = spark.createDataFrame(rgb, "r int, g int, b int")
+    got = {(x.r, x.g, x.b): x.c for x in df.select("*", C.nearest_colour(F.col("r"), F.col("g"), F.col("b")).alias("c")).collect()}
+    assert got == {c: nearest_code(c) for c in rgb}
+
+
+def test_notes_are_created_and_appended(spark):
+    nodes, notes, contents = archive_tables(spark)
+    data = contents.select("id", F.lit(to_rtf("old").encode()).alias("data"), "packed_size")
+    n, c, t = archive.created(notes, data, nodes, 1, 1, 0, "fresh", [("hello", "p", True, False)])
+    new = n.where("caption = 'fresh'").first()
+    assert new.uid == 21 and t.where("note_uid = 21").first().sort_index == 0
+    assert shown(inflate(bytes(c.where("id = 21").first().data))) == [("hello", "p", True, False)]
+    more = archive.appended(c, 10, " and new", "b").where("id = 10").first()
+    assert shown(inflate(bytes(more.data)))[-1] == (" and new", "b", False, False) and more.packed_size == len(more.data)
+    cleared = archive.patched(notes, spark.createDataFrame([(10, None)], "uid long, bg_color string"), set_null=True)
+    assert cleared.where("uid = 10").first().bg_color is None and cleared.where("uid = 12").first().bg_color == "CCFFFF"
+
+
+def test_report(spark):
+    rng = random.Random(5)
+    runs = [(k, f"{'AB'[k // 3 % 2]}{k // 3}", f"r{k % 3}", k) for k in range(60)]
+    ratings = [(k, rng.uniform(0, 100), float(k % 7), None, 1.0, k % 2 == 0) for k in range(50)]
+    r = spark.createDataFrame(runs, "run_id long, question_id string, regime string, n_fragments long")
+    s = spark.createDataFrame(ratings, "run_id long, overall double, correctness double, completeness double, grounding double, blind boolean")
+    out = evaluate.report(r, s, "r0", rounds=200)
+    assert set(out) == {"table_overall", "table_correctness", "table_completeness", "table_grounding", "retrieval", "groups", "blind"}
+    for row in out["table_overall"].collect():
+        assert row.low <= row["mean"] <= row.high and row.n > 10
+    assert {x.grp for x in out["groups"].collect()} == {"A", "B"} and out["blind"].count() == 3
+    box = evaluate.box_plots(spark.createDataFrame([("r", float(k)) for k in range(5)], "regime string, score double")).first()
+    assert (box.n, box.low, box.q1, box.median, box.q3, box.high) == (5, 0.0, 1.0, 2.0, 3.0, 4.0)
+
+
+def test_answers_come_in_pieces(spark):
+    a = small_archive(spark)
+    out = list(a.stream("alpha corpus", "R6_full_metadata", lambda m: iter(["so ", m[0]["role"]]), window_tokens=4000))
+    assert out[0]["n_fragments"] > 0 and [x["delta"] for x in out[1:]] == ["so ", "system"]
+    assert [x["answer"] for x in a.stream("zz", "R0_baseline_fts", lambda m: iter(["no"]))] == [service.NOTHING]
+    assert len(a.regimes()) == len(REGIMES) and a.regimes()[0]["key"] == "R0_baseline_fts"
+    vectors = stats.corpus_stats(a.corpus.withColumn("vector_context", F.when(F.col("unit_id") < 10, F.col("vector_context")))).first()
+    assert (vectors.embedded_plain, vectors.embedded_context) == (30, 10)
