@@ -50,7 +50,7 @@ def runs(parts: Iterator[tuple[np.ndarray, ...]], items: int) -> Iterator[list[n
         yield [np.concatenate(x) for x in zip(*held, strict=True)]
 
 
-def shared_codes(docs: DataFrame, anchors: Callable, within: bool, per_partition: int = 1, run_items: int = RUN_ITEMS) -> DataFrame:
+def shared_codes(docs: DataFrame, anchors: Callable, within: bool, per_partition: int = 4, run_items: int = RUN_ITEMS) -> DataFrame:
     """Rows (__id, codes) of the anchor codes of a document that occur elsewhere too.
 
     docs: columns __id, __text; rows with a null id are passed over. anchors(data, offsets) gives hashes and their rows.
