@@ -10,8 +10,10 @@ sequences and offsets); ranks among equal lengths come from counts per partition
 
 Defined results. Null or empty text: only the closing id, one piece of length one. Null ids and
 repeated rows are packed like any other row. Documents over `capacity` are cut into pieces of
-`capacity` ids, the last may be shorter; nothing else is cut. Other columns are ignored. An empty
-table gives an empty result.
+`capacity` ids, the last may be shorter; nothing else is cut. Very long texts are tokenised alone, whole.
+Of sequences with equal remaining capacity (ties) the one opened last is filled, of pieces of equal length
+the one that comes first in the stored order goes first; neither changes the number of sequences. Other
+columns are ignored, whatever their names. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -145,13 +147,13 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-def token_pieces(df: DataFrame, id_col: str, text_col: str, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID, with_ids: bool = False) -> DataFrame:
-    """One row per piece: id_col, piece, start, length, ids_crc32, and the ids themselves if asked."""
+def token_pieces(df: DataFrame, id_col: str, text_col: str, tokenizer: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID, with_ids: bool = False) -> DataFrame:
+    """One row per piece: __id, piece, start, length, ids_crc32, and the ids themselves if asked."""
     kept = [f for f in _PIECES if with_ids or f.name != "ids"]
     schema = pa.schema(kept)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = _tokens(tokenizer)
+        tokens = _tokens(tokenizer or default_tokenizer())  # found where the task runs
         for batch in batches:
             data, offsets = text_view(batch.column(1))
             keys = batch.column(0)
@@ -177,8 +179,7 @@ def token_pieces(df: DataFrame, id_col: str, text_col: str, tokenizer: str, capa
                 yield pa.RecordBatch.from_arrays([out[f.name] if f.name == "id" else pa.array(out[f.name], f.type) for f in schema], schema=schema)
 
     names = {"id": "id long", "piece": "piece int", "start": "start long", "length": "length long", "ids_crc32": "ids_crc32 long", "ids": "ids array<int>"}
-    found = rows(df, id_col, text_col).mapInArrow(cut, ", ".join(names[f.name] for f in schema))
-    return found.withColumnRenamed("id", id_col)
+    return rows(df, id_col, text_col).mapInArrow(cut, ", ".join(names[f.name] for f in schema)).withColumnRenamed("id", "__id")
 
 
 class CapacityTree:
@@ -280,8 +281,8 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 
 def pack_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID, with_ids: bool = False) -> DataFrame:
     """Tokenise and pack all rows: one row per piece with its sequence and offset."""
-    pieces = token_pieces(df, id_col, text_col, tokenizer or default_tokenizer(), capacity, end_id, with_ids)
-    return pack(checkpointed(pieces), capacity)
+    packed = pack(checkpointed(token_pieces(df, id_col, text_col, tokenizer, capacity, end_id, with_ids)), capacity)
+    return packed.select(F.col("__id").alias(id_col), *packed.columns[1:])
 
 
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,12 +11,14 @@ refer to the same partitions even when executors are lost.
 
 Defined results. Null source: a source of its own. Null text: size 16, crc32 0. Null ids and repeated
 rows get places like any row (their order among themselves is arbitrary). Fewer rows than shards
-leave some shards empty. Other columns are ignored.
+leave some shards empty. Ties in the fractional rank go by source, then by the seeded draw. Only the size
+and the checksum of a text are carried, however long it is. Other columns are ignored, whatever their
+names. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillspark.llm._util import checkpointed, shuffle_partitions
@@ -56,31 +58,40 @@ def stratified_order(df: DataFrame, source_col: str, seed: int = SEED, tie_cols:
     return second.join(counts, second["__part"] == counts["__p"]).select(*names, (F.col("__at") + F.col("shift")).alias("__pos"), "__total")
 
 
+def _measured(text_col: str) -> tuple[Column, Column]:
+    text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
+    return (F.octet_length(text) + 16).cast("long").alias("__size"), F.crc32(text.cast("binary")).alias("__crc")
+
+
+def _placed(rows: DataFrame, id_col: str, source_col: str, shards: int, seed: int) -> DataFrame:
+    """rows (with __size and __crc) with __shard and __slot."""
+    placed = stratified_order(rows, source_col, seed, (id_col, "__crc", "__size"))
+    first = F.expr(f"(__shard * __total + {shards - 1}) div {shards}")  # least place of the shard
+    return placed.withColumn("__shard", F.expr(f"(__pos * {shards}) div __total")).withColumn("__slot", F.col("__pos") - first)
+
+
 def assign_shards(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", shards: int = SHARDS, seed: int = SEED) -> DataFrame:
     """(id_col, source, size, text_crc32, law, shard, slot, grown_shard) for each row."""
-    text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
-    base = df.select(
-        F.col(f"`{id_col}`").alias("__id"), F.col(f"`{source_col}`").alias("__src"), (F.octet_length(text) + 16).cast("long").alias("__size"), F.crc32(text.cast("binary")).alias("__crc")
-    )
-    placed = stratified_order(base, "__src", seed, ("__id", "__crc", "__size"))
-    shard = F.expr(f"(__pos * {shards}) div __total")
-    first = F.expr(f"(s * __total + {shards - 1}) div {shards}")  # least place of shard s
-    return placed.withColumn("s", shard).select(
-        F.col("__id").alias(id_col),
-        F.col("__src").alias("source"),
+    keys = df.select(F.col(f"`{id_col}`").alias("__key"), F.col(f"`{source_col}`").alias("__from"), *_measured(text_col))
+    placed = _placed(keys, "__key", "__from", shards, seed)
+    return placed.select(
+        F.col("__key").alias(id_col),
+        F.col("__from").alias("source"),
         F.col("__size").alias("size"),
         F.col("__crc").alias("text_crc32"),
         F.lit("rows").alias("law"),
-        F.col("s").cast("int").alias("shard"),
-        (F.col("__pos") - first).alias("slot"),
+        F.col("__shard").cast("int").alias("shard"),
+        F.col("__slot").alias("slot"),
         F.lit(None).cast("int").alias("grown_shard"),
     )
 
 
-def write_shards(df: DataFrame, assigned: DataFrame, path: str, id_col: str = "doc_id") -> None:
-    """Write df's rows, joined to their shard and slot by a unique id, one folder per shard."""
-    placed = df.join(assigned.select(id_col, "shard", "slot"), id_col)
-    placed.repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot").write.mode("overwrite").partitionBy("shard").parquet(path)
+def write_shards(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", shards: int = SHARDS, seed: int = SEED) -> None:
+    """Write df's rows, all columns and every row once, in the order of their slots, one folder per shard.
+    Rows are placed as a whole, not joined to their places, so null and repeated ids lose nothing."""
+    placed = _placed(df.select("*", *_measured(text_col)), id_col, source_col, shards, seed)
+    named = placed.select(*(F.col(f"`{c}`") for c in df.columns), F.col("__shard").alias("shard_id"), F.col("__slot").alias("slot_id"))
+    named.repartitionByRange("shard_id", "slot_id").sortWithinPartitions("shard_id", "slot_id").write.mode("overwrite").partitionBy("shard_id").parquet(path)
 
 
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:

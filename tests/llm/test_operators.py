@@ -543,6 +543,57 @@ def test_sharding(spark, rows):
             assert abs(sum(r.source == source for r in shard) - n * len(shard) / len(more)) <= 1 + len(sources) / 2
 
 
+def test_shards_in_order_of_fractional_rank(spark, tmp_path):
+    """Places recomputed from the law: sources ranked by the seeded draw, all rows by fractional rank."""
+    from pyspark.sql import functions as F
+
+    rng = random.Random(21)
+    rows = [(None if k % 23 == 0 else k // 2, f"text {k}", "x", rng.choice(["a", "b", "b", "b", None])) for k in range(120)]
+    df = table(spark, rows)
+    drawn = df.select("doc_id", "text", "source", F.xxhash64(F.lit(sharding.SEED), "doc_id", F.crc32(F.col("text").cast("binary")), (F.octet_length("text") + 16).cast("long")).alias("draw")).collect()
+    order = []
+    for source in {r.source for r in drawn}:
+        mine = sorted(r.draw for r in drawn if r.source == source)
+        order += [((k + 0.5) / len(mine), source is not None, source or "", draw) for k, draw in enumerate(mine)]
+    place = {draw: k for k, (*_, draw) in enumerate(sorted(order))}
+    assert len(place) == len(rows)
+    cut = [-(-s * len(rows) // 7) for s in range(8)]
+    out = sharding.assign_shards(df, shards=7).collect()
+    want = sorted((str(r.doc_id), zlib.crc32(r.text.encode()), next(s for s in range(7) if place[r.draw] < cut[s + 1])) for r in drawn)
+    assert sorted((str(r.doc_id), r.text_crc32, r.shard) for r in out) == want
+    sharding.write_shards(df, str(tmp_path / "shards"), shards=7)
+    stored = spark.read.parquet(str(tmp_path / "shards"))
+    assert sorted(map(str, stored.select(*df.columns).collect())) == sorted(map(str, df.collect()))
+    assert sorted((str(r.doc_id), zlib.crc32(r.text.encode()), r.shard_id) for r in stored.collect()) == want
+
+
+def test_near_duplicates_are_found_at_the_default_radius(spark):
+    """Pairs at a similarity of 0.8 to 0.95 at the radius in use, against all pairs: nine of ten at least."""
+    rng = random.Random(31)
+    vocabulary = ["".join(rng.choices("abcdefghijklmnop", k=6)) for _ in range(3000)]
+    rows, wanted = [], set()
+    for k in range(150):
+        words = rng.choices(vocabulary, k=rng.randint(80, 400))
+        other = list(words)
+        sets = [decontaminate.shingles([w.encode() for w in words], 5)] * 2
+        target = rng.uniform(0.8, 0.95)
+        while True:
+            trial = list(other)
+            trial[rng.randrange(len(trial))] = rng.choice(vocabulary)
+            new = decontaminate.shingles([w.encode() for w in trial], 5)
+            if jaccard(sets[0], new) < target:
+                break
+            other, sets = trial, [sets[0], new]
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(other))]
+        wanted.add(k)
+    groups = {}
+    key = {hashlib.md5(t.encode()).hexdigest(): i for i, t in rows}
+    for r in neardup.near_duplicate_groups(table(spark, rows)).collect():
+        groups.setdefault(r.group, set()).add(key[r.key])
+    assert all(len({i // 2 for i in g}) == 1 for g in groups.values())
+    assert sum(len(g) == 2 for g in groups.values()) >= 0.9 * len(wanted)
+
+
 URLS = [
     None, "", "no scheme", "http://net/", "http://net", "https://A.Net/x?y#z", "ftp://u@example.net/en/a/b?c", "http://EXAMPLE.net/en", "http://notexample.net/en/", "http://x.example.com/de/?q",
     "http://example.com/de", "http://org/fr/", "http://a.b.org/fr/x/#f", "http://org.fr/fr/", "x://y://net/z", "http://.net/", "http://net:80/", "http://ex.org?/fr/", "://net/a", "http://ünet.net/é",
@@ -619,6 +670,25 @@ OPERATORS = {
     "substrings": lambda df: substrings.remove_repeated_substrings(df),
     "near_duplicates": lambda df: neardup.drop_near_duplicates(df),
 }
+#: The same with an id column named like an output or an inner column of the operator.
+RENAMED = {
+    "length": lambda df: packing.pack_documents(df, id_col="length").select("piece", "sequence_id"),
+    "f0": lambda df: simhash.simhash_components(df, id_col="f0").select("fingerprint"),
+    "id": lambda df: passages.remove_repeated_passages(df, id_col="id").select("n_words"),
+    "kept_bytes": lambda df: substrings.remove_repeated_substrings(df, id_col="kept_bytes").select("n_bytes"),
+    "base": lambda df: privacy.find_personal_data(df, id_col="base").select("terms"),
+    "shard": lambda df: sharding.assign_shards(df, id_col="shard").select("slot"),
+    "n_words": lambda df: quality.quality_rules(df, id_col="n_words").select("kept"),
+    "score": lambda df: language.identify(df, language.learn(df, "score", "text", "lang"), id_col="score").select("lang_pred"),
+}
+
+
+@pytest.mark.parametrize("name", sorted(RENAMED))
+def test_ids_named_like_outputs(spark, name):
+    df = table(spark, EDGE).drop("id", "length", "f0").withColumnRenamed("doc_id", name)
+    assert RENAMED[name](df).count() == len(EDGE) + (name == "length") * (RENAMED[name](df).where("piece > 0").count() if name == "length" else 0)
+
+
 #: Operators that return every row once.
 WHOLE = ("privacy", "sanitise", "language", "passages", "sharding", "simhash", "decontaminated", "urls", "quality", "substrings")
 

@@ -21,3 +21,17 @@ def test_other_languages_are_judged_by_base_rules(spark):
     assert not got[2].kept and got[2].divergence > quality.LIMIT and not got[2].base_failed
     assert got[3].base_failed and got[4].base_failed and not got[3].kept and not got[4].kept
     assert [r.doc_id for r in quality.keep_good(df).collect()] == [1]
+
+
+def test_sql_knows_other_languages(spark, tmp_path):
+    """The registered SQL on texts of another language, junk and a text too short."""
+    import duckdb
+
+    words = RUSSIAN.split()
+    texts = [RUSSIAN, " ".join(w + "%#&$"[i % 4] * 3 for i, w in enumerate(words)), " ".join(words[:30]), RUSSIAN + " " + RUSSIAN, "the end of a line and of the text " * 20, None, ""]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    want = sorted(con.execute(f"SELECT doc_id, n_words, base_failed, kept FROM ({quality.oracle()})").fetchall())
+    got = sorted((r.doc_id, r.n_words, r.base_failed, r.kept) for r in quality.op9(spark, str(tmp_path)).collect())
+    assert got == want and [r[3] for r in want][:3] == [True, False, False]
