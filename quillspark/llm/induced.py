@@ -9,7 +9,7 @@ Entries are tuples (suffix, common prefix with the entry before). Whole runs of
 at once in numpy: entries of one character that induce their own character form the next round.
 
 The reduced string of left-most S substrings is ranked by one more induction (which names the
-substrings) and by doubling over the names; ranks of each doubling also give the common-prefix
+substrings, equal ones confirmed byte by byte) and by doubling over the names; ranks of each doubling also give the common-prefix
 values of neighbours. Values and order are exact up to `limit` bytes and cut off there.
 """
 
@@ -23,6 +23,7 @@ import numpy as np
 from quillspark.llm._util import word_hashes
 
 SEPARATOR = 0xFF  # never part of UTF-8
+MEMORY = 1 << 20  # entries (5 bytes each) that queues hold before they go to disk
 
 
 class SuffixQueue:
@@ -173,6 +174,20 @@ def _induce(text: np.ndarray, small: np.ndarray, seeds: list[tuple[np.ndarray, n
         rising.close()
 
 
+def _equal_bytes(text: np.ndarray, a: np.ndarray, b: np.ndarray, size: np.ndarray, block: int = 1 << 20) -> np.ndarray:
+    """For each pair of places whether the size bytes from both on are equal, some pairs at a time."""
+    out, upto, k = np.ones(len(a), bool), np.cumsum(size), 0
+    while k < len(a):
+        j = max(k + 1, int(np.searchsorted(upto, upto[k] - size[k] + block, side="right")))
+        n = size[k:j]
+        to = np.cumsum(n) - n
+        place = np.arange(int(n.sum()))
+        differ = text[np.repeat(a[k:j] - to, n) + place] != text[np.repeat(b[k:j] - to, n) + place]
+        out[k:j] = np.add.reduceat(differ, to) == 0
+        k = j
+    return out
+
+
 def _range_min(values: np.ndarray, after: np.ndarray, to: np.ndarray) -> np.ndarray:
     """min(values[after+1 .. to]) for each pair with after < to; other pairs get any value."""
     if not len(to):
@@ -193,12 +208,14 @@ def _range_min(values: np.ndarray, after: np.ndarray, to: np.ndarray) -> np.ndar
         level, step = level + 1, 2 * step
 
 
-def sort_suffixes(text: np.ndarray, limit: int = 100, memory: int = 8 << 20) -> tuple[np.ndarray, np.ndarray]:
+def sort_suffixes(text: np.ndarray, limit: int = 100, memory: int = MEMORY) -> tuple[np.ndarray, np.ndarray]:
     """Suffixes of text in the order of their first `limit` bytes, and common prefixes up to `limit`.
 
     memory: entries that the queues of one pass hold before they go to disk. An empty text gives
-    empty arrays. limit is at most 254."""
+    empty arrays. limit is at most 254, a text under 2 GB (positions are 32-bit)."""
     n = len(text)
+    if n >= 1 << 31:
+        raise ValueError("a shard of 2 GB or more: raise the number of partitions")
     if not n:
         return np.zeros(0, np.int32), np.zeros(0, np.uint8)
     small = _types(text)
@@ -225,6 +242,9 @@ def sort_suffixes(text: np.ndarray, limit: int = 100, memory: int = 8 << 20) ->
     order = index[rough]
     by_name = names[order]
     start = np.concatenate(([True], by_name[1:] != by_name[:-1]))
+    # Equal substrings are neighbours in the induced order; a hash only spares the comparison of the others.
+    alike = np.flatnonzero(~start)
+    start[alike] = ~_equal_bytes(text, first[order[alike - 1]], first[order[alike]], np.minimum(size[order[alike]] + 1, n - np.maximum(first[order[alike - 1]], first[order[alike]])))
 
     # Double until names cover `limit` bytes or tell all suffixes apart. A rank is the place of the
     # first suffix of its group, so that only suffixes that are still tied are sorted again.

@@ -13,7 +13,8 @@ so a text with thousands of copies enters a shard's sort once.
 Defined results. Null or empty text: zero bytes. Texts under `length` bytes are kept whole. A null id
 is ordered against nothing: such rows keep all bytes and remove none. Rows that share an id count as
 one document: an equal string at an earlier start in any of them goes first, one at the same start
-does not count. Columns other than the id and the text are ignored. Empty tables give empty results.
+does not count. Very long texts are cut into pieces like any other. Columns other than the id and the text
+are ignored, whatever their names. Empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -43,7 +44,7 @@ from quillspark.llm._util import (
     slide,
     text_view,
 )
-from quillspark.llm.induced import SEPARATOR, sort_suffixes
+from quillspark.llm.induced import MEMORY, SEPARATOR, sort_suffixes
 
 LENGTH = 100
 GRAIN = 32
@@ -141,7 +142,7 @@ def _earliest(key: np.ndarray, doc: np.ndarray, place: np.ndarray) -> tuple[np.n
     return order, np.repeat(start, np.diff(np.append(start, len(order))))
 
 
-def repeated_spans(docs: DataFrame, length: int = LENGTH, grain: int = GRAIN, memory: int = 8 << 20) -> DataFrame:
+def repeated_spans(docs: DataFrame, length: int = LENGTH, grain: int = GRAIN, memory: int = MEMORY) -> DataFrame:
     """Rows (__id, spans): byte ranges, as packed pairs of 32-bit start and length, covered by
     windows that start earlier elsewhere. Several rows of one id and overlaps are possible."""
     buckets = 4 * shuffle_partitions(docs.sparkSession)
@@ -279,7 +280,7 @@ def _equal_windows(flat, begins, doc, place, size, keep, length, memory):
     return doc[keep[piece]], place[keep[piece]] + late[start] - to[piece], stop - start + length - 1
 
 
-def remove_repeated_substrings(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, grain: int = GRAIN, memory: int = 8 << 20) -> DataFrame:
+def remove_repeated_substrings(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, grain: int = GRAIN, memory: int = MEMORY) -> DataFrame:
     """Each row of df without the bytes that repeat an earlier string of `length` bytes.
 
     Returns (id_col, n_bytes, n_removed, kept_bytes, removed): the remaining bytes (binary, as cuts
