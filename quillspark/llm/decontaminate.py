@@ -7,12 +7,19 @@ so it holds at least one value of the sketch: no item is missed, however long th
 documents' shingle hashes are looked up in the sorted sketch values; each hit is then verified by
 counting the item's shingles, as strings, in the document.
 
+The sketch is one-sided: a sketch of the document as well (as an ensemble of hash tables takes) would lose
+short items in long documents. An item of 30 shingles, all of them in a document of 2,000, has a Jaccard
+similarity of 0.015 with it, and 256 minima of both sides agree somewhere with probability 0.98; in one of
+20,000 shingles it is 0.0015 and 0.32.
+
 The benchmark is sent to all tasks in slices of at most `slice_bytes` of text, counted first; a larger
-benchmark takes several passes over the documents. No shuffle is needed.
+benchmark takes several passes over the documents, each written before the next. No shuffle is needed.
 
 Words are runs of non-white-space, A-Z lowered. An item shorter than a shingle is its whole word
 sequence, looked for as it is. Defined results. Null or empty items and null or empty documents never
-match. Null ids are reported as null. Repeated rows are each reported. Other columns are ignored.
+match. Null ids are reported as null. Repeated rows are each reported. A containment equal to the threshold
+counts. Very long texts are cut and hashed alone, whole. Other columns are ignored, whatever their names. An
+empty table on either side gives no hit.
 """
 
 from __future__ import annotations
@@ -24,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm._util import bounded_batches, chunks, cut_words, ngram_hashes, rows, text_view, word_hashes
+from quillspark.llm._util import bounded_batches, chunks, cut_words, ngram_hashes, rows, scratch_table, text_view, word_hashes
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -48,18 +55,20 @@ def hashed(text: bytes, size: int) -> np.ndarray:
 
 
 class Sketches:
-    """The sketch values of a slice of items, by shingle length, and the items' shingles."""
+    """The sketch values of a slice of items, by shingle length, and the items' words."""
 
     def __init__(self, items: list[tuple[int | None, str]], size: int, threshold: float) -> None:
         self.threshold = threshold
-        self.items = [(i, (t or "").encode().lower().split()) for i, t in items]
+        self.items = [(i, b" ".join((t or "").encode().lower().split())) for i, t in items]
         self.items = [(i, w) for i, w in self.items if w]
-        self.sets = [shingles(w, size) for _, w in self.items]
-        self.width = [min(size, len(w)) for _, w in self.items]
+        self.width: list[int] = []
+        self.count: list[int] = []  # shingles of each item
         values: dict[int, list[tuple[int, int]]] = {}
         for k, (_, words) in enumerate(self.items):
-            mine = np.unique(hashed(b" ".join(words), self.width[k]))
-            upper = 1 << (len(self.sets[k]) - 1).bit_length()  # largest set of its part
+            self.width.append(min(size, words.count(b" ") + 1))
+            self.count.append(len(self.set_of(k)))
+            mine = np.unique(hashed(words, self.width[k]))
+            upper = 1 << (self.count[k] - 1).bit_length()  # largest set of its part
             take = int((1 - threshold) * upper + 1e-9) + 1
             values.setdefault(self.width[k], []).extend((int(v), k) for v in mine[:take])
         self.tables = {}
@@ -70,6 +79,9 @@ class Sketches:
             screen[key >> np.uint64(48)] = True
             self.tables[width] = (key, np.array([p[1] for p in pairs]), screen)
 
+    def set_of(self, k: int) -> set[bytes]:
+        return shingles(self.items[k][1].split(), self.width[k])
+
     def candidates(self, data: np.ndarray, offsets: np.ndarray) -> set[tuple[int, int]]:
         """(row, item) pairs of rows that hold a sketch value of the item."""
         starts, ends, row = cut_words(data, offsets)
@@ -100,19 +112,20 @@ class Sketches:
                     width = self.width[item]
                     if width not in have:
                         have[width] = shingles(words, width)
-                    shared = len(self.sets[item] & have[width])
-                    if shared >= self.threshold * len(self.sets[item]) - 1e-9:
-                        yield i + r, item, len(self.sets[item]), shared
+                    shared = len(self.set_of(item) & have[width])
+                    if shared >= self.threshold * self.count[item] - 1e-9:
+                        yield i + r, item, self.count[item], shared
 
 
-def benchmark_slices(benchmark: DataFrame, id_col: str, text_col: str, size: int, threshold: float, slice_bytes: int = SLICE_BYTES) -> Iterator[Sketches]:
-    """Sketches of slices of the benchmark, each of bounded size."""
+def benchmark_slices(benchmark: DataFrame, id_col: str, text_col: str, size: int, threshold: float, slice_bytes: int = SLICE_BYTES) -> Iterator[tuple[Sketches, bool]]:
+    """Sketches of slices of the benchmark, each of bounded size, and whether there are several. With
+    several the caller writes each pass before it asks for the next, so one slice is held at a time."""
     items = rows(benchmark, id_col, text_col)
     total = items.agg(F.sum(F.octet_length("__text") + 16)).first()[0] or 0
     parts = -(-int(total) // slice_bytes)
     for part in range(parts):
         mine = items.where(F.pmod(F.xxhash64("__id", "__text"), F.lit(parts)) == part) if parts > 1 else items
-        yield Sketches([tuple(r) for r in mine.collect()], size, threshold)
+        yield Sketches([tuple(r) for r in mine.collect()], size, threshold), parts > 1
 
 
 def find_contamination(
@@ -121,7 +134,7 @@ def find_contamination(
 ) -> DataFrame:
     """One row (doc_id, item_id, n_item, n_shared, containment) per document and item it contains."""
     docs, out = rows(df, id_col, text_col), None
-    for sketches in benchmark_slices(benchmark, item_col, item_text_col, size, threshold, slice_bytes):
+    for sketches, several in benchmark_slices(benchmark, item_col, item_text_col, size, threshold, slice_bytes):
 
         def run(batches: Iterator[pa.RecordBatch], sketches: Sketches = sketches) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -134,6 +147,7 @@ def find_contamination(
                 )
 
         part = docs.mapInArrow(run, "doc_id long, item_id long, n_item long, n_shared long, containment double")
+        part = scratch_table(part) if several else part
         out = part if out is None else out.unionByName(part)
     if out is None:
         out = df.sparkSession.createDataFrame([], "doc_id long, item_id long, n_item long, n_shared long, containment double")
@@ -141,10 +155,10 @@ def find_contamination(
 
 
 def drop_contaminated(df: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", size: int = SHINGLE, threshold: float = THRESHOLD, slice_bytes: int = SLICE_BYTES) -> DataFrame:
-    """The rows of df, all columns, that contain no benchmark item. Narrow: nothing is shuffled."""
+    """The rows of df, all columns, that contain no benchmark item. Nothing is shuffled."""
     bounded_batches(df.sparkSession)
     at = df.columns.index(text_col)
-    for sketches in benchmark_slices(benchmark, item_col, item_text_col, size, threshold, slice_bytes):
+    for sketches, several in benchmark_slices(benchmark, item_col, item_text_col, size, threshold, slice_bytes):
 
         def run(batches: Iterator[pa.RecordBatch], sketches: Sketches = sketches) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -153,6 +167,7 @@ def drop_contaminated(df: DataFrame, benchmark: DataFrame, text_col: str = "text
                 yield batch.filter(pa.array(keep))
 
         df = df.mapInArrow(run, df.schema)
+        df = scratch_table(df) if several else df
     return df
 
 
