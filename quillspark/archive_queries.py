@@ -502,6 +502,12 @@ def _upserted(spark, d):
     return results.upsert_runs(one(e.where("run_id % 3 <> 0")), one(e.where("run_id % 3 = 0")))
 
 
+@query("latest_runs", f"SELECT question_id, regime, generator, max(run_id) AS run_id FROM ({_STORED}) GROUP BY ALL")
+def _latest(spark, d):
+    e = T.table(spark, d, "events").select(F.col("event_id").alias("run_id"), F.col("user_id").cast("string").alias("question_id"), F.col("event_type").alias("regime"), F.concat(F.lit("g"), F.col("event_id") % 2).alias("generator"))
+    return results.latest(e, results.RUN_KEY, "run_id").select("question_id", "regime", "generator", "run_id")
+
+
 @query(
     "upserted_ratings",
     f"{RUNS}, o AS (SELECT event_id AS run_id, round(value, 2) AS overall, event_id % 101 AS correctness, event_id % 97 AS completeness, event_id % 89 AS grounding FROM events WHERE event_id % 5 <> 0), "

@@ -309,11 +309,11 @@ def _postings(spark, d):
 
 @query(
     "fragment_metrics",
-    f"SELECT * FROM ({regime_sql(REGIMES['R6_full_metadata'], 'SELECT h.query_id, count(*) AS n_fragments, count(*) FILTER (h.source = ' + chr(39) + 'expanded' + chr(39) + ') AS n_expanded, max(c.effective_weight) AS max_weight, count(DISTINCT c.note_uid) AS n_notes, sum(length(c.text))::BIGINT AS context_chars FROM result h JOIN corpus c USING (unit_id) GROUP BY h.query_id')})",
+    f"SELECT * FROM ({regime_sql(REGIMES['R6_full_metadata'], 'SELECT h.query_id, count(*) AS n_fragments, count(*) FILTER (h.source = ' + chr(39) + 'expanded' + chr(39) + ') AS n_expanded, max(c.effective_weight) AS max_weight, round_even(avg(c.effective_weight), 3) AS mean_weight, round_even(100.0::DOUBLE * avg(CASE WHEN c.effective_weight >= 1 THEN 1.0::DOUBLE ELSE 0.0 END), 1) AS pct_weighted, count(DISTINCT c.note_uid) AS n_notes, sum(length(c.text))::BIGINT AS context_chars FROM result h JOIN corpus c USING (unit_id) GROUP BY h.query_id')})",
 )
 def _metrics(spark, d):
     out = retrieve.metrics(hits(spark, d, "R6_full_metadata"), T.corpus(spark, d))
-    return out.select("query_id", "n_fragments", "n_expanded", "max_weight", "n_notes", "context_chars")
+    return out.select("query_id", "n_fragments", "n_expanded", "max_weight", "mean_weight", "pct_weighted", "n_notes", "context_chars")
 
 
 @query("prompt_context", regime_sql(REGIMES["R6_full_metadata"], PROMPT))
@@ -324,6 +324,24 @@ def _context(spark, d):
     return retrieve.context(fitted)
 
 
+_POOLED_PROMPT = regime_sql(REGIMES["R8_pooled_curated"], PROMPT)
+
+
+@query("prompts", f"SELECT query_id, md5('What the archive holds on this:' || chr(10) || chr(10) || context || chr(10) || chr(10) || 'The question: ' || text) AS digest FROM ({_POOLED_PROMPT}) JOIN benchmark ON item_id = query_id")
+def _prompts(spark, d):
+    """The user messages of every question under pooled retrieval."""
+    regime, c = resolve("R8_pooled_curated"), T.corpus(spark, d)
+    fitted = retrieve.fit(hits(spark, d, regime.key), c, regime, window_tokens=4096, fixed_chars=2000)
+    out = service.prompts(retrieve.context(fitted), T.questions(spark, d), regime)
+    return out.select("query_id", F.md5(F.col("user").cast("binary")).alias("digest"))
+
+
+@query("embedded_stats", f"{CORPUS} SELECT count(*) AS fragments, count(*) FILTER (effective_weight >= 1) AS highlighted, count(DISTINCT note_uid) AS notes, round_even(avg(length(text)), 1) AS avg_chars, count(*) FILTER (unit_id % 3 <> 0) AS embedded_plain, count(vector) AS embedded_context FROM corpus")
+def _embedded_stats(spark, d):
+    """Statistics of a corpus of which a third has no plain vector yet."""
+    return stats.corpus_stats(T.corpus(spark, d).withColumn("vector_plain", F.when(F.col("unit_id") % 3 != 0, F.col("vector_plain"))))
+
+
 @query("regime_overrides", regime_sql(resolve("R2_weight_boost", {"top_k": 5, "min_weight": 2.0})))
 def _overrides(spark, d):
     regime = resolve("R2_weight_boost", {"top_k": 5, "min_weight": 2.0, "retriever": "none"})

@@ -15,18 +15,22 @@ from quillspark.functions.constants import BOLD_BONUS, NEAR_COLOUR, RANK_WEIGHTS
 WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 
 
+#: The same as a class of a regular expression: told in full it is far quicker than (?U)\\s.
+SPACE = r"[\x09-\x0D\x20\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000]"
+
+
 def strip(text: Column) -> Column:
     """Both ends without white space."""
     return F.trim(text, F.lit(WHITE))
 
 
 def normalise(text: Column) -> Column:
-    return strip(F.regexp_replace(F.lower(text), r"(?U)\s+", " "))
+    return strip(F.regexp_replace(F.lower(text), f"{SPACE}+", " "))
 
 
 def is_separator(text: Column) -> Column:
     stripped = strip(text)
-    return stripped.rlike(r"(?U)^[\s=\-_x*#~]{3,}$") | stripped.rlike(r"^\[BR[23]\]$")
+    return stripped.rlike(f"^[{SPACE[1:-1]}=\\-_x*#~]{{3,}}$") | stripped.rlike(r"^\[BR[23]\]$")
 
 
 def is_trivial(text: Column, color: Column) -> Column:
@@ -111,7 +115,7 @@ def age_days(date: Column, as_of: Column) -> Column:
 
 
 def word_count(text: Column) -> Column:
-    return F.size(F.filter(F.split(text, r"(?U)\s+"), lambda w: w != ""))
+    return F.size(F.filter(F.split(text, f"{SPACE}+"), lambda w: w != ""))
 
 
 def line_count(text: Column) -> Column:

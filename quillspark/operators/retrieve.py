@@ -135,10 +135,10 @@ def by_weight(corpus: DataFrame, regime: Regime, queries: DataFrame) -> DataFram
     return ranked.select("query_id", "rank", "unit_id", "note_uid", "score", F.lit(None).cast("double").alias("cosine"), F.lit("retrieved").alias("source"))
 
 
-def pooled(corpus: DataFrame, regime: Regime, queries: DataFrame, vectors: Vectors, vector: str) -> DataFrame:
+def pooled(corpus: DataFrame, regime: Regime, queries: DataFrame, vectors: Vectors, vector: str, index: DataFrame | None = None, size: DataFrame | None = None) -> DataFrame:
     """Half keyword, half dense; a unit found by both keeps its keyword place, scores are not mixed."""
     half = max(1, regime.top_k // 2)
-    both = lexical(corpus, regime, queries, k=half).withColumn("__arm", F.lit(0)).unionByName(dense(corpus, regime, vectors, vector, k=regime.top_k - half).withColumn("__arm", F.lit(1)))
+    both = lexical(corpus, regime, queries, index, size, k=half).withColumn("__arm", F.lit(0)).unionByName(dense(corpus, regime, vectors, vector, k=regime.top_k - half).withColumn("__arm", F.lit(1)))
     seen = F.row_number().over(Window.partitionBy("query_id", "unit_id").orderBy("__arm", "rank"))
     kept = both.withColumn("__seen", seen).where("__seen = 1")
     place = F.row_number().over(Window.partitionBy("query_id").orderBy("__arm", "rank"))
@@ -171,18 +171,19 @@ def expand(hits: DataFrame, corpus: DataFrame, n: int) -> DataFrame:
     return hits.select(*COLUMNS).unionByName(added)
 
 
-def retrieve(corpus: DataFrame, regime: Regime, queries: DataFrame, vectors: Vectors = ()) -> DataFrame:
+def retrieve(corpus: DataFrame, regime: Regime, queries: DataFrame, vectors: Vectors = (), index: DataFrame | None = None, size: DataFrame | None = None) -> DataFrame:
     """Ranked fragments of each query (query_id, query) under a regime. vectors: embedded queries;
-    the corpus has the columns vector_plain and vector_context."""
+    the corpus has the columns vector_plain and vector_context. index and size: a stored index of the
+    corpus (lexical.build_index, corpus_size); without one the queries' terms are indexed anew."""
     vector = f"vector_{regime.embed}"
     if regime.retriever == "fts":
-        hits = lexical(corpus, regime, queries)
+        hits = lexical(corpus, regime, queries, index, size)
     elif regime.retriever == "vector":
         hits = dense(corpus, regime, vectors, vector)
     elif regime.retriever == "none":
         hits = by_weight(corpus, regime, queries)
     elif regime.retriever == "pooled":
-        hits = pooled(corpus, regime, queries, vectors, vector)
+        hits = pooled(corpus, regime, queries, vectors, vector, index, size)
     else:
         raise ValueError(f"unknown retriever {regime.retriever!r}")
     return expand(hits, corpus, regime.expand) if regime.expand else hits
