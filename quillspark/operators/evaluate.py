@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -54,24 +58,44 @@ def paired_tests(scores: DataFrame, baseline: str, metric: str = "score") -> Dat
     return out.select("regime", "n", F.when(F.col("n") >= 2, F.col("mean")).otherwise(float("nan")).alias("mean_diff"), "t", "df", sure.alias("significant"))
 
 
-def bootstrap_interval(values: DataFrame, value: str = "score", rounds: int = 4000, seed: int = 1) -> DataFrame:
-    """(low, high): the 2.5 and 97.5 percent places among means of resamples, seeded.
+def bootstrap_interval(values: DataFrame, value: str = "score", rounds: int = 4000, seed: int = 1, few: int = 100_000) -> DataFrame:
+    """(low, high): the 2.5 and 97.5 percent places among means of resamples, seeded; NaN for under two values.
 
-    Draws are spread over tasks: each (round, draw) picks a row number by a hash of seed and place, and
-    joins the numbered values."""
+    Up to `few` values, as an experiment has, each (round, draw) picks a row number by a hash of seed and
+    place, and joins the numbered values. More are drawn without numbering or shuffling them: how often a
+    round takes a value is a Poisson number with its count as mean, and tasks hand on sums a round."""
     rows = values.where(F.col(value).isNotNull()).select(F.col(value).cast("double").alias("v"))
     n = rows.count()
     spark = values.sparkSession
     if n < 2:
         return spark.createDataFrame([(float("nan"), float("nan"))], "low double, high double")
-    numbered = rows.select(F.row_number().over(Window.orderBy("v")).alias("k"), "v")  # the questions of one experiment
-    draws = spark.range(rounds * n).select((F.col("id") / n).cast("long").alias("round"), (F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(n)) + 1).alias("k"))
-    means = draws.join(numbered, "k").groupBy("round").agg(F.avg("v").alias("m"))
-    place = F.row_number().over(Window.orderBy("m", "round"))
+    if n <= few:
+        numbered = rows.select(F.row_number().over(Window.orderBy("v")).alias("k"), "v")  # at most `few` rows
+        draws = spark.range(rounds * n).select((F.col("id") / n).cast("long").alias("round"), (F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(n)) + 1).alias("k"))
+        means = draws.join(numbered, "k").groupBy("round").agg(F.avg("v").alias("m"))
+    else:
+        means = _poisson_means(rows, rounds, seed)
+    place = F.row_number().over(Window.orderBy("m", "round"))  # one row per round
     ranked = means.select("m", (place - 1).alias("place"))
     return ranked.agg(F.min(F.when(F.col("place") == int(0.025 * rounds), F.col("m"))).alias("low"), F.min(F.when(F.col("place") == int(0.975 * rounds), F.col("m"))).alias("high"))
 
 
+def _poisson_means(rows: DataFrame, rounds: int, seed: int) -> DataFrame:
+    """(round, m): means of v over resamples in which each value appears a Poisson number of times."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        weight, total = np.zeros(rounds), np.zeros(rounds)
+        for batch in batches:
+            for v, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                drawn = np.random.default_rng([seed, int(np.float64(v).view(np.uint64))]).poisson(c, rounds)
+                weight += drawn
+                total += drawn * v
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(rounds)), pa.array(total), pa.array(weight)], names=["round", "total", "weight"])
+
+    sums = rows.groupBy("v").agg(F.count("*").alias("c")).mapInArrow(run, "round long, total double, weight double")
+    return sums.groupBy("round").agg((F.sum("total") / F.sum("weight")).alias("m"))
+
+
 def group_pivot(scores: DataFrame, regimes: list[str], metric: str = "score") -> DataFrame:
     """Mean per question group (first character of the id) and regime."""
     return scores.withColumn("grp", F.substring("question_id", 1, 1)).groupBy("grp").pivot("regime", regimes).agg(F.avg(metric))

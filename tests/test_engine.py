@@ -355,6 +355,10 @@ def test_bootstrap_and_overlap(spark):
     low, high = evaluate.bootstrap_interval(values, rounds=400).first()
     assert 8 < low < 14.5 < high < 21 and evaluate.bootstrap_interval(values, rounds=400).first() == (low, high)
     assert math.isnan(evaluate.bootstrap_interval(values.limit(1)).first()[0])
+    many = spark.createDataFrame([(float(k % 50),) for k in range(2000)], "score double")
+    got = [tuple(evaluate.bootstrap_interval(many.repartition(k), few=100, rounds=1000).first()) for k in (1, 5)]
+    half = 1.96 * math.sqrt((50**2 - 1) / 12 / 2000)
+    assert got[0] == pytest.approx(got[1]) and got[0] == pytest.approx((24.5 - half, 24.5 + half), abs=0.15)
     runs = spark.createDataFrame([("q1", "a", 1), ("q1", "a", 2), ("q1", "b", 2), ("q2", "a", 5), ("q2", "b", 5)], "question_id string, regime string, unit_id long")
     got = {(r.regime_a, r.regime_b): r.jaccard for r in evaluate.overlap(runs).collect()}
     assert got == {("a", "a"): 1.0, ("b", "b"): 1.0, ("a", "b"): 0.75, ("b", "a"): 0.75}
