@@ -243,41 +243,56 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, grain: int = GRAIN, me
     return packed.groupBy("bucket").applyInArrow(judge, "__id long, spans binary")
 
 
+def _laid_out(flat: np.ndarray, begins: np.ndarray, sizes: np.ndarray, block: int) -> np.ndarray:
+    """Pieces of flat end to end, a separator behind each."""
+    upto = np.cumsum(sizes + 1)
+    text, k = np.empty(int(upto[-1]), np.uint8), 0
+    while k < len(sizes):
+        j = max(k + 1, int(np.searchsorted(upto, upto[k] - sizes[k] + block, side="right")))
+        n, low = sizes[k:j] + 1, int(upto[k] - sizes[k] - 1)
+        to = np.cumsum(n) - n
+        source = np.repeat(begins[k:j] - to, n) + np.arange(int(n.sum()))
+        part = flat[np.minimum(source, len(flat) - 1)]
+        part[to + n - 1] = SEPARATOR
+        text[low : low + len(part)] = part
+        k = j
+    return text
+
+
 def _equal_windows(flat, begins, doc, place, size, keep, length, memory):
     """Suffix-sort the kept pieces and return (doc, start, size) of runs of windows that start
     earlier in another place."""
     sizes = size[keep]
     to = np.cumsum(sizes + 1) - (sizes + 1)
-    total = int((sizes + 1).sum())
-    source = np.repeat(begins[keep] - to, sizes + 1) + np.arange(total)
-    text = flat[np.minimum(source, len(flat) - 1)]
-    text[to + sizes] = SEPARATOR
-    del source
+    text = _laid_out(flat, begins[keep], sizes, memory)
     order, common = sort_suffixes(text, length, memory)
-    same = common >= length
-    group = np.flatnonzero(~same)
-    bounds = np.append(group, len(order))
-    large = np.flatnonzero(np.diff(bounds) > 1)
-    if not len(large):
-        return (np.zeros(0, np.int64),) * 3
-    sizes_of = np.diff(bounds)[large]
-    firsts = np.cumsum(sizes_of) - sizes_of
-    take = np.repeat(bounds[large] - firsts, sizes_of) + np.arange(int(sizes_of.sum()))
-    at = order[take].astype(np.int64)
-    piece = np.searchsorted(to, at, side="right") - 1
-    d = doc[keep[piece]]
-    p = place[keep[piece]] + at - to[piece]
-    inside = at + length <= to[piece] + sizes[piece]  # a group lies inside pieces or over separators as a whole
-    # The earliest of each group by (document, start); ids stay whole, so no packing into one key.
-    least_doc = np.repeat(np.minimum.reduceat(d, firsts), sizes_of)
-    least_place = np.repeat(np.minimum.reduceat(np.where(d == least_doc, p, np.iinfo(np.int64).max), firsts), sizes_of)
-    late = np.sort(at[inside & ((d != least_doc) | (p != least_place))])
-    if not len(late):
-        return (np.zeros(0, np.int64),) * 3
-    start = np.flatnonzero(np.concatenate(([True], late[1:] != late[:-1] + 1)))
-    stop = np.append(start[1:], len(late))
-    piece = np.searchsorted(to, late[start], side="right") - 1
-    return doc[keep[piece]], place[keep[piece]] + late[start] - to[piece], stop - start + length - 1
+    mark, a, n = np.zeros(len(text) + 1, bool), 0, len(text)
+    while a < n:
+        b = min(n, a + memory)
+        while b < n and common[b] >= length:  # up to the next group
+            more = np.flatnonzero(common[b : b + memory] < length)
+            b = b + int(more[0]) if len(more) else min(n, b + memory)
+        group = np.flatnonzero(common[a:b] < length)
+        bounds = np.append(group if len(group) and group[0] == 0 else np.append(0, group), b - a)
+        large = np.flatnonzero(np.diff(bounds) > 1)
+        if len(large):
+            sizes_of = np.diff(bounds)[large]
+            firsts = np.cumsum(sizes_of) - sizes_of
+            take = np.repeat(bounds[large] - firsts, sizes_of) + np.arange(int(sizes_of.sum()))
+            at = order[a:b][take].astype(np.int64)
+            piece = np.searchsorted(to, at, side="right") - 1
+            d = doc[keep[piece]]
+            p = place[keep[piece]] + at - to[piece]
+            inside = at + length <= to[piece] + sizes[piece]  # a group lies inside pieces or over separators as a whole
+            # The earliest of each group by (document, start); ids stay whole, so no packing into one key.
+            least_doc = np.repeat(np.minimum.reduceat(d, firsts), sizes_of)
+            least_place = np.repeat(np.minimum.reduceat(np.where(d == least_doc, p, np.iinfo(np.int64).max), firsts), sizes_of)
+            mark[at[inside & ((d != least_doc) | (p != least_place))]] = True
+        a = b
+    start = np.flatnonzero(mark[:-1] & ~np.append(False, mark[:-2]))
+    stop = np.flatnonzero(mark[:-1] & ~mark[1:]) + 1
+    piece = np.searchsorted(to, start, side="right") - 1
+    return doc[keep[piece]], place[keep[piece]] + start - to[piece], stop - start + length - 1
 
 
 def remove_repeated_substrings(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, grain: int = GRAIN, memory: int = MEMORY) -> DataFrame:

@@ -143,12 +143,31 @@ def test_suffix_queue_spills_in_order():
     for k in range(5):
         queue.push(7, np.arange(k * 3, k * 3 + 3, dtype=np.int32), np.full(3, k, np.uint8))
     assert queue.spilled
-    got = queue.take(7)
+    got = list(queue.take(7))
     assert np.concatenate([g[0] for g in got]).tolist() == list(range(15))
-    assert queue.take(7) == []
+    assert list(queue.take(7)) == [] and not queue.has(7)
     queue.close()
 
 
+@pytest.mark.parametrize("kind", ["prose", "period"])
+def test_sorting_far_beyond_memory(kind):
+    """A shard of sixty times `memory`: the same order, and what is held stays near the text's own size."""
+    import tracemalloc
+
+    rng = random.Random(13)
+    vocabulary = ["".join(rng.choices("abcdefgh", k=rng.randint(2, 9))) for _ in range(3000)]
+    raw = " ".join(rng.choices(vocabulary, k=160_000)).encode() if kind == "prose" else (b"abcab" * 1000 + b"z") * 200
+    text, memory = np.frombuffer(raw, np.uint8), len(raw) // 60
+    want = sort_suffixes(text, 100, 1 << 30)
+    tracemalloc.start()
+    order, common = sort_suffixes(text, 100, memory)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert (order == want[0]).all() and (common == want[1]).all()
+    # One flag a byte, blocks of `memory` entries, and for a text of one period its one tied group.
+    assert peak < 8 * len(raw) if kind == "prose" else peak < 60 * len(raw)
+
+
 def brute_components(ids, linked):
     root = {i: i for i in ids}
 
