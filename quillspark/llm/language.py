@@ -157,7 +157,7 @@ def learn(df: DataFrame, id_col: str, text_col: str, lang_col: str, per_language
     drawn = known.join(small(counts), "__lang").where(draw * F.col("__rows") < 3.0 * per_language).drop("__rows")
     first = Window.partitionBy("__lang").orderBy(F.xxhash64("__id", F.lit(11)), "__id")
     chosen = drawn.select("__id", "__lang").withColumn("__n", F.row_number().over(first)).where(f"__n <= {per_language}").select("__id").distinct()
-    sample = drawn.join(chosen, "__id", "left_semi").select("__text", "__lang")
+    sample = drawn.join(small(checkpointed(chosen)), "__id", "left_semi").select("__text", "__lang")
     blocks = -(-per_language * len(languages) // block_rows)
     schema = pa.schema([("block", pa.int32()), ("row", pa.int64()), ("vector", pa.binary())])
     place = {name: k for k, name in enumerate(languages)}
