@@ -29,7 +29,7 @@ import numpy as np
 from quillspark.llm._util import word_hashes
 
 SEPARATOR = 0xFF  # never part of UTF-8
-MEMORY = 1 << 20  # entries (5 bytes each) that queues hold before they go to disk
+MEMORY = 1 << 18  # entries that are held at once; a shard of this many bytes or fewer never touches the disk
 
 Block = tuple[np.ndarray, np.ndarray]
 
