@@ -201,7 +201,8 @@ def remove_repeated_passages(df: DataFrame, id_col: str = "doc_id", text_col: st
     the removed word ranges as array<struct<start,end>>. See the module docstring for edge cases.
     """
     docs = rows(df, id_col, text_col)
-    places = repeated_windows(docs, window, period).groupBy("__id").agg(F.collect_list("places").alias("__places"))
+    known = docs.where("__id is not null")  # rows without an id match nothing, and would meet in one task
+    places = repeated_windows(known, window, period).groupBy("__id").agg(F.collect_list("places").alias("__places"))
     schema = pa.schema(
         [("id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_text", pa.string()), ("removed", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))]
     )
@@ -233,7 +234,8 @@ def remove_repeated_passages(df: DataFrame, id_col: str = "doc_id", text_col: st
                     out["removed"].append(spans)
                 yield batch_of(schema, **out)
 
-    found = docs.join(places, "__id", "left").select("__id", "__text", "__places")
+    found = known.join(places, "__id", "left").select("__id", "__text", "__places")
+    found = found.union(docs.where("__id is null").select("__id", "__text", F.lit(None).cast("array<binary>")))
     out = found.mapInArrow(keep, "id long, n_words long, n_removed long, kept_text string, removed array<struct<start:long,end:long>>")
     return out.withColumnRenamed("id", id_col)
 

@@ -303,7 +303,8 @@ def remove_repeated_substrings(df: DataFrame, id_col: str = "doc_id", text_col:
     if not 1 <= grain <= length <= 254:
         raise ValueError("1 <= grain <= length <= 254")
     docs = rows(df, id_col, text_col)
-    spans = repeated_spans(docs, length, grain, memory).groupBy("__id").agg(F.collect_list("spans").alias("__spans"))
+    known = docs.where("__id is not null")  # rows without an id match nothing, and would meet in one task
+    spans = repeated_spans(known, length, grain, memory).groupBy("__id").agg(F.collect_list("spans").alias("__spans"))
     schema = pa.schema(
         [("id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("kept_bytes", pa.binary()), ("removed", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))]
     )
@@ -332,7 +333,8 @@ def remove_repeated_substrings(df: DataFrame, id_col: str = "doc_id", text_col:
                     out["removed"].append(spans)
                 yield batch_of(schema, **out)
 
-    found = docs.join(spans, "__id", "left").select("__id", "__text", "__spans")
+    found = known.join(spans, "__id", "left").select("__id", "__text", "__spans")
+    found = found.union(docs.where("__id is null").select("__id", "__text", F.lit(None).cast("array<binary>")))
     out = found.mapInArrow(keep, "id long, n_bytes long, n_removed long, kept_bytes binary, removed array<struct<start:long,end:long>>")
     return out.withColumnRenamed("id", id_col)
 
