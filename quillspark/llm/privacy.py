@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm._util import BROADCAST_ROWS, checkpointed, rows, small
+from quillspark.llm._util import BROADCAST_ROWS, checkpointed, rows, shuffle_partitions, small
 
 KINDS = ("email", "ip", "card", "phone", "term")
 REMOVED, GENERALISED = 5, 10  # kinds of term spans; a generalised one adds its power of ten
@@ -229,7 +229,7 @@ def sanitise(df: DataFrame, text_col: str = "text", support: int = SUPPORT, gene
     """df with base spans of each text replaced by their kind in brackets, generalised terms by their
     class of frequency ([TERM:100+] is held by 100 to 999 documents), removed terms by nothing; all
     columns stay. Overlapping base spans become one. Base spans are replaced in the scan; only rows
-    with disclosing terms are shuffled, to meet their spans."""
+    with terms near an entity are shuffled, to meet their spans."""
     docs = rows(df.select(F.lit(None).cast("long").alias("__no_id"), text_col), "__no_id", text_col)
     found = checkpointed(detect(docs).where(F.size("base") > 0))
     some = found.where(F.size("near") > 0).select("digest", "near").dropDuplicates(["digest"])
@@ -261,7 +261,9 @@ def sanitise(df: DataFrame, text_col: str = "text", support: int = SUPPORT, gene
     schema = df.schema
     seen = df.mapInArrow(first, type(schema)([*schema.fields]).add("__digest", "binary"))
     columns = [f"`{c}`" for c in names]
-    waiting = seen.where("__digest is not null").join(terms, "__digest", "left").select(*columns, "__terms")
+    # An exchange between the two Python steps: in one stage each task would keep two workers.
+    waiting = seen.where("__digest is not null").repartition(shuffle_partitions(df.sparkSession))
+    waiting = waiting.join(terms, "__digest", "left").select(*columns, "__terms")
     return seen.where("__digest is null").select(*columns).union(waiting.mapInArrow(second, schema))
 
 
