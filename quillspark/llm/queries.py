@@ -24,6 +24,20 @@ SELECT r.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(gone) AS BIGINT) AS
 FROM r LEFT JOIN kept ON r.doc_id = kept.doc_id
 """
 
+# Bytes as pairs of hexadecimal digits; windows by their digest, the earliest of each, and runs of late windows.
+OP10_SQL = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, '')))::BIGINT AS n FROM documents),
+p AS (SELECT doc_id, h, unnest(range(n - 99)) AS i FROM d WHERE n >= 100),
+k AS (SELECT doc_id, i, md5(substr(h, 2 * i + 1, 200)) AS win FROM p),
+f AS (SELECT win, min(ROW(doc_id, i)) AS least FROM k GROUP BY win HAVING count(*) > 1),
+w AS (SELECT doc_id, i, coalesce(i > lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 100, TRUE) AS new FROM k JOIN f USING (win) WHERE ROW(doc_id, i) > least),
+g AS (SELECT doc_id, i, sum(new::INT) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM w),
+r AS (SELECT doc_id, run, min(i) AS a, max(i) + 100 AS b FROM g GROUP BY ALL),
+o AS (SELECT *, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS before FROM r),
+c AS (SELECT o.doc_id, sum(b - a)::BIGINT AS n_removed, count(*) AS n_spans, string_agg(substr(h, 2 * before + 1, 2 * (a - before)), '' ORDER BY a) || substr(any_value(h), 2 * max(b) + 1) AS kept FROM o JOIN d ON d.doc_id = o.doc_id GROUP BY o.doc_id)
+SELECT d.doc_id, n AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, h))) AS kept_sha256 FROM d LEFT JOIN c ON d.doc_id = c.doc_id
+"""
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
@@ -46,4 +60,5 @@ def oracle_sql() -> dict[str, str]:
         "op7_decontamination": decontaminate.SQL,
         "op8_url_filter": urls.SQL,
         "op9_quality_rules": quality.oracle(),
+        "op10_suffix_dedup": OP10_SQL,
     }
