@@ -50,12 +50,16 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def scratch_folder(spark: SparkSession) -> str:
+    """The shared checkpoint folder; one beside the warehouse only where none is set."""
+    where = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    return (where or f"{spark.conf.get('spark.sql.warehouse.dir')}/_checkpoints").rstrip("/")
+
+
 def scratch_table(df: DataFrame) -> DataFrame:
     """Write df once to the shared checkpoint folder as Parquet and read it back."""
     spark = df.sparkSession
-    where = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
-    where = where or f"{spark.conf.get('spark.sql.warehouse.dir')}/_checkpoints"
-    path = f"{where.rstrip('/')}/table-{uuid.uuid4().hex}"
+    path = f"{scratch_folder(spark)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

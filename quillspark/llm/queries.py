@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillspark.llm import decontaminate, language, packing, passages, privacy, quality, sharding, simhash, substrings, urls
+from quillspark.llm import audit, decontaminate, language, lines, packing, passages, privacy, quality, sharding, simhash, substrings, urls, whitening
 
 WORDS_SQL = r"list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
 
@@ -51,6 +51,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_url_filter": urls.op8,
         "op9_quality_rules": quality.op9,
         "op10_suffix_dedup": substrings.op10,
+        "op11_line_dedup": lines.op11,
+        "op12_embedding_whitening": whitening.op12,
+        "op13_filter_audit": audit.op13,
     }
 
 
@@ -61,4 +64,6 @@ def oracle_sql() -> dict[str, str]:
         "op8_url_filter": urls.SQL,
         "op9_quality_rules": quality.oracle(),
         "op10_suffix_dedup": OP10_SQL,
+        "op11_line_dedup": lines.SQL,
+        "op13_filter_audit": audit.SQL,
     }
