@@ -11,9 +11,9 @@ from quillspark.functions import columns as C
 from quillspark.functions import spans as S
 from quillspark.functions.constants import COLOUR_CODES, HEX_CODES, OLD_TAGS, RGB_CODES, SALIENCE_WEIGHTS, T_BEYOND, T_POINTS, TAGS
 from quillspark.functions.rtf import inflate_text, packed, rtf_of_spans, rtf_of_text, spans_of_text
-from quillspark.operators import archive, build, evaluate, export, lexical, service, tree, units
+from quillspark.operators import archive, build, evaluate, export, lexical, segments, service, tree, treemap, units
 from quillspark.plans import standin as T
-from quillspark.plans.sql import CODE, CORPUS, RUNS, TIER_SQL, UNITS
+from quillspark.plans.sql import CODE, CORPUS, RUNS, TIER_SQL, TREE, UNITS, bootstrap_sql
 from quillspark.registry import query
 from quillspark.sources import archive as tables
 from quillspark.sources import results, storage
@@ -181,10 +181,10 @@ def _all_words(spark, d):
 
 @query(
     "topic_context",
-    "WITH n AS (SELECT doc_id AS place, chr(10) || '### ' || lang || chr(10) || substr(text, 1, 2000) AS shown FROM documents WHERE doc_id < 50), b AS (SELECT place, shown, coalesce(sum(length(shown)) OVER (ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before FROM n) SELECT place, shown, before FROM b WHERE before <= 16000",
+    "WITH n AS (SELECT doc_id AS place, chr(10) || '### ' || lang || chr(10) || substr(text, 1, 2000) AS shown FROM documents), b AS (SELECT place, shown, coalesce(sum(length(shown)) OVER (ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before FROM n) SELECT place, shown, before FROM b WHERE before <= 16000",
 )
 def _topic(spark, d):
-    found = T.table(spark, d, "documents").where("doc_id < 50").select(F.col("doc_id").alias("place"), F.col("lang").alias("caption"), F.col("text").alias("body"))
+    found = T.table(spark, d, "documents").select(F.col("doc_id").alias("place"), F.col("lang").alias("caption"), F.col("text").alias("body"))
     return archive.topic_context(found).select("place", "shown", "before")
 
 
@@ -382,21 +382,40 @@ def _newest(spark, d):
 _TEXT = "'# ' || (SELECT sum(n) FROM blocks) || ' highlighted units from ' || count(*) || ' notes' || chr(10) || string_agg(block, chr(10) ORDER BY seg, note_uid)"
 
 
-@query("export_text", f"{_tiers_sql(_ALL[:2], 50_000)}{_OUTLINE}, t AS (SELECT {_TEXT} AS text, (SELECT count(*) FROM chosen) AS unit_count FROM blocks) SELECT length(text) AS chars, length(text) // 4 AS est_tokens, unit_count, md5(text) AS digest FROM t")
+_HEADER = "'# ' || (SELECT coalesce(sum(n), 0)::BIGINT FROM blocks) || ' highlighted units from ' || (SELECT count(*) FROM blocks) || ' notes'"
+_LAID = f"""placed AS (SELECT note_uid, seg, block, row_number() OVER w AS nth_block, length({_HEADER}) + 1 + coalesce(sum(length(block) + 1) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start FROM blocks WINDOW w AS (ORDER BY seg, note_uid)),
+sections AS (SELECT *, coalesce(lag(seg[1]) OVER (ORDER BY nth_block) <> seg[1], TRUE) AS opens FROM placed),
+branches AS (SELECT nth_block, coalesce(lag(start // 5000) OVER (ORDER BY nth_block) <> start // 5000, FALSE) AS cut FROM sections WHERE opens),
+parts AS (SELECT m.*, (sum(coalesce(cut, FALSE)::INT) OVER (ORDER BY m.nth_block))::INT AS part FROM sections m LEFT JOIN branches b ON m.nth_block = b.nth_block)"""
+
+
+@query("export_text", f"{_tiers_sql(_ALL[:2], 50_000)}{_OUTLINE}, {_LAID} SELECT note_uid, start, length(block) AS chars, md5(block) AS digest FROM parts")
 def _export_text(spark, d):
-    """The export of a budget as one text, with its figures."""
-    out = export.export(T.units(spark, d), ("u", "p", "b"), 50_000)
-    row = spark.createDataFrame([(out["chars"], out["est_tokens"], out["unit_count"], out["text"])], "chars long, est_tokens long, unit_count long, text string")
-    return row.select("chars", "est_tokens", "unit_count", F.md5(F.col("text").cast("binary")).alias("digest"))
+    """The export of a budget, laid out: where each note's block begins in the text."""
+    chosen, _ = export.tiered(T.units(spark, d), ("u", "p", "b"), 50_000)
+    blocks = storage.scratch_table(export.outline(chosen))
+    laid = export.laid_out(blocks, export.headline(blocks))
+    return laid.select("place.note_uid", "start", F.length("block").cast("long").alias("chars"), F.md5(F.col("block").cast("binary")).alias("digest"))
+
+
+@query("export_parts", f"{TIER_SQL.replace('tiers AS', 'chosen AS').replace(' AS tier FROM good', ' AS place FROM good')}{_OUTLINE}, {_LAID} SELECT part, count(*) AS notes, sum(length(block) + 1)::BIGINT + max(CASE WHEN part = 0 THEN length({_HEADER}) + 1 ELSE 0 END)::BIGINT AS chars FROM parts GROUP BY part")
+def _export_parts(spark, d):
+    """Every unit of the tiers as text parts of about 5,000 characters, written by the executors and read back."""
+    chosen, _ = export.tiered(T.units(spark, d), ("u", "p", "b", "g", "g2", "nb"))
+    path = folder(spark)
+    laid = export.write_text(export.outline(chosen), path, part_chars=5000)
+    files = spark.read.text(path, wholetext=True).groupBy("part").agg(F.sum(F.length("value")).alias("chars"))
+    return laid.groupBy("part").agg(F.count("*").alias("notes")).join(files, "part")
 
 
 _PREVIEW = ["color IN ('u', 'p')", "color = 'b'", "color IN ('g', 'g2')", "color = 'y'", "color = 'o'", "color IS NULL AND is_bold", "color IS NULL"]
 
 
-@query("export_preview", f"{_tiers_sql([f'note_uid % 50 = 1 AND {x}' for x in _PREVIEW], 4000)}, k AS (SELECT count(*) AS unit_count FROM chosen) SELECT unit_count FROM k")
+@query("export_preview", f"{_tiers_sql([f'note_uid % 50 = 1 AND {x}' for x in _PREVIEW], 4000)} SELECT unit_id FROM chosen")
 def _preview(spark, d):
+    """What a preview of some notes holds."""
     notes = T.table(spark, d, "documents").where("doc_id % 50 = 1").select(F.col("doc_id").alias("note_uid"))
-    return spark.createDataFrame([(export.preview(T.units(spark, d), notes)["unit_count"],)], "unit_count long")
+    return export.preview_units(T.units(spark, d), notes).select("unit_id")
 
 
 @query("export_of_notes", f"{TIER_SQL} SELECT unit_id FROM tiers WHERE tier IN (0, 1) AND note_uid % 3 = 0")
@@ -554,12 +573,12 @@ _POINT = "CASE " + " ".join(f"WHEN n - 1 <= {k} THEN {v}" for k, v in sorted(T_P
 
 @query(
     "paired_significance",
-    f"WITH s AS (SELECT user_id // 10 AS g, user_id::VARCHAR AS question_id, event_type AS regime, avg(value) AS score FROM events WHERE user_id < 40 GROUP BY ALL), d AS (SELECT a.regime, a.score - b.score AS d FROM s a JOIN s b ON a.question_id = b.question_id AND b.regime = (SELECT min(regime) FROM s)), "
+    f"WITH s AS (SELECT user_id // 10 AS g, user_id::VARCHAR AS question_id, event_type AS regime, avg(value) AS score FROM events GROUP BY ALL), d AS (SELECT a.regime, a.score - b.score AS d FROM s a JOIN s b ON a.question_id = b.question_id AND b.regime = (SELECT min(regime) FROM s)), "
     f"g AS (SELECT regime, count(*) AS n, avg(d) AS m, stddev_samp(d) AS sd FROM d GROUP BY regime) SELECT regime, n, {_POINT}::DOUBLE AS critical, CASE WHEN n < 2 THEN FALSE WHEN sd = 0 THEN m <> 0 ELSE abs(m / (sd / sqrt(n))) > {_POINT} END AS significant FROM g",
 )
 def _significance(spark, d):
-    """Of the forty first users: the tabled point of each regime's degrees of freedom, and whether t is beyond it."""
-    scores = T.scores(spark, d).where("cast(question_id as long) < 40")
+    """The tabled point of each regime's degrees of freedom, and whether t is beyond it."""
+    scores = T.scores(spark, d)
     first = scores.agg(F.min("regime")).first()[0]
     out = evaluate.paired_tests(scores, first)
     return out.select("regime", "n", evaluate.t_critical(F.col("df")).alias("critical"), "significant")
@@ -576,12 +595,16 @@ def _queue(spark, d):
     return evaluate.rating_queue(T.runs(spark, d), T.ratings(spark, d), "17").select("run_id", "regime", "overall")
 
 
-@query("regime_table", f"{RUNS}, b AS (SELECT question_id FROM scores WHERE regime = (SELECT min(regime) FROM scores)) SELECT regime, count(*) AS n, round(avg(score), 6) AS mean, TRUE AS inside FROM scores SEMI JOIN b USING (question_id) GROUP BY regime")
+@query(
+    "regime_table",
+    f"{RUNS}, b AS (SELECT question_id FROM scores WHERE regime = (SELECT min(regime) FROM scores)), shared AS (SELECT * FROM scores SEMI JOIN b USING (question_id)), {bootstrap_sql('shared')}, "
+    "g AS (SELECT regime, count(*) AS n, round(avg(score), 6) AS mean FROM shared GROUP BY regime) SELECT regime, n, mean, round(low, 6) AS low, round(high, 6) AS high FROM g JOIN intervals USING (regime)",
+)
 def _regime_table(spark, d):
-    """Means over shared questions; the resampled interval holds the mean."""
+    """Means over shared questions, with their resampled intervals."""
     scores = T.scores(spark, d)
     out = evaluate.regime_table(scores, scores.agg(F.min("regime")).first()[0])
-    return out.select("regime", "n", F.round("mean", 6).alias("mean"), ((F.col("low") <= F.col("mean")) & (F.col("mean") <= F.col("high"))).alias("inside"))
+    return out.select("regime", "n", *(F.round(c, 6).alias(c) for c in ("mean", "low", "high")))
 
 
 # Changes: the new state of the tree
@@ -651,3 +674,88 @@ def _created(spark, d):
     notes, contents, nodes = archive.created(t["notes"], contents, t["treenodes"], page_id=1, parent_id=2, place=0, caption="a new note", spans=[("text", "p", True, False)])
     parts = [df.agg(F.lit(kind).alias("kind"), F.count("*").alias("rows"), F.max(key).alias("newest")) for kind, df, key in (("notes", notes, "uid"), ("contents", contents, "id"), ("nodes", nodes, "id"))]
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+# Indexes that are kept, and trees by numbers
+
+_CHANGED = CORPUS.replace("WITH corpus AS (", "WITH before AS (", 1).replace("),\nwords AS", "), corpus AS (SELECT * REPLACE (CASE WHEN unit_id % 10 = 3 THEN 'changed ' || coalesce(text, '') || ' again' ELSE text END AS text) FROM before WHERE unit_id % 10 <> 5),\nwords AS", 1)
+_KEPT = f"{_CHANGED} SELECT term, count(DISTINCT unit_id) AS units, count(*) AS places, (SELECT n FROM size) AS n_units FROM words GROUP BY term"
+
+
+def _kept_index(spark: SparkSession, d: str) -> str:
+    """An index of nine tenths of the corpus, to which then a tenth comes, in which one changes and one goes."""
+    c, path = T.corpus(spark, d).select("unit_id", "text"), folder(spark)
+    tenth = F.col("unit_id") % 10
+    segments.change(c.where(tenth != 7), path)
+    segments.change(c.where(tenth == 7), path)
+    segments.change(c.where(tenth == 3).withColumn("text", F.concat(F.lit("changed "), F.coalesce("text", F.lit("")), F.lit(" again"))), path, gone=c.where(tenth == 5))
+    return path
+
+
+def _per_term(spark: SparkSession, path: str) -> DataFrame:
+    per = segments.postings(spark, path).groupBy("term").agg(F.count("*").alias("units"), F.sum(F.size("places")).alias("places"))
+    return per.crossJoin(F.broadcast(segments.size(spark, path).select("n_units")))  # size is one row
+
+
+@query("postings_after_changes", _KEPT)
+def _postings_changed(spark, d):
+    return _per_term(spark, _kept_index(spark, d))
+
+
+@query("postings_merged", _KEPT)
+def _postings_merged(spark, d):
+    path = _kept_index(spark, d)
+    segments.merge(spark, path)
+    return _per_term(spark, path)
+
+
+@query("bm25_of_kept_index", f"{_CHANGED}, r AS (SELECT query_id, unit_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, unit_id) AS rank FROM bm25) SELECT query_id, unit_id, rank, round(score, 6) AS score FROM r WHERE rank <= 20")
+def _bm25_kept(spark, d):
+    """The twenty best of every question from the stored index."""
+    path = _kept_index(spark, d)
+    top = lexical.bm25_top(segments.postings(spark, path), segments.size(spark, path), T.questions(spark, d), 20)
+    return top.select("query_id", "unit_id", F.col("rank").cast("long").alias("rank"), F.round("score", 6).alias("score"))
+
+
+@query(
+    "tree_walk",
+    f"{TREE}, sized AS (SELECT a.id, a.ids, count(*) AS n FROM tree a JOIN (SELECT unnest(ids) AS id FROM tree) b ON a.id = b.id GROUP BY ALL), o AS (SELECT id, n, list_transform(ids, lambda x: lpad(x::VARCHAR, 12, '0')) AS key FROM sized), w AS (SELECT id, n, row_number() OVER (ORDER BY key) - 1 AS pre FROM o) SELECT id, pre, pre + n - 1 AS post FROM w",
+)
+def _walk(spark, d):
+    """Every node's first and last place in a walk of the tree, siblings by id."""
+    return tree.numbered(tree.hierarchy(T.nodes(spark, d))).select("id", "pre", "post")
+
+
+@query("tree_unreached", f"{ARCH}, cut AS (SELECT id, CASE WHEN id % 50 = 7 THEN id + 1000000000 WHEN id = 9 THEN 38 ELSE parent_id END AS parent_id FROM nodes), up AS (SELECT id, parent_id, id AS at, parent_id AS next, 0 AS k FROM cut UNION ALL SELECT u.id, u.parent_id, c.id, c.parent_id, k + 1 FROM up u JOIN cut c ON u.next = c.id WHERE k < 60), e AS (SELECT id, arg_max(next, k) AS last, max(k) AS k FROM up GROUP BY id) SELECT id, CASE WHEN k >= 60 THEN 'cycle' ELSE 'missing parent' END AS reason FROM e WHERE k >= 60 OR last <> -1")
+def _unreached(spark, d):
+    """The document tree with some parents taken away and a cycle put in."""
+    i = F.col("id")
+    parent = F.when(i % 50 == 7, i + 1_000_000_000).when(i == 9, 38).otherwise(F.col("parent_id"))
+    return tree.unreached(arch(spark, d)["treenodes"].withColumn("parent_id", parent)).select("id", "reason")
+
+
+_TILES = f"""{TREE}, u AS (SELECT chars, unnest(ids) AS id FROM tree), s AS (SELECT n.id, n.parent_id, n.caption, sum(u.chars)::DOUBLE AS size FROM nodes n JOIN u ON n.id = u.id GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY parent_id ORDER BY size DESC, id) AS k FROM s), t AS (SELECT parent_id, CASE WHEN k <= 27 THEN id::VARCHAR ELSE 'other' END AS tile, sum(size) AS size, count(*) AS nodes FROM r GROUP BY ALL),
+v(parent_id, level, tile, size, nodes, area) AS (SELECT parent_id, 1, tile, size, nodes, size / (SELECT sum(size) FROM t WHERE parent_id = -1) FROM t WHERE parent_id = -1
+ UNION ALL SELECT t.parent_id, v.level + 1, t.tile, t.size, t.nodes, v.area * t.size / (SELECT sum(size) FROM t b WHERE b.parent_id = t.parent_id) FROM v JOIN t ON t.parent_id::VARCHAR = v.tile WHERE v.level < 3 AND v.area > 0)"""
+
+
+@query("tree_treemap", f"{_TILES} SELECT parent_id::BIGINT AS parent_id, level, tile, size, nodes, round(area, 9) AS area, TRUE AS inside FROM v")
+def _treemap(spark, d):
+    """Three levels of tiles in a unit square: areas, and whether each tile lies in its parent's."""
+    sized = tree.rollup(tree.hierarchy(T.nodes(spark, d)), ["chars"])
+    laid = treemap.treemap(sized, "subtree_chars", levels=3)
+    up = laid.select(F.col("tile").alias("__up"), *(F.col(c).alias(f"up_{c}") for c in "xywh")).where("__up <> 'other'")
+    met = laid.join(up, F.col("parent_id").cast("string") == F.col("__up"), "left").fillna({"up_x": 0.0, "up_y": 0.0, "up_w": 1.0, "up_h": 1.0})
+    room = 1e-9
+    inside = (F.col("x") >= F.col("up_x") - room) & (F.col("y") >= F.col("up_y") - room) & (F.col("x") + F.col("w") <= F.col("up_x") + F.col("up_w") + room) & (F.col("y") + F.col("h") <= F.col("up_y") + F.col("up_h") + room)
+    return met.select("parent_id", "level", "tile", "size", "nodes", F.round(F.col("w") * F.col("h"), 9).alias("area"), inside.alias("inside"))
+
+
+@query("appended_note", "SELECT doc_id, CASE WHEN doc_id = 17 THEN md5(coalesce(text, '') || chr(10) || 'added') WHEN doc_id % 13 <> 5 THEN md5(coalesce(text, '')) END AS digest FROM documents")
+def _appended(spark, d):
+    """A piece behind one note's rich text; some notes have no contents at all."""
+    docs = T.table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.when(F.col("doc_id") % 13 != 5, rtf_of_text(F.coalesce("text", F.lit(""))).cast("binary")).alias("data"))
+    out = archive.appended(docs, 17, "\nadded", "p")
+    text = S.plain_text(spans_of_text(F.col("data").cast("string")))
+    return out.select(F.col("id").alias("doc_id"), F.when(F.col("data").isNotNull(), F.md5(text.cast("binary"))).alias("digest"))

@@ -10,11 +10,11 @@ from quillspark.functions import spans as S
 from quillspark.functions.constants import SALIENCE_WEIGHTS
 from quillspark.functions.rtf import rtf_of_text, spans_of_text
 from quillspark.operators import archive, evaluate, export, retrieve, service, stats, tree, units
-from quillspark.operators.lexical import bm25, build_index, corpus_size, parse_queries, top_per_query
+from quillspark.operators.lexical import bm25_top, build_index, corpus_size, parse_queries
 from quillspark.plans import standin as T
 from quillspark.plans.regimes import REGIMES, Regime, resolve
 from quillspark.registry import QUERIES, SQL, Query, query
-from quillspark.plans.sql import COPIED, CORPUS, PROMPT, RUNS, TIER_SQL, TREE, UNITS, regime_sql
+from quillspark.plans.sql import COPIED, CORPUS, PROMPT, RUNS, TIER_SQL, TREE, UNITS, bootstrap_sql, regime_sql
 
 def good(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.units(spark, sf_dir).where(units.retrievable())
@@ -298,7 +298,7 @@ for _key in REGIMES:
 def _bm25(spark, d):
     c = T.corpus(spark, d)
     questions = T.questions(spark, d)
-    top = top_per_query(bm25(build_index(c, parse_queries(questions)), corpus_size(c), questions), 50)
+    top = bm25_top(build_index(c, parse_queries(questions)), corpus_size(c), questions, 50)
     return top.select("query_id", "unit_id", F.col("rank").cast("long").alias("rank"), F.round("score", 6).alias("score"))
 
 
@@ -336,7 +336,7 @@ def _prompts(spark, d):
     return out.select("query_id", F.md5(F.col("user").cast("binary")).alias("digest"))
 
 
-@query("embedded_stats", f"{CORPUS} SELECT count(*) AS fragments, count(*) FILTER (effective_weight >= 1) AS highlighted, count(DISTINCT note_uid) AS notes, round_even(avg(length(text)), 1) AS avg_chars, count(*) FILTER (unit_id % 3 <> 0) AS embedded_plain, count(vector) AS embedded_context FROM corpus")
+@query("embedded_stats", f"{CORPUS} SELECT count(*) AS fragments, count(*) FILTER (effective_weight >= 1) AS highlighted, count(DISTINCT note_uid) AS notes, round_even(avg(length(text)), 1) AS avg_chars, count(vector) FILTER (unit_id % 3 <> 0) AS embedded_plain, count(vector) AS embedded_context FROM corpus")
 def _embedded_stats(spark, d):
     """Statistics of a corpus of which a third has no plain vector yet."""
     return stats.corpus_stats(T.corpus(spark, d).withColumn("vector_plain", F.when(F.col("unit_id") % 3 != 0, F.col("vector_plain"))))
@@ -427,9 +427,11 @@ def _paired(spark, d):
     return out.select("regime", "n", F.round("mean_diff", 6).alias("mean_diff"), F.round("t", 4).alias("t"), "df")
 
 
-@query("bootstrap_interval")
+@query("bootstrap_interval", f"{RUNS}, {bootstrap_sql('scores')} SELECT regime, round(low, 6) AS low, round(high, 6) AS high FROM intervals")
 def _bootstrap(spark, d):
-    return evaluate.bootstrap_interval(T.scores(spark, d).where(F.col("regime") == "click"))
+    """Every regime's scores, questions being what resamples draw."""
+    out = evaluate.bootstrap_intervals(T.scores(spark, d), ("regime",), key="question_id")
+    return out.select("regime", *(F.round(c, 6).alias(c) for c in ("low", "high")))
 
 
 @query("group_pivot", f"{RUNS} SELECT left(question_id, 1) AS grp, round(avg(CASE WHEN regime = 'click' THEN score END), 6) AS click, round(avg(CASE WHEN regime = 'purchase' THEN score END), 6) AS purchase FROM scores GROUP BY 1")

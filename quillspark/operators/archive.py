@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -119,11 +120,18 @@ def patched(notes: DataFrame, patch: DataFrame, key: str = "uid", set_null: bool
 
 
 def appended(contents: DataFrame, uid: int, text: str, code: str | None = None, bold: bool = False) -> DataFrame:
-    """contents (id, data, ...) with a formatted piece behind one note's rich text."""
-    added = F.udf(lambda b: with_text(inflate(bytes(b)), text, code, bold).encode("cp1252", "replace"), "binary")
-    data = F.when(F.col("id") == uid, added("data")).otherwise(F.col("data"))
-    changed = contents.withColumn("data", data)
-    return changed.withColumn("packed_size", F.when(F.col("id") == uid, F.octet_length("data").cast("long")).otherwise(F.col("packed_size")))
+    """contents (id, data, ...) with a formatted piece behind one note's rich text; null data is an empty text.
+    Only that note's rows meet Python; the others, and those without an id, pass as they are."""
+    fields = contents.columns
+
+    @F.pandas_udf("binary")
+    def added(data: pd.Series) -> pd.Series:
+        return data.map(lambda b: with_text("" if b is None else inflate(bytes(b)), text, code, bold).encode("cp1252", "replace"))
+
+    its = F.coalesce(F.col("id") == uid, F.lit(False))
+    changed = contents.where(its).withColumn("data", added("data"))
+    changed = changed.withColumn("packed_size", F.octet_length("data").cast("long")).select(*fields) if "packed_size" in fields else changed.select(*fields)
+    return contents.where(~its).unionByName(changed)
 
 
 def created(notes: DataFrame, contents: DataFrame, nodes: DataFrame, page_id: int, parent_id: int, place: int, caption: str, spans: list[tuple[str, str | None, bool, bool]], bg_color: str = "") -> tuple[DataFrame, DataFrame, DataFrame]:

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspark.functions.constants import T_BEYOND, T_POINTS
+from quillspark.operators.ordered import place_in_group, quantiles
 
 
 def work_list(questions: DataFrame, regimes: DataFrame, done: DataFrame | None = None) -> DataFrame:
@@ -58,42 +60,70 @@ def paired_tests(scores: DataFrame, baseline: str, metric: str = "score") -> Dat
     return out.select("regime", "n", F.when(F.col("n") >= 2, F.col("mean")).otherwise(float("nan")).alias("mean_diff"), "t", "df", sure.alias("significant"))
 
 
-def bootstrap_interval(values: DataFrame, value: str = "score", rounds: int = 4000, seed: int = 1, few: int = 100_000) -> DataFrame:
-    """(low, high): the 2.5 and 97.5 percent places among means of resamples, seeded; NaN for under two values.
+#: How often a resample takes a value is a Poisson number of mean 1: more than k times if its draw,
+#: evenly spread below 2^32, is at or above the k-th of these (the distribution's sums, k = 0 to 11).
+POISSON = tuple(int(sum(math.exp(-1) / math.factorial(i) for i in range(k + 1)) * 2**32) for k in range(12))
+ROUND_STEP, MIXER = 2654435769, 0x45D9F3B
 
-    Up to `few` values, as an experiment has, each (round, draw) picks a row number by a hash of seed and
-    place, and joins the numbered values. More are drawn without numbering or shuffling them: how often a
-    round takes a value is a Poisson number with its count as mean, and tasks hand on sums a round."""
-    rows = values.where(F.col(value).isNotNull()).select(F.col(value).cast("double").alias("v"))
-    n = rows.count()
-    spark = values.sparkSession
-    if n < 2:
-        return spark.createDataFrame([(float("nan"), float("nan"))], "low double, high double")
-    if n <= few:
-        numbered = rows.select(F.row_number().over(Window.orderBy("v")).alias("k"), "v")  # at most `few` rows
-        draws = spark.range(rounds * n).select((F.col("id") / n).cast("long").alias("round"), (F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(n)) + 1).alias("k"))
-        means = draws.join(numbered, "k").groupBy("round").agg(F.avg("v").alias("m"))
-    else:
-        means = _poisson_means(rows, rounds, seed)
-    place = F.row_number().over(Window.orderBy("m", "round"))  # one row per round
-    ranked = means.select("m", (place - 1).alias("place"))
-    return ranked.agg(F.min(F.when(F.col("place") == int(0.025 * rounds), F.col("m"))).alias("low"), F.min(F.when(F.col("place") == int(0.975 * rounds), F.col("m"))).alias("high"))
 
+def mixed(x: np.ndarray) -> np.ndarray:
+    """An integer hash below 2^32 of integers below 2^32, in 64-bit arithmetic that any engine repeats."""
+    for _ in range(2):
+        x = ((x >> 16) ^ x) * MIXER & 0xFFFFFFFF
+    return (x >> 16) ^ x
 
-def _poisson_means(rows: DataFrame, rounds: int, seed: int) -> DataFrame:
-    """(round, m): means of v over resamples in which each value appears a Poisson number of times."""
+
+def bootstrap_intervals(values: DataFrame, groups: tuple[str, ...] = (), value: str = "score", rounds: int = 4000, seed: int = 1, key: str | None = None) -> DataFrame:
+    """(groups, low, high): the 2.5 and 97.5 percent places among the means of resamples, one row a group; NaN for
+    under two values. Null values do not count.
+
+    How often round r takes a row is told by a hash of (row's key, round), so a row is drawn where it lies: tasks
+    hand on two sums a group and round, whatever the number of rows. key: a column that tells a group's rows
+    apart (rows of one key are drawn together); without one, values are numbered among their equals. Rounds
+    that draw nothing have no mean; places are taken among the others."""
+    given = values.where(F.col(value).isNotNull()).select(*groups, F.col(value).cast("double").alias("__v"), *([F.col(key).cast("string").alias("__k")] if key else []))
+    if not key:
+        bits = F.hex(F.col("__v").cast("string").cast("binary"))
+        # Which of its equals a value is counted as makes no difference; the tie only lets ranges part them.
+        given = place_in_group(given.withColumn("__tie", F.monotonically_increasing_id()), (*groups, "__v"), "__tie").select(*groups, "__v", F.concat_ws(":", bits, F.col("n").cast("string")).alias("__k"))
+    number = F.conv(F.substring(F.md5(F.col("__k").cast("binary")), 1, 8), 16, 10).cast("long")
+    rows = given.select(*groups, "__v", F.pmod(number + seed, F.lit(2**32)).alias("__key"))
+    names = [f"g{i}" for i in range(len(groups))]
+    kinds = dict(rows.dtypes)
+    schema = ", ".join([*(f"{n} {kinds[g]}" for n, g in zip(names, groups, strict=True)), "round int, total double, weight long"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weight, total = np.zeros(rounds), np.zeros(rounds)
+        sums: dict[tuple, tuple[np.ndarray, np.ndarray]] = {}
+        steps = np.arange(rounds, dtype=np.int64) * ROUND_STEP & 0xFFFFFFFF
         for batch in batches:
-            for v, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                drawn = np.random.default_rng([seed, int(np.float64(v).view(np.uint64))]).poisson(c, rounds)
-                weight += drawn
-                total += drawn * v
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(rounds)), pa.array(total), pa.array(weight)], names=["round", "total", "weight"])
-
-    sums = rows.groupBy("v").agg(F.count("*").alias("c")).mapInArrow(run, "round long, total double, weight double")
-    return sums.groupBy("round").agg((F.sum("total") / F.sum("weight")).alias("m"))
+            keys = mixed(batch.column("__key").to_numpy(zero_copy_only=False).astype(np.int64))
+            drawn = batch.column("__v").to_numpy(zero_copy_only=False)
+            for i, group in enumerate(zip(*(batch.column(g).to_pylist() for g in groups), strict=True) if groups else [()] * batch.num_rows):
+                total, weight = sums.setdefault(group, (np.zeros(rounds), np.zeros(rounds, np.int64)))
+                times = np.searchsorted(POISSON, mixed((keys[i] + steps) & 0xFFFFFFFF), side="right")
+                total += times * drawn[i]
+                weight += times
+        for group, (total, weight) in sums.items():
+            columns = [pa.array([v] * rounds, batch.schema.field(g).type) for v, g in zip(group, groups, strict=True)]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(np.arange(rounds, dtype=np.int32)), pa.array(total), pa.array(weight)], names=[*names, "round", "total", "weight"])
+
+    added = rows.mapInArrow(run, schema).groupBy(*names, "round").agg(F.sum("total").alias("total"), F.sum("weight").alias("weight"))
+    means = added.where("weight > 0").select(*names, "round", (F.col("total") / F.col("weight")).alias("m"))
+    place = F.row_number().over(Window.partitionBy(*names).orderBy("m", "round")) - 1  # at most `rounds` rows a group
+    of = F.count("*").over(Window.partitionBy(*names))
+    ranked = means.select(*names, "m", place.alias("place"), of.alias("of"))
+    ends = {name: F.min(F.when(F.col("place") == F.floor(F.col("of") * share), F.col("m"))).alias(name) for name, share in (("low", 0.025), ("high", 0.975))}
+    found = ranked.groupBy(*names).agg(*ends.values())
+    sizes = given.groupBy(*(F.col(g).alias(n) for g, n in zip(groups, names, strict=True))).agg(F.count("*").alias("n"))
+    on = [F.lit(True)] if not groups else [sizes[n].eqNullSafe(found[n]) for n in names]
+    both = sizes.join(found, on, "left")  # a row a group
+    nan = F.lit(float("nan"))
+    return both.select(*(sizes[n].alias(g) for n, g in zip(names, groups, strict=True)), *(F.when(F.col("n") < 2, nan).otherwise(F.coalesce(c, nan)).alias(c) for c in ("low", "high")))
+
+
+def bootstrap_interval(values: DataFrame, value: str = "score", rounds: int = 4000, seed: int = 1, key: str | None = None) -> DataFrame:
+    """(low, high) of all values."""
+    return bootstrap_intervals(values, (), value, rounds, seed, key)
 
 
 def group_pivot(scores: DataFrame, regimes: list[str], metric: str = "score") -> DataFrame:
@@ -151,26 +181,18 @@ def rating_queue(runs: DataFrame, ratings: DataFrame, question_id: str, seed: in
 
 
 def regime_table(scores: DataFrame, baseline: str, metric: str = "score", rounds: int = 4000) -> DataFrame:
-    """Per regime, over the questions it shares with the baseline: n, mean and its interval, mean
-    difference, t, df, significance. The regimes are walked one by one, as they are a handful."""
-    base = scores.where((F.col("regime") == baseline) & F.col(metric).isNotNull()).select("question_id")
+    """Per regime, over the questions it shares with the baseline: n, mean and its interval, mean difference, t,
+    df, significance. Questions are the rows that resamples draw."""
+    base = scores.where((F.col("regime") == baseline) & F.col(metric).isNotNull()).select("question_id").distinct()
     shared = scores.where(F.col(metric).isNotNull()).join(base, "question_id", "left_semi")
     means = shared.groupBy("regime").agg(F.avg(metric).alias("mean"))
-    intervals = None
-    for (name,) in sorted(tuple(r) for r in shared.select("regime").distinct().collect()):
-        one = bootstrap_interval(shared.where(F.col("regime") == name), metric, rounds).withColumn("regime", F.lit(name))
-        intervals = one if intervals is None else intervals.unionByName(one)
-    tests = paired_tests(scores, baseline, metric)
-    out = tests.join(means, "regime", "left")
-    return out if intervals is None else out.join(intervals, "regime", "left")
+    intervals = bootstrap_intervals(shared, ("regime",), metric, rounds, key="question_id")
+    return paired_tests(scores, baseline, metric).join(means, "regime", "left").join(intervals, "regime", "left")
 
 
 def box_plots(scores: DataFrame, metric: str = "score") -> DataFrame:
     """Per regime what a box plot shows: least, quartiles (interpolated), greatest, and the number of scores."""
-    given = scores.where(F.col(metric).isNotNull())
-    places = F.percentile(metric, F.array(*(F.lit(p) for p in (0.0, 0.25, 0.5, 0.75, 1.0))))
-    out = given.groupBy("regime").agg(F.count("*").alias("n"), places.alias("p"))
-    return out.select("regime", "n", *(F.get("p", F.lit(k)).alias(name) for k, name in enumerate(("low", "q1", "median", "q3", "high"))))
+    return quantiles(scores, "regime", metric, {"low": 0.0, "q1": 0.25, "median": 0.5, "q3": 0.75, "high": 1.0})
 
 
 def report(runs: DataFrame, ratings: DataFrame, baseline: str, metrics: tuple[str, ...] = ("overall", "correctness", "completeness", "grounding"), rounds: int = 4000) -> dict[str, DataFrame]:
@@ -187,7 +209,3 @@ def report(runs: DataFrame, ratings: DataFrame, baseline: str, metrics: tuple[st
     figures = runs.drop("run_id", "question_id", "regime").columns
     out |= {"retrieval": retrieval_means(runs.drop("run_id"))} if figures else {}
     return out | {"groups": group_pivot(scores[metrics[0]], regimes), "blind": blind_split(ratings, runs)}
-
-
-def empty_scores(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([], "question_id string, regime string, score double")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspark.functions.columns import query_terms, tokens
@@ -54,22 +54,109 @@ def bm25(index: DataFrame, size: DataFrame, queries: DataFrame, query_col: str =
     return joined.groupBy("query_id", "unit_id").agg(F.round(F.sum(idf * F.col("tf") * (BM25_K1 + 1) / damp), 9).alias("score"))
 
 
+def query_phrases(queries: DataFrame, query_col: str = "query") -> DataFrame:
+    """(query_id, phrase, times): the distinct phrases of each query, tokens joined by a blank, and how often
+    the query holds them."""
+    raw = queries.select("query_id", F.explode(query_terms(F.col(query_col))).alias("raw"))
+    words = raw.select("query_id", tokens(F.col("raw")).alias("words")).where(F.size("words") > 0)
+    return words.groupBy("query_id", F.array_join("words", " ").alias("phrase")).agg(F.count("*").alias("times"))
+
+
+def phrase_postings(index: DataFrame, size: DataFrame, phrases: DataFrame) -> DataFrame:
+    """(phrase, unit_id, share): of each distinct phrase the units that hold it, with the saturated share of its
+    BM25 gain (the gain but for the inverse document frequency)."""
+    distinct = phrases.select("phrase").distinct()
+    words = distinct.select("phrase", F.posexplode(F.split("phrase", " ")).alias("k", "term"), F.size(F.split("phrase", " ")).alias("n_words"))
+    found = index.join(words, "term").select("phrase", "n_words", "unit_id", "length", F.transform("places", lambda p: p - F.col("k")).alias("starts"))
+    single = found.where("n_words = 1").select("phrase", "unit_id", F.size("starts").alias("tf"), "length")
+    many = found.where("n_words > 1").groupBy("phrase", "n_words", "unit_id").agg(F.collect_list("starts").alias("s"), F.first("length").alias("length"))
+    common = F.aggregate(F.slice("s", 2, F.greatest(F.size("s") - 1, F.lit(0))), F.get("s", F.lit(0)), lambda a, x: F.array_intersect(a, x))
+    many = many.where(F.size("s") == F.col("n_words")).select("phrase", "unit_id", F.size(common).alias("tf"), "length").where("tf > 0")
+    damp = F.col("tf") + BM25_K1 * (1 - BM25_B + BM25_B * F.col("length") / F.col("avg_length"))
+    both = single.unionByName(many).crossJoin(F.broadcast(size.select("avg_length")))  # size is one row
+    return both.select("phrase", "unit_id", (F.col("tf") * (BM25_K1 + 1) / damp).alias("share"))
+
+
+def phrase_bounds(postings: DataFrame, size: DataFrame) -> DataFrame:
+    """(phrase, df, idf, bound): how many units hold a phrase, and the most that it adds to any unit's score."""
+    per = postings.groupBy("phrase").agg(F.count("*").alias("df"), F.max("share").alias("most")).crossJoin(F.broadcast(size.select("n_units")))
+    idf = F.greatest(F.log((F.col("n_units") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(BM25_IDF_FLOOR))
+    return per.select("phrase", "df", idf.alias("idf"), (idf * F.col("most")).alias("bound"))
+
+
+#: Room for rounding between floors and bounds.
+SLACK = 1e-8
+
+
+def _gains(asked: DataFrame, postings: DataFrame) -> DataFrame:
+    """(query_id, unit_id, score) summed over the given phrases of each query."""
+    gain = F.col("times") * F.col("idf") * F.col("share")
+    return asked.select("query_id", "phrase", "times", "idf").join(postings, "phrase").groupBy("query_id", "unit_id").agg(F.sum(gain).alias("score"))
+
+
+def ranked_phrases(index: DataFrame, size: DataFrame, queries: DataFrame, query_col: str = "query") -> tuple[DataFrame, DataFrame]:
+    """The phrases of each query from the greatest bound (query_id, phrase, times, df, idf, bound, before, rest),
+    and the postings of all. before: documents of the phrases ahead; rest: bounds from this phrase to the last."""
+    phrases = scratch_table(query_phrases(queries, query_col))
+    postings = scratch_table(phrase_postings(index, size, phrases))
+    known = phrases.join(phrase_bounds(postings, size), "phrase").withColumn("bound", F.col("times") * F.col("bound"))
+    order = Window.partitionBy("query_id").orderBy(F.desc("bound"), "phrase")  # a query's own words
+    before = F.coalesce(F.sum("df").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    rest = F.sum("bound").over(order.rowsBetween(0, Window.unboundedFollowing))
+    return scratch_table(known.withColumns({"before": before, "rest": rest})), postings
+
+
+def candidates(asked: DataFrame, postings: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
+    """(query_id, unit_id, score, ...) of the units that can reach each query's floor, scored by its essential
+    phrases, and the phrases (asked) with `essential`.
+
+    The floor is the k-th best sum over the first phrases that together hold k units: a lower bound of the
+    k-th score. Phrases whose bounds from there to the last stay below the floor cannot make a hit alone;
+    they are not essential and open no candidate, frequent words among them. A candidate stays if its sum
+    and the bounds of the query's other phrases reach the floor."""
+    opened = _gains(asked.where(F.col("before") < k), postings)
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "unit_id"))
+    floors = opened.withColumn("place", place).where(F.col("place") == k).select("query_id", (F.col("score") - SLACK).alias("floor"))
+    judged = asked.join(floors, "query_id", "left").fillna(0.0, ["floor"])
+    judged = scratch_table(judged.withColumn("essential", F.col("rest") >= F.col("floor")))
+    left = judged.groupBy("query_id").agg(F.first("floor").alias("floor"), F.coalesce(F.sum(F.when(~F.col("essential"), F.col("bound"))), F.lit(0.0)).alias("left"))
+    sums = _gains(judged.where("essential"), postings).join(left, "query_id")
+    return sums.where(F.col("score") + F.col("left") >= F.col("floor")).select("query_id", "unit_id", "score"), judged
+
+
+def bm25_top(index: DataFrame, size: DataFrame, queries: DataFrame, k: int, query_col: str = "query") -> DataFrame:
+    """(query_id, unit_id, score, rank): the k best units of each query, with the scores of bm25(), in two phases:
+    candidates by essential phrases, then what the other phrases add to those candidates only."""
+    asked, postings = ranked_phrases(index, size, queries, query_col)
+    found, judged = candidates(asked, postings, k)
+    found = scratch_table(found)
+    others = judged.where("NOT essential").select("query_id", "phrase", "times", "idf")
+    added = found.select("query_id", "unit_id").join(others, "query_id").join(postings, ["phrase", "unit_id"])
+    added = added.select("query_id", "unit_id", (F.col("times") * F.col("idf") * F.col("share")).alias("score"))
+    whole = found.unionByName(added).groupBy("query_id", "unit_id").agg(F.round(F.sum("score"), 9).alias("score"))
+    return top_per_query(whole, k)
+
+
 def top_per_query(scored: DataFrame, k: int, score: str = "score") -> DataFrame:
     """The k best of each query with rank from 1; ties by unit id."""
     order = Window.partitionBy("query_id").orderBy(F.desc(score), "unit_id")
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def search_all_words(notes: DataFrame, query: str, limit: int = 50, columns: tuple[str, ...] = ("caption", "text")) -> DataFrame:
-    """Notes that hold every word of the query; a query without words falls back to a caption match."""
+def search_all_words(notes: DataFrame, query: str, limit: int | None = 50, columns: tuple[str, ...] = ("caption", "text"), index: DataFrame | None = None, pages: tuple[int, ...] = ()) -> DataFrame:
+    """Notes, of the given pages if any, that hold every word of the query, in the order of their ids. index:
+    postings (term, unit_id) of the notes by note_uid; without one each note is cut into words. A query without
+    words matches the caption as it stands."""
     spark = notes.sparkSession
-    words = [r[0] for r in spark.range(1).select(F.explode(tokens(F.lit(query)))).collect()]  # the query's own words
+    base = notes.where(F.col("page_id").isin(*pages)) if pages else notes
+    words = sorted({r[0] for r in spark.range(1).select(F.explode(tokens(F.lit(query)))).collect()})  # the query's own words
     if not words:
-        return notes.where(F.col("caption").ilike(f"%{query}%")).limit(limit)
-    have = tokens(F.concat_ws(" ", *columns))
-    return notes.where(F.forall(F.array(*(F.lit(w) for w in words)), lambda w: F.array_contains(have, w))).orderBy("note_uid").limit(limit)
-
-
-def token_table(spark: SparkSession, texts: list[str]) -> list[list[str]]:
-    """Tokens of a few literal texts."""
-    return [r[0] for r in spark.createDataFrame([(t,) for t in texts], "t string").select(tokens(F.col("t"))).collect()]
+        found = base.where(F.contains(F.lower("caption"), F.lit(query.lower())))
+    elif index is not None:
+        held = index.where(F.col("term").isin(*words)).groupBy("unit_id").agg(F.countDistinct("term").alias("__n")).where(F.col("__n") == len(words))
+        found = base.join(held.select(F.col("unit_id").alias("note_uid")), "note_uid", "left_semi")
+    else:
+        have = tokens(F.concat_ws(" ", *columns))
+        found = base.where(F.forall(F.array(*(F.lit(w) for w in words)), lambda w: F.array_contains(have, w)))
+    ordered = found.orderBy("note_uid")
+    return ordered if limit is None else ordered.limit(limit)

@@ -6,21 +6,17 @@ section_color, tree_path and the vector columns. Every result carries query_id a
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import numpy as np
-import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspark.functions.columns import colour_weight, dot, norm, share_of_top, tag
-from quillspark.operators.lexical import bm25, build_index, corpus_size, parse_queries, top_per_query
+from quillspark.operators.lexical import bm25_top, build_index, corpus_size, parse_queries, top_per_query
+from quillspark.operators.neighbours import nearest
 from quillspark.plans.regimes import Regime
 
 EXPANDED_SHARE = 0.5
-#: Fixed value: how many query vectors a batch of units is scored with at once.
-QUERY_BLOCK = 256
 Vectors = Sequence[tuple[int, Sequence[float]]] | DataFrame
 COLUMNS = ("query_id", "rank", "unit_id", "note_uid", "score", "cosine", "source")
 
@@ -51,52 +47,6 @@ def cosines(corpus: DataFrame, vector: str, queries: Sequence[tuple[int, Sequenc
     return with_norm.withColumn("__scores", scored).select(*corpus.columns, F.inline("__scores"))
 
 
-def nearest(units: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """(query_id, unit_id, note_uid, cosine, score): for each query at least its k best units, score being
-    cosine x factor. units: (unit_id, note_uid, factor, vector); queries: (query_id, vector).
-
-    The queries' matrix goes to every task (half a kilobyte a query of 64 places); each batch of units is
-    multiplied with a block of it and only the batch's k best of each query leave the task. Both figures
-    are rounded to twelve places, so that equal vectors score equally in any block."""
-    rows = queries.where(F.col("vector").isNotNull()).orderBy("query_id").collect()
-    ids = np.array([r["query_id"] for r in rows], dtype=np.int64)
-    dims = {len(r["vector"]) for r in rows}
-    if len(dims) > 1:
-        raise ValueError(f"query vectors of different lengths: {sorted(dims)}")
-    matrix = np.array([r["vector"] for r in rows], dtype=np.float64).reshape(len(rows), -1)
-    length = np.sqrt((matrix * matrix).sum(axis=1))
-    if len(rows) and not length.all():
-        raise ValueError(f"zero query vectors: {ids[length == 0].tolist()}")
-    matrix /= length[:, None]
-
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows or not len(ids):
-                continue
-            batch = batch.sort_by("unit_id")
-            unit, note, factor = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("unit_id", "note_uid", "factor"))
-            sizes = pc.unique(pc.list_value_length(batch.column("vector"))).to_pylist()
-            if sizes != [matrix.shape[1]]:
-                raise ValueError(f"vectors of {sizes} places against queries of {matrix.shape[1]}")
-            rows = batch.column("vector").flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(unit), -1)
-            norms = np.sqrt((rows * rows).sum(axis=1))
-            rows /= np.where(norms > 0, norms, 1.0)[:, None]
-            for at in range(0, len(ids), QUERY_BLOCK):
-                cosine = np.round(matrix[at : at + QUERY_BLOCK] @ rows.T, 12)
-                scores = np.round(cosine * factor, 12)
-                for q, mine in enumerate(scores):
-                    least = np.partition(mine, -k)[-k] if len(mine) > k else -np.inf
-                    found = np.flatnonzero(mine >= least)
-                    found = found[np.argsort(-mine[found], kind="stable")][:k]  # ties by unit id
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(len(found), ids[at + q])), pa.array(unit[found]), pa.array(note[found]), pa.array(cosine[q][found]), pa.array(mine[found])],
-                        names=["query_id", "unit_id", "note_uid", "cosine", "score"],
-                    )
-
-    plain = units.where(F.col("vector").isNotNull()).select(F.col("unit_id").cast("long"), F.col("note_uid").cast("long"), F.col("factor").cast("double"), "vector")
-    return plain.mapInArrow(score, "query_id long, unit_id long, note_uid long, cosine double, score double")
-
-
 def dense(corpus: DataFrame, regime: Regime, queries: Vectors, vector: str, k: int | None = None) -> DataFrame:
     """cosine x (1 + alpha w) x (1 + beta s), with w and s the unit's and its section's share of the
     top weight; the weight floor holds before the cut. queries: a few (id, vector), or a table of them."""
@@ -118,7 +68,7 @@ def lexical(corpus: DataFrame, regime: Regime, queries: DataFrame, index: DataFr
     k = regime.top_k if k is None else k
     index = build_index(corpus, parse_queries(queries)) if index is None else index
     size = corpus_size(corpus) if size is None else size
-    first = top_per_query(bm25(index, size, queries), 4 * k).drop("rank")
+    first = bm25_top(index, size, queries, 4 * k).drop("rank")
     found = first.join(corpus.select("unit_id", "note_uid", "effective_weight"), "unit_id")
     if regime.min_weight is not None:
         found = found.where(F.col("effective_weight") >= regime.min_weight)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from quillspark.functions.columns import _ACCENTED, _PLAIN
 from quillspark.functions.constants import RANK_WEIGHTS, TAGS
+from quillspark.operators.evaluate import MIXER, POISSON, ROUND_STEP
 from quillspark.plans.regimes import Regime
 
 CODE = "['u','p','b','g','g2','y','o'][({k}) % 16 + 1]"
@@ -45,9 +46,9 @@ TIER_SQL = f"""{UNITS}, good AS (SELECT * FROM units WHERE NOT is_trivial AND NO
 tiers AS (SELECT *, CASE WHEN color IN ('u', 'p') THEN 0 WHEN color = 'b' THEN 1 WHEN color IN ('g', 'g2') THEN 2 WHEN color IS NULL AND is_bold THEN 5 END AS tier FROM good WHERE color IN ('u', 'p', 'b', 'g', 'g2') OR (color IS NULL AND is_bold))"""
 
 _TOKENS = rf"list_filter(string_split_regex(translate(lower({{x}}), '{_ACCENTED}', '{_PLAIN}'), '[^\p{{{{L}}}}\p{{{{N}}}}]+'), lambda w: w <> '')"
-CORPUS = rf"""WITH corpus AS (SELECT vec_id AS unit_id, vec_id // 10 AS note_uid, text, {CODE.format(k='vec_id * 7')} AS color, vec_id % 5 = 0 AS is_bold,
- {WEIGHT.format(c=CODE.format(k='vec_id * 7'))} + CASE WHEN {CODE.format(k='vec_id * 7')} IS NOT NULL AND vec_id % 5 = 0 THEN 0.5 ELSE 0 END AS effective_weight,
- {WEIGHT.format(c=CODE.format(k='label % 7'))} AS section_weight, embedding::DOUBLE[] AS vector, source || ' > ' || lang AS tree_path FROM embeddings JOIN documents ON vec_id = doc_id),
+CORPUS = rf"""WITH corpus AS (SELECT doc_id AS unit_id, doc_id // 10 AS note_uid, text, {CODE.format(k='doc_id * 7')} AS color, doc_id % 5 = 0 AS is_bold,
+ {WEIGHT.format(c=CODE.format(k='doc_id * 7'))} + CASE WHEN {CODE.format(k='doc_id * 7')} IS NOT NULL AND doc_id % 5 = 0 THEN 0.5 ELSE 0 END AS effective_weight,
+ {WEIGHT.format(c=CODE.format(k='label % 7'))} AS section_weight, embedding::DOUBLE[] AS vector, source || ' > ' || lang AS tree_path FROM documents LEFT JOIN embeddings ON vec_id = doc_id),
 words AS (SELECT unit_id, unnest({_TOKENS.format(x='text')}) AS term FROM corpus),
 lengths AS (SELECT unit_id, len({_TOKENS.format(x='text')}) AS length FROM corpus),
 size AS (SELECT count(*) AS n, avg(length) AS average FROM lengths),
@@ -59,6 +60,26 @@ bm25 AS (SELECT query_id, unit_id, round(sum(greatest(ln((n - df + 0.5) / (df +
  FROM tf JOIN df USING (query_id, phrase) JOIN lengths USING (unit_id) CROSS JOIN size GROUP BY query_id, unit_id)"""
 
 
+def bootstrap_sql(scores: str, rounds: int = 4000, seed: int = 1) -> str:
+    """CTEs up to `intervals` (regime, low, high) over scores (regime, question_id, score), with the same draws."""
+
+    def mixed(name: str, source: str) -> str:
+        half = lambda old, new, by: f"{name}{new} AS (SELECT * EXCLUDE x, (xor(x >> 16, x) * {MIXER}) & 4294967295 AS x FROM {by})"
+        return f"{half(0, 1, source)}, {half(1, 2, name + '1')}, {name} AS (SELECT * EXCLUDE x, xor(x >> 16, x) AS x FROM {name}2)"
+
+    times = " + ".join(f"(x >= {t})::BIGINT" for t in POISSON)
+    return f"""keyed AS (SELECT regime, score AS v, (('0x' || left(md5(question_id), 8))::BIGINT + {seed}) % 4294967296 AS x FROM {scores} WHERE score IS NOT NULL),
+{mixed('m', 'keyed')},
+rounds AS (SELECT regime, v, r AS round, (x + ((r * {ROUND_STEP}) & 4294967295)) & 4294967295 AS x FROM m, range({rounds}) t(r)),
+{mixed('w', 'rounds')},
+drawn AS (SELECT regime, round, v, {times} AS times FROM w),
+means AS (SELECT regime, round, sum(times * v) / sum(times) AS mean FROM drawn GROUP BY ALL HAVING sum(times) > 0),
+ranked AS (SELECT regime, mean, row_number() OVER (PARTITION BY regime ORDER BY mean, round) - 1 AS place, count(*) OVER (PARTITION BY regime) AS n FROM means),
+counted AS (SELECT regime, count(*) AS values_ FROM keyed GROUP BY regime),
+intervals AS (SELECT regime, CASE WHEN any_value(values_) < 2 THEN 'NaN'::DOUBLE ELSE min(CASE WHEN place = floor(n * 0.025) THEN mean END) END AS low, CASE WHEN any_value(values_) < 2 THEN 'NaN'::DOUBLE ELSE min(CASE WHEN place = floor(n * 0.975) THEN mean END) END AS high
+ FROM ranked JOIN counted USING (regime) GROUP BY regime)"""
+
+
 def regime_sql(r: Regime, final: str = "SELECT query_id, rank, unit_id, round(score, 6) AS score, source FROM result") -> str:
     """The regime over the stand-in corpus."""
     floor = "TRUE" if r.min_weight is None else f"effective_weight >= {r.min_weight}"
@@ -72,7 +93,7 @@ lex AS (SELECT query_id, unit_id, score, rank FROM (SELECT query_id, unit_id, sc
 
     def dense(k: int) -> str:
         return f"""cosines AS (SELECT q.unit_id AS query_id, c.unit_id, list_cosine_similarity(c.vector, q.vector) * (1 + {r.alpha} * {top.format(w='c.effective_weight')}) * (1 + {r.beta} * {top.format(w='c.section_weight')}) AS score
- FROM corpus c, (SELECT vec_id AS unit_id, embedding::DOUBLE[] AS vector FROM embeddings WHERE {asked}) q WHERE {floor.replace('effective_weight', 'c.effective_weight')}),
+ FROM corpus c, (SELECT vec_id AS unit_id, embedding::DOUBLE[] AS vector FROM embeddings WHERE {asked}) q WHERE c.vector IS NOT NULL AND {floor.replace('effective_weight', 'c.effective_weight')}),
 den AS (SELECT query_id, unit_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, unit_id) AS rank FROM cosines) WHERE rank <= {k})"""
 
     if r.retriever == "fts":

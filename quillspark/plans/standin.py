@@ -2,7 +2,7 @@
 
 A document is a note, its source a page, each line a span. Colours and boldness follow integer rules
 on (document, line), so that any engine can repeat them. Regions, nations, customers and suppliers
-form a tree; embeddings with the texts of equally numbered documents form a retrieval corpus.
+form a tree; documents, some with the embedding of their number, form a retrieval corpus.
 """
 
 from __future__ import annotations
@@ -143,13 +143,14 @@ def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Embeddings with whole texts; ten units a note. The context vector is the plain one turned round."""
+    """Every document with its whole text; ten units a note. Where an embedding has its number, that is the
+    plain vector, and turned round the context vector; the other documents have none."""
     vectors, docs = table(spark, sf_dir, "embeddings"), table(spark, sf_dir, "documents")
-    joined = vectors.join(docs, vectors["vec_id"] == docs["doc_id"])
-    color, bold = code_of((F.col("vec_id") * 7) % 16), F.col("vec_id") % 5 == 0
+    joined = docs.join(vectors, vectors["vec_id"] == docs["doc_id"], "left")
+    color, bold = code_of((F.col("doc_id") * 7) % 16), F.col("doc_id") % 5 == 0
     return joined.select(
-        F.col("vec_id").alias("unit_id"),
-        F.expr("vec_id div 10").alias("note_uid"),
+        F.col("doc_id").alias("unit_id"),
+        F.expr("doc_id div 10").alias("note_uid"),
         "text",
         color.alias("color"),
         bold.alias("is_bold"),

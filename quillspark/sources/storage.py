@@ -31,6 +31,18 @@ def scratch_table(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Bytes of an Arrow batch that is handed to Python; one longer row stands alone.
+BATCH_BYTES = 8 << 20
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
+def shuffle_partitions(spark: SparkSession) -> int:
+    return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
 #: Rows of a table that may be broadcast (short texts, ids and counts); beyond it is joined.
 BROADCAST_ROWS = 100_000
 
@@ -40,6 +52,12 @@ def small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether there is a file or folder, in any store that Spark reads."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
+
+
 def rebuild(df: DataFrame, path: str, partition_by: tuple[str, ...] = ()) -> None:
     """Replace a table as a whole."""
     writer = df.write.mode("overwrite")
@@ -50,17 +68,15 @@ def append(df: DataFrame, path: str) -> None:
     df.write.mode("append").parquet(path)
 
 
+def not_stored(df: DataFrame, path: str, key: str) -> DataFrame:
+    """The rows of df whose key the table at path does not hold; all where there is no table."""
+    spark = df.sparkSession
+    return df.join(spark.read.parquet(path).select(key), key, "left_anti") if exists(spark, path) else df
+
+
 def add_missing(df: DataFrame, path: str, key: str, force: bool = False) -> DataFrame:
     """Append only rows whose key is not in the table yet (all with force); returns what was added."""
-    spark = df.sparkSession
-    try:
-        done = spark.read.parquet(path).select(key)
-    except Exception as e:  # the table does not exist yet
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-        done = None
-    new = df if force or done is None else df.join(done, key, "left_anti")
-    new = checkpointed(new)
+    new = checkpointed(df if force else not_stored(df, path, key))
     new.write.mode("overwrite" if force else "append").parquet(path)
     return new
 
