@@ -7,7 +7,8 @@ and are skipped.
 
 Where the radius is small against the bits, tiles are formed inside blocks: of radius+1 (or more)
 slices of a fingerprint at least one must be equal in a linked pair, so comparing inside the groups
-of each slice loses no link, and the work no longer grows with the square of the corpus. A group of
+of each slice (or of a part of it) loses no link, and the work no longer grows with the square of the corpus. A
+group has about a thousand fingerprints in tiles of 64, of which those beyond the radius are skipped. One of
 more than `hot` fingerprints is dealt to many tasks by its tiles: a tile is a population count (and a
 share of it, where that alone exceeds `hot`), a task a pair of tiles, and pairs of tiles beyond the
 radius are never formed. Where slices would be too short to part anything, all tiles meet all tiles.
@@ -40,7 +41,9 @@ from quillspark.llm.components import connected_components
 SHINGLE = 4
 RADIUS = 4
 SEED = 42
-TILE = 256
+TILE = 64
+#: Fingerprints that share a key, about: enough tiles for their population counts to part them.
+GROUP = 1024
 HOT = 16384
 
 
@@ -144,24 +147,35 @@ def tile_links(words: np.ndarray, radius: int, other: np.ndarray | None = None,
             yield left, right
 
 
-def block_masks(bits: int, radius: int, n: int) -> list[int]:
+def tile_pair_counts(words: np.ndarray, radius: int, tile: int = TILE) -> tuple[int, int]:
+    """(pairs of tiles compared, pairs of tiles skipped) in one set of fingerprints (n x words)."""
+    pop = np.sort(np.bitwise_count(words).sum(axis=1).astype(np.int64))
+    tiles = -(-len(pop) // tile)
+    met = sum(1 for _ in tiles_in_reach(pop, pop, radius, True, tile))
+    return met, tiles * (tiles + 1) // 2 - met
+
+
+def block_masks(bits: int, radius: int, n: int, group: int = GROUP) -> list[int]:
     """Masks such that two fingerprints within radius agree on at least one of them whole.
 
-    With s slices, a pair within radius agrees on s-radius slices at least: every choice of s-radius
-    slices is one mask. More slices make longer keys and more masks; s grows with the number of
-    fingerprints so that a group under one key stays small. No masks: parting is not worth it."""
+    With s slices, a pair within radius agrees on s-radius slices at least: every choice of s-radius slices is one
+    mask. Slices are as many as keep groups under one key near `group` where n asks for long keys, and are cut
+    short (a part of an equal slice is equal too) where it does not: a group is many tiles, which their
+    population counts part. Up to `group` fingerprints are one group. No masks: parting is not worth it."""
     from itertools import combinations
-    from math import comb
+    from math import comb, log2
 
+    need = max(0, int(np.ceil(log2(max(n, 1) / group))))
     best: list[int] = []
     for s in range(radius + 1, radius + 5):
         keep, width = s - radius, bits / s
         if width * keep < 9 or comb(s, keep) > 150:
             continue
         cuts = [bits * k // s for k in range(s + 1)]
-        slices = [((1 << b) - (1 << a)) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
-        best = [sum(c) for c in combinations(slices, keep)]
-        if n / 2 ** (width * keep) < 1024:
+        each = -(-need // keep)
+        slices = [((1 << min(b, a + each)) - (1 << a)) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+        best = [sum(c) for c in combinations(slices, keep)] if need else [0]
+        if n / 2 ** (width * keep) < group:
             break
     return best
 

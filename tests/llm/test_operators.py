@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import bisect
 import hashlib
+import os
 import random
 import re
 import zlib
@@ -15,6 +16,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from quillspark.llm import decontaminate, language, neardup, packing, passages, privacy, quality, sharding, simhash, substrings, urls
+from quillspark.llm._util import checkpointed
 from quillspark.llm.components import connected_components
 from quillspark.llm.induced import SuffixQueue, sort_suffixes
 
@@ -236,6 +238,32 @@ def test_tiles_beyond_the_radius_are_skipped():
             assert near == ((i, j) in taken)
 
 
+def test_tiles_carry_the_result_on_the_test_table(spark):
+    """The links of sf0.1 come out of groups of many tiles, of which many pairs are skipped; they equal brute force."""
+    path = "/root/testdata/sf0.1/documents.parquet"
+    if not os.path.exists(path):
+        pytest.skip("no test data")
+    docs = simhash.with_fingerprints(spark.read.parquet(path).repartition(8), "doc_id", "text")
+    prints = checkpointed(docs.groupBy("f0").agg({"__id": "min"}).toDF("f0", "least"))
+    words = np.array(sorted(r.f0 for r in prints.collect()), np.int64).view(np.uint64)
+    masks = simhash.block_masks(64, 4, len(words))
+    met = skipped = 0
+    for mask in masks:
+        keys = words & np.uint64(mask)
+        for key in np.unique(keys):
+            a, b = simhash.tile_pair_counts(words[keys == key][:, None], 4)
+            met, skipped = met + a, skipped + b
+    assert len(words) > 9000 and len(masks) == 5 and skipped > 500 and met > 1000
+    at = {int(w): k for k, w in enumerate(words.view(np.int64))}
+    forest, plain = simhash.Forest(len(words)), simhash.Forest(len(words))
+    links = simhash.block_links(prints, 4).collect()
+    forest.link(np.array([at[r.f] for r in links]), np.array([at[r.f_to] for r in links]))
+    for k in range(0, len(words), 256):
+        x, y = np.nonzero(np.bitwise_count(words[k : k + 256, None] ^ words[None, :]) <= 4)
+        plain.link(x + k, y)
+    assert (forest.root == plain.root).all() and len(links) > 40
+
+
 @pytest.mark.parametrize("hot", [40, 10**6])
 def test_hot_slices_are_dealt_by_population_tiles(spark, hot):
     """Hundreds of fingerprints that share 52 bits, so that slices hold them all: dealt by tiles, linked as by brute force."""
