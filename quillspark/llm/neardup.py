@@ -125,7 +125,7 @@ def verified_links(docs: DataFrame, wanted: DataFrame, names: list[str], shingle
             if len(place) < 2 or (right is not None and not (len(left) and len(right))):
                 continue
             forest = Forest(len(place))
-            for x, y in tile_links(words[left], radius, None if right is None else words[right]):
+            for x, y in tile_links(words[left], radius, None if right is None else words[right], 256):
                 y = y if right is None else y + len(left)
                 while len(x):
                     open_ = forest.root[x] != forest.root[y]
