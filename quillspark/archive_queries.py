@@ -759,3 +759,28 @@ def _appended(spark, d):
     out = archive.appended(docs, 17, "\nadded", "p")
     text = S.plain_text(spans_of_text(F.col("data").cast("string")))
     return out.select(F.col("id").alias("doc_id"), F.when(F.col("data").isNotNull(), F.md5(text.cast("binary"))).alias("digest"))
+
+
+@query("vector_blobs", "SELECT vec_id, 4 * len(embedding) AS bytes, round(list_sum(embedding::DOUBLE[]), 6) AS total, embedding[1]::DOUBLE AS first FROM embeddings")
+def _blobs(spark, d):
+    """Vectors written as the bytes of float32 places and read back."""
+    stored = T.table(spark, d, "embeddings").select("vec_id", C.blob_of_vector(F.col("embedding")).alias("blob"))
+    read = stored.select("vec_id", F.octet_length("blob").cast("long").alias("bytes"), C.vector_of_blob(F.col("blob")).alias("v"))
+    total = F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double"))
+    return read.select("vec_id", "bytes", F.round(total, 6).alias("total"), F.get("v", F.lit(0)).cast("double").alias("first"))
+
+
+@query("corpus_by_colour", f"{UNITS}, good AS (SELECT * FROM units WHERE NOT is_trivial AND NOT is_separator AND NOT is_duplicate AND length(trim(text)) > 12) SELECT coalesce(color, 'unmarked') AS color, count(*) AS fragments FROM good GROUP BY 1")
+def _corpus_colours(spark, d):
+    return service.Archive(T.units(spark, d).where(units.retrievable())).corpus_by_colour()
+
+
+@query(
+    "tree_json",
+    f"{TREE}, w AS (SELECT t.id, t.depth, row_number() OVER o - 1 AS pre, lag(t.depth) OVER o AS was, n.caption FROM tree t JOIN nodes n ON n.id = t.id WINDOW o AS (ORDER BY list_transform(t.ids, lambda x: lpad(x::VARCHAR, 12, '0')))) "
+    """SELECT pre, CASE WHEN pre = 0 THEN '[' WHEN was >= depth THEN repeat(']}', was - depth + 1) || ',' ELSE '' END || '{"id":' || id || ',"caption":"' || caption || '","children":[' AS line FROM w """
+    "UNION ALL SELECT pre + 1, repeat(']}', depth + 1) || ']' FROM (SELECT * FROM w ORDER BY pre DESC LIMIT 1)",
+)
+def _json(spark, d):
+    """The whole tree as one nested JSON value, a line a node."""
+    return tree.json_lines(tree.hierarchy(T.nodes(spark, d)), {"id": "id", "caption": "caption"}).select("pre", "line")

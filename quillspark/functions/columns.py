@@ -5,6 +5,8 @@ from __future__ import annotations
 import unicodedata
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -78,6 +80,27 @@ def norm(vector: Column) -> Column:
     return F.when(length > 0, length).otherwise(1.0)
 
 
+def vector_of_blob(blob: Column) -> Column:
+    """Vectors stored as bytes, four a place (float32, lowest byte first); null for null and for a length that is
+    no multiple of four."""
+
+    @F.pandas_udf("array<float>")
+    def read(blobs: pd.Series) -> pd.Series:
+        return blobs.map(lambda b: None if b is None or len(b) % 4 else np.frombuffer(bytes(b), "<f4"))
+
+    return read(blob)
+
+
+def blob_of_vector(vector: Column) -> Column:
+    """The bytes of vectors as vector_of_blob reads them."""
+
+    @F.pandas_udf("binary")
+    def write(vectors: pd.Series) -> pd.Series:
+        return vectors.map(lambda v: None if v is None else np.asarray(v, "<f4").tobytes())
+
+    return write(vector)
+
+
 def nearest_colour(red: Column, green: Column, blue: Column) -> Column:
     """The code of an RGB colour: exact, else of the nearest known one if near; black and white have none."""
     known = [(k, rgb, code) for k, (rgb, code) in enumerate(RGB_CODES.items())]

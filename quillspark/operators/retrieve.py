@@ -164,7 +164,7 @@ def fragment_text(regime: Regime) -> Column:
     return F.when(head != "", F.concat(head, F.lit("\n"), F.col("text"))).otherwise(F.col("text"))
 
 
-def fit(fragments: DataFrame, corpus: DataFrame, regime: Regime, window_tokens: int, fixed_chars: int, max_tokens: int = 1500) -> DataFrame:
+def fit(fragments: DataFrame, corpus: DataFrame, regime: Regime, window_tokens: int, fixed_chars: int | Column, max_tokens: int = 1500) -> DataFrame:
     """Fragments that fit a model's window: the longest prefix by rank whose prompt of fixed_chars plus
     the formatted fragments, blank lines between, stays within max(256, window - max_tokens - 300)
     tokens of four characters."""

@@ -86,6 +86,11 @@ def corpus_stats(units: DataFrame) -> DataFrame:
     )
 
 
+def corpus_by_colour(units: DataFrame) -> DataFrame:
+    """(color, fragments): the corpus's fragments of each colour, `unmarked` for none."""
+    return units.groupBy(F.coalesce("color", F.lit("unmarked")).alias("color")).agg(F.count("*").alias("fragments"))
+
+
 def colour_stats(units: DataFrame) -> DataFrame:
     """Units and characters of each colour, and of nb and n; colours without rows stay, with zeros."""
     spark = units.sparkSession

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.functions.columns import ratio, salience
-from quillspark.operators.ordered import in_order, lookup, place_in_group, running
+from quillspark.operators.ordered import in_order, lookup, place_in_group, previous, running
 from quillspark.sources.storage import scratch_table
 
 ROOT = -1
@@ -176,6 +176,23 @@ def nested_children(tree: DataFrame) -> DataFrame:
     return tree.groupBy("page_id", "parent_id").agg(F.array_sort(F.collect_list(kid)).alias("children"))
 
 
+def json_lines(tree: DataFrame, columns: dict[str, str]) -> DataFrame:
+    """(page_id, pre, line): the forest as nested JSON, a line a node, in the order of a walk; siblings as `numbered`
+    has them. Lines of a page, joined, are its array of roots, each an object with the columns (by output name) and
+    `children`, to any depth: a line first closes what the node before left open. So a page of any size is
+    written by many tasks."""
+    walked = numbered(tree).select("page_id", "pre", "depth", F.struct(*(F.col(c).alias(n) for n, c in columns.items())).alias("o"))
+    order = previous(in_order(walked, "page_id", "pre"), "depth", "was")
+    first = F.col("pre") == 0
+    closed = F.when(first, F.lit("[")).otherwise(F.when(F.col("was") >= F.col("depth"), F.concat(F.repeat(F.lit("]}"), F.col("was") - F.col("depth") + 1), F.lit(","))).otherwise(""))
+    own = F.to_json("o", {"ignoreNullFields": "false"})
+    line = F.concat(closed, F.substring(own, F.lit(1), F.length(own) - 1), F.lit(',"children":['))
+    ends = tree.groupBy("page_id").agg(F.count("*").alias("pre"))
+    last = order.join(ends.select(F.col("page_id").alias("__page"), (F.col("pre") - 1).alias("__last")), (F.col("page_id") == F.col("__page")) & (F.col("pre") == F.col("__last")))
+    closing = last.select("page_id", (F.col("pre") + 1).alias("pre"), F.concat(F.repeat(F.lit("]}"), F.col("depth") + 1), F.lit("]")).alias("line"))
+    return order.select("page_id", "pre", line.alias("line")).unionByName(closing)
+
+
 def top_tiles(tree: DataFrame, size: str, most: int = 27) -> DataFrame:
     """Per parent the `most` largest non-separator children, and the rest summed as `other`."""
     real = tree.where(~F.col("caption").rlike(r"^[=\-_x]{3,}\s*$"))

@@ -2,18 +2,22 @@
 
 from __future__ import annotations
 
+import json
 import math
 import random
+import threading
 import zlib
 from collections import Counter
+from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
 from pathlib import Path
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from quillspark.functions import columns as C
 from quillspark.functions.rtf import inflate, rtf_spans, to_rtf
-from quillspark.operators import archive, evaluate, export, lexical, neighbours, ordered, segments, service, tree, treemap
+from quillspark.operators import archive, calls, evaluate, export, lexical, neighbours, ordered, segments, service, tree, treemap
 from quillspark.sources import storage
 
 NODES = "page_id int, id long, parent_id long, sort_index int, caption string, chars long"
@@ -402,3 +406,107 @@ def test_tables_that_are_missing(spark, tmp_path):
     df = spark.createDataFrame([(1,), (2,)], "k long")
     assert not storage.exists(spark, str(tmp_path / "none"))
     assert storage.add_missing(df, str(tmp_path / "t"), "k").count() == 2 and storage.add_missing(df, str(tmp_path / "t"), "k").count() == 0
+
+
+def test_nested_json_of_any_depth(spark):
+    """Two pages, one of them a chain of 60 levels; the lines of a page are one JSON value."""
+    rows = [*random_tree(), *((2, k, k - 1, 0, f'say "{k}"', None) for k in range(60))]
+    df = spark.createDataFrame(rows, NODES)
+    lines = tree.json_lines(tree.hierarchy(df), {"node": "id", "name": "caption", "chars": "chars"}).orderBy("page_id", "pre").collect()
+
+    def below(page, parent):
+        mine = sorted((r for r in rows if r[0] == page and r[2] == parent), key=lambda r: (r[3], r[1]))
+        return [{"node": r[1], "name": r[4], "chars": r[5], "children": below(page, r[1])} for r in mine]
+
+    for page in (1, 2):
+        assert json.loads("".join(r.line for r in lines if r.page_id == page)) == below(page, -1)
+
+
+def test_vectors_as_bytes(spark):
+    rows = [(1, [1.5, -2.0]), (2, None), (3, [])]
+    df = spark.createDataFrame(rows, "id long, v array<float>").withColumn("b", C.blob_of_vector(F.col("v")))
+    got = {r.id: (None if r.b is None else bytes(r.b), r.back) for r in df.select("id", "b", C.vector_of_blob(F.col("b")).alias("back")).collect()}
+    assert got == {1: (np.array([1.5, -2.0], "<f4").tobytes(), [1.5, -2.0]), 2: (None, None), 3: (b"", [])}
+    odd = spark.createDataFrame([(bytearray(b"abc"),)], "b binary").select(C.vector_of_blob(F.col("b")).alias("v")).first()
+    assert odd.v is None
+
+
+# Model calls
+
+
+@pytest.fixture
+def model():
+    """A chat server of both protocols that refuses every third call, and some questions until it is told not to."""
+    seen: list[dict] = []
+    state = {"refuse": "question 3", "lock": threading.Lock()}
+
+    class Chat(BaseHTTPRequestHandler):
+        def do_POST(self):
+            asked = json.loads(self.rfile.read(int(self.headers["Content-Length"])))
+            last = asked["messages"][-1]["content"]
+            with state["lock"]:
+                seen.append(asked | {"path": self.path, "key": self.headers.get("Authorization")})
+                refuse = len(seen) % 3 == 0 or bool(state["refuse"] and state["refuse"] in last)
+            if refuse:
+                self.send_response(503)
+                self.end_headers()
+                self.wfile.write(b"busy")
+                return
+            text = f"answer to {last.rsplit(': ', 1)[-1]}"
+            openai = self.path.endswith("/chat/completions")
+            if asked["stream"]:
+                pieces = [{"choices": [{"delta": {"content": p}}]} if openai else {"message": {"content": p}, "done": False} for p in (text[:4], text[4:])]
+                lines = [("data: " if openai else "") + json.dumps(p) for p in pieces]
+                body = "\n".join([*lines[:1], "noise", *lines[1:], "data: [DONE]" if openai else json.dumps({"done": True})])
+            else:
+                body = json.dumps({"choices": [{"message": {"content": text}}]} if openai else {"message": {"content": text}})
+            self.send_response(200)
+            self.end_headers()
+            self.wfile.write(body.encode())
+
+        def log_message(self, *_):
+            pass
+
+    server = ThreadingHTTPServer(("127.0.0.1", 0), Chat)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    yield f"http://127.0.0.1:{server.server_address[1]}", seen, state
+    server.shutdown()
+
+
+def test_both_protocols(model):
+    url, seen, state = model
+    state["refuse"] = None
+    messages = [{"role": "user", "content": "The question: a"}]
+    ollama, openai = calls.ChatServer(url, "m"), calls.ChatServer(url, "m", kind="openai", key="k")
+    assert ollama(messages) == "answer to a" and openai(messages) == "answer to a"
+    assert (seen[0]["path"], seen[0]["options"]["num_ctx"]) == ("/api/chat", 8192) and (seen[1]["path"], seen[1]["key"]) == ("/chat/completions", "Bearer k")
+    with pytest.raises(ConnectionError, match="503: busy"):
+        ollama(messages)
+    assert list(ollama.stream(messages)) == ["answ", "er to a"] == list(openai.stream(messages))
+    for bad, error in ((calls.ChatServer(url, "m", kind="openai"), ValueError), (calls.ChatServer("http://127.0.0.1:9", "m", timeout=2), ConnectionError), (calls.ChatServer(url, "m", kind="other"), ValueError)):
+        with pytest.raises(error):
+            bad(messages)
+
+
+def test_each_cell_is_called_until_stored_once(spark, tmp_path, model):
+    from tests.test_engine import small_archive
+
+    url, seen, state = model
+    path, a = str(tmp_path / "ledger"), small_archive(spark)
+    questions = spark.createDataFrame([(k, f"alpha question {k}") for k in range(6)], "query_id long, query string")
+    regimes = ("R0_baseline_fts", "R7_long_context", "R1_baseline_vector")
+    cells = calls.grid_prompts(a, questions, regimes, path, dims=3)
+    call = calls.ChatServer(url, "m")
+    got = calls.run_calls(cells, path, call, at_once=3, tries=5, wait=0.01, commit_rows=7).collect()
+    assert {(r.question_id, r.regime): r.answer for r in got} == {(str(q), k): f"answer to alpha question {q}" for q in range(6) for k in regimes if q != 3}
+    assert {(r.question_id, r.regime) for r in calls.failures(path, cells).collect()} == {("3", k) for k in regimes}
+    first, state["refuse"] = len(seen), None
+    rest = calls.grid_prompts(a, questions, regimes, path, dims=3)
+    assert {r.question_id for r in rest.collect()} == {"3"}
+    again = calls.run_calls(rest, path, call, at_once=2, tries=5, wait=0.01)
+    assert again.count() == 18 and all("question 3" in s["messages"][-1]["content"] for s in seen[first:]) and calls.failures(path, cells).count() == 0
+    assert any("alpha text number" in s["messages"][-1]["content"] for s in seen)
+    told = len(seen)
+    assert calls.run_calls(cells, path, call).count() == 18 and len(seen) == told
+    stored = spark.read.parquet(path).where("error IS NULL").groupBy("question_id", "regime").count()
+    assert stored.where("count > 1").count() == 0
