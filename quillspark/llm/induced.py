@@ -13,9 +13,9 @@ substrings, equal ones confirmed byte by byte) and by doubling over the names; r
 also give the common-prefix values of neighbours. Values and order are exact up to `limit` bytes and
 cut off there.
 
-Memory: the text and one flag a byte stay in memory; whatever holds positions, ranks or values of more
-than `memory` entries (queues, order, names, ranks, result) lies in unnamed files of the task and is
-handled in blocks of `memory` entries. A group of suffixes that is still tied is sorted as a whole.
+Memory: whatever has more than `memory` entries (queues, flags, order, names, ranks, result; the text too, if the
+caller maps it) lies in unnamed files of the task, mapped and handled in blocks of `memory` entries. A group of
+suffixes that is still tied is sorted as a whole.
 """
 
 from __future__ import annotations
@@ -35,12 +35,12 @@ Block = tuple[np.ndarray, np.ndarray]
 
 
 def _array(n: int, kind: type, memory: int) -> np.ndarray:
-    """An array of n entries, in a file of the task if there are more than `memory`."""
+    """An array of n zeros, in a file of the task if there are more than `memory`."""
     if n <= memory:
-        return np.empty(n, kind)
+        return np.zeros(n, kind)
     with tempfile.TemporaryFile() as f:
         f.truncate(n * np.dtype(kind).itemsize)
-        return np.memmap(f, kind, "r+", shape=(n,))
+        return np.asarray(np.memmap(f, kind, "r+", shape=(n,)))
 
 
 def _blocks(n: int, size: int) -> Iterator[tuple[int, int]]:
@@ -73,13 +73,14 @@ class SuffixQueue:
             self.file: IO[bytes] = tempfile.TemporaryFile()
         self.file.seek(0, 2)
         for run in self.runs:
-            for k, entry in enumerate(run):
-                if isinstance(entry[0], np.ndarray):
-                    at = self.file.tell()
-                    self.file.write(np.ascontiguousarray(entry[0], np.int32).tobytes())
-                    self.file.write(np.ascontiguousarray(entry[1], np.uint8).tobytes())
-                    run[k] = (at, len(entry[0]))
-                    self.spilled += len(entry[0])
+            fresh = [entry for entry in run if isinstance(entry[0], np.ndarray)]  # behind what was spilled before
+            if fresh:
+                at, n = self.file.tell(), sum(len(e[0]) for e in fresh)
+                for part, kind in ((0, np.int32), (1, np.uint8)):
+                    for entry in fresh:
+                        self.file.write(np.ascontiguousarray(entry[part], kind).tobytes())
+                run[len(run) - len(fresh) :] = [(at, n)]
+                self.spilled += n
         self.held = 0
 
     def has(self, char: int) -> bool:
@@ -105,7 +106,7 @@ class SuffixQueue:
 def _types(text: np.ndarray, block: int) -> np.ndarray:
     """True where a suffix is smaller than the next one (S type); the last one is not."""
     n = len(text)
-    out = np.empty(n, bool)
+    out = _array(n, bool, block)
     later, kind = -1, False  # the character and type behind the block
     for a, b in reversed(list(_blocks(n, block))):
         part = text[a:b].astype(np.int16)
@@ -276,18 +277,21 @@ def sort_suffixes(text: np.ndarray, limit: int = 100, memory: int = MEMORY) -> B
         return np.zeros(0, np.int32), np.zeros(0, np.uint8)
     block = max(16, memory)
     small = _types(text, block)
-    parts = [np.flatnonzero(small[max(a, 1) : b] & ~small[max(a, 1) - 1 : b - 1]).astype(np.int32) + max(a, 1) for a, b in _blocks(n, block)]
-    m = sum(map(len, parts))
+
+    def leftmost(a: int, b: int) -> np.ndarray:
+        return np.flatnonzero(small[max(a, 1) : b] & ~small[max(a, 1) - 1 : b - 1]).astype(np.int32) + max(a, 1)
+
+    m = sum(len(leftmost(a, b)) for a, b in _blocks(n, block))
     first = _array(m, np.int32, memory)
     at = 0
     seeds = SuffixQueue(memory)
-    for part in parts:
+    for a, b in _blocks(n, block):
+        part = leftmost(a, b)
         first[at : at + len(part)] = part
         at += len(part)
         # To name the substrings between these places, induce from their first characters alone.
         by_char = part[np.argsort(text[part], kind="stable")]
         seeds.push_sorted(text[by_char], by_char, np.zeros(len(part), np.uint8))
-    del parts
     rough, values = _induce(text, small, seeds, limit, memory)
     seeds.close()
     if not m:

@@ -4,7 +4,7 @@ Every window of `length` bytes has a minimizer: the least hash of its `grain`-by
 windows have equal minimizers, so windows can be dealt to shards by minimizer and no repeat is ever
 split between two shards. Neighbouring windows mostly share their minimizer and travel as one piece
 of text. Minimizers that occur once in the corpus are left out first (their windows cannot repeat).
-Each shard's pieces are laid end to end and sorted by external induced sorting (`induced.py`);
+Each shard's pieces stream into a file, are laid end to end and sorted by external induced sorting (`induced.py`);
 windows whose common prefix reaches `length` are equal, and all but the earliest are marked.
 
 Pieces that are wholly equal are merged before the sort, within a task already when they are packed,
@@ -19,8 +19,10 @@ are ignored, whatever their names. Empty tables give empty results.
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Iterator
 from itertools import chain
+from typing import IO
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +35,6 @@ from quillspark.llm._util import (
     batch_of,
     by_bucket,
     chunks,
-    joined,
     mix,
     planes,
     powers,
@@ -43,8 +44,9 @@ from quillspark.llm._util import (
     shuffle_partitions,
     slide,
     text_view,
+    unplanes,
 )
-from quillspark.llm.induced import MEMORY, SEPARATOR, sort_suffixes
+from quillspark.llm.induced import MEMORY, SEPARATOR, _array, sort_suffixes
 
 LENGTH = 100
 GRAIN = 32
@@ -215,26 +217,28 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, grain: int = GRAIN, me
                 text=[b"".join([cuts[k] for k in keep[a:b].tolist()]) for a, b in spans],
             )
 
-    def judge(table: pa.Table) -> pa.Table:
-        flags = table.column("settled").to_numpy()
-        known, new = table.filter(pa.array(flags)), table.filter(pa.array(~flags))
-        docs_, starts_, sizes_ = (joined(known.column(c), w).astype(np.int64) for c, w in (("docs", 8), ("at", 4), ("sizes", 4)))
-        doc, place, size = (joined(new.column(c), w).astype(np.int64) for c, w in (("docs", 8), ("at", 4), ("sizes", 4)))
-        if len(doc):
-            keys = np.concatenate([np.frombuffer(b.as_py(), "<u8") for b in new.column("keys")]).reshape(-1, 2)
-            flat = np.concatenate([np.frombuffer(b.as_py(), np.uint8) for b in new.column("text")])
-            order, least = _earliest(keys, doc, place)
-            d, p = doc[order], place[order]
-            late = (d != d[least]) | (p != p[least])
-            more = [(d[late], p[late], size[order][late])]
-            keep = np.sort(order[np.flatnonzero(least == np.arange(len(least)))])
-            more.append(_equal_windows(flat, np.cumsum(size) - size, doc, place, size, keep, length, memory))
-            docs_, starts_, sizes_ = (np.concatenate([known_, *(m[k] for m in more)]) for k, known_ in enumerate((docs_, starts_, sizes_)))
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A shard: its pieces come in batches, their text goes to a file of the task; places stay in memory."""
+        known: list[tuple[np.ndarray, ...]] = []
+        held: list[tuple[np.ndarray, ...]] = []
+        keys: list[np.ndarray] = []
+        with tempfile.TemporaryFile() as file:
+            for batch in batches:
+                for k, settled in enumerate(batch.column("settled").to_pylist()):
+                    row = tuple(unplanes(batch.column(c)[k].as_buffer(), w).astype(t) for c, w, t in (("docs", 8, np.int64), ("at", 4, np.int32), ("sizes", 4, np.int32)))
+                    (known if settled else held).append(row)
+                    if not settled:
+                        keys.append(np.frombuffer(batch.column("keys")[k].as_py(), "<u8"))
+                        file.write(batch.column("text")[k].as_buffer())
+            if held:
+                file.flush()
+                known += _shard_spans(file, np.concatenate(keys).reshape(-1, 2), *(np.concatenate(c) for c in zip(*held, strict=True)), length, memory)
+        docs_, starts_, sizes_ = (np.concatenate(c) for c in zip(*known, strict=True)) if known else (np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int32))
         order = np.lexsort((starts_, docs_))
         docs_, starts_, sizes_ = docs_[order], starts_[order], sizes_[order]
         start, end = runs_of(docs_)
         spans = np.stack([starts_, sizes_], axis=1).astype("<u4")
-        return pa.Table.from_batches([batch_of(_SPANS, __id=docs_[start], spans=[spans[a:b].tobytes() for a, b in zip(start, end, strict=True)])], schema=_SPANS)
+        yield batch_of(_SPANS, __id=docs_[start], spans=[spans[a:b].tobytes() for a, b in zip(start, end, strict=True)])
 
     codes = shared_codes(docs, anchors, within=True)
     # Left joins on both ends read the texts through one reused exchange; rows without codes are passed over in cut.
@@ -243,10 +247,22 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, grain: int = GRAIN, me
     return packed.groupBy("bucket").applyInArrow(judge, "__id long, spans binary")
 
 
+def _shard_spans(file: IO[bytes], keys: np.ndarray, doc: np.ndarray, place: np.ndarray, size: np.ndarray, length: int, memory: int) -> list[tuple[np.ndarray, ...]]:
+    """(doc, start, size) of what goes from a shard whose pieces lie end to end in a file: pieces that equal an
+    earlier one, and windows of the others that start earlier elsewhere."""
+    order, least = _earliest(keys, doc, place)
+    late = (doc[order] != doc[order[least]]) | (place[order] != place[order[least]])
+    at = order[late]
+    keep = np.sort(order[np.flatnonzero(least == np.arange(len(least)))])
+    begins = np.cumsum(size, dtype=np.int64) - size
+    flat = np.asarray(np.memmap(file, np.uint8, "r"))
+    return [(doc[at], place[at], size[at]), _equal_windows(flat, begins, doc, place, size, keep, length, memory)]
+
+
 def _laid_out(flat: np.ndarray, begins: np.ndarray, sizes: np.ndarray, block: int) -> np.ndarray:
-    """Pieces of flat end to end, a separator behind each."""
-    upto = np.cumsum(sizes + 1)
-    text, k = np.empty(int(upto[-1]), np.uint8), 0
+    """Pieces of flat end to end, a separator behind each; in a file of the task beyond `block` bytes."""
+    upto = np.cumsum(sizes + 1, dtype=np.int64)
+    text, k = _array(int(upto[-1]), np.uint8, block), 0
     while k < len(sizes):
         j = max(k + 1, int(np.searchsorted(upto, upto[k] - sizes[k] + block, side="right")))
         n, low = sizes[k:j] + 1, int(upto[k] - sizes[k] - 1)
@@ -262,11 +278,11 @@ def _laid_out(flat: np.ndarray, begins: np.ndarray, sizes: np.ndarray, block: in
 def _equal_windows(flat, begins, doc, place, size, keep, length, memory):
     """Suffix-sort the kept pieces and return (doc, start, size) of runs of windows that start
     earlier in another place."""
-    sizes = size[keep]
+    sizes = size[keep].astype(np.int64)
     to = np.cumsum(sizes + 1) - (sizes + 1)
     text = _laid_out(flat, begins[keep], sizes, memory)
     order, common = sort_suffixes(text, length, memory)
-    mark, a, n = np.zeros(len(text) + 1, bool), 0, len(text)
+    mark, a, n = _array(len(text) + 1, bool, memory), 0, len(text)
     while a < n:
         b = min(n, a + memory)
         while b < n and common[b] >= length:  # up to the next group
@@ -289,8 +305,13 @@ def _equal_windows(flat, begins, doc, place, size, keep, length, memory):
             least_place = np.repeat(np.minimum.reduceat(np.where(d == least_doc, p, np.iinfo(np.int64).max), firsts), sizes_of)
             mark[at[inside & ((d != least_doc) | (p != least_place))]] = True
         a = b
-    start = np.flatnonzero(mark[:-1] & ~np.append(False, mark[:-2]))
-    stop = np.flatnonzero(mark[:-1] & ~mark[1:]) + 1
+    starts, stops = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for a in range(0, n, memory):
+        b = min(n, a + memory)
+        here = mark[a:b]
+        starts.append(np.flatnonzero(here & ~np.append(mark[a - 1] if a else False, here[:-1])) + a)
+        stops.append(np.flatnonzero(here & ~mark[a + 1 : b + 1]) + a + 1)
+    start, stop = np.concatenate(starts), np.concatenate(stops)
     piece = np.searchsorted(to, start, side="right") - 1
     return doc[keep[piece]], place[keep[piece]] + start - to[piece], stop - start + length - 1
 

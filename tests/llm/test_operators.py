@@ -758,3 +758,36 @@ def test_edge_cases(spark, name):
         assert sum(r.doc_id == 4 for r in out) == 1 and sum(r.doc_id is None for r in out) == 0
     if name == "substrings":
         assert next(r for r in out if r.doc_id == 8).n_removed == 4999
+
+
+def test_a_shard_far_larger_than_memory(tmp_path):
+    """The traced peak of a whole shard is a fraction of its text; what is found does not depend on memory."""
+    import tracemalloc
+
+    rng = random.Random(21)
+    vocabulary = ["".join(rng.choices("abcdefgh", k=rng.randint(2, 9))) for _ in range(3000)]
+    passage = " ".join(rng.choices(vocabulary, k=60)).encode()
+    pieces = []
+    for k in range(450):
+        body = " ".join(rng.choices(vocabulary, k=400)).encode()
+        pieces.append(body[: k * 2] + passage + body[k * 2 :] if k % 9 == 0 else body)
+    pieces += pieces[:5]
+    doc, place = np.arange(len(pieces), dtype=np.int64), np.zeros(len(pieces), np.int32)
+    size = np.array([len(p) for p in pieces], np.int32)
+    keys = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, pieces)), "<u8").reshape(-1, 2)
+    raw = b"".join(pieces)
+
+    def found(memory):
+        with open(tmp_path / "shard", "wb+") as f:
+            f.write(raw)
+            f.flush()
+            tracemalloc.start()
+            spans = substrings._shard_spans(f, keys, doc, place, size, 100, memory)
+            peak = tracemalloc.get_traced_memory()[1]
+            tracemalloc.stop()
+        return {tuple(map(int, x)) for s in spans for x in zip(*s, strict=True)}, peak
+
+    want, _ = found(1 << 30)
+    got, peak = found(len(raw) // 1000)
+    assert got == want and len(got) == 5 + 49
+    assert peak < len(raw) / 2  # about 350 bytes for each entry that memory allows
