@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.functions.columns import tokens
-from quillspark.operators.lexical import build_index
+from quillspark.operators.lexical import build_index, search_all_words
 from quillspark.sources.storage import exists, scratch_table, shuffle_partitions
 
 _MANIFEST = "version long, segments array<long>, gone array<long>, batch long"
@@ -87,3 +87,15 @@ def latest_changes(changes: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Of changes (unit_id, text, deleted, seq) each unit's last one: units to write, and units to delete."""
     last = scratch_table(changes.groupBy("unit_id").agg(F.max_by(F.struct("text", "deleted"), "seq").alias("c")).select("unit_id", "c.*"))
     return last.where("NOT deleted").select("unit_id", "text"), last.where("deleted").select("unit_id")
+
+
+def search(notes: DataFrame, query: str, path: str, limit: int | None = 50, pages: tuple[int, ...] = ()) -> DataFrame:
+    """Notes that hold every word of the query, by the index at path; where there is none, or one whose folders are
+    gone, notes whose caption holds the query as it stands."""
+    spark = notes.sparkSession
+    state = manifest(spark, path)
+    if state["version"] and all(exists(spark, f"{path}/segment/n={k}") for k in state["segments"]):
+        return search_all_words(notes, query, limit, index=postings(spark, path), pages=pages)
+    base = notes.where(F.col("page_id").isin(*pages)) if pages else notes
+    found = base.where(F.contains(F.lower("caption"), F.lit(query.lower()))).orderBy("note_uid")
+    return found if limit is None else found.limit(limit)

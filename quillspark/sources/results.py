@@ -9,16 +9,17 @@ RUN_KEY = ("question_id", "regime", "generator")
 DIAGNOSTICS = ("correctness", "completeness", "grounding")
 
 
-def latest(rows: DataFrame, key: tuple[str, ...], order: str) -> DataFrame:
+def latest(rows: DataFrame, key: tuple[str, ...], *order: str) -> DataFrame:
     """One row per key: the last by order."""
-    place = F.row_number().over(Window.partitionBy(*key).orderBy(F.desc(order)))
+    place = F.row_number().over(Window.partitionBy(*key).orderBy(*(F.desc(c) for c in order)))
     return rows.withColumn("__n", place).where("__n = 1").drop("__n")
 
 
 def upsert_runs(stored: DataFrame, new: DataFrame) -> DataFrame:
-    """Stored runs with new ones in place of those of the same question, regime and generator."""
+    """Stored runs with new ones in place of those of the same question, regime and generator; of several new ones
+    the greatest run id counts."""
     both = stored.withColumn("__v", F.lit(0)).unionByName(new.withColumn("__v", F.lit(1)))
-    return latest(both, RUN_KEY, "__v").drop("__v")
+    return latest(both, RUN_KEY, "__v", "run_id").drop("__v")
 
 
 def upsert_ratings(stored: DataFrame, new: DataFrame, key: str = "run_id") -> DataFrame:

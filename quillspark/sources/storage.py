@@ -81,8 +81,9 @@ def add_missing(df: DataFrame, path: str, key: str, force: bool = False) -> Data
     return new
 
 
-def write_csv(df: DataFrame, path: str) -> None:
-    df.coalesce(1).write.mode("overwrite").csv(path, header=True)
+def write_csv(df: DataFrame, path: str, single: bool = False) -> None:
+    """As CSV files with a header each; single: as one file, through one task."""
+    (df.coalesce(1) if single else df).write.mode("overwrite").csv(path, header=True)
 
 
 def write_json(df: DataFrame, path: str) -> None:

@@ -367,6 +367,8 @@ def test_upserts(spark, tmp_path):
     runs = "run_id long, question_id string, regime string, generator string, answer string"
     merged = results.upsert_runs(spark.createDataFrame([(1, "q", "r", "g", "old"), (2, "q", "r", "h", "kept")], runs), spark.createDataFrame([(3, "q", "r", "g", "new")], runs))
     assert sorted((r.run_id, r.answer) for r in merged.collect()) == [(2, "kept"), (3, "new")]
+    twice = results.upsert_runs(merged, spark.createDataFrame([(5, "q", "r", "g", "last"), (4, "q", "r", "g", "before")], runs).repartition(2))
+    assert sorted((r.run_id, r.answer) for r in twice.collect()) == [(2, "kept"), (5, "last")]
     ratings = "run_id long, overall double, correctness double, completeness double, grounding double"
     out = results.upsert_ratings(spark.createDataFrame([(1, 5.0, 1.0, 2.0, None), (2, 6.0, 3.0, None, None)], ratings), spark.createDataFrame([(1, 9.0, None, None, None), (2, 7.0, None, 8.0, None)], ratings))
     assert sorted(tuple(r) for r in out.collect()) == [(1, 9.0, 1.0, 2.0, None), (2, 7.0, None, 8.0, None)]

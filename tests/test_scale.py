@@ -147,6 +147,19 @@ def test_index_under_change(spark, tmp_path):
     assert [r.note_uid for r in lexical.search_all_words(text, "w2 beta", pages=(1,)).collect()] == sorted(i for i, t in notes.items() if {"w2", "beta"} <= set((t or "").split()) and i % 2 == 0)
 
 
+def test_search_without_an_index_matches_as_it_stands(spark, tmp_path):
+    path = str(tmp_path / "index")
+    notes = spark.createDataFrame([(1, 1, "Cap Beta", "alpha gamma"), (2, 2, "other", "gamma, Alpha"), (3, 1, None, None)], "note_uid long, page_id int, caption string, text string")
+    found = lambda q, **k: [r.note_uid for r in segments.search(notes, q, path, **k).collect()]
+    assert found("CAP b") == [1] and found("THE") == [2] and found("gamma") == [] and found("", limit=1) == [1]
+    segments.change(notes.select(F.col("note_uid").alias("unit_id"), F.concat_ws(" ", "caption", "text").alias("text")), path)
+    assert found("gamma ALPHA") == [1, 2] and found("gamma alpha", pages=(2,)) == [2] and found("cap b") == []
+    import shutil
+
+    shutil.rmtree(f"{path}/segment/n=1")
+    assert found("cap b") == [1]
+
+
 def test_a_change_that_fails_leaves_the_index(spark, tmp_path):
     path = str(tmp_path / "index")
     segments.change(spark.createDataFrame([(1, "alpha")], "unit_id long, text string"), path)
