@@ -1,4 +1,8 @@
-"""Connected components over a distributed edge list, by alternating star operations."""
+"""Connected components over a distributed edge list, by alternating star operations.
+
+Defined results. Loops and repeated or turned links do not matter; links with a null end are passed over; other
+columns are not read. A node without a link to another has no row. No links: no rows.
+"""
 
 from __future__ import annotations
 

@@ -4,8 +4,8 @@ The list is a table of strings with an action: `host` + `path prefix` for rules,
 host (no path: `casino` is a word of `m.casino-win.example.com`). Spark sorts it by the 64-bit xxhash of
 the strings and writes it once to the shared folder; the files are handed to each executor, which lays
 them out once as flat arrays on its own disk (keys, string ends, actions, bytes) and maps them into
-memory, so all workers of a machine share the pages and neither the driver nor a task ever holds the
-list. A URL asks for each of its host's suffixes joined with each prefix of its path that has the length
+memory, so all workers of a machine share the pages and no process holds the list in its own memory (the
+driver's disk holds a copy of the files while it hands them out). A URL asks for each of its host's suffixes joined with each prefix of its path that has the length
 of some listed path, and for each word of its host; all questions of a batch are answered by one
 vectorised binary search, and every hit is confirmed against the stored string, so a digest collision
 never decides. The longest listed rule wins; on a tie the one with the longer host. Where no rule fits,

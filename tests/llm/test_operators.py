@@ -791,3 +791,17 @@ def test_a_shard_far_larger_than_memory(tmp_path):
     got, peak = found(len(raw) // 1000)
     assert got == want and len(got) == 5 + 49
     assert peak < len(raw) / 2  # about 350 bytes for each entry that memory allows
+
+
+def test_near_duplicates_beside_inner_names(spark):
+    """Columns named like those that the operator makes come through as they were."""
+    df = table(spark, EDGE).withColumnRenamed("bucket", "__text_key").withColumnRenamed("key", "__doc").withColumnRenamed("f0", "__id").withColumnRenamed("length", "__key")
+    out = neardup.drop_near_duplicates(df).collect()
+    assert out[0].__fields__ == df.columns and {(r["__text_key"], r["__doc"], r["__id"], r["__key"]) for r in out} == {(2, 3, "y", "x")}
+    assert sorted(str(r.doc_id) for r in out) == sorted(str(r.doc_id) for r in neardup.drop_near_duplicates(table(spark, EDGE)).collect())
+
+
+def test_components_pass_over_loops_and_nulls(spark):
+    edges = spark.createDataFrame([(1, 1), (3, 2), (2, 3), (None, 5), (6, None), (7, 7)], "a long, b long")
+    assert {r.node: r.component for r in connected_components(edges).collect()} == {2: 2, 3: 2}
+    assert connected_components(edges.limit(0)).collect() == []
