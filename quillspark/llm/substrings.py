@@ -255,8 +255,9 @@ def _shard_spans(file: IO[bytes], keys: np.ndarray, doc: np.ndarray, place: np.n
     at = order[late]
     keep = np.sort(order[np.flatnonzero(least == np.arange(len(least)))])
     begins = np.cumsum(size, dtype=np.int64) - size
-    flat = np.asarray(np.memmap(file, np.uint8, "r"))
-    return [(doc[at], place[at], size[at]), _equal_windows(flat, begins, doc, place, size, keep, length, memory)]
+    text = _laid_out(np.asarray(np.memmap(file, np.uint8, "r")), begins[keep], size[keep].astype(np.int64), memory)
+    file.truncate(0)  # nothing reads the pieces as they came any more
+    return [(doc[at], place[at], size[at]), _equal_windows(text, doc, place, size, keep, length, memory)]
 
 
 def _laid_out(flat: np.ndarray, begins: np.ndarray, sizes: np.ndarray, block: int) -> np.ndarray:
@@ -275,12 +276,11 @@ def _laid_out(flat: np.ndarray, begins: np.ndarray, sizes: np.ndarray, block: in
     return text
 
 
-def _equal_windows(flat, begins, doc, place, size, keep, length, memory):
-    """Suffix-sort the kept pieces and return (doc, start, size) of runs of windows that start
+def _equal_windows(text, doc, place, size, keep, length, memory):
+    """Suffix-sort the kept pieces, laid out as text, and return (doc, start, size) of runs of windows that start
     earlier in another place."""
     sizes = size[keep].astype(np.int64)
     to = np.cumsum(sizes + 1) - (sizes + 1)
-    text = _laid_out(flat, begins[keep], sizes, memory)
     order, common = sort_suffixes(text, length, memory)
     mark, a, n = _array(len(text) + 1, bool, memory), 0, len(text)
     while a < n:
