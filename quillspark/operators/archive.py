@@ -10,6 +10,7 @@ from quillspark.functions.columns import lookup, salience, strip
 from quillspark.functions.constants import HEX_CODES, LIVE_SALIENCE_WEIGHTS, RANK_WEIGHTS
 from quillspark.functions.rtf import inflate, rich_rtf, with_text
 from quillspark.functions.spans import char_count, colour_chars
+from quillspark.operators.ordered import in_order, place_in_group, running
 from quillspark.operators.tree import ROOT, reindexed
 
 
@@ -59,10 +60,13 @@ def essence(spans: DataFrame, top_n: int = 100) -> DataFrame:
 
 
 def topic_context(notes: DataFrame, max_tokens: int = 4000) -> DataFrame:
-    """Found notes (place, caption, body) as long as what came before is within four characters a token."""
-    shown = F.concat(F.lit("\n### "), "caption", F.lit("\n"), F.substring("body", 1, 2000))
-    before = F.coalesce(F.sum(F.length("shown")).over(Window.orderBy("place").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # at most a search's limit of rows
-    return notes.withColumn("shown", shown).withColumn("before", before).where(F.col("before") <= 4 * max_tokens)
+    """Found notes (place, caption, body) as long as what came before is within four characters a token. places are
+    unique; lengths alone are summed up, over ranges of places."""
+    shown = notes.withColumn("shown", F.concat(F.lit("\n### "), "caption", F.lit("\n"), F.substring("body", 1, 2000)))
+    size = F.coalesce(F.length("shown"), F.lit(0)).cast("long")
+    upto = running(in_order(shown.select("place", size.alias("size")), "place"), F.col("size"), "upto")
+    before = upto.select("place", (F.col("upto") - F.col("size")).alias("before")).where(F.col("before") <= 4 * max_tokens)
+    return shown.join(before, "place")
 
 
 def integrity(notes: DataFrame, contents: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -194,10 +198,11 @@ def reordered(nodes: DataFrame, page_id: int, node_id: int, place: int) -> DataF
     """A node at a new place among its siblings, all numbered anew."""
     is_it = (F.col("page_id") == page_id) & (F.col("id") == node_id)
     key = F.when(is_it, F.lit(place) - 0.5).otherwise(F.col("sort_index").cast("double"))
-    old = F.first(F.when(is_it, F.col("sort_index")), ignorenulls=True).over(Window.partitionBy("page_id", "parent_id"))
-    key = F.when(is_it & (old < place), place + 0.5).otherwise(key)
-    number = F.row_number().over(Window.partitionBy("page_id", "parent_id").orderBy("__key", "id")) - 1
-    return nodes.withColumn("__key", key).withColumn("sort_index", number.cast("long")).drop("__key")
+    its = nodes.where(is_it).select("page_id", "parent_id", F.col("sort_index").alias("__old"))  # one row
+    keyed = nodes.join(F.broadcast(its), ["page_id", "parent_id"], "left")
+    key = F.when(is_it & (F.col("__old") < place), place + 0.5).otherwise(key)
+    placed = place_in_group(keyed.withColumn("__key", key), ("page_id", "parent_id"), "__key", "id", name="__n")
+    return placed.withColumn("sort_index", F.col("__n") - 1).select(*nodes.columns)
 
 
 def recount(nodes: DataFrame) -> DataFrame:
