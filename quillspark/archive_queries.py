@@ -784,3 +784,17 @@ def _corpus_colours(spark, d):
 def _json(spark, d):
     """The whole tree as one nested JSON value, a line a node."""
     return tree.json_lines(tree.hierarchy(T.nodes(spark, d)), {"id": "id", "caption": "caption"}).select("pre", "line")
+
+
+_SPREAD = "replace(replace(coalesce(text, ''), ', ', repeat(chr(10), 3)), '. ', repeat(chr(10), 6))"
+_BROKEN = _SPREAD
+for _pattern, _token in (("={10,}", "[BR3]"), ("={3,9}", "[BR2]"), ("x{3,}", "[BR2]"), (r"\n{5,}", "[BR3]"), (r"\n{3,4}", "[BR2]")):
+    _BROKEN = f"regexp_replace({_BROKEN}, '{_pattern}', chr(10) || '{_token}' || chr(10), 'g')"
+
+
+@query("encoded_breaks", f"SELECT doc_id, md5({_BROKEN}) AS digest, ({_BROKEN}) LIKE '%[BR3]%' AS sections FROM documents")
+def _encoded_breaks(spark, d):
+    """Texts with rows of newlines behind commas and full stops, by all five rules of breaks."""
+    text = F.replace(F.replace(F.coalesce("text", F.lit("")), F.lit(", "), F.lit("\n" * 3)), F.lit(". "), F.lit("\n" * 6))
+    encoded = S.encode_breaks(text)
+    return T.table(spark, d, "documents").select("doc_id", F.md5(encoded.cast("binary")).alias("digest"), F.contains(encoded, F.lit("[BR3]")).alias("sections"))
