@@ -94,6 +94,13 @@ def _gains(asked: DataFrame, postings: DataFrame) -> DataFrame:
     return asked.select("query_id", "phrase", "times", "idf").join(postings, "phrase").groupBy("query_id", "unit_id").agg(F.sum(gain).alias("score"))
 
 
+def _with_others(scored: DataFrame, others: DataFrame, postings: DataFrame) -> DataFrame:
+    """scored (query_id, unit_id, score) with what the other phrases of each query add to its units."""
+    asked = scored.select("query_id", "unit_id").join(others.select("query_id", "phrase", "times", "idf"), "query_id")
+    added = asked.join(postings, ["phrase", "unit_id"]).select("query_id", "unit_id", (F.col("times") * F.col("idf") * F.col("share")).alias("score"))
+    return scored.unionByName(added).groupBy("query_id", "unit_id").agg(F.sum("score").alias("score"))
+
+
 def ranked_phrases(index: DataFrame, size: DataFrame, queries: DataFrame, query_col: str = "query") -> tuple[DataFrame, DataFrame]:
     """The phrases of each query from the greatest bound (query_id, phrase, times, df, idf, bound, before, rest),
     and the postings of all. before: documents of the phrases ahead; rest: bounds from this phrase to the last."""
@@ -110,11 +117,12 @@ def candidates(asked: DataFrame, postings: DataFrame, k: int) -> tuple[DataFrame
     """(query_id, unit_id, score, ...) of the units that can reach each query's floor, scored by its essential
     phrases, and the phrases (asked) with `essential`.
 
-    The floor is the k-th best sum over the first phrases that together hold k units: a lower bound of the
-    k-th score. Phrases whose bounds from there to the last stay below the floor cannot make a hit alone;
+    The floor is the k-th best score among the units of the first phrases that together hold k units: a lower
+    bound of the k-th score of all. Phrases whose bounds from there to the last stay below the floor cannot make a hit alone;
     they are not essential and open no candidate, frequent words among them. A candidate stays if its sum
     and the bounds of the query's other phrases reach the floor."""
-    opened = _gains(asked.where(F.col("before") < k), postings)
+    opened = scratch_table(_gains(asked.where(F.col("before") < k), postings))
+    opened = _with_others(opened, asked.where(F.col("before") >= k), postings)
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "unit_id"))
     floors = opened.withColumn("place", place).where(F.col("place") == k).select("query_id", (F.col("score") - SLACK).alias("floor"))
     judged = asked.join(floors, "query_id", "left").fillna(0.0, ["floor"])
@@ -129,11 +137,7 @@ def bm25_top(index: DataFrame, size: DataFrame, queries: DataFrame, k: int, quer
     candidates by essential phrases, then what the other phrases add to those candidates only."""
     asked, postings = ranked_phrases(index, size, queries, query_col)
     found, judged = candidates(asked, postings, k)
-    found = scratch_table(found)
-    others = judged.where("NOT essential").select("query_id", "phrase", "times", "idf")
-    added = found.select("query_id", "unit_id").join(others, "query_id").join(postings, ["phrase", "unit_id"])
-    added = added.select("query_id", "unit_id", (F.col("times") * F.col("idf") * F.col("share")).alias("score"))
-    whole = found.unionByName(added).groupBy("query_id", "unit_id").agg(F.round(F.sum("score"), 9).alias("score"))
+    whole = _with_others(scratch_table(found), judged.where("NOT essential"), postings).withColumn("score", F.round("score", 9))
     return top_per_query(whole, k)
 
 
