@@ -21,6 +21,7 @@ from quillspark.llm.components import connected_components
 from quillspark.llm.induced import SuffixQueue, sort_suffixes
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, id long, bucket int, length string, f0 string, key int, component string"
+SF01 = "/root/testdata/sf0.1"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
@@ -687,6 +688,53 @@ def test_a_listed_table_in_several_files(spark, monkeypatch):
     assert len(urls.sorted_list(listed)[0]) > 1 and {v[3] for v in want.values()} == set(urls.ACTIONS)
 
 
+def test_refused_urls(spark):
+    """A list of thousands of whole URLs, one of them asked by a third of the rows, one hot URL not listed."""
+    rng = random.Random(8)
+    listed = [(f"h{k % 61}.org", f"/{k}") for k in range(5000)] + [("hot.org", "/x"), ("hot.org", "/x"), (None, "/n"), ("h0.org", None), ("casino.org", "/fine")]
+    asked = [f"http://h{rng.randrange(61)}.org/{rng.randrange(9000)}?q" for _ in range(1500)] + ["https://HOT.org/x#a"] * 900 + ["http://cold.org/y"] * 900
+    asked += ["http://h3.net/3", "http://casino.org/fine", None, "h0.org/0", "http://", "http://h0.org", "http://h0.org/" + "z" * 50_000]
+    df = spark.createDataFrame([(k, u, "x", "y") for k, u in enumerate(asked)], "page_id long, url string, key string, slice string")
+    refused = spark.createDataFrame(listed, "host string, path string")
+    out = {r.page_id: r for r in urls.filter_urls(df, refused=refused).collect()}
+    assert len(out) == len(asked)
+    entries = [*urls.RULES, *(("block", w, "") for w in urls.BLOCKED_WORDS.split())]
+    whole = {(h, p) for h, p in listed if h is not None and p is not None}
+    seen = set()
+    for k, url in enumerate(asked):
+        host, path, rule, verdict = plain_verdict(url, entries)
+        reason = "rule" if rule else "word" if verdict == "block" else "listed" if host and (host, path) in whole else "default"
+        assert out[k][1:] == (host, path, rule, "block" if reason == "listed" else verdict, reason), url
+        seen.add(reason)
+    assert seen == set(urls.REASONS)
+    for nothing in (df.limit(0), df):
+        assert nothing.count() == urls.filter_urls(nothing, refused=refused.limit(0)).where("reason <> 'listed'").count()
+
+
+def test_worthless_urls(spark):
+    """A URL is listed if no page of it passes: thin, repeating and symbol-laden pages, but none without html."""
+    good = (
+        "Late in the evening we walked along the river, and the wind carried the smell of wet leaves. An old fisherman sat by the water and silently "
+        "watched his float. None of us wanted to go home, although it was getting dark and rather cold. Then my sister told a funny story about the "
+        "neighbour's cat, which had once climbed onto the roof of a school. Everybody laughed loudly, even the fisherman smiled and offered us hot tea."
+    )
+    pages = [
+        ("http://a.com/good", f"<p>{good}</p>"), ("http://a.com/thin", "<p>few words</p>"), ("http://a.com/again", "<p>" + "buy this now " * 80 + "</p>"),
+        ("http://a.com/both?x", f"<div>{good}"), ("http://A.com/both#y", "<p>thin"), ("http://a.com/none", None), ("http://a.com/empty", ""), (None, "<p>"), ("no scheme", "<p>"),
+        ("http://a.com/script", f"<SCRIPT>{good}</script>few"), ("http://a.com/open", f"few<style>{good}"), ("http://a.com/tags", "<b " + good.replace(" ", "=") + ">few"),
+    ]
+    df = spark.createDataFrame([(*p, "t", "t") for p in pages], "url string, html string, text string, at string")
+    found = {r.path for r in urls.worthless_urls(df).collect()}
+    assert found == {"/thin", "/again", "/empty", "/script", "/open", "/tags"}
+
+
+@pytest.mark.skipif(not os.path.isdir(SF01), reason="no test data")
+def test_the_list_of_the_query_decides(spark):
+    """On whole tables the list learned from the pages decides hundreds of rows."""
+    reasons = {r.reason: r["count"] for r in urls.op8(spark, SF01).groupBy("reason").count().collect()}
+    assert reasons["listed"] > 200 and set(reasons) == set(urls.REASONS)
+
+
 def test_digest_collisions_are_confirmed(spark, tmp_path):
     """Every string under one of three digests, in the file's order."""
     import pyarrow as pa
