@@ -676,6 +676,37 @@ def _created(spark, d):
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
+_MADE_RTF = r"{\rtf1\ansi\deff0{\colortbl;\red255\green153\blue204;}{\highlight1\b text}}"
+
+
+@query(
+    "created_rows",
+    f"""{ARCH}, t AS (SELECT page_id, id, parent_id, CASE WHEN parent_id = 2 THEN sort_index + 1 ELSE sort_index END AS sort_index, note_uid FROM nodes
+ UNION ALL SELECT 1, max(id) + 1, 2, 0, (SELECT max(uid) + 1 FROM notes) FROM nodes),
+placed AS ({_COUNTED.format(t="t").replace("c AS (", "WITH c AS (", 1).replace("SELECT n.page_id, n.id,", "SELECT note_uid, n.page_id, n.id,", 1)})
+SELECT 'note' AS kind, uid AS id, page_id, NULL::BIGINT AS parent_id, NULL::BIGINT AS place, NULL::BIGINT AS other, md5(caption) AS content, bg_color, date_created FROM notes
+UNION ALL SELECT 'note', max(uid) + 1, 1, NULL, NULL, NULL, md5('a new note'), '', min_by(date_created, uid) FROM notes
+UNION ALL SELECT 'content', id, NULL, NULL, NULL, packed_size, md5(text), NULL, NULL FROM contents
+UNION ALL SELECT 'content', max(uid) + 1, NULL, NULL, NULL, {len(_MADE_RTF)}, md5('{_MADE_RTF}'), NULL, NULL FROM notes
+UNION ALL SELECT 'node', id, page_id, parent_id, sort_index, child_count, md5(note_uid::VARCHAR), NULL, NULL FROM placed""",
+)
+def _created_rows(spark, d):
+    """Every row of the three tables after a note was created: untouched ones, moved siblings and the new ones."""
+    t = arch(spark, d)
+    contents = t["contents"].select("id", F.col("text").cast("binary").alias("data"), "packed_size")
+    notes, contents, nodes = archive.created(t["notes"], contents, t["treenodes"], page_id=1, parent_id=2, place=0, caption="a new note", spans=[("text", "p", True, False)])
+    none = F.lit(None)
+    columns = ("kind", "id", "page_id", "parent_id", "place", "other", "content", "bg_color", "date_created")
+    types = ("string", "long", "long", "long", "long", "long", "string", "string", "double")
+    rows = (
+        (notes, ("note", "uid", "page_id", none, none, none, F.md5(F.encode("caption", "UTF-8")), "bg_color", "date_created")),
+        (contents, ("content", "id", none, none, none, "packed_size", F.md5("data"), none, none)),
+        (nodes, ("node", "id", "page_id", "parent_id", "sort_index", "child_count", F.md5(F.col("note_uid").cast("string").cast("binary")), none, none)),
+    )
+    parts = [df.select(*((F.lit(v) if c == "kind" else F.col(v) if isinstance(v, str) else v).cast(k).alias(c) for c, k, v in zip(columns, types, values, strict=True))) for df, values in rows]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
 # Indexes that are kept, and trees by numbers
 
 _CHANGED = CORPUS.replace("WITH corpus AS (", "WITH before AS (", 1).replace("),\nwords AS", "), corpus AS (SELECT * REPLACE (CASE WHEN unit_id % 10 = 3 THEN 'changed ' || coalesce(text, '') || ' again' ELSE text END AS text) FROM before WHERE unit_id % 10 <> 5),\nwords AS", 1)

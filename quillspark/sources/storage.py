@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 import uuid
 from pathlib import Path
 
@@ -119,8 +118,3 @@ def env_config(path: str) -> dict[str, str]:
         if eq and not line.lstrip().startswith("#"):
             out[key.strip()] = value.strip().strip("\"'")
     return out
-
-
-def property_row(spark: SparkSession, **properties: object) -> DataFrame:
-    """Build facts as (key, value) rows."""
-    return spark.createDataFrame([(k, v if isinstance(v, str) else json.dumps(v)) for k, v in properties.items()], "key string, value string")
