@@ -7,7 +7,8 @@ function expresses over an array without copying the array at each step; it is a
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import islice
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -16,10 +17,12 @@ from pyspark.sql import functions as F
 
 from quillspark.functions.columns import WHITE, age_days, colour_weight, effective_weight, is_separator, is_trivial, normalise, strip
 from quillspark.functions.constants import NODE_BONUS
-from quillspark.sources.storage import scratch_table, small
+from quillspark.sources.storage import bounded_batches, scratch_table, small
 
 UNIT_STEP = 1 << 20  # lines a note can have
 INNER_CHARS = 100
+#: What a task holds of a batch as Python objects at a time: spans and lines, and the lines' characters.
+CHUNK_ROWS, CHUNK_CHARS = 8192, 1 << 21
 TOKENS = {"[BR2]": "block_start", "[BR3]": "section_start"}
 _INNER = pa.list_(pa.struct([("text", pa.string()), ("color", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
 _LINES = pa.schema(
@@ -33,7 +36,7 @@ def unit_id(note_uid: Column, line_index: Column) -> Column:
     return note_uid * UNIT_STEP + line_index + 1
 
 
-def note_lines(spans: list[tuple[str | None, str | None, bool | None]]) -> Iterator[tuple]:
+def note_lines(spans: Iterable[tuple[str | None, str | None, bool | None]]) -> Iterator[tuple]:
     """The lines with text of one note's spans (text, colour, bold), as rows of _LINES.
 
     A line's colour is the one with most stripped characters, the first seen on a tie; it is bold if
@@ -92,6 +95,32 @@ def note_lines(spans: list[tuple[str | None, str | None, bool | None]]) -> Itera
         yield from closed()
 
 
+def _line_batches(notes: pa.RecordBatch, sizes: list[int], spans: pa.StructArray, rows: int = CHUNK_ROWS, chars: int = CHUNK_CHARS) -> Iterator[pa.RecordBatch]:
+    """Batches of the lines of notes, each with its note's columns. sizes: how many of the spans each note has. At
+    most `rows` spans and lines, and lines of about `chars` characters, are Python objects at a time."""
+
+    def unpacked() -> Iterator[tuple]:
+        for at in range(0, len(spans), rows):
+            part = spans.slice(at, rows)
+            yield from zip(*(pc.struct_field(part, k).to_pylist() for k in range(3)), strict=True)
+
+    def packed() -> pa.RecordBatch:
+        columns = zip(*out, strict=True) if out else [[]] * len(_LINES)
+        kept = notes.take(pa.array(source, pa.int64())).columns
+        return pa.RecordBatch.from_arrays([*kept, *(pa.array(c, f.type) for c, f in zip(columns, _LINES, strict=True))], names=[*notes.schema.names, *_LINES.names])
+
+    stream, source, out, held = unpacked(), [], [], 0
+    for row, n in enumerate(sizes):
+        for line in note_lines(islice(stream, n)):
+            source.append(row)
+            out.append(line)
+            held += len(line[1])
+            if len(out) == rows or held >= chars:
+                yield packed()
+                source, out, held = [], [], 0
+    yield packed()
+
+
 def content_units(notes: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """One row per line with text: text, color, is_bold, inner_highlights, section_color, break_context,
     char_start, char_end, line_index, for each note_uid; further columns of notes in `keep` come along."""
@@ -102,19 +131,10 @@ def content_units(notes: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
         for batch in batches:
             lists = batch.column(len(names))
             sizes = pc.fill_null(pc.list_value_length(lists), 0).to_pylist()
-            values = lists.flatten()
-            spans = list(zip(*(pc.struct_field(values, k).to_pylist() for k in range(3)), strict=True))
-            source, out, begin = [], [], 0
-            for row, n in enumerate(sizes):
-                lines = list(note_lines(spans[begin : begin + n]))
-                begin += n
-                source += [row] * len(lines)
-                out += lines
-            columns = zip(*out, strict=True) if out else [[]] * len(_LINES)
-            kept = batch.select(list(names)).take(pa.array(source, pa.int64())).columns
-            yield pa.RecordBatch.from_arrays([*kept, *(pa.array(c, f.type) for c, f in zip(columns, _LINES, strict=True))], names=[*names, *_LINES.names])
+            yield from _line_batches(batch.select(list(names)), sizes, lists.flatten())
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in flat.select(*names).schema)
+    bounded_batches(notes.sparkSession)
     return flat.mapInArrow(run, f"{schema}, {_LINES_DDL}")
 
 

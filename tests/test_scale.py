@@ -12,12 +12,13 @@ from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from quillspark.functions import columns as C
 from quillspark.functions.rtf import inflate, rtf_spans, to_rtf
-from quillspark.operators import archive, calls, evaluate, export, lexical, neighbours, ordered, segments, service, tree, treemap
+from quillspark.operators import archive, calls, evaluate, export, lexical, neighbours, ordered, segments, service, tree, treemap, units
 from quillspark.sources import storage
 
 NODES = "page_id int, id long, parent_id long, sort_index int, caption string, chars long"
@@ -523,3 +524,16 @@ def test_each_cell_is_called_until_stored_once(spark, tmp_path, model):
     assert calls.run_calls(cells, path, call).count() == 18 and len(seen) == told
     stored = spark.read.parquet(path).where("error IS NULL").groupBy("question_id", "regime").count()
     assert stored.where("count > 1").count() == 0
+
+
+def test_lines_are_handed_on_in_small_batches():
+    """A batch of notes, however many lines they have, is unpacked and handed back in pieces, with the lines of a plain walk."""
+    notes = [[(f"line {k} of {i}\n" if k % 3 else "two ", "u" if k % 5 else None, k % 2 == 0) for k in range(i * 40)] for i in range(12)]
+    flat = [s for n in notes for s in n]
+    spans = pa.StructArray.from_arrays([pa.array(c) for c in zip(*flat, strict=True)], names=["text", "highlight", "bold"])
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(notes)))], names=["note_uid"])
+    expected = [{"note_uid": i, **dict(zip(units._LINES.names, line, strict=True))} for i, n in enumerate(notes) for line in units.note_lines(n)]
+    for rows, chars, least in ((64, 1 << 20, 10), (1 << 20, 500, 10), (1 << 20, 1 << 20, 1)):
+        got = list(units._line_batches(batch, [len(n) for n in notes], spans, rows, chars))
+        assert [r for b in got for r in b.to_pylist()] == expected
+        assert len(got) >= least and all(b.num_rows <= rows for b in got)
