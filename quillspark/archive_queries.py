@@ -219,6 +219,7 @@ def _mixed(spark, d):
 @query("rich_text_spans", f"{_PIECES}, f AS (SELECT doc_id, color, bold, text, line, k FROM spans) SELECT doc_id AS note_uid, color, bold, sum(length(text))::BIGINT AS chars, md5(string_agg(text, '' ORDER BY line, k)) AS digest FROM f WHERE color IS NOT NULL GROUP BY ALL")
 def _rich(spark, d):
     """Coloured and bold spans written as rich text, with their colour table, and read back."""
+    storage.bounded_batches(spark)
     stored = storage.scratch_table(T.mixed_notes(spark, d))  # Spark extracts no Python function over lambda expressions
     back = stored.select("note_uid", spans_of_text(rtf_of_spans("spans")).alias("spans"))
     flat = back.select("note_uid", F.posexplode("spans").alias("place", "s")).where("s.highlight is not null")
@@ -231,6 +232,7 @@ def _rich(spark, d):
 @query("plain_contents", "SELECT doc_id, CASE WHEN text = '' THEN 0 ELSE 1 END AS spans, md5(nullif(text, '')) AS digest FROM documents")
 def _plain(spark, d):
     """Contents that are no rich text are one plain span."""
+    storage.bounded_batches(spark)
     out = T.table(spark, d, "documents").select("doc_id", spans_of_text("text").alias("s"))
     return out.select("doc_id", F.size("s").alias("spans"), F.md5(F.get("s", F.lit(0))["text"].cast("binary")).alias("digest"))
 

@@ -6,6 +6,7 @@ import json
 import math
 import random
 import threading
+import tracemalloc
 import zlib
 from collections import Counter
 from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
@@ -17,6 +18,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillspark.functions import columns as C
+from quillspark.functions import rtf
 from quillspark.functions.rtf import inflate, rtf_spans, to_rtf
 from quillspark.operators import archive, calls, evaluate, export, lexical, neighbours, ordered, segments, service, tree, treemap, units
 from quillspark.sources import storage
@@ -537,3 +539,20 @@ def test_lines_are_handed_on_in_small_batches():
         got = list(units._line_batches(batch, [len(n) for n in notes], spans, rows, chars))
         assert [r for b in got for r in b.to_pylist()] == expected
         assert len(got) >= least and all(b.num_rows <= rows for b in got)
+
+
+def test_rich_text_is_decoded_a_few_rows_at_a_time():
+    """What a batch's spans take as Python objects does not grow with its rows."""
+    text = rtf.rich_rtf([(f"word {k} ", "u" if k % 2 else "p", k % 3 == 0, False) for k in range(400)])
+
+    def peak(n: int) -> int:
+        texts = pa.array([text] * n)
+        tracemalloc.start()
+        out = rtf.rtf_of_spans.func(rtf.spans_of_text.func(texts))
+        top = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert len(out) == n and set(out.to_pylist()) == {text}
+        return top
+
+    peak(8)
+    assert peak(8 * rtf.CHUNK_ROWS) < 2 * peak(rtf.CHUNK_ROWS)
