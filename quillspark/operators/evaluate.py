@@ -49,9 +49,11 @@ def paired_tests(scores: DataFrame, baseline: str, metric: str = "score") -> Dat
     """Per regime against the baseline on shared questions: n, mean difference, t, df, significance.
 
     scores: one row per (question_id, regime). Fewer than two pairs give NaN; no spread gives an
-    infinite t unless the mean is zero."""
-    base = scores.where(F.col("regime") == baseline).where(F.col(metric).isNotNull()).select("question_id", F.col(metric).alias("b"))
-    pairs = scores.where(F.col(metric).isNotNull()).join(base, "question_id").select("regime", (F.col(metric) - F.col("b")).alias("d"))
+    infinite t unless the mean is zero. A score is read once for both sides of its differences, as means summed
+    in another order are not quite equal: the baseline differs from itself by nothing."""
+    known = scores.where(F.col(metric).isNotNull() & F.col("question_id").isNotNull())
+    base = F.max(F.when(F.col("regime") == baseline, F.col(metric))).over(Window.partitionBy("question_id"))  # a row a regime
+    pairs = known.select("regime", (F.col(metric) - base).alias("d")).where(F.col("d").isNotNull())
     sums = pairs.groupBy("regime").agg(F.count("*").alias("n"), F.avg("d").alias("mean"), F.stddev_samp("d").alias("sd"))
     every = scores.select("regime").distinct().join(sums, "regime", "left").fillna(0, ["n"])
     t = F.when(F.col("n") < 2, float("nan")).when(F.col("sd") == 0, F.when(F.col("mean") == 0, 0.0).otherwise(float("inf"))).otherwise(F.try_divide("mean", F.col("sd") / F.sqrt("n")))

@@ -556,3 +556,11 @@ def test_rich_text_is_decoded_a_few_rows_at_a_time():
 
     peak(8)
     assert peak(8 * rtf.CHUNK_ROWS) < 2 * peak(rtf.CHUNK_ROWS)
+
+
+def test_paired_tests_read_each_score_once(spark):
+    """The baseline differs from itself by nothing, though a second reading would give other scores."""
+    read = F.udf(lambda: random.SystemRandom().random(), "double").asNondeterministic()
+    scores = spark.createDataFrame([(f"q{i}", r) for i in range(30) for r in ("r0", "r1")], "question_id string, regime string").withColumn("score", read())
+    own = evaluate.paired_tests(scores, "r0").where("regime = 'r0'").first()
+    assert (own.n, own.mean_diff, own.t, own.df, own.significant) == (30, 0.0, 0.0, 29, False)
