@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspark.functions.columns import colour_weight, dot, norm, share_of_top, tag
-from quillspark.operators.lexical import bm25_top, build_index, corpus_size, parse_queries, top_per_query
+from quillspark.operators.lexical import bm25_top, bm25_where_they_lie, build_index, corpus_size, parse_queries, top_per_query
 from quillspark.operators.neighbours import nearest
 from quillspark.plans.regimes import Regime
 
@@ -64,11 +64,15 @@ def dense(corpus: DataFrame, regime: Regime, queries: Vectors, vector: str, k: i
 
 
 def lexical(corpus: DataFrame, regime: Regime, queries: DataFrame, index: DataFrame | None = None, size: DataFrame | None = None, k: int | None = None) -> DataFrame:
-    """BM25, cut at four times k, then the weight floor, then the first k."""
+    """BM25, cut at four times k, then the weight floor, then the first k. Without a stored index units are
+    scored where they lie."""
     k = regime.top_k if k is None else k
-    index = build_index(corpus, parse_queries(queries)) if index is None else index
-    size = corpus_size(corpus) if size is None else size
-    first = bm25_top(index, size, queries, 4 * k).drop("rank")
+    if index is None and size is None:
+        first = bm25_where_they_lie(corpus, queries, 4 * k).drop("rank")
+    else:
+        index = build_index(corpus, parse_queries(queries)) if index is None else index
+        size = corpus_size(corpus) if size is None else size
+        first = bm25_top(index, size, queries, 4 * k).drop("rank")
     found = first.join(corpus.select("unit_id", "note_uid", "effective_weight"), "unit_id")
     if regime.min_weight is not None:
         found = found.where(F.col("effective_weight") >= regime.min_weight)
@@ -124,7 +128,7 @@ def expand(hits: DataFrame, corpus: DataFrame, n: int) -> DataFrame:
 def retrieve(corpus: DataFrame, regime: Regime, queries: DataFrame, vectors: Vectors = (), index: DataFrame | None = None, size: DataFrame | None = None) -> DataFrame:
     """Ranked fragments of each query (query_id, query) under a regime. vectors: embedded queries;
     the corpus has the columns vector_plain and vector_context. index and size: a stored index of the
-    corpus (lexical.build_index, corpus_size); without one the queries' terms are indexed anew."""
+    corpus (lexical.build_index, corpus_size); without one units are scored where they lie."""
     vector = f"vector_{regime.embed}"
     if regime.retriever == "fts":
         hits = lexical(corpus, regime, queries, index, size)

@@ -106,6 +106,23 @@ def test_bm25_top_like_exhaustive_scores(spark):
         assert lexical.bm25_top(index, size, asked, k).orderBy(*key).select("query_id", "unit_id", "rank", "score").collect() == want
 
 
+def test_units_scored_where_they_lie_like_exhaustive_scores(spark, monkeypatch):
+    """Without an index: the rows of bm25(), ties of equal texts included, and no unit's words in a shuffle."""
+    units, asked = word_corpus(spark)
+    units = units.unionByName(units.select((F.col("unit_id") + 1000).alias("unit_id"), "text")).unionByName(spark.createDataFrame([(5000, None), (5001, "")], units.schema)).repartition(5)
+    index, size = lexical.build_index(units), lexical.corpus_size(units)
+    rows = lambda df: df.select("query_id", "unit_id", "rank", "score").orderBy("query_id", "rank").collect()
+    for k in (1, 7, 1000):
+        want = rows(lexical.top_per_query(lexical.bm25(index, size, asked), k))
+        assert rows(lexical.bm25_where_they_lie(units, asked, k)) == want
+    monkeypatch.setattr(lexical, "GAINS", 40)
+    assert rows(lexical.bm25_where_they_lie(units, asked, 7)) == rows(lexical.bm25_top(index, size, asked, 7))
+    monkeypatch.setattr(lexical, "BEST_ROWS", 1)
+    assert rows(lexical.bm25_where_they_lie(units, asked, 7)) == rows(lexical.bm25_top(index, size, asked, 7))
+    assert lexical.bm25_where_they_lie(units, asked.limit(0), 7).collect() == [] == lexical.bm25_where_they_lie(units.limit(0), asked, 7).collect()
+    assert "Exchange" not in lexical.unit_phrases(spark.range(9).selectExpr("id AS unit_id", "'a b' AS text"), ["a", "a b"])._jdf.queryExecution().executedPlan().toString()
+
+
 def test_frequent_words_open_no_candidate(spark):
     units, asked = word_corpus(spark)
     asked = asked.where("query_id < 10")
