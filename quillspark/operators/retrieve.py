@@ -15,6 +15,7 @@ from quillspark.functions.columns import colour_weight, dot, norm, share_of_top,
 from quillspark.operators.lexical import bm25_top, bm25_where_they_lie, build_index, corpus_size, parse_queries, top_per_query
 from quillspark.operators.neighbours import nearest
 from quillspark.plans.regimes import Regime
+from quillspark.sources.storage import scratch_table
 
 EXPANDED_SHARE = 0.5
 Vectors = Sequence[tuple[int, Sequence[float]]] | DataFrame
@@ -103,7 +104,8 @@ def expand(hits: DataFrame, corpus: DataFrame, n: int) -> DataFrame:
     """hits followed by the n best other units of each hit's note, at half the hit's score.
 
     The n are chosen before those already there are dropped; a unit reached from two hits keeps the
-    first hit's score."""
+    first hit's score. Hits are stored first, as they are read four times and retrieval is worth it once."""
+    hits = scratch_table(hits.select(*COLUMNS))
     order = Window.partitionBy("query_id", "rank").orderBy(F.desc("effective_weight"), "sibling")
     others = corpus.select(F.col("note_uid"), F.col("unit_id").alias("sibling"), "effective_weight")
     near = hits.select("query_id", "rank", "note_uid", "unit_id", "score").join(others, "note_uid").where("sibling <> unit_id")
@@ -122,7 +124,7 @@ def expand(hits: DataFrame, corpus: DataFrame, n: int) -> DataFrame:
         F.lit(None).cast("double").alias("cosine"),
         F.lit("expanded").alias("source"),
     )
-    return hits.select(*COLUMNS).unionByName(added)
+    return hits.unionByName(added)
 
 
 def retrieve(corpus: DataFrame, regime: Regime, queries: DataFrame, vectors: Vectors = (), index: DataFrame | None = None, size: DataFrame | None = None) -> DataFrame:

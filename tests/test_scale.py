@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from quillspark.functions import columns as C
 from quillspark.functions import rtf
 from quillspark.functions.rtf import inflate, rtf_spans, to_rtf
-from quillspark.operators import archive, calls, evaluate, export, lexical, neighbours, ordered, segments, service, tree, treemap, units
+from quillspark.operators import archive, calls, evaluate, export, lexical, neighbours, ordered, retrieve, segments, service, tree, treemap, units
 from quillspark.sources import storage
 
 NODES = "page_id int, id long, parent_id long, sort_index int, caption string, chars long"
@@ -591,3 +591,19 @@ def test_a_kept_index_cuts_words_without_a_shuffle(spark):
     out = lexical.row_postings(df)
     assert rows(out) == rows(lexical.build_index(df)) and rows(lexical.row_postings(df.limit(0))) == []
     assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_hits_are_computed_once_for_expansion(spark):
+    """Expansion reads its hits four times, but retrieval runs once."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def told(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    schema = "query_id long, rank int, unit_id long, note_uid long, score double, cosine double, source string"
+    hits = spark.createDataFrame([(q, r, 10 * q + r, q, 1.0 / r, None, "retrieved") for q in (1, 2) for r in (1, 2, 3)], schema).mapInArrow(told, schema)
+    corpus = spark.createDataFrame([(10 * q + r, q, float(r % 4)) for q in (1, 2, 3) for r in range(9)], "unit_id long, note_uid long, effective_weight double")
+    out = retrieve.expand(hits, corpus, 4).collect()
+    assert seen.value == 6 and Counter(r.source for r in out) == {"retrieved": 6, "expanded": 4}
