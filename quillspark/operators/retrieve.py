@@ -15,7 +15,7 @@ from quillspark.functions.columns import colour_weight, dot, norm, share_of_top,
 from quillspark.operators.lexical import bm25_top, bm25_where_they_lie, build_index, corpus_size, parse_queries, top_per_query
 from quillspark.operators.neighbours import nearest
 from quillspark.plans.regimes import Regime
-from quillspark.sources.storage import scratch_table
+from quillspark.sources.storage import scratch_table, small
 
 EXPANDED_SHARE = 0.5
 Vectors = Sequence[tuple[int, Sequence[float]]] | DataFrame
@@ -173,9 +173,11 @@ def fragment_text(regime: Regime) -> Column:
 def fit(fragments: DataFrame, corpus: DataFrame, regime: Regime, window_tokens: int, fixed_chars: int | Column, max_tokens: int = 1500) -> DataFrame:
     """Fragments that fit a model's window: the longest prefix by rank whose prompt of fixed_chars plus
     the formatted fragments, blank lines between, stays within max(256, window - max_tokens - 300)
-    tokens of four characters."""
+    tokens of four characters. Only found units' texts are moved."""
     budget = max(256, window_tokens - (max_tokens + 300))
-    found = fragments.join(corpus.select("unit_id", "text", "color", "is_bold", "tree_path"), "unit_id").withColumn("shown", fragment_text(regime))
+    fragments = scratch_table(fragments)
+    wanted = small(scratch_table(fragments.select("unit_id").distinct()))
+    found = fragments.join(corpus.join(wanted, "unit_id", "left_semi").select("unit_id", "text", "color", "is_bold", "tree_path"), "unit_id").withColumn("shown", fragment_text(regime))
     upto = Window.partitionBy("query_id").orderBy("rank")
     chars = F.sum(F.length("shown")).over(upto) + 2 * (F.row_number().over(upto) - 1) + fixed_chars
     return found.withColumn("prompt_chars", chars).where(F.col("prompt_chars") / 4 <= budget)

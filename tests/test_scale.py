@@ -21,6 +21,7 @@ from quillspark.functions import columns as C
 from quillspark.functions import rtf
 from quillspark.functions.rtf import inflate, rtf_spans, to_rtf
 from quillspark.operators import archive, calls, evaluate, export, lexical, neighbours, ordered, retrieve, segments, service, tree, treemap, units
+from quillspark.plans.regimes import resolve
 from quillspark.sources import storage
 
 NODES = "page_id int, id long, parent_id long, sort_index int, caption string, chars long"
@@ -607,3 +608,14 @@ def test_hits_are_computed_once_for_expansion(spark):
     corpus = spark.createDataFrame([(10 * q + r, q, float(r % 4)) for q in (1, 2, 3) for r in range(9)], "unit_id long, note_uid long, effective_weight double")
     out = retrieve.expand(hits, corpus, 4).collect()
     assert seen.value == 6 and Counter(r.source for r in out) == {"retrieved": 6, "expanded": 4}
+
+
+def test_fitting_moves_only_found_texts(spark):
+    """A corpus that is itself a join is cut to the units that were found before its texts are moved for that join."""
+    fragments = spark.createDataFrame([(q, 1, q) for q in (1, 2, 3)], "query_id long, rank int, unit_id long")
+    texts = spark.range(500).select(F.col("id").alias("unit_id"), F.concat(F.lit("text "), F.col("id")).alias("text"), F.lit("u").alias("color"), F.lit(True).alias("is_bold"), F.lit("a > b").alias("tree_path"))
+    corpus = texts.join(spark.range(0, 900, 2).withColumnRenamed("id", "vec_id"), F.col("unit_id") == F.col("vec_id"), "left")
+    out = retrieve.fit(fragments, corpus, resolve("R1_baseline_vector"), 4096, 100)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(r.shown for r in out.collect()) == ["[1] text 1", "[1] text 2", "[1] text 3"]
+    assert -1 < plan.find("LeftOuter") < plan.find("LeftSemi")
