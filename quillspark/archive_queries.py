@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from quillspark.functions import columns as C
 from quillspark.functions import spans as S
 from quillspark.functions.constants import COLOUR_CODES, HEX_CODES, OLD_TAGS, RGB_CODES, SALIENCE_WEIGHTS, T_BEYOND, T_POINTS, TAGS
-from quillspark.functions.rtf import inflate_text, packed, rtf_of_spans, rtf_of_text, spans_of_text
+from quillspark.functions.rtf import COLOURED, coloured_rewritten, inflate_text, packed, rtf_of_text, spans_of_text
 from quillspark.operators import archive, build, evaluate, export, lexical, segments, service, tree, treemap, units
 from quillspark.plans import standin as T
 from quillspark.plans.sql import CODE, CORPUS, RUNS, TIER_SQL, TREE, UNITS, bootstrap_sql
@@ -220,12 +220,12 @@ def _mixed(spark, d):
 def _rich(spark, d):
     """Coloured and bold spans written as rich text, with their colour table, and read back."""
     storage.bounded_batches(spark)
-    stored = storage.scratch_table(T.mixed_notes(spark, d))  # Spark extracts no Python function over lambda expressions
-    back = stored.select("note_uid", spans_of_text(rtf_of_spans("spans")).alias("spans"))
-    flat = back.select("note_uid", F.posexplode("spans").alias("place", "s")).where("s.highlight is not null")
-    ordered = F.array_sort(F.collect_list(F.struct("place", "s.text")))
-    texts = F.array_join(F.transform(ordered, lambda x: x["text"]), "")
-    out = flat.groupBy("note_uid", F.col("s.highlight").alias("color"), F.col("s.bold").alias("bold")).agg(texts.alias("t"))
+    notes = T.mixed_notes(spark, d)
+    found = notes.mapInArrow(coloured_rewritten, f"note_uid {notes.schema['note_uid'].dataType.simpleString()}, {COLOURED}")
+    parts = found.groupBy("note_uid", "color", "bold").agg(F.collect_list(F.struct("places", "texts")).alias("p"))
+    ordered = F.array_sort(F.flatten(F.transform("p", lambda x: F.arrays_zip(x["places"], x["texts"]))))  # only where a number stands on several notes
+    texts = F.when(F.size("p") == 1, F.get("p", F.lit(0))["texts"]).otherwise(F.transform(ordered, lambda x: x["texts"]))
+    out = parts.select("note_uid", "color", "bold", F.array_join(texts, "").alias("t"))
     return out.select("note_uid", "color", "bold", F.length("t").cast("long").alias("chars"), F.md5(F.col("t").cast("binary")).alias("digest"))
 
 

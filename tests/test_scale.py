@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import cProfile
 import json
 import math
 import random
@@ -576,6 +577,37 @@ def test_rich_text_is_decoded_a_few_rows_at_a_time():
     assert peak(8 * rtf.CHUNK_ROWS) < 2 * peak(rtf.CHUNK_ROWS)
 
 
+SPAN_LISTS = pa.list_(pa.struct([("text", pa.string()), ("highlight", pa.string()), ("bold", pa.bool_()), ("italic", pa.bool_())]))
+
+
+def test_rich_text_takes_few_calls_a_span():
+    """Coding and decoding go by whole spans, not by characters and single words of rich text."""
+    lists = [[{"text": f"w\xf6rd {k} and more ", "highlight": ("u", "p", None)[k % 3], "bold": k % 4 == 0, "italic": k % 5 == 0} for k in range(1000)] for _ in range(4)]
+    spans = pa.array(lists, SPAN_LISTS)
+    rtf.spans_of_text.func(rtf.rtf_of_spans.func(spans))
+    calls = cProfile.Profile()
+    calls.enable()
+    back = rtf.spans_of_text.func(rtf.rtf_of_spans.func(spans))
+    calls.disable()
+    assert ["".join(s["text"] for s in row) for row in back.to_pylist()] == ["".join(s["text"] for s in row) for row in lists]
+    assert sum(entry.callcount for entry in calls.getstats()) < 40 * 4000
+
+
+def test_rich_text_of_batches_is_that_of_single_notes():
+    """Groups that are one token, nested and cut ones, escapes that reach into groups, hidden groups."""
+    rng = random.Random(7)
+    pieces = ["a ", "b", "\\", "{", "}", "\n", "\t", "\r", "\xe9", "\U0001f600", "\0", "\u3000", " "]
+    one = lambda: ("".join(rng.choices(pieces, k=rng.randint(0, 6))), rng.choice([None, "u", "p", "g2"]), rng.random() < 0.5, rng.random() < 0.3)
+    notes = [[one() for _ in range(rng.randint(0, 8))] for _ in range(50)]
+    written = rtf.rtf_of_spans.func(pa.array([None, *([dict(zip(("text", "highlight", "bold", "italic"), s, strict=True)) for s in n] for n in notes)], SPAN_LISTS)).to_pylist()
+    assert written == [rtf.rich_rtf(n) for n in [[], *notes]]
+    assert ["".join(s["text"] for s in rtf_spans(w)) for w in written[1:]] == ["".join(s[0] for s in n) for n in notes]
+    head = r"{\rtf1{\colortbl;\red255\green255\blue0;}"
+    shown = lambda body: [(s["text"], s["bold"]) for s in rtf_spans(head + body + "}")]
+    assert shown(r"a{\b x}\{\b y\}{\b z}") == [("a", False), ("x", True), ("{", False), ("y}z", True)]
+    assert shown(r"{\b \u233?\u-10179?\u-8703?}{\pict{\b no}}\uc2\u233 ??{\b \u233?-c}") == [("\xe9\U0001f601", True), ("\xe9", False), ("\xe9c", True)]
+
+
 def test_paired_tests_read_each_score_once(spark):
     """The baseline differs from itself by nothing, though a second reading would give other scores."""
     read = F.udf(lambda: random.SystemRandom().random(), "double").asNondeterministic()
